@@ -2,15 +2,41 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cairn.llm.common import read
+from cairn.llm.mixing import mixed_sizes
 from cairn.llm.ngram_join import ngram_components
+from cairn.llm.packing import pack_documents
+from cairn.llm.quality import fold, score_quality, train_quality
+from cairn.llm.substring_dedup import remove_repeats
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_components(read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op3_best_fit_packing(spark, sf_dir):
+    return pack_documents(read(spark, sf_dir, "documents"))
+
+
+def op5_quality_factorisation(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    out = score_quality(docs, model)
+    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_substring_dedup(spark, sf_dir):
+    kept = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_source_mix(spark, sf_dir):
+    return mixed_sizes(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_best_fit_packing, op5_quality_factorisation, op6_substring_dedup, op7_source_mix)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
 
