@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cairn.llm import langid, lm, media, url_graph
+from cairn.llm.ann import nearest
 from cairn.llm.common import read
 from cairn.llm.mixing import mixed_sizes
 from cairn.llm.ngram_join import ngram_components
@@ -16,10 +18,19 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return ngram_components(read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op2_media_avi_mjpeg(spark, sf_dir):
+    return media.read_texts(media.store_texts(read(spark, sf_dir, "documents")))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op4_collision_neighbours(spark, sf_dir):
+    rows = read(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 20 = 0"), 20)
+
+
 def op5_quality_factorisation(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_quality(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
@@ -36,7 +47,27 @@ def op7_source_mix(spark, sf_dir):
     return mixed_sizes(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op3_best_fit_packing, op5_quality_factorisation, op6_substring_dedup, op7_source_mix)}
+def op8_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(fold("doc_id", 4) != 2))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_url_filter(spark, sf_dir):
+    return url_graph.judge(read(spark, sf_dir, "pages"))
+
+
+def op10_lm_score(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = lm.train(docs.where(fold("doc_id", 7) != 2))
+    out = lm.score(docs, model, counts)
+    return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op2_media_avi_mjpeg, op3_best_fit_packing, op4_collision_neighbours, op5_quality_factorisation,
+    op6_substring_dedup, op7_source_mix, op8_language_id, op9_url_filter, op10_lm_score,
+)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
 
