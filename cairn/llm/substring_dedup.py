@@ -124,8 +124,8 @@ def _repeated_windows(suffixes: DataFrame) -> DataFrame:
     return trees
 
 
-def _apply(batch):
-    """The rows with their words that stay, joined by one space, and the numbers of words."""
+def _apply(batch, as_is):
+    """The rows with their words that stay, joined by one space, and the numbers of words; with as_is, texts that lose none unchanged."""
     raw, offsets = text_bytes(batch.column("text"))
     starts, ends, first = word_spans(raw, offsets)
     gone = np.zeros(len(starts) + 1, np.int64)
@@ -154,22 +154,27 @@ def _apply(batch):
     out = raw.copy()
     out[ends[inner]] = 0x20
     keep[ends[inner]] = True
+    removed = np.concatenate([np.zeros(1, np.int64), np.cumsum(~stays)])
+    lost = np.diff(removed[first])
+    if as_is:
+        same = np.repeat(lost == 0, np.diff(offsets))
+        out[same] = raw[same]
+        keep |= same
     size = np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])[offsets]
     text = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(size.tobytes()), pa.py_buffer(out[keep].tobytes()))
-    removed = np.concatenate([np.zeros(1, np.int64), np.cumsum(~stays)])
     rest = [c for c in batch.schema.names if c not in ("text", "plan")]
     yield pa.RecordBatch.from_arrays(
-        [*(batch.column(c) for c in rest), text.cast(pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(np.diff(removed[first]), pa.int64())],
+        [*(batch.column(c) for c in rest), text.cast(pa.string()), pa.array(np.diff(first), pa.int64()), pa.array(lost, pa.int64())],
         names=[*rest, "kept_text", "n_words", "n_removed"],
     )
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_is: bool = False) -> DataFrame:
     """The rows of docs (any columns beside doc_id and text) with kept_text, n_words and n_removed instead of text.
 
     A word goes if a window of 50 consecutive words that covers it also starts in a document with
     a smaller doc_id; all windows are judged on the input. kept_text has the words that stay,
-    joined by one space.
+    joined by one space; with as_is, a text that loses no word is unchanged.
 
     A null text has no words. A row with a null doc_id is kept whole and removes nothing. Repeated
     rows (one doc_id) do not remove each other. Input columns named kept_text, n_words or n_removed
@@ -192,4 +197,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = docs.join(plan, "doc_id", "left")
     rest = [f for f in joined.schema.fields if f.name not in ("text", "plan")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "kept_text string", "n_words long", "n_removed long"])
-    return map_text(joined, _apply, schema)
+    return map_text(joined, lambda batch: _apply(batch, as_is), schema)

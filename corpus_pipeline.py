@@ -42,7 +42,7 @@ def near_duplicates(spark, docs, sf_dir):
     again = common.cut(again)
     if again.isEmpty():
         return kept
-    single = kept.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*[c for c in ("text", "lang", "source", "n_chars")])).alias("r")).select("doc_id", "r.*")
+    single = kept.join(again, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r")).select("doc_id", "r.*")
     return kept.join(again, "doc_id", "left_anti").select(COLUMNS).union(single.select(COLUMNS))
 
 
@@ -51,9 +51,9 @@ def repeated_passages(spark, docs, sf_dir):
 
     Texts that lose nothing stay as they are.
     """
-    out = remove_repeats(docs.select(COLUMNS).withColumn("original", F.col("text"))).where("n_removed = 0 or n_removed < n_words")
-    text = F.when(F.col("n_removed") == 0, F.col("original")).otherwise(F.col("kept_text"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    out = remove_repeats(docs.select(COLUMNS), as_is=True).where("n_removed = 0 or n_removed < n_words")
+    out = out.withColumnRenamed("kept_text", "text")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def source_mix(spark, docs, sf_dir):
