@@ -532,3 +532,26 @@ def snapshot_list(spark, sf):
 
     rows = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").alias("created_ts")).orderBy(F.desc("created_ts"), F.desc("id")).limit(100)
     return rows.select("id", F.row_number().over(Window.orderBy(F.desc("created_ts"), F.desc("id"))).cast("int").alias("place"))
+
+
+# ---------------------------------------------------------------- scanning sources
+
+
+@registered(rf"""
+WITH p AS (SELECT page_id, {_URL_PATH} AS path FROM pages)
+SELECT page_id, path FROM p WHERE NOT (path LIKE 'de/%' OR path LIKE '%.html' AND path NOT LIKE 'fr/%')""")
+def scan_kept(spark, sf):
+    """Pages as files: a directory rule prunes `de`, a file rule is cleared below `fr`."""
+    from cairn.sources.scan import scan
+
+    rules = paths.parse_ignore("de/\n*.html\n!/fr/*.html\n")
+    pages = _url_paths(spark, sf).withColumn("content", F.lit(None).cast("binary"))
+    kept, _ = scan(pages, rules, "ignore")
+    return kept.select("page_id", "path")
+
+
+@registered("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_activity(spark, sf):
+    from cairn.streaming.ingest import import_activity
+
+    return import_activity(tables(spark, sf, "events")[0]).withColumn("total", F.round("total", 4))
