@@ -8,15 +8,19 @@ into further best-fit rounds up a tree. Only sizes travel.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from cairn.llm.common import cut
 
@@ -27,38 +31,53 @@ GROUP_ROWS, FAN_IN, NEARLY = 20_000, 8, 8
 #: Two bins that are over half full never fit together and a group leaves at most one other, so few are ever of use.
 HANDED_ON = 64
 #: Texts' words whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0  -     　]")
 
 
-def _segments(text: str) -> list[str]:
-    """The text cut before its lone spaces, where the tokenizer's own splitting cuts too; joined they are the text."""
-    parts = text.split(" ")
-    if "" in parts or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
-        parts = _LONE_SPACE.split(text)
-    return [parts[0], *(" " + p for p in parts[1:])]
+def _vocabulary(path: str) -> dict[bytes, int]:
+    """Ids by the tokens' bytes, from a tokenizers file of a byte-level BPE; its letters stand for bytes."""
+    model = json.loads(Path(path).read_text())["model"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    return {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
 
 
-class Ids:
-    """Ids of texts as little-endian unsigned 32-bit bytes; remembers those of frequent segments."""
+class Ids(dict):
+    """Ids of texts as little-endian unsigned 32-bit bytes; remembers those of words.
+
+    A text is cut at its lone spaces, where the tokenizer's own splitting cuts too, and a space
+    goes to the word behind it. So a word and its space have the same ids in every text, and
+    only new words are encoded. They are encoded by the tokenizers file's vocabulary.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut_texts = [_segments(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
-        new = list({s for t in cut_texts for s in t if s not in self.known})
-        for a in range(0, len(new), 10_000):
-            some = new[a : a + 10_000]
-            for s, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[s] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, t)) for t in cut_texts]
+        super().__init__()
+        ranks = _vocabulary(path)
+        for special in json.loads(Path(path).read_text()).get("added_tokens", ()):
+            ranks.pop(special["content"].encode(), None)  # in a text it is ordinary text
+        self.encode = tiktoken.Encoding("ids", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = array("I", self.encode(" " + word)).tobytes()
+        return ids
+
+    def of(self, text: str) -> bytes:
+        words = text.split(" ")
+        if "" in words or "\n " in text or " \n" in text or _OTHER_SPACE.search(text):
+            words = _LONE_SPACE.split(text)
+        if len(self) > REMEMBERED:
+            self.clear()
+        first = array("I", self.encode(words[0])).tobytes()
+        return first + b"".join(map(self.__getitem__, words[1:]))
+
+
+@lru_cache(1)
+def _ids(path: str) -> Ids:
+    """One encoder for each worker process, over all of its tasks."""
+    return Ids(path)
 
 
 def pieces_of(n: int, length: int) -> list[tuple[int, int]]:
@@ -71,13 +90,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, ids: boo
     """doc_id, piece, start, length, ids_crc32 (and ids, where asked for) of every row of docs(doc_id, text)."""
 
     def run(batches):
-        encode = Ids(tokenizer)
+        encode = _ids(tokenizer).of
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
-                texts = [t or "" for t in batch.column("text").slice(a, 1000).to_pylist()]
+                texts = batch.column("text").slice(a, 1000).to_pylist()
                 rows = []
-                for d, raw in zip(batch.column("doc_id").slice(a, 1000).to_pylist(), encode(texts)):
-                    raw += b"\0\0\0\0"  # id 0 ends a document
+                for d, text in zip(batch.column("doc_id").slice(a, 1000).to_pylist(), texts):
+                    raw = encode(text or "") + b"\0\0\0\0"  # id 0 ends a document
                     for k, (s, n) in enumerate(pieces_of(len(raw) // 4, length)):
                         part = raw[4 * s : 4 * (s + n)]
                         rows.append((d, k, s, n, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if ids else None))
