@@ -8,6 +8,7 @@ probability near 2**-64.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +45,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """The same rows from a table written to the cluster's shared folder; smaller than a checkpoint of them, and cleared with the folder."""
+    cut(df.sparkSession.range(0))  # sets the folder where none is set
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit (multiply and xor-shift)."""
     x = x ^ (x >> U(30))

@@ -1,8 +1,8 @@
 """Removal of long passages repeated across documents, by prefix-partitioned suffix trees.
 
 A suffix starts at a word; its first `window` words (50) decide. Suffixes are split among
-groups by variable-length prefixes: ten words at first, ten more wherever a prefix has more
-suffixes than a task should hold. Each group is sorted into a subtree with its longest common
+groups by variable-length prefixes: twenty words at first, forty and then fifty wherever a
+prefix has more suffixes than a task should hold. Each group is sorted into a subtree with its longest common
 prefixes; the internal nodes at depth `window` or more are the repeats, and every leaf of a
 node that is not in its first document marks a window to remove. A prefix that is still
 oversized at full depth is one node and needs only the least document of its suffixes.
@@ -16,15 +16,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import U, cut, map_text, mix, text_bytes, windows_of, word_hashes, word_spans
+from cairn.llm.common import U, cut, map_text, mix, table, text_bytes, windows_of, word_hashes, word_spans
 
-#: Words of a window, of an anchor and of a step of the prefix.
-WINDOW, ANCHOR, STEP = 50, 20, 10
+#: Words of a window, of an anchor, and of the steps in which prefixes grow to a window.
+WINDOW, ANCHOR, STEPS = 50, 20, (20, 20, 10)
 #: Suffixes that a subtree's task should hold (about 60 bytes each).
 GROUP_ROWS = 100_000
+#: Numbers that a broadcast side may hold (16 MB); with more, texts are shuffled to the join.
+BROADCAST_NUMBERS = 2_000_000
 
 
 def _least_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -65,9 +67,10 @@ def _profile(batch):
 
 
 def _suffixes(batch):
-    """Rows (sid, d, s, c1..c5): the windows that have one of the given anchors, as fingerprints of ten words each."""
+    """Rows (sid, d, s, c0..): the windows that have one of the given anchors, as fingerprints of their steps."""
     first, words, anchors, sid = _units(batch.column("text"))
-    steps = windows_of(words, STEP)
+    steps = [windows_of(words, n) for n in STEPS]
+    before = np.cumsum(STEPS) - STEPS
     wanted = batch.column("sid").to_pylist()
     ids = batch.column("doc_id").to_pylist()
     for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
@@ -77,14 +80,14 @@ def _suffixes(batch):
         at = np.flatnonzero(np.isin(anchors[a : b - WINDOW + 1], shared))
         if len(at):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), wanted[i]), pa.int64()), pa.array(np.full(len(at), ids[i]), pa.int64()), pa.array(at, pa.int32()), *(_longs(steps[a + at + STEP * k]) for k in range(WINDOW // STEP))],
-                names=["sid", "d", "s", *(f"c{k}" for k in range(WINDOW // STEP))],
+                [pa.array(np.full(len(at), wanted[i]), pa.int64()), pa.array(np.full(len(at), ids[i]), pa.int64()), pa.array(at, pa.int32()), *(_longs(x[a + at + n]) for x, n in zip(steps, before))],
+                names=["sid", "d", "s", *(f"c{k}" for k in range(len(STEPS)))],
             )
 
 
 def _subtrees(group: pa.Table) -> pa.Table:
     """The windows of one group below a deep node whose first document is another one."""
-    depth = WINDOW // STEP
+    depth = len(STEPS)
     labels = [group.column(f"c{k}").to_numpy() for k in range(depth)]
     order = np.lexsort(labels[::-1])
     common = np.ones(max(0, len(order) - 1), bool)  # longest common prefix of neighbours, until it falls short of the full depth
@@ -101,7 +104,7 @@ def _subtrees(group: pa.Table) -> pa.Table:
 def _repeated_windows(suffixes: DataFrame) -> DataFrame:
     """(sid, s) of the windows that also start in a unit of a smaller document."""
     spark = suffixes.sparkSession
-    depth = WINDOW // STEP
+    depth = len(STEPS)
     rest, ready, n = suffixes.withColumn("prefix", F.xxhash64("c0")), [], suffixes.count()
     for k in range(1, depth + 1):
         large = cut(rest.groupBy("prefix").agg(F.count("*").alias("k"), F.min("d").alias("least")).where(F.col("k") > GROUP_ROWS))
@@ -136,13 +139,9 @@ def _apply(batch, as_is):
         for i in touched:
             for p in plans[int(i)].as_py():
                 if p["sid"] == sid[i] and first[i + 1] > first[i]:
-                    if p["starts"] is None:
-                        gone[first[i]] += 1
-                        gone[first[i + 1]] -= 1
-                    else:
-                        at = np.unique(np.asarray(p["starts"], np.int64)) + first[i]
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + WINDOW, -1)
+                    for r in p["runs"]:  # of window starts
+                        gone[first[i] + r["a"]] += 1
+                        gone[first[i] + r["b"] + WINDOW] -= 1
     stays = np.cumsum(gone)[:-1] == 0
     kept = np.zeros(len(raw) + 1, np.int64)
     np.add.at(kept, starts[stays], 1)
@@ -169,6 +168,12 @@ def _apply(batch, as_is):
     )
 
 
+def _small(side: DataFrame, numbers) -> DataFrame:
+    """The side, to be broadcast if its rows hold few enough numbers."""
+    total = side.agg(F.sum(numbers + 2)).first()[0] or 0
+    return F.broadcast(side) if total <= BROADCAST_NUMBERS else side
+
+
 def remove_repeats(docs: DataFrame, as_is: bool = False) -> DataFrame:
     """The rows of docs (any columns beside doc_id and text) with kept_text, n_words and n_removed instead of text.
 
@@ -185,15 +190,19 @@ def remove_repeats(docs: DataFrame, as_is: bool = False) -> DataFrame:
     units = profiles.groupBy("sid").agg(F.min("doc_id").alias("d"), F.first("anchors").alias("anchors"))
     anchored = units.select("sid", "d", F.explode("anchors").alias("anchor"))
     shared = anchored.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    wanted = anchored.join(shared, "anchor").groupBy("sid", "d").agg(F.collect_list("anchor").alias("shared"))
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("d", "doc_id"), "doc_id")
-    columns = "sid long, d long, s int, " + ", ".join(f"c{k} long" for k in range(WINDOW // STEP))
-    suffixes = cut(map_text(texts, _suffixes, columns))
-    windows = _repeated_windows(suffixes)
+    wanted = cut(anchored.join(shared, "anchor").groupBy("sid", "d").agg(F.collect_list("anchor").alias("shared")))
+    texts = docs.select("doc_id", "text").join(_small(wanted.withColumnRenamed("d", "doc_id"), F.size("shared")), "doc_id")
+    columns = "sid long, d long, s int, " + ", ".join(f"c{k} long" for k in range(len(STEPS)))
+    windows = _repeated_windows(table(map_text(texts, _suffixes, columns)))
+    # runs of neighbouring starts; a unit's starts are no more than its words
+    windows = windows.withColumn("run", F.col("s") - F.dense_rank().over(Window.partitionBy("sid").orderBy("s")))
+    runs = windows.groupBy("sid", "run").agg(F.min("s").alias("a"), F.max("s").alias("b")).groupBy("sid").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
     first = units.select("sid", "d")
-    parts = windows.groupBy("sid").agg(F.collect_list("s").alias("starts")).join(first, "sid").select(F.col("d").alias("doc_id"), "sid", "starts")
-    copies = profiles.select("doc_id", "sid").join(first, "sid").where("doc_id > d").select("doc_id", "sid", F.lit(None).cast("array<int>").alias("starts")).distinct()
-    plan = parts.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("sid", "starts")).alias("plan"))
+    parts = runs.join(first, "sid").select(F.col("d").alias("doc_id"), "sid", "runs")
+    copies = profiles.join(first, "sid").where("doc_id > d").select("doc_id", "sid", "n_words").distinct()
+    copies = copies.select("doc_id", "sid", F.array(F.struct(F.lit(0).alias("a"), (F.col("n_words") - WINDOW).cast("int").alias("b"))).alias("runs"))
+    plan = cut(parts.union(copies).groupBy("doc_id").agg(F.collect_list(F.struct("sid", "runs")).alias("plan")))
+    plan = _small(plan, 2 + F.aggregate("plan", F.lit(0), lambda n, p: n + 1 + 2 * F.size(p["runs"])))
     joined = docs.join(plan, "doc_id", "left")
     rest = [f for f in joined.schema.fields if f.name not in ("text", "plan")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "kept_text string", "n_words long", "n_removed long"])
