@@ -231,7 +231,10 @@ def read_avi(data: bytes | None) -> tuple[list[bytes], float, str | None]:
             step = int.from_bytes(data[k + 8 : k + 12], "little") if k > 0 else 0
             fps = 1_000_000 / step if step else 0.0
         elif kind == b"idx1":
-            index = np.frombuffer(data[at + 8 : at + 8 + size // 16 * 16], "<u4").reshape(-1, 4)
+            body = data[at + 8 : at + 8 + size]
+            if len(body) < size or size % 16:
+                return [], fps, "broken index"
+            index = np.frombuffer(body, "<u4").reshape(-1, 4)
         at += 8 + size + (size & 1)
     if movi is None or index is None:
         return [], fps, "no index"
