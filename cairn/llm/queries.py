@@ -77,13 +77,25 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 1), i -> array_to_string(ws[i : i + 2], ' '))) END AS grams FROM w),
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i : i + 2], ' '))) END AS grams FROM w),
 n AS (SELECT doc_id, CAST(len(grams) AS BIGINT) AS n FROM s),
 g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
 o AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS o FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT u, v FROM o JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * o >= 90 * (a.n + b.n - o)),
-both AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
-r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, both.v FROM r JOIN both ON both.u = r.seen)
+sym AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, sym.v FROM r JOIN sym ON sym.u = r.seen)
 SELECT n.doc_id, n.n AS n_shingles, min(r.seen) AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY 1, 2
+""",
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT doc_id, list_transform(range(1, len(ws) - 48), lambda i: array_to_string(ws[i : i + 49], ' ')) AS wins FROM d WHERE len(ws) >= 50),
+w AS (SELECT doc_id, unnest(wins) AS win, generate_subscripts(wins, 1) AS s FROM k),
+m AS (SELECT win, min(doc_id) AS least FROM w GROUP BY 1),
+f AS (SELECT doc_id, s FROM w JOIN m USING (win) WHERE doc_id > least),
+v AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+c AS (SELECT v.doc_id, v.word, v.i, max(CASE WHEN f.s IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY v.doc_id ORDER BY v.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM v LEFT JOIN f ON f.doc_id = v.doc_id AND f.s = v.i),
+t AS (SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id
 """,
 }
