@@ -45,10 +45,9 @@ def host_scores(hosts: DataFrame, edges: DataFrame) -> DataFrame:
     Each kind's seeds are scaled to sum 1; a walk restarts at its seeds, and what has no way on
     is lost. Without edges or seeds the scores are the scaled seeds.
     """
-    total = hosts.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b"))
-    seeds = hosts.crossJoin(F.broadcast(total)).select(  # one row of sums
-        "host", F.coalesce(F.try_divide("trusted", "t"), F.lit(0.0)).alias("trusted"), F.coalesce(F.try_divide("blocked", "b"), F.lit(0.0)).alias("blocked")
-    )
+    total = hosts.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
+    scaled = lambda name, whole: (F.col(name) / whole if whole else F.lit(0.0)).alias(name)
+    seeds = hosts.select("host", scaled("trusted", total.t), scaled("blocked", total.b))
     targets = edges.select(F.col("dst").alias("host"))
     nodes = cut(seeds.union(targets.distinct().join(seeds, "host", "left_anti").select("host", F.lit(0.0), F.lit(0.0))))
     way = edges.select("src", "dst", "weight", F.lit(True).alias("along")).union(edges.select("dst", "src", "weight", F.lit(False)))
