@@ -31,6 +31,8 @@ from cairn.llm.components import connected_components
 #: Cells of the hashed count that orders n-grams: 2**20 counts, 4 MB, whatever the corpus.
 SKETCH_BITS = 20
 FRAGMENTS = 8
+#: Rows of two numbers that may be broadcast (8 MB); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(text: pa.Array, size: int) -> list[np.ndarray]:
@@ -98,18 +100,23 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64), pa.int64())
 
 
+def _identity(grams: np.ndarray) -> tuple[int, np.ndarray]:
+    """(fingerprint of a set, its members' second fingerprints)."""
+    m = mix(grams + U(0x632BE59BD9B4E019))
+    return int(mix(m.sum(keepdims=True) + U(len(grams))).view(np.int64)[0]), m
+
+
 def _profiles(docs: DataFrame, size: int, percent: int, counts, bits: int) -> DataFrame:
     """doc_id, n, sid (the set's identity), parity words p0-p3 and the prefix of the ordered set."""
 
     def profile(batch):
         sets = shingle_sets(batch.column("text"), size)
-        sid, par, prefix = np.zeros(len(sets), np.uint64), np.zeros((len(sets), 4), np.uint64), []
+        sid, par, prefix = np.zeros(len(sets), np.int64), np.zeros((len(sets), 4), np.uint64), []
         for i, s in enumerate(sets):
             if not len(s):
                 prefix.append([])
                 continue
-            m = mix(s + U(0x632BE59BD9B4E019))
-            sid[i] = mix(m.sum(keepdims=True) + U(len(s)))[0]
+            sid[i], m = _identity(s)
             odd = np.flatnonzero(np.bincount((m & U(255)).astype(np.int64), minlength=256) & 1)
             for k in range(4):
                 own = odd[(odd >> 6) == k] & 63
@@ -117,57 +124,77 @@ def _profiles(docs: DataFrame, size: int, percent: int, counts, bits: int) -> Da
             keep = len(s) - -(-percent * len(s) // 100) + 1
             prefix.append(_ordered(s, counts.value, bits)[0][:keep].view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _signed(sid), *(_signed(par[:, k]) for k in range(4)), pa.array(prefix, pa.list_(pa.int64()))],
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid), *(_signed(par[:, k]) for k in range(4)), pa.array(prefix, pa.list_(pa.int64()))],
             names=["doc_id", "n", "sid", "p0", "p1", "p2", "p3", "prefix"],
         )
 
     return map_text(docs.select("doc_id", "text"), profile, "doc_id long, n long, sid long, p0 long, p1 long, p2 long, p3 long, prefix array<long>")
 
 
+def _differing(x: str, y: str) -> Column:
+    """Differing bits of two parity signatures."""
+    return sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(4)), F.lit(0))
+
+
+def _ends(x: str, y: str) -> list[Column]:
+    return [F.col(f"{x}.sid").alias("u"), F.col(f"{y}.sid").alias("v"), F.col(f"{x}.d").alias("du"), F.col(f"{y}.d").alias("dv")]
+
+
 def _may_link(x: str, y: str, percent: int) -> Column:
     """Whether two postings of one n-gram, taken as the first common one, leave room for the threshold."""
     c = lambda side, name: F.col(f"{side}.{name}")
     nx, ny = c(x, "n"), c(y, "n")
     overlap = F.ceil(percent * (nx + ny) / (100 + percent) - F.lit(1e-9))
-    differ = sum((F.bit_count(c(x, f"p{k}").bitwiseXOR(c(y, f"p{k}"))) for k in range(4)), F.lit(0))
     return (
         (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
         & (F.least(nx - c(x, "at"), ny - c(y, "at")) >= overlap)
-        & (differ <= nx + ny - 2 * overlap)
+        & (_differing(x, y) <= nx + ny - 2 * overlap)
     )
 
 
-def _links(docs: DataFrame, pairs: DataFrame, size: int, percent: int, counts, bits: int) -> DataFrame:
-    """The pairs (u, v, and a document of each: du, dv) whose sets meet the threshold."""
-    pivots = np.quantile(counts.value[counts.value > 0], np.linspace(0, 1, FRAGMENTS + 1)[1:-1]) if counts.value.any() else np.zeros(FRAGMENTS - 1)
+def _segments(docs: DataFrame, wanted: DataFrame, size: int, counts, bits: int) -> DataFrame:
+    """(sid, fragment, n, grams): the sets named by wanted(sid, doc_id), cut at the fragments' pivots."""
+    known = counts.value[counts.value > 0]
+    pivots = np.quantile(known, np.linspace(0, 1, FRAGMENTS + 1)[1:-1]) if len(known) else np.zeros(FRAGMENTS - 1)
 
     def segments(batch):
-        ids, sids = batch.column("doc_id").to_pylist(), batch.column("sid").to_pylist()
-        rows = []
+        ids, rows = batch.column("sid").to_pylist(), []
         for i, s in enumerate(shingle_sets(batch.column("text"), size)):
+            if _identity(s)[0] != ids[i]:
+                continue
             s, c = _ordered(s, counts.value, bits)
-            # ties on a count go to one fragment by fingerprint, so that common counts do not fill a single one
+            # equal counts are spread by fingerprint, so that a common count does not fill one fragment
             part = (np.searchsorted(pivots, c) + (s & U(FRAGMENTS - 1)).astype(np.int64)) % FRAGMENTS
-            rows += [(sids[i], f, len(s), s[part == f].view(np.int64)) for f in range(FRAGMENTS)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-            names=["sid", "fragment", "n", "grams"],
-        )
+            rows += [(ids[i], f, len(s), s[part == f].view(np.int64)) for f in range(FRAGMENTS)]
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["sid", "fragment", "n", "grams"])
 
-    wanted = pairs.select(F.col("u").alias("sid"), F.col("du").alias("doc_id")).union(pairs.select("v", "dv")).distinct()
+    wanted = cut(wanted.distinct())
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
-    seg = map_text(texts.select("sid", "doc_id", "text"), segments, "sid long, fragment int, n long, grams array<long>")
-    seg = cut(seg.dropDuplicates(["sid", "fragment"]))
-    x = seg.select(F.col("sid").alias("u"), "fragment", F.col("n").alias("nu"), F.col("grams").alias("gu"))
-    y = seg.select(F.col("sid").alias("v"), "fragment", F.col("n").alias("nv"), F.col("grams").alias("gv"))
-    partial = (
-        pairs.select("u", "v")
-        .join(x, "u")
-        .join(y, ["v", "fragment"])
-        .select("u", "v", "nu", "nv", F.size(F.array_intersect("gu", "gv")).alias("overlap"))
-    )
-    total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("overlap").alias("o"))
-    return total.where(100 * F.col("o") >= percent * (F.col("nu") + F.col("nv") - F.col("o"))).select("u", "v")
+    # a doc_id may have rows with other texts, so the set's identity is compared
+    return cut(map_text(texts.select("sid", "text"), segments, "sid long, fragment int, n long, grams array<long>"))
+
+
+def _links(pairs: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets meet the threshold: overlaps counted by fragment and summed."""
+    pairs = cut(pairs.select("u", "v"))
+    # few pairs go to the segments; otherwise both are shuffled
+    side = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda rows: rows
+    x = seg.join(side(pairs.withColumnRenamed("u", "sid")), "sid").select(F.col("sid").alias("u"), "v", "fragment", F.col("n").alias("nu"), F.col("grams").alias("gu"))
+    y = seg.join(side(pairs.select(F.col("v").alias("sid")).distinct()), "sid", "left_semi").select(F.col("sid").alias("v"), "fragment", F.col("n").alias("nv"), F.col("grams").alias("gv"))
+    partial = x.join(y, ["v", "fragment"]).select("u", "v", "fragment", "nu", "nv", F.size(F.array_intersect("gu", "gv")).alias("overlap"))
+    # repeated rows of a document give its segments repeatedly
+    total = partial.dropDuplicates(["u", "v", "fragment"]).groupBy("u", "v", "nu", "nv").agg(F.sum("overlap").alias("o"))
+    return cut(total.where(100 * F.col("o") >= percent * (F.col("nu") + F.col("nv") - F.col("o"))).select("u", "v"))
+
+
+def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The pairs whose ends are not known to be in one component."""
+    a = components.select(F.col("id").alias("u"), F.col("component").alias("a"))
+    b = components.select(F.col("id").alias("v"), F.col("component").alias("b"))
+    return pairs.join(a, "u", "left").join(b, "v", "left").where("a is null or b is null or a <> b").drop("a", "b")
 
 
 def ngram_components(docs: DataFrame, size: int, percent: int, bits: int = SKETCH_BITS) -> DataFrame:
@@ -184,25 +211,36 @@ def ngram_components(docs: DataFrame, size: int, percent: int, bits: int = SKETC
     counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, size, bits).astype(np.int32))
     profiles = cut(_profiles(docs, size, percent, counts, bits))
     live = profiles.where("n > 0 and doc_id is not null")
-    nodes = live.groupBy("sid").agg(F.min("doc_id").alias("d"), *(F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "prefix")))
-    posting = nodes.select("sid", "d", "n", "p0", "p1", "p2", "p3", F.posexplode("prefix").alias("at", "gram"))
-    heads = posting.groupBy("gram").agg(F.count("*").alias("k"), F.min(F.struct("at", "n", "sid", "d", "p0", "p1", "p2", "p3")).alias("hub")).where("k > 1")
-    posting = cut(posting.join(heads, "gram"))
-
+    nodes = cut(live.groupBy("sid").agg(F.min("doc_id").alias("d"), *(F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "prefix"))))
+    # most n-grams are in one set: what a pair needs is joined to the postings that others share
+    placed = nodes.select("sid", F.posexplode("prefix").alias("at", "gram"))
+    nodes = nodes.drop("prefix")
+    shared = placed.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    posting = cut(placed.join(shared, "gram").join(nodes, "sid"))
+    heads = posting.groupBy("gram").agg(F.min(F.struct("at", "n", "sid", "d", "p0", "p1", "p2", "p3")).alias("hub"))
+    posting = posting.join(heads, "gram")
+
+    # first the likeliest hub of every set, then the other hubs of sets still apart, then all pairs still apart
     hubs = posting.select(F.struct("sid", "d", "n", "at", "p0", "p1", "p2", "p3").alias("x"), F.col("hub").alias("y")).where("x.sid <> y.sid")
-    hubs = hubs.where(_may_link("x", "y", percent))
-    hubs = cut(hubs.select(F.col("x.sid").alias("u"), F.col("y.sid").alias("v"), F.col("x.d").alias("du"), F.col("y.d").alias("dv")).distinct())
-    links = cut(_links(docs, hubs, size, percent, counts, bits))
+    hubs = hubs.where(_may_link("x", "y", percent)).select(*_ends("x", "y"), _differing("x", "y").alias("differ")).distinct()
+    hubs = cut(hubs)
+    seg = _segments(docs, hubs.select(F.col("u").alias("sid"), F.col("du").alias("doc_id")).union(hubs.select("v", "dv")), size, counts, bits)
+    likely = hubs.groupBy("u").agg(F.min(F.struct("differ", "v")).alias("h")).select("u", "h.v")
+    links = _links(likely, seg, percent)
+    others = _apart(hubs.select("u", "v").join(likely, ["u", "v"], "left_anti"), connected_components(links))
+    links = links.union(_links(others, seg, percent))
 
     known = connected_components(links)
-    member = posting.drop("hub", "k").join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    member = posting.drop("hub").join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     open_lists = member.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("gram")
     member = cut(member.join(open_lists, "gram"))
     x, y = member.alias("x"), member.alias("y")
     rest = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
-    rest = rest.select(F.col("x.sid").alias("u"), F.col("y.sid").alias("v"), F.col("x.d").alias("du"), F.col("y.d").alias("dv")).distinct()
+    rest = rest.select(*_ends("x", "y")).distinct()
     rest = cut(rest.join(hubs.select("u", "v").union(hubs.select("v", "u")), ["u", "v"], "left_anti"))
-    links = links.union(_links(docs, rest, size, percent, counts, bits))
+    new = rest.select(F.col("u").alias("sid"), F.col("du").alias("doc_id")).union(rest.select("v", "dv")).join(seg.select("sid").distinct(), "sid", "left_anti")
+    seg = seg.union(_segments(docs, new, size, counts, bits))
+    links = links.union(_links(rest, seg, percent))
 
     joined = connected_components(links)
     named = nodes.select("sid", "d").join(joined.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
