@@ -5,6 +5,10 @@ each next token a probability: a softmax over word classes times a softmax over
 class. It is trained by truncated backpropagation: windows of a few words, the state carried
 from window to window. Scoring carries the state through the whole document.
 
+All training documents are read. A hash deals them into shards of about SHARD tokens; each task
+trains on its shard's next run of tokens from the common weights, and the weights are averaged
+(by tokens) after each of ROUNDS rounds, which together read every shard to its end.
+
 Its vocabulary is the most frequent words; all others share one token and divide that token's
 probability in the proportions of their smoothed counts, so a text has a proper probability.
 Counts cover the whole training corpus: they are a table in Spark. The most frequent are
@@ -13,8 +17,6 @@ broadcast (a fixed number); the others are joined.
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +31,14 @@ END, OTHER = 0, 1
 #: Counts that are broadcast, two numbers each.
 FREQUENT = 1 << 17
 HIDDEN = 16
-#: Whole training documents that the network's weights are fitted on, at most: those with the least hash of doc_id.
-SAMPLE = 1024
-#: Streams side by side, words of a window, updates, learning rate.
-LANES, WINDOW, UPDATES, RATE = 64, 24, 700, 0.01
+#: Tokens of a shard, about; rounds after which the weights are averaged.
+SHARD, ROUNDS = 1 << 20, 4
+#: Streams side by side, words of a window, learning rate, updates over which a round's rate rises.
+LANES, WINDOW, RATE, RISE = 64, 24, 0.01, 20
+#: Tokens that training reads at least: a smaller corpus is read several times.
+LEAST = 700 * LANES * WINDOW
+#: Weights of a row when they are averaged.
+PART = 4096
 #: Words of a window in scoring, documents side by side.
 STRIDE, TOGETHER = 24, 4096
 END_KEY = 0
@@ -87,6 +93,18 @@ def _log_softmax(x):
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _toward(x, goal):
+    """Summed loss of softmax(x) at the goals and the gradient of the mean loss, in place of x."""
+    at = (np.arange(len(goal)), goal)
+    x -= x.max(1, keepdims=True)
+    chosen = x[at]
+    np.exp(x, out=x)
+    total = x.sum(1)
+    x /= (total * len(goal))[:, None]
+    x[at] -= 1 / len(goal)
+    return (np.log(total) - chosen).sum(), x
+
+
 def _class_runs(target):
     order = np.argsort(target // PER_CLASS, kind="stable")
     stops = np.searchsorted(target[order] // PER_CLASS, np.arange(CLASSES + 1))
@@ -130,24 +148,19 @@ def gradients(p, ids: np.ndarray, target: np.ndarray, h: np.ndarray):
     flat, goal = np.concatenate(states[1:]), target.ravel()
     n = len(goal)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    logp = _log_softmax(flat @ p["c"] + p["cb"])
-    loss = -logp[np.arange(n), goal // PER_CLASS].sum()
-    d = np.exp(logp)
-    d[np.arange(n), goal // PER_CLASS] -= 1
-    d /= n
+    loss, d = _toward(flat @ p["c"] + p["cb"], goal // PER_CLASS)
     g["c"], g["cb"] = flat.T @ d, d.sum(0)
     dh = d @ p["c"].T
     order, stops = _class_runs(goal)
-    for k in np.flatnonzero(np.diff(stops)):
-        rows = order[stops[k] : stops[k + 1]]
-        logp = _log_softmax(flat[rows] @ p["w"][k] + p["wb"][k])
-        at = (np.arange(len(rows)), goal[rows] % PER_CLASS)
-        loss -= logp[at].sum()
-        d = np.exp(logp)
-        d[at] -= 1
-        d /= n
-        g["w"][k], g["wb"][k] = flat[rows].T @ d, d.sum(0)
-        dh[rows] += d @ p["w"][k].T
+    near, d = flat[order], np.empty((n, PER_CLASS), flat.dtype)
+    runs = [(k, slice(stops[k], stops[k + 1])) for k in np.flatnonzero(np.diff(stops))]
+    for k, run in runs:
+        d[run] = near[run] @ p["w"][k] + p["wb"][k]
+    more, d = _toward(d, goal[order] % PER_CLASS)
+    loss += more
+    for k, run in runs:
+        g["w"][k], g["wb"][k] = near[run].T @ d[run], d[run].sum(0)
+        dh[order[run]] += d[run] @ p["w"][k].T
     dh = dh.reshape(steps, lanes, HIDDEN)
     back, dgates = np.zeros_like(h), np.empty_like(gates)
     for t in range(steps - 1, -1, -1):
@@ -166,25 +179,30 @@ def gradients(p, ids: np.ndarray, target: np.ndarray, h: np.ndarray):
     return loss / n, g, h
 
 
-def fit(texts: list[np.ndarray], frequency: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights from documents given as token ids (each ends with END), by Adam over windows of LANES streams."""
-    p = initial(frequency)
-    stream = np.concatenate([np.array([END]), *texts])
-    length = max(1, (len(stream) - 1) // LANES)
-    lanes = min(LANES, max(1, (len(stream) - 1) // length))
-    ids = stream[: lanes * length].reshape(lanes, length).T
-    goal = stream[1 : lanes * length + 1].reshape(lanes, length).T
+def lanes_of(stream: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) by time and lane: the targets start to stop of a stream that begins with END and is repeated without end.
+
+    All of them are there; the last lane is filled up with the first ones.
+    """
+    n, count = len(stream) - 1, stop - start
+    lanes = max(1, min(LANES, count // WINDOW))
+    length = -(-count // lanes)
+    at = np.resize(np.arange(start, stop) % n, lanes * length).reshape(lanes, length).T
+    return stream[at], stream[at + 1]
+
+
+def fit(p: dict[str, np.ndarray], ids: np.ndarray, goal: np.ndarray, done: float = 0.0, share: float = 1.0) -> dict[str, np.ndarray]:
+    """Weights after all windows of the lanes, by Adam from p; done and share: of the whole training, before and in this call."""
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    at, h = 0, np.zeros((lanes, HIDDEN), np.float32)
-    for update in range(1, UPDATES + 1):
-        if at >= length:
-            at, h = 0, np.zeros_like(h)
+    p, h = dict(p), np.zeros((ids.shape[1], HIDDEN), np.float32)
+    updates = -(-len(ids) // WINDOW)
+    for update in range(1, updates + 1):
+        at = (update - 1) * WINDOW
         _, g, h = gradients(p, ids[at : at + WINDOW], goal[at : at + WINDOW], h)
-        at += WINDOW
         norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
-        rate = RATE * min(1.0, 2 * (1 - update / (UPDATES + 1)))
+        rate = RATE * min(1.0, 2 * (1 - done - share * update / (updates + 1))) * min(1.0, update / RISE)
         for k, v in g.items():
-            v = v * min(1.0, 1.0 / (norm + 1e-9))
+            v = v * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             first[k] = 0.9 * first[k] + 0.1 * v
             second[k] = 0.99 * second[k] + 0.01 * v * v
             p[k] = (p[k] - rate * (first[k] / (1 - 0.9**update)) / (np.sqrt(second[k] / (1 - 0.99**update)) + 1e-8)).astype(np.float32)
@@ -250,26 +268,104 @@ def _with_ends(values: np.ndarray, first: np.ndarray, end) -> tuple[np.ndarray,
     return np.insert(values, first[1:], end), first[1:] + np.arange(1, len(first))
 
 
-def _fit_task(model: Model):
+def _frequency(model: Model) -> np.ndarray:
+    """How often each token of the network occurs."""
+    out = np.zeros(VOCABULARY)
+    inside = model.tokens != OTHER
+    out[model.tokens[inside]] = model.counts[inside]
+    out[END] = model.end
+    out[OTHER] = max(1, model.total - out.sum())
+    return out
+
+
+def _encode(shared):
+    """(place, ids) of each document: its hash and its tokens, two bytes each, the end behind them."""
+
     def run(batches):
-        texts = []
         for batch in batches:
-            for a, b in slices(batch.column("text")):
-                words, first = _words(batch.column("text").slice(a, b - a))
-                ids, ends = _with_ends(model.ids(words), first, END)
-                texts += np.split(ids, ends[:-1])
-        frequency = np.zeros(VOCABULARY)
-        inside = model.tokens != OTHER
-        frequency[model.tokens[inside]] = model.counts[inside]
-        frequency[END] = model.end
-        frequency[OTHER] = max(1, model.total - frequency.sum())
-        blob = io.BytesIO()
-        np.savez(blob, **(fit(texts, frequency) if texts else initial(frequency)))
-        yield pa.RecordBatch.from_arrays([pa.array([blob.getvalue()], pa.binary())], names=["weights"])
+            place, col = batch.column("place"), batch.column("text")
+            for a, b in slices(col):
+                words, first = _words(col.slice(a, b - a))
+                ids, ends = _with_ends(shared.value.ids(words).astype(np.uint16), first, END)
+                rows = pa.array([x.tobytes() for x in np.split(ids, ends[:-1])], pa.binary())
+                yield pa.RecordBatch.from_arrays([place.slice(a, b - a), rows], names=["place", "ids"])
 
     return run
 
 
+def _shards(batches):
+    """(shard, its stream from END on) from rows sorted by shard."""
+    shard, texts = None, []
+    for batch in batches:
+        for k, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist()):
+            if k != shard and texts:
+                yield shard, np.concatenate([np.array([END], np.uint16), *texts]).astype(np.int64)
+                texts = []
+            shard = k
+            texts.append(np.frombuffer(ids, np.uint16))
+    if texts:
+        yield shard, np.concatenate([np.array([END], np.uint16), *texts]).astype(np.int64)
+
+
+def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([p[k].ravel() for k in sorted(p)])
+
+
+def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        at += like[k].size
+    return out
+
+
+def _fit_task(shared, turn: int, passes: int):
+    """Rows (part, shard, n, weights): a round's weights of each shard in parts, and the tokens read for them."""
+
+    def run(batches):
+        for shard, stream in _shards(batches):
+            walk = (len(stream) - 1) * passes
+            start, stop = walk * turn // ROUNDS, walk * (turn + 1) // ROUNDS
+            if start == stop:
+                continue
+            flat = _flat(fit(shared.value, *lanes_of(stream, start, stop), turn / ROUNDS, 1 / ROUNDS))
+            parts = [flat[a : a + PART].tobytes() for a in range(0, len(flat), PART)]
+            columns = [pa.array(range(len(parts)), pa.int32()), pa.array([shard] * len(parts), pa.int64()), pa.array([stop - start] * len(parts), pa.int64()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "shard", "n", "weights"])
+
+    return run
+
+
+def _mean(batches):
+    """(part, weights): the mean by tokens of each part."""
+    sums: dict[int, list] = {}
+    for batch in batches:
+        for part, n, weights in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "weights"))):
+            held = sums.setdefault(part, [0, 0.0])
+            held[0] += n
+            held[1] = held[1] + n * np.frombuffer(weights, np.float32).astype(np.float64)
+    if sums:
+        columns = [pa.array(list(sums), pa.int32()), pa.array([(w / n).tobytes() for n, w in sums.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "weights"])
+
+
+def _fit_all(docs: DataFrame, model: Model) -> dict[str, np.ndarray]:
+    """The network's weights, trained on all of docs(doc_id, text)."""
+    weights, sc = initial(_frequency(model)), docs.sparkSession.sparkContext
+    if not model.total:
+        return weights
+    shards, passes = -(-model.total // SHARD), -(-LEAST // model.total)
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("place"), "text").mapInArrow(_encode(sc.broadcast(model)), "place long, ids binary")
+    rows = rows.withColumn("shard", F.pmod("place", F.lit(shards)))
+    rows = cut(rows.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "place"))
+    for turn in range(ROUNDS):
+        fitted = rows.mapInArrow(_fit_task(sc.broadcast(weights), turn, passes), "part int, shard long, n long, weights binary")
+        mean = fitted.repartition("part").sortWithinPartitions("part", "shard").mapInArrow(_mean, "part int, weights binary")
+        parts = sorted((r.part, r.weights) for r in mean.collect())  # as many bytes as the network's weights in any case
+        weights = _shaped(np.concatenate([np.frombuffer(w, np.float64) for _, w in parts]), weights)
+    return weights
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the whole table of counts (word, c), from docs(doc_id, text)."""
     counts = cut(word_counts(docs))
@@ -280,10 +376,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     tokens[: VOCABULARY - 2] = np.arange(2, VOCABULARY)[: len(words)]
     order = np.argsort(words)
     model = Model(words[order], c[order], tokens[order], total, distinct, end)
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
-    blobs = [r.weights for r in sample.select("text").mapInArrow(_fit_task(model), "weights binary").collect()]  # one row of fixed size
-    model.weights = dict(np.load(io.BytesIO(max(blobs, key=len)))) if blobs else initial(np.zeros(VOCABULARY))
+    model.weights = _fit_all(docs, model)
     return model, counts
 
 

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import math
+import random
+import types
 import zlib
 
 import numpy as np
@@ -214,6 +216,33 @@ def test_language_model(docs, none):
     assert lm.score(docs, empty, no_counts).where("n_known = 0 and score < 0").count() == docs.count()
 
 
+def test_all_training_documents_shape_the_network(spark):
+    """Words that only alternate in documents behind the first 1,024 by hash: order is learnt there or nowhere."""
+    r = random.Random(4)
+    ranked = [x.id for x in spark.range(1600).orderBy(F.xxhash64("id"), "id").collect()]
+    mixed = lambda: " ".join(r.sample(["p", "q"] * 20, 40))
+    rows = [(k, mixed() if place < 1024 else " ".join(["p q"] * 20)) for place, k in enumerate(ranked)]
+    model, counts = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    pair = spark.createDataFrame([(0, " ".join(["p q"] * 20)), (1, " ".join(["p p q q"] * 10))], "doc_id long, text string")
+    score = {x.doc_id: x.score for x in lm.score(pair, model, counts).collect()}
+    assert score[0] > score[1] + 3
+
+
+def test_training_reads_every_token():
+    n = 5 * lm.LANES * lm.WINDOW + 37
+    stream = np.arange(n + 1)
+    for start, stop in ((0, n), (0, 7), (n - 50, n + 50), (11, 11 + lm.LANES)):
+        ids, goal = lm.lanes_of(stream, start, stop)
+        assert set(goal.ravel()) == {i % n + 1 for i in range(start, stop)} and (goal == ids + 1).all()
+    shared = types.SimpleNamespace(value=lm.initial(np.ones(lm.VOCABULARY)))
+    rows = pa.RecordBatch.from_pydict({"shard": [0, 0, 1], "ids": [np.full(k, 5, np.uint16).tobytes() for k in (3000, 41, 7)]})
+    read = collections.Counter()
+    for turn in range(lm.ROUNDS):
+        for out in lm._fit_task(shared, turn, 1)(iter([rows])):
+            read[out.column("shard")[0].as_py()] += out.column("n")[0].as_py()
+    assert read == {0: 3041, 1: 7}
+
+
 def test_network_gradients_and_proper_probability():
     rng = np.random.default_rng(2)
     p = {k: v.astype(np.float64) for k, v in lm.initial(rng.random(lm.VOCABULARY)).items()}
