@@ -20,6 +20,8 @@ from cairn.llm.common import WORD, cut
 
 #: At the end of a partial block, documents among which those that come nearest to the target are chosen.
 CHOICE = 24
+#: Words of a document that may come from a block behind the partial one, at most.
+SMALL = 1 << 12
 #: Words of a block and of an output shard, about; blocks that share a partial sum.
 BLOCK_WORDS, SHARD_WORDS, RUN = 1 << 16, 1 << 20, 4096
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2.0, 11
@@ -81,14 +83,34 @@ def _nearest(words: list[int], budget: int) -> list[int]:
     return chosen
 
 
+def _fitting(words: list[int], order: list[int], budget: float) -> tuple[list[int], list[int]]:
+    """(places whose words come near the budget, places skipped): in order those that fit, the last ones and the least skipped chosen anew."""
+    left, taken, skipped = budget, [], []
+    for k in order:
+        (taken if words[k] <= left else skipped).append(k)
+        left -= words[k] if words[k] <= left else 0
+    skipped.sort(key=lambda k: (words[k], k))
+    inside = max(0, len(taken) - CHOICE // 2)
+    sure, free = taken[:inside], taken[inside:] + skipped[: CHOICE // 2]
+    chosen = _nearest([words[k] for k in free], round(budget - sum(words[k] for k in sure)))
+    return sure + [free[k] for k in chosen], skipped
+
+
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
-    """Items of a source's last, partial block: in permuted order while they fit, the last few so that the sum comes nearest."""
+    """Items of a source's last, partial block, and behind it of the next ones: in permuted order those that fit.
+
+    Where that leaves a gap, a long document that was skipped may come first, and the others fill what it leaves.
+    """
     budget = float(group["budget"].iloc[0])
-    group = group.sort_values(["order", *ITEM[:1], "text_hash"])
-    inside = max(0, int((group["words"].cumsum() <= budget).sum()) - CHOICE // 2)
-    sure, free = group.iloc[:inside], group.iloc[inside : inside + CHOICE]
-    left = round(budget - sure["words"].sum())
-    return pd.concat([sure, free.iloc[sorted(_nearest(free["words"].tolist(), left))]])[["number", *ITEM]]
+    group = group.sort_values(["block", "order", *ITEM[:1], "text_hash"])
+    words = group["words"].tolist()
+    miss = lambda places: abs(budget - sum(words[k] for k in places))
+    best, skipped = _fitting(words, list(range(len(words))), budget)
+    for long in skipped[:CHOICE]:
+        if miss(best) < 1 or words[long] > budget:
+            break
+        best = min(best, _fitting(words, [long, *(k for k in range(len(words)) if k != long)], budget)[0], key=miss)
+    return group.iloc[sorted(best)][["number", *ITEM]]
 
 
 def _shard_draws(quotas: np.ndarray, shards: int, seed: int):
@@ -140,8 +162,14 @@ def mix(items: DataFrame, goal: DataFrame, seed: int = SEED) -> DataFrame:
     block = block.withColumn("begin", F.col("ahead") + F.col("within"))
     block = cut(block.withColumn("budget", F.col("extra") - F.col("begin")).select("number", "block", "blocks", "passes", "words", "budget"))
 
-    part = block.where("budget > 0 and words > budget").select("number", "block", "budget")
-    partial = own.join(part, ["number", "block"]).select("number", *ITEM, "order", "words", "budget")
+    # a long document of the partial block may leave room for more than the others there: behind them come
+    # the small documents of the next blocks, about twice the budget's words of them
+    small = own.where(F.col("words") <= SMALL).groupBy("number").agg(F.sum("words").alias("small"))
+    part = block.where("budget > 0 and words > budget").join(small, "number", "left")
+    more = F.coalesce(F.ceil(2 * F.col("budget") * F.col("blocks") / F.col("small")), F.lit(0))
+    part = part.select("number", F.col("block").alias("at"), "budget", F.least(F.col("block") + more, F.col("blocks") - 1).alias("end"))
+    partial = own.join(F.broadcast(part), "number").where("block = at or block > at and block <= end and words <= " + str(SMALL))
+    partial = partial.select("number", *ITEM, "block", "order", "words", "budget")
     types = {f.name: f.dataType.simpleString() for f in own.schema.fields}
     filled = partial.groupBy("number").applyInPandas(_fill, ", ".join(f"{c} {types[c]}" for c in ["number", *ITEM]))
 
