@@ -33,24 +33,51 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable checkpoint in the cluster's shared folder.
-
-    The folder is spark.checkpoint.dir; only where that is unset (tests, a laptop) a local one is made.
-    """
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir; a local one is made only for a local master without that setting."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a reliable checkpoint in the cluster's shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Intermediate tables in the cluster's shared folder, compressed; each is deleted when all that reads it has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.home, self.paths = spark, f"{folder(spark)}/tables-{uuid.uuid4().hex}", {}
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """The same rows from a written table."""
+        path = f"{self.home}/{len(self.paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[out] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            delete(self.spark, self.paths[t])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of any file system that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(df: DataFrame) -> DataFrame:
-    """The same rows from a table written to the cluster's shared folder; smaller than a checkpoint of them, and cleared with the folder."""
-    cut(df.sparkSession.range(0))  # sets the folder where none is set
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows from a table written to the cluster's shared folder; it stays with the folder."""
+    return Scratch(df.sparkSession).table(df)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

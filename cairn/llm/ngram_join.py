@@ -1,14 +1,20 @@
 """Jaccard self-join on word n-grams by vertical partitioning.
 
-All n-grams have one global order, rarest first by a hashed count over the whole corpus. The
-order is cut into fragments; a document's set falls into one segment per fragment. Overlaps
-of a candidate pair are counted fragment by fragment and summed for the pair, which decides
-the link exactly.
+All n-grams have one global order, rarest first by exact counts of sets and then by fingerprint.
+The order is cut at pivots into contiguous fragments of about equal numbers of postings, and a
+set falls into one segment for each fragment. Candidates meet inside a fragment; their overlap
+is counted fragment by fragment and summed for the pair, which decides the link exactly.
+
+Most sets cannot link to another one, and no row is made for them: a set of n n-grams of which
+u are in no other set overlaps any other in n - u at most. That is tested first on a part of
+the fingerprints (a set with too many unshared n-grams in a part has too many altogether), then
+on all n-grams of the sets left.
 
 Candidates come from the rare end of the order: if two sets meet the threshold, their first
 common n-gram leaves enough behind it in both. That bound on its two places, the bound on the
-sizes and a 256-bit parity signature (its differing bits never exceed the symmetric
-difference) are join conditions, so a pair that fails them is no row.
+sizes and a 256-bit parity signature (its differing bits never exceed the symmetric difference)
+are conditions of the join, so a pair that fails them is no row. A posting list is split by set
+size, in steps of the largest ratio that the threshold allows.
 
 Groups of near copies are linked through hubs: in every posting list the member with the
 rarest place is compared with the others; afterwards only pairs that are in one list and still
@@ -18,126 +24,151 @@ one are not listed. Identical sets are one node throughout.
 
 from __future__ import annotations
 
-import zlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import U, cut, map_text, mix, slices, text_bytes, windows_of, word_hashes, word_spans
+from cairn.llm.common import Scratch, U, ints, map_text, mix, text_bytes, windows_of, word_hashes, word_spans
 from cairn.llm.components import connected_components
 
-#: Cells of the hashed count that orders n-grams: 2**20 counts, 4 MB, whatever the corpus.
-SKETCH_BITS = 20
+#: Fragments of the order.
 FRAGMENTS = 8
 #: Rows of two numbers that may be broadcast (8 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Partners of a set that one task compares with its segments; a set with more has copies of its segments.
+PARTNERS = 256
+SIGNATURE = ("p0", "p1", "p2", "p3")
 
 
-def shingle_sets(text: pa.Array, size: int) -> list[np.ndarray]:
-    """Each text's distinct n-gram fingerprints, ascending; shorter texts are one n-gram, empty ones none."""
+def shingle_sets(text: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all texts' n-gram fingerprints, each text's distinct and ascending; where each text's begin and the end)."""
     raw, offsets = text_bytes(text)
     starts, ends, first = word_spans(raw, offsets)
     words = word_hashes(raw, starts, ends, lower=True)
     grams = windows_of(words, size)
     out = []
-    for a, b in zip(first[:-1], first[1:]):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= size:
-            out.append(np.unique(grams[a : b - size + 1]))
-        elif b > a:
-            out.append(windows_of(words[a:b], int(b - a)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+            own = np.sort(grams[a : b - size + 1])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
+        else:  # a shorter text is one n-gram, an empty one none
+            out.append(windows_of(words[a:b], b - a) if b > a else grams[:0])
+    stops = np.cumsum([0, *map(len, out)])
+    return np.concatenate([np.zeros(0, np.uint64), *out]), stops
+
+
+def _identities(grams: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of each set, 0 of an empty one; members' second fingerprints)."""
+    second = mix(grams + U(0x632BE59BD9B4E019))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(second)])[stops]
+    n = np.diff(stops)
+    return np.where(n > 0, mix(np.diff(sums) + n.astype(np.uint64)), U(0)).view(np.int64), second
+
+
+def _profiles(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, n, sid (the set's identity) and its parity words p0-p3."""
+
+    def profile(batch):
+        grams, stops = shingle_sets(batch.column("text"), size)
+        sid, second = _identities(grams, stops)
+        n = np.diff(stops)
+        bit = np.repeat(np.arange(len(n)), n) * 256 + (second & U(255)).astype(np.int64)
+        odd = np.bincount(bit, minlength=len(n) * 256).astype(np.uint8) & 1
+        parity = np.packbits(odd).view(np.int64).reshape(len(n), 4)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sid), *(pa.array(parity[:, k]) for k in range(4))], names=["doc_id", "n", "sid", *SIGNATURE])
+
+    return map_text(docs, profile, "doc_id long, n long, sid long, p0 long, p1 long, p2 long, p3 long")
 
 
-def gram_counts(docs: DataFrame, size: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Counts of documents over all texts by the first `bits` bits of an n-gram's fingerprint.
+def _postings(texts: DataFrame, size: int, least: int, part: int = 1) -> DataFrame:
+    """(gram, sid) of the texts' sets of at least `least` n-grams; only fingerprints divisible by `part`, a power of two.
 
-    Every task sums its own cells; pieces of the cell range are then summed in tasks that stream
-    them, and the driver gets 2**bits counts, whatever the corpus.
+    texts is (text) or (text, sid): with sid, a text that has another identity is left out.
     """
-    cells, piece = 1 << bits, 1 << 14
+    named = "sid" in texts.columns
 
-    def count(batches):
-        total = np.zeros(cells, np.int64)
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in slices(texts):
-                found = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(texts.slice(a, b - a), size)])
-                total += np.bincount((found >> U(64 - bits)).astype(np.int64), minlength=cells)
-        yield from packed({k: total[k : k + piece] for k in range(0, cells, piece)})
+    def postings(batch):
+        grams, stops = shingle_sets(batch.column("text"), size)
+        sid = _identities(grams, stops)[0]
+        n = np.diff(stops)
+        wanted = n >= least
+        if named:  # a doc_id may have rows with other texts
+            wanted &= sid == ints(batch.column("sid"))
+        keep = np.repeat(wanted, n) & ((grams & U(part - 1)) == 0)
+        yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(np.repeat(sid, n)[keep])], names=["gram", "sid"])
 
-    def packed(sums):
-        for k, v in sums.items():
-            if v.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(v.tobytes(), 1)], pa.binary())], names=["cell", "counts"])
+    return map_text(texts, postings, "gram long, sid long")
 
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, v in zip(batch.column("cell").to_pylist(), batch.column("counts").to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(zlib.decompress(v), np.int64)
-        yield from packed(sums)
 
-    rows = docs.select("text").mapInArrow(count, "cell long, counts binary")
-    rows = rows.repartition(min(16, cells // piece), "cell").mapInArrow(add, "cell long, counts binary")
-    out = np.zeros(cells, np.int64)
-    for cell, counts in rows.collect():  # 2**bits counts at most
-        out[cell : cell + piece] = np.frombuffer(zlib.decompress(counts), np.int64)
-    return np.minimum(out, (1 << 20) - 1)
+def _of(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sid, text) of the sets(sid, d): each from the rows of its least document."""
+    wanted = sets.select("sid", F.col("d").alias("doc_id"))
+    return texts.join(F.broadcast(wanted) if sets.count() <= BROADCAST_ROWS else wanted, "doc_id").select("sid", "text")
 
 
-def _ordered(grams: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """One set in the global order, rarest first, and its counts; equal counts go by fingerprint."""
-    c = counts[(grams >> U(64 - bits)).astype(np.int64)]
-    at = np.argsort(c, kind="stable")
-    return grams[at], c[at]
+def _can_link(n: Column, unshared: Column, percent: int) -> Column:
+    return 100 * (n - unshared) >= percent * n
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.astype(np.uint64).view(np.int64), pa.int64())
+def linkable_sets(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The nodes(sid, n, ..) that may link to another set, by their unshared n-grams in a part of the fingerprints."""
+    least = _least(percent)
+    # a part of twice the share that a set may lose: an unrelated set has far more unshared n-grams there
+    part = 1 << max(0, int(math.floor(math.log2(100 / (2 * (100 - percent)))))) if percent < 100 else 1
+    seen = _postings(docs.where("doc_id is not null").select("text"), size, least, part)
+    seen = seen.groupBy("gram").agg(F.min("sid").alias("sid"), F.max("sid").alias("other")).where("sid = other")
+    own = seen.groupBy("sid").agg(F.count("*").alias("unshared"))
+    nodes = nodes.where(F.col("n") >= least).join(own, "sid", "left")
+    return nodes.where(_can_link(F.col("n"), F.coalesce("unshared", F.lit(0)), percent)).drop("unshared")
 
 
-def _identity(grams: np.ndarray) -> tuple[int, np.ndarray]:
-    """(fingerprint of a set, its members' second fingerprints)."""
-    m = mix(grams + U(0x632BE59BD9B4E019))
-    return int(mix(m.sum(keepdims=True) + U(len(grams))).view(np.int64)[0]), m
+def _least(percent: int) -> int:
+    """The fewest n-grams of a set that may link to a different set: it lies in one that has one more."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 62
 
 
-def _profiles(docs: DataFrame, size: int, percent: int, counts, bits: int) -> DataFrame:
-    """doc_id, n, sid (the set's identity), parity words p0-p3 and the prefix of the ordered set."""
+def _place(gram: Column, k: Column) -> Column:
+    """Where an n-gram of count k stands in the global order, as a number: never falling along it."""
+    return k + (gram / F.lit(2.0**64) + 0.5)
 
-    def profile(batch):
-        sets = shingle_sets(batch.column("text"), size)
-        sid, par, prefix = np.zeros(len(sets), np.int64), np.zeros((len(sets), 4), np.uint64), []
-        for i, s in enumerate(sets):
-            if not len(s):
-                prefix.append([])
-                continue
-            sid[i], m = _identity(s)
-            odd = np.flatnonzero(np.bincount((m & U(255)).astype(np.int64), minlength=256) & 1)
-            for k in range(4):
-                own = odd[(odd >> 6) == k] & 63
-                par[i, k] = np.bitwise_or.reduce(U(1) << own.astype(np.uint64)) if len(own) else U(0)
-            keep = len(s) - -(-percent * len(s) // 100) + 1
-            prefix.append(_ordered(s, counts.value, bits)[0][:keep].view(np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid), *(_signed(par[:, k]) for k in range(4)), pa.array(prefix, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "sid", "p0", "p1", "p2", "p3", "prefix"],
-        )
-
-    return map_text(docs.select("doc_id", "text"), profile, "doc_id long, n long, sid long, p0 long, p1 long, p2 long, p3 long, prefix array<long>")
 
+def pivots_of(postings: DataFrame, fragments: int = FRAGMENTS) -> list[float]:
+    """Places that cut the order of postings(gram, k) into fragments of about equal numbers of postings."""
+    at = [i / fragments for i in range(1, fragments)]
+    return postings.select(_place(F.col("gram"), F.col("k")).alias("place")).approxQuantile("place", at, 0.005)
 
-def _differing(x: str, y: str) -> Column:
-    """Differing bits of two parity signatures."""
-    return sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(4)), F.lit(0))
 
+def segments_of(docs: DataFrame, sets: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(sid, fragment, n, head, grams): the sets(sid, d, n) cut at the pivots; only n-grams of two sets or more are in segments.
+
+    head is the number of n-grams before the segment in the global order; the unshared ones come
+    first. grams is in that order. Sets with too many unshared n-grams are left out.
+    """
+    rows = scratch.table(_postings(_of(docs, sets), size, 1))
+    counts = rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    shared = scratch.table(rows.join(counts, "gram"))
+    scratch.drop(rows)
+    pivots = pivots_of(shared)
+    place = _place(F.col("gram"), F.col("k"))
+    fragment = sum(((place > p).cast("int") for p in pivots), F.lit(0))
+    # a set's members are no more than its text's words; repeated rows of a text give each of them again
+    parts = shared.groupBy("sid", fragment.alias("fragment")).agg(F.sort_array(F.collect_set(F.struct("k", "gram"))).alias("grams"))
+    parts = scratch.table(parts.select("sid", "fragment", F.col("grams.gram").alias("grams")))
+    scratch.drop(shared)
+    sizes = parts.groupBy("sid").agg(F.sum(F.size("grams")).alias("held"), F.map_from_entries(F.collect_list(F.struct("fragment", F.size("grams").alias("k")))).alias("sizes"))
+    sizes = sizes.join(sets.select("sid", "n"), "sid").where(_can_link(F.col("n"), F.col("n") - F.col("held"), percent))
+    before = sum((F.when(F.col("fragment") > f, F.coalesce(F.col("sizes")[f], F.lit(0))).otherwise(0) for f in range(FRAGMENTS)), F.lit(0))
+    out = scratch.table(parts.join(sizes, "sid").select("sid", "fragment", "n", (F.col("n") - F.col("held") + before).alias("head"), "grams"))
+    scratch.drop(parts)
+    return out
 
-def _ends(x: str, y: str) -> list[Column]:
-    return [F.col(f"{x}.sid").alias("u"), F.col(f"{y}.sid").alias("v"), F.col(f"{x}.d").alias("du"), F.col(f"{y}.d").alias("dv")]
+
+def _differing(x: str, y: str) -> Column:
+    """Differing bits of two parity signatures."""
+    return sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in SIGNATURE), F.lit(0))
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -152,52 +183,74 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     )
 
 
-def _segments(docs: DataFrame, wanted: DataFrame, size: int, counts, bits: int) -> DataFrame:
-    """(sid, fragment, n, grams): the sets named by wanted(sid, doc_id), cut at the fragments' pivots."""
-    known = counts.value[counts.value > 0]
-    pivots = np.quantile(known, np.linspace(0, 1, FRAGMENTS + 1)[1:-1]) if len(known) else np.zeros(FRAGMENTS - 1)
-
-    def segments(batch):
-        ids, rows = batch.column("sid").to_pylist(), []
-        for i, s in enumerate(shingle_sets(batch.column("text"), size)):
-            if _identity(s)[0] != ids[i]:
-                continue
-            s, c = _ordered(s, counts.value, bits)
-            # equal counts are spread by fingerprint, so that a common count does not fill one fragment
-            part = (np.searchsorted(pivots, c) + (s & U(FRAGMENTS - 1)).astype(np.int64)) % FRAGMENTS
-            rows += [(ids[i], f, len(s), s[part == f].view(np.int64)) for f in range(FRAGMENTS)]
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["sid", "fragment", "n", "grams"])
-
-    wanted = cut(wanted.distinct())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
-    # a doc_id may have rows with other texts, so the set's identity is compared
-    return cut(map_text(texts.select("sid", "text"), segments, "sid long, fragment int, n long, grams array<long>"))
-
-
-def _links(pairs: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
+def _lists(segments: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Posting lists (gram, step) of the prefixes, with each member's place `at`, size n and signature.
+
+    Sets whose sizes the threshold allows together are at most one step apart; each set is in the
+    lists of its own step and of the one below.
+    """
+    keep = F.col("n") - F.ceil(percent * F.col("n") / 100 - F.lit(1e-9)) + 1  # places of the prefix
+    rows = segments.where(F.col("head") < keep).withColumn("grams", F.slice("grams", F.lit(1), (keep - F.col("head")).cast("int")))
+    rows = rows.select("sid", "head", F.posexplode("grams").alias("i", "gram")).select("sid", "gram", (F.col("head") + F.col("i")).alias("at"))
+    step = F.floor(F.log("n") / (math.log(100 / percent) + 1e-6))
+    rows = rows.join(sets.select("sid", "n", *SIGNATURE), "sid").withColumn("step", F.explode(F.array(step, step - 1)))
+    shared = rows.groupBy("gram", "step").agg(F.count("*").alias("members")).where("members > 1").drop("members")
+    return rows.join(shared, ["gram", "step"])
+
+
+def _links(pairs: DataFrame, segments: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (u, v) whose sets meet the threshold: overlaps counted by fragment and summed."""
-    pairs = cut(pairs.select("u", "v"))
-    # few pairs go to the segments; otherwise both are shuffled
-    side = F.broadcast if pairs.count() <= BROADCAST_ROWS else lambda rows: rows
-    x = seg.join(side(pairs.withColumnRenamed("u", "sid")), "sid").select(F.col("sid").alias("u"), "v", "fragment", F.col("n").alias("nu"), F.col("grams").alias("gu"))
-    y = seg.join(side(pairs.select(F.col("v").alias("sid")).distinct()), "sid", "left_semi").select(F.col("sid").alias("v"), "fragment", F.col("n").alias("nv"), F.col("grams").alias("gv"))
-    partial = x.join(y, ["v", "fragment"]).select("u", "v", "fragment", "nu", "nv", F.size(F.array_intersect("gu", "gv")).alias("overlap"))
-    # repeated rows of a document give its segments repeatedly
-    total = partial.dropDuplicates(["u", "v", "fragment"]).groupBy("u", "v", "nu", "nv").agg(F.sum("overlap").alias("o"))
-    return cut(total.where(100 * F.col("o") >= percent * (F.col("nu") + F.col("nv") - F.col("o"))).select("u", "v"))
+    pairs = scratch.table(pairs.select("u", "v"))
+    few = pairs.count() <= BROADCAST_ROWS
+    side = F.broadcast if few else lambda rows: rows
+    copies = pairs.groupBy("v").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("copies"))
+    dealt = pairs.join(side(copies), "v").withColumn("copy", F.pmod(F.hash("u"), F.col("copies"))).drop("copies")
+    x = segments.join(side(dealt.withColumnRenamed("u", "sid")), "sid").select(F.col("sid").alias("u"), "v", "copy", "fragment", F.col("n").alias("nu"), F.col("grams").alias("gu"))
+    y = segments.join(side(copies.withColumnRenamed("v", "sid")), "sid")
+    y = y.select(F.col("sid").alias("v"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "fragment", F.col("n").alias("nv"), F.col("grams").alias("gv"))
+    partial = x.join(y, ["v", "copy", "fragment"]).select("u", "v", "nu", "nv", F.size(F.array_intersect("gu", "gv")).alias("overlap"))
+    total = partial.groupBy("u", "v", "nu", "nv").agg(F.sum("overlap").alias("o"))
+    out = scratch.table(total.where(100 * F.col("o") >= percent * (F.col("nu") + F.col("nv") - F.col("o"))).select("u", "v"))
+    scratch.drop(pairs)
+    return out
+
+
+def _prepared(docs: DataFrame, size: int, percent: int, scratch: Scratch):
+    """(profiles by row, nodes by set, segments and posting lists of the sets that may link)."""
+    profiles = scratch.table(_profiles(docs, size))
+    alike = profiles.where("n > 0 and doc_id is not null").groupBy("sid")
+    nodes = scratch.table(alike.agg(F.min("doc_id").alias("d"), *(F.first(c).alias(c) for c in ("n", *SIGNATURE))))
+    sets = scratch.table(linkable_sets(docs, nodes, size, percent))
+    segments = segments_of(docs, sets, size, percent, scratch)
+    lists = scratch.table(_lists(segments, sets, percent))
+    return profiles, nodes, segments, lists
 
 
-def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The pairs whose ends are not known to be in one component."""
-    a = components.select(F.col("id").alias("u"), F.col("component").alias("a"))
-    b = components.select(F.col("id").alias("v"), F.col("component").alias("b"))
-    return pairs.join(a, "u", "left").join(b, "v", "left").where("a is null or b is null or a <> b").drop("a", "b")
+def _columns(df: DataFrame) -> DataFrame:
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def ngram_components(docs: DataFrame, size: int, percent: int, bits: int = SKETCH_BITS) -> DataFrame:
+def _pairs(lists: DataFrame, percent: int, apart: Column | None = None) -> DataFrame:
+    """The distinct candidate pairs (u, v), u < v, of all posting lists."""
+    x, y = lists.alias("x"), lists.alias("y")
+    meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.sid") < F.col("y.sid")) & _may_link("x", "y", percent)
+    meet = meet & apart if apart is not None else meet
+    return x.join(y, meet).select(F.col("x.sid").alias("u"), F.col("y.sid").alias("v")).distinct()
+
+
+def ngram_links(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(all links (u, v) between different sets, u < v; members (doc_id, sid, n) of the sets): the whole join.
+
+    Documents of one set are linked with each other and with all documents of a linked set. The
+    edge cases are those of ngram_components. Its work is that of all pairs of near copies.
+    """
+    docs = _columns(docs)
+    scratch = Scratch(docs.sparkSession)
+    profiles, _, segments, lists = _prepared(docs, size, percent, scratch)
+    return _links(_pairs(lists, percent), segments, percent, scratch), profiles.where("n > 0 and doc_id is not null").select("doc_id", "sid", "n")
+
+
+def ngram_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs(doc_id, text).
 
     Two documents link when 100 * intersection >= percent * union of their sets of `size`-word
@@ -207,47 +260,39 @@ def ngram_components(docs: DataFrame, size: int, percent: int, bits: int = SKETC
     its row, with component_id null, and links nothing. Repeated rows give repeated rows. Other
     columns are ignored; an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = docs.sparkSession.sparkContext.broadcast(gram_counts(docs, size, bits).astype(np.int32))
-    profiles = cut(_profiles(docs, size, percent, counts, bits))
-    live = profiles.where("n > 0 and doc_id is not null")
-    nodes = cut(live.groupBy("sid").agg(F.min("doc_id").alias("d"), *(F.first(c).alias(c) for c in ("n", "p0", "p1", "p2", "p3", "prefix"))))
-    # most n-grams are in one set: what a pair needs is joined to the postings that others share
-    placed = nodes.select("sid", F.posexplode("prefix").alias("at", "gram"))
-    nodes = nodes.drop("prefix")
-    shared = placed.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    posting = cut(placed.join(shared, "gram").join(nodes, "sid"))
-    heads = posting.groupBy("gram").agg(F.min(F.struct("at", "n", "sid", "d", "p0", "p1", "p2", "p3")).alias("hub"))
-    posting = posting.join(heads, "gram")
+    docs = _columns(docs)
+    scratch = Scratch(docs.sparkSession)
+    profiles, nodes, segments, lists = _prepared(docs, size, percent, scratch)
 
     # first the likeliest hub of every set, then the other hubs of sets still apart, then all pairs still apart
-    hubs = posting.select(F.struct("sid", "d", "n", "at", "p0", "p1", "p2", "p3").alias("x"), F.col("hub").alias("y")).where("x.sid <> y.sid")
-    hubs = hubs.where(_may_link("x", "y", percent)).select(*_ends("x", "y"), _differing("x", "y").alias("differ")).distinct()
-    hubs = cut(hubs)
-    seg = _segments(docs, hubs.select(F.col("u").alias("sid"), F.col("du").alias("doc_id")).union(hubs.select("v", "dv")), size, counts, bits)
+    heads = lists.groupBy("gram", "step").agg(F.min(F.struct("at", "n", "sid", *SIGNATURE)).alias("y"))
+    hubs = lists.select("gram", "step", F.struct("sid", "n", "at", *SIGNATURE).alias("x")).join(heads, ["gram", "step"])
+    hubs = hubs.where((F.col("x.sid") != F.col("y.sid")) & _may_link("x", "y", percent))
+    hubs = scratch.table(hubs.select(F.col("x.sid").alias("u"), F.col("y.sid").alias("v"), _differing("x", "y").alias("differ")).distinct())
     likely = hubs.groupBy("u").agg(F.min(F.struct("differ", "v")).alias("h")).select("u", "h.v")
-    links = _links(likely, seg, percent)
-    others = _apart(hubs.select("u", "v").join(likely, ["u", "v"], "left_anti"), connected_components(links))
-    links = links.union(_links(others, seg, percent))
-
-    known = connected_components(links)
-    member = posting.drop("hub").join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    open_lists = member.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("gram")
-    member = cut(member.join(open_lists, "gram"))
-    x, y = member.alias("x"), member.alias("y")
-    rest = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", percent))
-    rest = rest.select(*_ends("x", "y")).distinct()
-    rest = cut(rest.join(hubs.select("u", "v").union(hubs.select("v", "u")), ["u", "v"], "left_anti"))
-    new = rest.select(F.col("u").alias("sid"), F.col("du").alias("doc_id")).union(rest.select("v", "dv")).join(seg.select("sid").distinct(), "sid", "left_anti")
-    seg = seg.union(_segments(docs, new, size, counts, bits))
-    links = links.union(_links(rest, seg, percent))
-
-    joined = connected_components(links)
-    named = nodes.select("sid", "d").join(joined.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    links = _links(likely, segments, percent, scratch)
+    root = links.groupBy("u").agg(F.min("v").alias("root"))
+    root = root.join(root.select(F.col("u").alias("root"), F.col("root").alias("next")), "root", "left").select("u", F.coalesce("next", "root").alias("root"))
+    others = hubs.select("u", "v").join(likely, ["u", "v"], "left_anti").join(root, "u", "left").join(root.select(F.col("u").alias("v"), F.col("root").alias("other")), "v", "left")
+    others = others.where(F.coalesce("root", "u") != F.coalesce("other", "v"))
+    links = links.union(_links(others, segments, percent, scratch))
+
+    known = connected_components(links, scratch)
+    member = lists.join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    apart = member.groupBy("gram", "step").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").drop("a", "b")
+    member = scratch.table(member.join(apart, ["gram", "step"]))
+    rest = _pairs(member, percent, F.col("x.component") != F.col("y.component"))
+    rest = scratch.table(rest.join(hubs.select("u", "v").union(hubs.select("v", "u")), ["u", "v"], "left_anti"))
+    scratch.drop(member, hubs, lists)
+    if not rest.isEmpty():
+        known = connected_components(links.union(_links(rest, segments, percent, scratch)), scratch)
+    named = nodes.select("sid", "d").join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("d").alias("component_id"))
     named = named.join(least, "component").select("sid", "component_id")
-    return (
+    out = (
         profiles.select("doc_id", F.col("n").alias("n_shingles"), "sid")
         .join(named, "sid", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))).alias("component_id"))
     )
+    scratch.drop(segments)
+    return out
