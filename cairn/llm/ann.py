@@ -5,7 +5,11 @@ each projection's values are a sorted array. A query opens a window around its o
 each array and widens all windows together, level by level (virtual rehashing: a wider window
 is a coarser hash centred at the query, without new tables). A vector that falls into the
 windows of enough projections has exceeded the collision threshold and is verified with its
-exact inner product; widening stops once a set share of the block has been verified.
+exact inner product. A query stops at its first level at which enough vectors are over the
+threshold: their number grows as the square root of all vectors', so the share verified falls.
+
+Counting takes one comparison of two bytes a projection, whatever the dimension. Every vector
+meets every query of the stated query set, in blocks.
 
 Largest inner product becomes nearest point by one more coordinate, sqrt(M^2 - |x|^2), with M
 the largest norm, and queries scaled to norm M.
@@ -20,12 +24,12 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import cut
 
-#: Projections, collisions that a candidate needs, share of a block to verify before widening stops.
-PROJECTIONS, COLLISIONS, VERIFIED = 80, 52, 0.25
-#: Rows of a block to verify at least.
-LEAST = 400
-#: Half-width of the first window in standard deviations of a projection, growth of a level.
-FIRST, GROWTH = 0.55, 1.05
+#: Projections (under 256), collisions that a candidate needs.
+PROJECTIONS, COLLISIONS = 192, 154
+#: Vectors verified for a query: this times the square root of their number, in each block its share of them and k more.
+VERIFIED = 7.0
+#: Half-width of the window of level 0 in standard deviations of a projection, growth of a level, the narrowest level.
+FIRST, GROWTH, NARROWEST = 1.0, 1.05, -120
 #: Vectors (under 2**16) and queries of a block, about.
 ROWS, QUERIES = 8192, 1024
 
@@ -41,25 +45,45 @@ def _lifted(x: np.ndarray, most: float, query: bool) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(most * most - norm * norm, 0))])
 
 
-def _candidates(ranks: np.ndarray, line: np.ndarray, shift: np.ndarray, at: np.ndarray, want: int, width: float, level: int):
-    """(rows of the block with enough collisions around one query, the level that gave them).
+class Block:
+    """The sorted arrays of a block's projections, one behind the other, each moved by a shift.
 
-    line has the sorted arrays of all projections one behind the other, each moved by its shift,
-    so that one search finds a window's ends in all of them; ranks has each row's place in each
-    array. A window is a run of places, and a row collides where its place is in the run.
+    So one search finds a window's ends in all of them; ranks has each row's place in each array.
+    A window is a run of places, and a row collides where its place is in the run.
     """
-    n = ranks.shape[1]
-    first = np.arange(len(shift)) * n
-    floor = -shift[1] / 2
-    while True:
-        reach = width * GROWTH**level
-        low = np.searchsorted(line, np.maximum(at - reach, floor) + shift) - first
-        high = np.searchsorted(line, np.minimum(at + reach, -floor) + shift, "right") - first
-        inside = (ranks - low.astype(np.uint16)[:, None]) < (high - low).astype(np.uint16)[:, None]
-        found = np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= COLLISIONS)
-        if len(found) >= want or (high - low).min() == n:
+
+    def __init__(self, own: np.ndarray):
+        m, self.n = own.shape
+        order = np.argsort(own, axis=1, kind="stable")
+        self.ranks = np.empty(order.shape, np.uint16)
+        np.put_along_axis(self.ranks, order, np.arange(self.n, dtype=np.uint16)[None, :], 1)
+        reach = 3 * float(np.abs(own).max()) + 1.0
+        self.half, self.shift = reach, 2 * reach * np.arange(m)
+        self.line = (np.take_along_axis(own, order, 1) + self.shift[:, None]).ravel()
+        self.first = np.arange(m) * self.n
+
+    def over(self, at: np.ndarray, reach: float) -> tuple[np.ndarray, bool]:
+        """(rows over the collision threshold in windows of this reach around a query's values, whether the windows hold all rows)."""
+        low = np.searchsorted(self.line, np.maximum(at - reach, -self.half) + self.shift) - self.first
+        high = np.searchsorted(self.line, np.minimum(at + reach, self.half) + self.shift, "right") - self.first
+        inside = (self.ranks - low.astype(np.uint16)[:, None]) < (high - low).astype(np.uint16)[:, None]
+        return np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8) >= COLLISIONS), bool((high - low).min() == self.n)
+
+    def candidates(self, at: np.ndarray, want: int, width: float, guess: int) -> tuple[np.ndarray, int]:
+        """(rows over the threshold, level) at the first level that has `want` of them; the guess only tells where to begin."""
+        level = max(guess, NARROWEST)
+        found, whole = self.over(at, width * GROWTH**level)
+        if len(found) >= want or whole:
+            while level > NARROWEST:
+                fewer, whole = self.over(at, width * GROWTH ** (level - 1))
+                if len(fewer) < want and not whole:
+                    break
+                found, level = fewer, level - 1
             return found, level
-        level += 1
+        while len(found) < want and not whole:
+            level += 1
+            found, whole = self.over(at, width * GROWTH**level)
+        return found, level
 
 
 def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -67,35 +91,25 @@ def _matrix(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return rows.column("vec_id").to_numpy(), flat.reshape(rows.num_rows, -1)
 
 
-def _search(k: int, most: float):
+def _search(k: int, most: float, total: int):
     def run(key, vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out = ([], [], [])
         if vectors.num_rows and queries.num_rows:
             ids, x = _matrix(vectors)
             names, q = _matrix(queries)
             project = _projections(x.shape[1])
-            own = (_lifted(x, most, False) @ project).T
-            order = np.argsort(own, axis=1, kind="stable")
-            values = np.take_along_axis(own, order, 1)
-            ranks = np.empty(order.shape, np.uint16)
-            np.put_along_axis(ranks, order, np.arange(len(ids), dtype=np.uint16)[None, :], 1)
-            want = min(len(ids), k + 1 + max(LEAST, int(VERIFIED * len(ids))))
-            reach = 3 * float(np.abs(values).max()) + 1.0
-            shift = 2 * reach * np.arange(PROJECTIONS)
-            line = (values + shift[:, None]).ravel()
+            own = np.ascontiguousarray((_lifted(x, most, False) @ project).T)
+            block = Block(own)
+            want = min(len(ids), k + 1 + int(np.ceil(VERIFIED * len(ids) / np.sqrt(total))))
             places = _lifted(q, most, True) @ project
-            width, level = FIRST * float(own.std()) or 1e-9, 0
+            # the same width in all blocks: a projection's spread is known from the norm
+            width, level = FIRST * most, 0
             for i, name in enumerate(names.tolist()):
-                found, ended = _candidates(ranks, line, shift, places[i], want, width, level)
-                level = max(0, ended - 2)  # where the next query begins; too wide only verifies more
+                found, level = block.candidates(places[i], want, width, level)
                 found = found[ids[found] != name]
-                score = x[found] @ q[i]
-                if len(score) > 4 * k:  # rows that can be among the k, ties included
-                    near = score >= np.partition(score, -2 * k)[-2 * k]
-                    if len(np.unique(ids[found[near]])) >= k:
-                        found, score = found[near], score[near]
+                score = (x[found] * q[i]).sum(1)
                 best = np.lexsort((ids[found], -score))
-                _, kept = np.unique(ids[found][best], return_index=True)  # a repeated row counts once
+                _, kept = np.unique(ids[found][best], return_index=True)  # of rows with one vec_id the best
                 best = best[np.sort(kept)[:k]]
                 out[0].extend([name] * len(best))
                 out[1].extend(ids[found][best].tolist())
@@ -122,18 +136,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         norm = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)
         return df.where(whole).withColumn("norm", norm).where("norm > 0").withColumn("dim", F.size("embedding"))
 
-    rows = clean(vectors)
+    # repeated rows count once; the rest of the work is the same for any order of the rows
+    rows = cut(clean(vectors).groupBy("vec_id", "embedding", "norm", "dim").agg(F.lit(1).alias("one")).drop("one"))
     size = rows.agg(F.count("*").alias("n"), F.max("norm").alias("m")).first()
     asked = clean(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
     asked = cut(asked)
     blocks, asks = max(1, -(-size.n // ROWS)), max(1, -(-asked.count() // QUERIES))
-    # the place in the table is in the hash so that repeated ids and vectors spread
-    own = rows.withColumn("b", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(blocks)))
+    own = rows.withColumn("b", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)))
     own = own.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(asks - 1)))).select("dim", "b", "q", "vec_id", "embedding")
     asked = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(asks)).cast("int"))
     asked = asked.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select("dim", "b", "q", "vec_id", "embedding")
     key = ["dim", "b", "q"]
-    found = own.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(k, float(size.m or 1.0) ** 0.5), "query_id long, vec_id long, score double")
+    found = own.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(k, float(size.m or 1.0) ** 0.5, max(1, size.n)), "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")) if blocks > 1 else found
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

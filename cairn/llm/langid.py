@@ -1,9 +1,13 @@
 """Language identification with language-bitmask n-gram filters.
 
-The learned state is a bit-sliced Bloom filter: a fixed number of cells, each a mask with one
-bit a language. A letter trigram sets its language's bit in a few cells; the AND of those
-cells' masks returns all languages that contain it. A text's hits are counted per language,
-corrected for the false positives that the language's fill of the filter implies, and decide.
+The learned state is a bit-sliced Bloom filter: cells in proportion to the distinct trigrams,
+each a mask with one bit a language. A letter trigram sets its languages' bits in a few cells;
+the AND of those cells' masks returns all languages that contain it.
+
+In a large corpus a stray text gives most languages most trigrams. So the filter has further
+slices of masks, in which a language has the bit of a trigram only if its rate there is a given
+share of the trigram's highest rate. A text's hits are counted per language and slice, corrected
+for the false positives that the slice's fill implies, and their mean over the slices decides.
 """
 
 from __future__ import annotations
@@ -17,10 +21,13 @@ from pyspark.sql import functions as F
 
 from cairn.llm.common import U, cut, map_text, mix
 
-#: Cells of the filter (a power of two), cells of a trigram, languages of a mask word.
-CELLS, HASHES, WORD_BITS = 1 << 20, 3, 63
-#: A language contains a trigram that it has at this share of the highest rate in any language, or more.
-LEAST_RATE = 0.25
+#: Cells for each distinct trigram, cells of a trigram, languages of a mask word.
+ROOM, HASHES, WORD_BITS = 8, 3, 63
+#: Cells at least and at most (384 MB of masks). Beyond the most the filter fills up: it still returns every language
+#: that contains a trigram, and the correction takes the false positives into account.
+FEWEST, MOST = 1 << 12, 1 << 24
+#: Shares of a trigram's highest rate in any language that a language needs in each slice; all that contain it are in the first.
+SLICES = (0.0, 1 / 16, 1 / 4)
 
 
 @lru_cache(1)
@@ -62,16 +69,16 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(n, pa.int64())], names=["lang", "key", "n"])
 
 
-def _cells(keys: np.ndarray) -> np.ndarray:
-    """The cells of each key, one row for each hash."""
+def _cells(keys: np.ndarray, cells: int) -> np.ndarray:
+    """The cells (of a power of two) of each key, one row for each hash."""
     h = keys.astype(np.uint64)
-    return np.stack([(mix(h + U(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))) & U(CELLS - 1)).astype(np.int64) for i in range(HASHES)])
+    return np.stack([(mix(h + U(0x9E3779B97F4A7C15 * (i + 1) % (1 << 64))) & U(cells - 1)).astype(np.int64) for i in range(HASHES)])
 
 
 def learn(docs: DataFrame) -> dict:
     """languages (sorted) and the filter's cells, from docs(text, lang); rows with a null lang or text are left out.
 
-    The driver gets CELLS masks at most and one row a language.
+    cells is (cell, slice, word of the mask). The driver gets MOST rows of masks at most and one row a language.
     """
     known = docs.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
     counts = known.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
@@ -79,26 +86,39 @@ def learn(docs: DataFrame) -> dict:
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     names = sorted(r.lang for r in totals.select("lang").collect())
     if not names:
-        return {"languages": [], "cells": np.zeros((CELLS, 1), np.int64)}
+        return {"languages": [], "cells": np.zeros((FEWEST, len(SLICES), 1), np.int64)}
     number = docs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(names)], "lang string, number int")
     rate = counts.join(F.broadcast(totals), "lang").join(F.broadcast(number), "lang").withColumn("rate", F.col("n") / F.col("total"))
     most = rate.groupBy("key").agg(F.max("rate").alias("most"))
-    held = rate.join(most, "key").where(F.col("rate") >= LEAST_RATE * F.col("most"))
-    held = held.select("key", F.floor(F.col("number") / WORD_BITS).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(number % {WORD_BITS} as int))").alias("mask"))
-    held = held.groupBy("key", "word").agg(F.bit_or("mask").alias("mask"))
+    bit = F.expr(f"shiftleft(1L, cast(number % {WORD_BITS} as int))")
+    masks = [F.bit_or(F.when(F.col("rate") >= s * F.col("most"), bit).otherwise(0)).alias(f"m{i}") for i, s in enumerate(SLICES)]
+    held = cut(rate.join(most, "key").groupBy("key", F.floor(F.col("number") / WORD_BITS).cast("int").alias("word")).agg(*masks))
+    distinct = most.count()
+    size = min(MOST, max(FEWEST, 1 << (ROOM * distinct - 1).bit_length()))
+    columns = [f"m{i}" for i in range(len(SLICES))]
 
     def place(batches):
         for batch in batches:
-            cells = _cells(batch.column("key").to_numpy())
-            word, mask = batch.column("word").to_numpy(), batch.column("mask").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.tile(word, HASHES)), pa.array(np.tile(mask, HASHES))], names=["cell", "word", "mask"])
-
-    rows = held.mapInArrow(place, "cell long, word int, mask long").groupBy("cell", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    cells = np.zeros((CELLS, (len(names) - 1) // WORD_BITS + 1), np.int64)
-    cells[rows.column("cell").to_numpy(), rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+            cells = _cells(batch.column("key").to_numpy(), size)
+            rest = [pa.array(np.tile(batch.column(c).to_numpy(), HASHES)) for c in ("word", *columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), *rest], names=["cell", "word", *columns])
+
+    rows = held.mapInArrow(place, "cell long, word int, " + ", ".join(f"{c} long" for c in columns)).groupBy("cell", "word").agg(*(F.bit_or(c).alias(c) for c in columns)).toArrow()
+    cells = np.zeros((size, len(SLICES), (len(names) - 1) // WORD_BITS + 1), np.int64)
+    for i, c in enumerate(columns):
+        cells[rows.column("cell").to_numpy(), i, rows.column("word").to_numpy()] = rows.column(c).to_numpy()
     return {"languages": names, "cells": cells}
 
 
+def containing(keys: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The masks (key, slice, word) of the languages that the filter says contain each key: the AND of its cells."""
+    rows = _cells(keys, len(cells))
+    out = cells[rows[0]]
+    for row in rows[1:]:
+        out &= cells[row]
+    return out
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs (any columns) with lang_pred and score (0 to 1: the corrected share of trigrams that the language contains).
 
@@ -107,24 +127,23 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     """
     docs = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
     cells, names = model["cells"], model["languages"]
-    fill = [float((cells[:, i // WORD_BITS] >> (i % WORD_BITS) & 1).mean()) for i in range(len(names))]
-    shared = docs.sparkSession.sparkContext.broadcast(model | {"fill": np.minimum(fill, 0.999)})
+    # (language, slice): share of cells that hold the bit
+    fill = np.array([(cells[:, :, i // WORD_BITS] >> (i % WORD_BITS) & 1).mean(0) for i in range(len(names))]).reshape(len(names), len(SLICES))
+    shared = docs.sparkSession.sparkContext.broadcast(model | {"wrong": np.minimum(fill, 0.999) ** HASHES})
 
     def decide(batch):
-        names, cells = shared.value["languages"], shared.value["cells"]
+        names, wrong = shared.value["languages"], shared.value["wrong"]
         keys, ends = trigrams(batch.column("text"))
         n = np.diff(ends, prepend=0)
         share = np.zeros((len(n), max(1, len(names))))
         kinds, at = np.unique(keys, return_inverse=True)
-        where = _cells(kinds)
+        masks = containing(kinds, shared.value["cells"])
         for i in range(len(names)):
-            word, bit = i // WORD_BITS, i % WORD_BITS
-            hit = np.ones(len(kinds), np.int64)
-            for row in where:
-                hit &= cells[row, word] >> bit & 1
-            hits = np.concatenate([np.zeros(1, np.int64), np.cumsum(hit[at])])[ends]
-            wrong = shared.value["fill"][i] ** HASHES
-            share[:, i] = (np.diff(hits, prepend=0) / np.maximum(n, 1) - wrong) / (1 - wrong)
+            bits = (masks[:, :, i // WORD_BITS] >> (i % WORD_BITS) & 1).astype(np.float64)
+            # of each trigram its corrected hits, the mean of the slices
+            value = ((bits - wrong[i]) / (1 - wrong[i])).mean(1)[at]
+            sums = np.concatenate([np.zeros(1), np.cumsum(value)])[ends]
+            share[:, i] = np.diff(sums, prepend=0) / np.maximum(n, 1)
         best = share.argmax(1)
         sure = (n > 0) & bool(names)
         pred = [names[b] if s else "und" for b, s in zip(best, sure)]

@@ -366,11 +366,27 @@ def _fit_all(docs: DataFrame, model: Model) -> dict[str, np.ndarray]:
     return weights
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """About FREQUENT words of the highest counts, by a histogram of the counts: no task sorts more than these.
+
+    Of the words of the last interval of counts, a range of hashes fills up the number.
+    """
+    step = F.floor(8 * F.log2("c")).cast("int")
+    left, low, share = FREQUENT, 0, 1.0
+    for low, n in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # eight rows a power of two
+        if n > left:
+            share = left / n
+            break
+        left -= n
+    edge = F.xxhash64("word") < min((1 << 63) - 1, int(-(2.0**63) + 2.0**64 * share))
+    return counts.where((step > low) | ((step == low) & edge))
+
+
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model and the whole table of counts (word, c), from docs(doc_id, text)."""
     counts = cut(word_counts(docs))
     total, distinct, end = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("c"), F.lit(1), F.when(F.col("word") == END_KEY, F.col("c"))))).first()
-    top = counts.where(F.col("word") != END_KEY).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()  # FREQUENT rows at most
+    top = _frequent(counts.where(F.col("word") != END_KEY)).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()  # FREQUENT rows at most
     words, c = top.column("word").to_numpy(), top.column("c").to_numpy()
     tokens = np.full(len(words), OTHER)
     tokens[: VOCABULARY - 2] = np.arange(2, VOCABULARY)[: len(words)]

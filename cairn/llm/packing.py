@@ -2,8 +2,14 @@
 
 Documents are cut into pieces of at most `length` tokens and dealt among groups by a hash. A
 group packs its pieces best-fit in decreasing order. Bins that are nearly full are final; the
-emptiest underfull bins of a group go on as items of one piece each, eight groups at a time,
-into further best-fit rounds up a tree. Only sizes travel.
+underfull bins of a group go on as items of one piece each, eight groups at a time, into
+further best-fit rounds up a tree. Only sizes travel.
+
+Two bins fit together only if one of them is at most half full. So in a round with d such bins
+no more than d bins of a group can take one of them, and its emptiest do as well as any others:
+a group hands on its bins that are at most half full and the d emptiest of the others that
+could take the emptiest bin of all. Best fit leaves one bin at most half full in a group, so d
+is at most the number of groups and falls by eight with each round.
 """
 
 from __future__ import annotations
@@ -27,9 +33,6 @@ from cairn.llm.common import cut
 LENGTH = 2048
 #: Pieces that a group should hold, groups that meet in a node of the tree, free tokens of a nearly full bin.
 GROUP_ROWS, FAN_IN, NEARLY = 20_000, 8, 8
-#: Underfull bins that a group hands on at most, the emptiest first; the others are final as they are.
-#: Two bins that are over half full never fit together and a group leaves at most one other, so few are ever of use.
-HANDED_ON = 64
 #: Texts' words whose ids a task remembers.
 REMEMBERED = 500_000
 
@@ -161,9 +164,13 @@ def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     rounds = 0
     moved = None  # (bin, sequence_id, base): where the bins that went on have ended
     while groups > 1:
+        half = bins.where(2 * F.col("used") <= length).agg(F.count("*").alias("d"), F.min("used").alias("least")).first()
+        if not half.d:
+            break  # no two bins fit together
         groups = -(-groups // FAN_IN)
-        order = F.row_number().over(Window.partitionBy("group").orderBy("used", "bin"))
-        handed = bins.where(F.col("used") < length - NEARLY).withColumn("r", order).where(F.col("r") <= HANDED_ON).drop("r")
+        order = F.row_number().over(Window.partitionBy("group", F.col("used") * 2 <= length).orderBy("used", "bin"))
+        handed = bins.where((F.col("used") < length - NEARLY) & (F.col("used") + half.least <= length)).withColumn("r", order)
+        handed = handed.where((2 * F.col("used") <= length) | (F.col("r") <= half.d)).drop("r")
         handed = handed.withColumn("group", F.floor(F.col("group") / FAN_IN).cast("long"))
         rounds += 1  # a round's bins are numbered apart from those of the rounds before
         handed = handed.withColumn("node", F.col("group") + F.lit(rounds << 27))

@@ -44,9 +44,10 @@ def _distinct(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.array([len(np.unique(values[a:b])) for a, b in zip(first[:-1], first[1:])], np.float64)
 
 
-def features(text: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(statistics by text, hashed words of each text)."""
+def features(text: pa.Array, n_chars: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(statistics by text, metadata included; hashed words of each text). A null n_chars counts as 0."""
     raw, offsets = text_bytes(text)
+    told = np.maximum(np.asarray(n_chars.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)), 0)
     n = len(offsets) - 1
     size = np.diff(offsets)
     kinds = np.bincount(np.repeat(np.arange(n), size) * 11 + _CLASS[raw], minlength=n * 11).reshape(n, 11).astype(np.float64)
@@ -72,6 +73,8 @@ def features(text: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
             line_kinds / np.maximum(line_count, 1),
             _distinct(words, first) / some,
             np.array([len(c) for c in cells]) / some,
+            np.log1p(told) / 16,
+            np.minimum(told / chars, 4.0),
         ]
     )
     return stats, cells
@@ -146,6 +149,11 @@ def _train(batches):
     yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["model"])
 
 
+def _told(docs: DataFrame) -> DataFrame:
+    """docs with the metadata column n_chars as a number; null where docs has none."""
+    return docs.withColumn("n_chars", F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long"))
+
+
 def train_quality(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] | None:
     """A model of labels.quality, fitted on at most SAMPLE labelled rows; None without any.
 
@@ -154,17 +162,21 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] |
     features; the driver gets the parameters, whose number is fixed.
     """
     wanted = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
+    # a range of hashes with about twice as many rows first, so that what is sorted for the limit does not grow
+    whole = wanted.count()
+    if whole > 2 * SAMPLE:
+        wanted = wanted.where(F.xxhash64("doc_id") < int(-(2.0**63) + 2.0**64 * 2 * SAMPLE / whole))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
     def extract(batch):
-        stats, cells = features(batch.column("text"))
+        stats, cells = features(batch.column("text"), batch.column("n_chars"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("quality"), pa.array(list(stats), pa.list_(pa.float64())), pa.array(cells, pa.list_(pa.int64()))],
             names=["doc_id", "quality", "stats", "cells"],
         )
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # SAMPLE rows of two numbers
-    rows = map_text(sample.select("doc_id", "quality", "text"), extract, "doc_id long, quality double, stats array<double>, cells array<long>")
+    sample = _told(docs).select("doc_id", "text", "n_chars").join(F.broadcast(wanted), "doc_id")  # SAMPLE rows of two numbers
+    rows = map_text(sample.select("doc_id", "quality", "text", "n_chars"), extract, "doc_id long, quality double, stats array<double>, cells array<long>")
     rows = rows.repartition(1).sortWithinPartitions("doc_id", "cells", "stats")
     model = rows.mapInArrow(_train, "model binary").collect()
     blob = max((r.model for r in model), key=len, default=b"")
@@ -174,18 +186,20 @@ def train_quality(docs: DataFrame, labels: DataFrame) -> dict[str, np.ndarray] |
 def score_quality(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     """The rows of docs (any columns) with score: 0 to 1, higher where quality 1 is likelier.
 
-    Null and empty texts are scored as empty; without a model every score is 0.5. A column named
+    The metadata is n_chars, where docs has it. Null and empty texts are scored as empty; without a model every score is 0.5. A column named
     score is replaced.
     """
-    docs = docs.drop("score").withColumn("text", F.col("text").cast("string"))
+    bare = "n_chars" not in docs.columns
+    docs = _told(docs.drop("score")).withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batch):
-        stats, cells = features(batch.column("text"))
+        stats, cells = features(batch.column("text"), batch.column("n_chars"))
         p = predict(shared.value, stats, cells) if shared.value else np.full(len(cells), 0.5)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return map_text(docs, score, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double"]))
+    out = map_text(docs, score, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "score double"]))
+    return out.drop("n_chars") if bare else out
 
 
 def fold(column: str, parts: int):

@@ -32,7 +32,7 @@ def op4_collision_neighbours(spark, sf_dir):
 
 
 def op5_quality_factorisation(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     model = train_quality(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
     out = score_quality(docs, model)
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -25,6 +25,7 @@ from cairn.llm.common import U, cut, map_text, mix, table, text_bytes, windows_o
 WINDOW, ANCHOR, STEPS = 50, 20, (20, 20, 10)
 #: Suffixes that a subtree's task should hold (about 60 bytes each).
 GROUP_ROWS = 100_000
+TASK_ROWS = 1_000_000
 #: Numbers that a broadcast side may hold (16 MB); with more, texts are shuffled to the join.
 BROADCAST_NUMBERS = 2_000_000
 
@@ -108,20 +109,24 @@ def _repeated_windows(suffixes: DataFrame) -> DataFrame:
     rest, ready, n = suffixes.withColumn("prefix", F.xxhash64("c0")), [], suffixes.count()
     for k in range(1, depth + 1):
         large = cut(rest.groupBy("prefix").agg(F.count("*").alias("k"), F.min("d").alias("least")).where(F.col("k") > GROUP_ROWS))
-        if large.isEmpty():
+        many = large.count()
+        if not many:
             ready.append(rest)
             rest = None
             break
         # a prefix with over GROUP_ROWS suffixes: at most one for every GROUP_ROWS rows
-        ready.append(rest.join(F.broadcast(large), "prefix", "left_anti"))
-        rest = rest.join(F.broadcast(large), "prefix")
+        large = F.broadcast(large) if 3 * many <= BROADCAST_NUMBERS else large
+        ready.append(rest.join(large, "prefix", "left_anti"))
+        rest = rest.join(large, "prefix")
         if k < depth:
             rest = rest.drop("k", "least").withColumn("prefix", F.xxhash64("prefix", f"c{k}"))
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * n // GROUP_ROWS))
     trees = ready[0]
     for more in ready[1:]:
         trees = trees.unionByName(more)
-    trees = trees.withColumn("part", F.pmod("prefix", F.lit(groups))).groupBy("part").applyInArrow(_subtrees, "sid long, s int")
+    # a task gets about TASK_ROWS suffixes, whatever their number
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+    trees = trees.withColumn("part", F.pmod("prefix", F.lit(groups))).repartition(tasks, "part").groupBy("part").applyInArrow(_subtrees, "sid long, s int")
     if rest is not None:  # oversized at full depth: one node each
         trees = trees.union(rest.where("d > least").select("sid", "s"))
     return trees

@@ -1,9 +1,11 @@
 """URL filters by rules and, where no rule fits, by trust propagated over the link graph.
 
-Hosts are nodes; a page's absolute links to other hosts are edges, weighted by their number.
-Trust is a personalised PageRank from trusted hosts along the links; distrust one from blocked
-hosts against them, so a host that links to blocked ones is distrusted. A host is blocked where
-its share of distrust passes a threshold.
+Hosts are nodes. Edges are of two kinds: a page's absolute links to other hosts, weighted by
+their number, and from each host to its parent domain, weighted by the host's pages (whoever
+runs the domain answers for the host's name; a domain of one label is no host). Trust is a
+personalised PageRank from trusted hosts along the edges; distrust one from blocked hosts
+against them, so a host that links to blocked ones, or lies in a blocked domain, is distrusted.
+A host is blocked where its share of distrust passes a threshold.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from cairn.llm.common import cut
 
 #: Host and path, as in the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, STEPS, THRESHOLD = 0.85, 15, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Steps end when the scores change by no more than this part of the seeds' weight altogether; each step lessens the change.
+TOLERANCE = 1e-6
 
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
@@ -43,7 +47,8 @@ def host_scores(hosts: DataFrame, edges: DataFrame) -> DataFrame:
     """(host, trust, distrust) from hosts(host, trusted, blocked: seed weights) and edges(src, dst, weight).
 
     Each kind's seeds are scaled to sum 1; a walk restarts at its seeds, and what has no way on
-    is lost. Without edges or seeds the scores are the scaled seeds.
+    is lost. Steps go on until the scores are settled. Without edges or seeds the scores are the
+    scaled seeds.
     """
     total = hosts.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
     scaled = lambda name, whole: (F.col(name) / whole if whole else F.lit(0.0)).alias(name)
@@ -56,22 +61,34 @@ def host_scores(hosts: DataFrame, edges: DataFrame) -> DataFrame:
     state = nodes.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
     if way.isEmpty():
         return state
-    for _ in range(STEPS):
+    moved = 1.0
+    while moved > TOLERANCE:
         sent = way.join(state, way.src == state.host).select("dst", F.when(F.col("along"), F.col("trust") * F.col("share")).alias("t"), F.when(~F.col("along"), F.col("distrust") * F.col("share")).alias("d"))
         got = sent.groupBy("dst").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        state = nodes.join(got, nodes.host == got.dst, "left").select(
+        after = nodes.join(got, nodes.host == got.dst, "left").select(
             "host",
             ((1 - DAMPING) * F.col("trusted") + DAMPING * F.coalesce("t", F.lit(0.0))).alias("trust"),
             ((1 - DAMPING) * F.col("blocked") + DAMPING * F.coalesce("d", F.lit(0.0))).alias("distrust"),
         )
-        state = cut(state)
+        old, state = state, cut(after)
+        was = old.select("host", F.col("trust").alias("t"), F.col("distrust").alias("d"))
+        moved = state.join(was, "host").agg(F.sum(F.abs(F.col("trust") - F.col("t")) + F.abs(F.col("distrust") - F.col("d")))).first()[0] or 0.0
     return state
 
 
+def domain_edges(hosts: DataFrame) -> DataFrame:
+    """Edges (src, dst, weight) from each of hosts(host, n) to its parent domain, and from that on, down to domains of two labels."""
+    labels = F.split("host", r"\.")
+    name = lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
+    steps = F.transform(F.sequence(F.lit(1), F.size(labels) - 2), lambda i: F.struct(name(i).alias("src"), name(i + 1).alias("dst")))
+    inside = hosts.where((F.size(labels) > 2) & F.element_at(labels, -1).rlike("^[a-z]"))  # no addresses of numbers
+    return inside.select(F.explode(steps).alias("e"), "n").groupBy("e.src", "e.dst").agg(F.sum("n").cast("double").alias("weight"))
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust and distrust of every row of pages(page_id, url, html).
+    """page_id, host, path, rule, verdict, trust, distrust and decided of every row of pages(page_id, url, html).
 
-    The longest fitting rule decides. Without one the host's scores do: block where distrust is
+    decided is `rule`, `scores` (the host has trust or distrust) or `default`. The longest fitting rule decides. Without one the host's scores do: block where distrust is
     over THRESHOLD of both together, else allow; a url without a host is allowed. Seeds are hosts
     that the rules decide: blocked where block rules fit more than half of a host's pages, else
     trusted where an allow rule fits one; a seed weighs as many as its pages. A null url is an
@@ -87,9 +104,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     hosts = count.select("host", F.when((F.col("a") > 0) & (2 * F.col("b") <= F.col("n")), F.col("n")).otherwise(0).cast("double").alias("trusted"), F.when(2 * F.col("b") > F.col("n"), F.col("n")).otherwise(0).cast("double").alias("blocked"))
     links = base.where("host <> ''").select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("link"))
     links = links.select("src", host_of(F.concat(F.lit(":"), F.regexp_replace("link", "^[^/]*:", ""))).alias("dst"))
-    edges = cut(links.where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
+    edges = links.where("dst <> '' and dst <> src").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    edges = cut(edges.union(domain_edges(count)).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     scores = host_scores(hosts, edges)
     share = F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), 9)
     own = base.drop("html").join(scores, "host", "left")
     by_host = F.when(F.col("distrust") > 0, F.when(share > THRESHOLD, "block").otherwise("allow")).otherwise("allow")
-    return own.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "trust", "distrust")
+    decided = F.when(F.col("ruled").isNotNull(), "rule").when((F.col("trust") > 0) | (F.col("distrust") > 0), "scores").otherwise("default")
+    return own.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_host).alias("verdict"), "trust", "distrust", decided.alias("decided"))

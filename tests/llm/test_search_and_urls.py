@@ -62,9 +62,41 @@ def test_scores_against_plain_iteration(spark):
         way = [(a, b, w) if along else (b, a, w) for a, b, w in edges]
         out = {h: sum(w for a, _, w in way if a == h) for h in seed}
         r = dict(seed)
-        for _ in range(url_graph.STEPS):
+        for _ in range(300):
             r = {h: (1 - url_graph.DAMPING) * seed[h] + url_graph.DAMPING * sum(r[a] * w / out[a] for a, b, w in way if b == h) for h in seed}
-        assert all(abs(got[h][k] - r[h]) < 1e-12 for h in r)
+        assert all(abs(got[h][k] - r[h]) < 1e-5 for h in r)
+
+
+def test_domains(spark):
+    """A blocked domain's subdomains are distrusted, however deep; hosts of numbers have no domain."""
+    hosts = [(1, "a.bad.com"), (2, "x.a.bad.com"), (3, "y.x.a.bad.com"), (4, "1.2.3.4"), (5, "z.good.com")]
+    rules = (("block", "a.bad.com", "/spam"),)
+    pages = [(10, "http://a.bad.com/spam/1", "")] + [(i, f"http://{h}/p", "") for i, h in hosts if i > 1]
+    got = {r.page_id: r for r in url_graph.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), rules).collect()}
+    assert {i: got[i].verdict for i in got} == {10: "block", 2: "block", 3: "block", 4: "allow", 5: "allow"}
+    assert {i: got[i].decided for i in got} == {10: "rule", 2: "scores", 3: "scores", 4: "default", 5: "default"}
+    edges = url_graph.domain_edges(spark.createDataFrame([("y.x.a.com", 2), ("x.a.com", 3), ("1.2.3.4", 1), ("com", 1), (None, 1)], "host string, n long")).collect()
+    assert sorted(map(tuple, edges)) == [("x.a.com", "a.com", 5.0), ("y.x.a.com", "x.a.com", 2.0)]
+
+
+def test_rules_of_one_length(spark):
+    """Of fitting rules of one length the later listed one decides; very long html has its links read to the end."""
+    pages = spark.createDataFrame([(1, "http://a.com/x", "<p>" * 400_000 + '<a href="http://b.com/">'), (2, "http://b.com/z", "")], "page_id long, url string, html string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_graph.judge(pages, (("allow", "a.com", "/x"), ("block", "a.com", "/"), ("block", "b.com", "/z"))).collect()}
+    assert got == {1: ("a.com/x", "allow"), 2: ("b.com/z", "block")}
+    got = {r.page_id: (r.rule, r.verdict) for r in url_graph.judge(pages, (("block", "b.com", "/z"),)).collect()}
+    assert got[1] == (None, "block")  # its link stands behind a million characters
+
+
+def test_neighbours_of_permuted_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS", 300)
+    x = np.random.default_rng(4).normal(size=(900, 16)).round(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    answers = []
+    for order in (range(900), np.random.default_rng(5).permutation(900)):
+        table = spark.createDataFrame([rows[i] for i in order], "vec_id long, embedding array<double>").repartition(3)
+        answers.append(sorted(map(tuple, ann.nearest(table, table.where("vec_id % 20 = 0"), 20).collect())))
+    assert answers[0] == answers[1] and len(answers[0]) == 45 * 20
 
 
 def test_host_and_path(spark):
