@@ -79,11 +79,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages on documents, each written as Parquet in the cluster's shared folder and read again by the next."""
-    common.cut(spark.range(0))  # sets the shared folder where none is set
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """All stages on documents, each written as Parquet in the cluster's shared folder, read again by the next and then deleted."""
+    folder = f"{common.folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = common.read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            common.delete(spark, f"{folder}/{k - 1}")  # what has read it is written
     return docs
