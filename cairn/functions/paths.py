@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.schema import TSJS_SUFFIXES, UNSUPPORTED_SUFFIXES, GraphError
+from cairn.session import cut
 
 # POSIX classes and their names in Java's patterns.
 POSIX = {"alnum": "Alnum", "alpha": "Alpha", "blank": "Blank", "cntrl": "Cntrl", "digit": "Digit", "graph": "Graph", "lower": "Lower", "print": "Print", "punct": "Punct", "space": "Space", "upper": "Upper", "xdigit": "XDigit"}
@@ -161,8 +162,23 @@ def coverage(rows: DataFrame, key: str, classes: tuple[str, ...], gap: str = "un
     return counted.withColumn("status", F.when(F.col(gap) > 0, "completed_with_gaps").otherwise("complete"))
 
 
+def numbered(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """rows with `place`, from 0 within each key in the given order.
+
+    The rows are sorted by ranges; a key that spans several ranges counts on from the ranges
+    before, of which there is one row each. No key is gathered in one task.
+    """
+    at = F.shiftright("at", 33).alias("range")  # the partition's number stands above the row's
+    placed = cut(rows.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn("at", F.monotonically_increasing_id()))
+    ranges = placed.groupBy(*key, at).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy(*(key or [F.lit(0)])).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    same = [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key]
+    out = placed.withColumn("range", at).alias("p").join(ranges.alias("r"), [F.col("p.range") == F.col("r.range"), *same])
+    return out.select(*(f"p.{c}" for c in rows.columns), (F.col("p.at") - F.col("r.first") + F.col("r.ahead")).alias("place"))
+
+
 def issue_ordinals(sources: list[DataFrame]) -> DataFrame:
-    """All issues with their ordinal within the kind, by path, import and reason; a kind's issues are one window."""
-    rows = reduce(DataFrame.unionByName, sources)
-    order = Window.partitionBy("kind").orderBy("path", "import_path", "reason")
-    return rows.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int"))
+    """All issues with their ordinal within the kind, by path, import and reason."""
+    rows = numbered(reduce(DataFrame.unionByName, sources), ["kind"], ["path", "import_path", "reason"])
+    return rows.withColumn("ordinal", F.col("place").cast("int")).drop("place")

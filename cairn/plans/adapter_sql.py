@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 
-def adapter(style: str = "G", sparse: bool = True) -> str:
+def adapter(style: str = "G") -> str:
     """CTEs occ, nodes, edges, parents, imports, support and pedges (without WITH)."""
-    keep = "WHERE (l_orderkey * 7 + l_linenumber) % 997 = 0" if sparse else ""
     target = "'package:' || s_nationkey" if style == "G" else "'file:s' || s_suppkey"
     language = "go" if style == "G" else "python"
     return f"""
 occ AS (SELECT l.*, o_custkey, s_suppkey, s_nationkey, 'file:c' || o_custkey AS from_id, 'package:' || s_nationkey AS package, 'file:s' || s_suppkey AS provider, {target} AS target
-  FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey {keep}),
+  FROM lineitem l JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey),
 counts AS (SELECT o_custkey AS ck, CAST(count(*) AS INTEGER) AS n FROM occ GROUP BY 1),
 nodes AS (
   SELECT 'module:' || r_regionkey AS id, 'MODULE' AS kind, r_name AS path, r_name AS name, '{language}' AS language, CAST(NULL AS INTEGER) AS import_count, CAST(NULL AS INTEGER) AS export_count FROM region
@@ -34,5 +33,5 @@ support AS (SELECT DISTINCT o.package AS from_id, t.package AS to_id, i.kind AS
 pedges AS (SELECT DISTINCT 'IMPORTS' AS kind, from_id, to_id FROM support)"""
 
 
-def query(body: str, style: str = "G", sparse: bool = True) -> str:
-    return f"WITH RECURSIVE {adapter(style, sparse).strip()}{', ' + body.strip() if body.lstrip().split(None, 1)[0].lower() != 'select' else ' ' + body.strip()}"
+def query(body: str, style: str = "G") -> str:
+    return f"WITH RECURSIVE {adapter(style).strip()}{', ' + body.strip() if body.lstrip().split(None, 1)[0].lower() != 'select' else ' ' + body.strip()}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import functions as F
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 from cairn.functions import paths
 from cairn.graph import CodeGraph, build, dangling_edges, is_declaration, node_conflicts, role_of, source_hash
 from cairn.operators import client, evidence, hierarchy, queries, traverse, view
-from cairn.operators.projection import project_packages, subset_support
+from cairn.operators.projection import Projection, project_packages, subset_support
 from cairn.plans.adapter_sql import query
-from cairn.session import cut
-from cairn.sources.demo_graph import demo_evidence, demo_graph, tables
+from cairn.session import cut, folder
+from cairn.sources import go_facts, python_facts, tsjs_facts
+from cairn.sources.demo_graph import demo_evidence, demo_graph, part_graph, tables
+from cairn.sources.store import SnapshotStore
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +37,12 @@ def text_of(column, sep="|"):
     return F.array_join(column, sep)
 
 
+def held_graph(spark, sf, style="G"):
+    """The graph, computed once, for operators that read it several times."""
+    g = demo_graph(spark, sf, style)
+    return CodeGraph(cut(g.nodes), cut(g.edges))
+
+
 # ---------------------------------------------------------------- building and validation
 
 
@@ -116,26 +125,26 @@ def duplicate_sources(spark, sf):
 _PROJECTED = "SELECT from_id, to_id, count(*) AS n, string_agg(source_from || '>' || source_to, '|' ORDER BY source_from, source_to) AS sources FROM support GROUP BY 1, 2"
 
 
-def _projected(spark, sf, style, sparse):
+def _projected(spark, sf, style):
     source = F.transform("sources", lambda s: F.concat(s["from_id"], F.lit(">"), s["to_id"]))
-    rows = project_packages(demo_graph(spark, sf, style, sparse)).sources()
+    rows = project_packages(demo_graph(spark, sf, style)).sources()
     return rows.select("from_id", "to_id", F.size("sources").cast("long").alias("n"), text_of(source).alias("sources"))
 
 
 @registered(query(_PROJECTED))
-def project_packages_sparse(spark, sf):
-    return _projected(spark, sf, "G", True)
+def project_packages_go(spark, sf):
+    return _projected(spark, sf, "G")
 
 
 @registered(query(_PROJECTED, style="P"))
 def project_packages_python(spark, sf):
-    return _projected(spark, sf, "P", True)
+    return _projected(spark, sf, "P")
 
 
-@registered(query("SELECT from_id, to_id, count(*) AS n FROM support GROUP BY 1, 2", sparse=False))
+@registered(query("SELECT from_id, to_id, count(*) AS n FROM support GROUP BY 1, 2"))
 def project_packages_full(spark, sf):
-    """The projection of all order lines; support is counted, not listed."""
-    return project_packages(demo_graph(spark, sf, "G", False)).support.groupBy("from_id", "to_id").agg(F.count("*").alias("n"))
+    """The projection with its support counted, not listed."""
+    return project_packages(demo_graph(spark, sf, "G")).support.groupBy("from_id", "to_id").agg(F.count("*").alias("n"))
 
 
 @registered(query("SELECT from_id, to_id, source_from, source_to FROM support WHERE source_from LIKE '%1'"))
@@ -167,6 +176,7 @@ p(src, id, d, path) AS (SELECT src, id, 0, [id] FROM dist WHERE d = 0 UNION ALL
   SELECT p.src, e.to_id, p.d + 1, list_append(p.path, e.to_id) FROM p JOIN pedges e ON e.from_id = p.id JOIN dist ON dist.src = p.src AND dist.id = e.to_id AND dist.d = p.d + 1)
 SELECT src AS source, id, min(d) AS distance, array_to_string(min(path), '>') AS path FROM p GROUP BY 1, 2"""))
 def shortest_path_all_pairs(spark, sf):
+    """Between all packages, of which there are 25 at every scale."""
     edges = cut(project_packages(demo_graph(spark, sf)).graph.edges)
     nodes = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct()
     return traverse.shortest_paths(edges, nodes).select("source", "id", "distance", text_of(F.col("path"), ">").alias("path"))
@@ -174,10 +184,37 @@ def shortest_path_all_pairs(spark, sf):
 
 @registered(query(_REACH.format(f="to_id", t="from_id") + " SELECT src AS target, id, d AS distance FROM dist WHERE d > 0"))
 def impact_all(spark, sf):
+    """What depends on each package, of which there are 25 at every scale."""
     graph = project_packages(demo_graph(spark, sf)).graph
     return traverse.impact_distances(CodeGraph(graph.nodes, cut(graph.edges)), graph.nodes.select("id"))
 
 
+_PARTS = """
+WITH RECURSIVE e AS (SELECT DISTINCT 'file:p' || a.l_partkey AS f, 'file:p' || b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+r(src, id, d) AS (SELECT 'file:p' || p_partkey, 'file:p' || p_partkey, 0 FROM part WHERE p_partkey IN (1, 2, 3) UNION SELECT r.src, {1}, r.d + 1 FROM r JOIN e ON {0} = r.id WHERE r.d < 9),
+dist AS (SELECT src, id, min(d) AS d FROM r GROUP BY 1, 2)"""
+#: The nodes that traversals of the finer graph start from.
+STARTS = ("file:p1", "file:p2", "file:p3")
+
+
+@registered(_PARTS.format("f", "t") + """,
+p(src, id, d, path) AS (SELECT src, id, 0, [id] FROM dist WHERE d = 0 UNION ALL
+  SELECT p.src, t, p.d + 1, list_append(p.path, t) FROM p JOIN e ON f = p.id JOIN dist ON dist.src = p.src AND dist.id = t AND dist.d = p.d + 1)
+SELECT src AS source, id, min(d) AS distance, array_to_string(min(path), '>') AS path FROM p GROUP BY 1, 2""")
+def shortest_paths_from(spark, sf):
+    """Least shortest paths from three parts to all that they reach."""
+    g = part_graph(spark, sf)
+    rows = traverse.shortest_paths(g.edges, g.nodes.where(F.col("id").isin(*STARTS)).select("id"))
+    return rows.select("source", "id", "distance", text_of(F.col("path"), ">").alias("path"))
+
+
+@registered(_PARTS.format("t", "f") + " SELECT src AS target, id, d AS distance FROM dist WHERE d > 0")
+def impact_of_parts(spark, sf):
+    """What depends on three parts, at any distance."""
+    g = part_graph(spark, sf)
+    return traverse.impact_distances(g, g.nodes.where(F.col("id").isin(*STARTS)).select("id"))
+
+
 @registered(query(_REACH.format(f="to_id", t="from_id") + f", inside AS (SELECT id FROM dist WHERE src = '{PACKAGE}' UNION SELECT '{PACKAGE}') SELECT from_id, to_id FROM pedges WHERE from_id IN (SELECT id FROM inside) AND to_id IN (SELECT id FROM inside)"))
 def impact_subgraph(spark, sf):
     return traverse.impact(project_packages(demo_graph(spark, sf)).graph, PACKAGE)[1].edges.select("from_id", "to_id")
@@ -191,14 +228,14 @@ def search_bounded(spark, sf):
     return queries.search(demo_graph(spark, sf).nodes, "Customer#0000001").select("id", "name")
 
 
-@registered(query(f"SELECT id, path FROM nodes WHERE kind <> 'MODULE' AND {_MATCH.format('ia')} ORDER BY path, id LIMIT 20 OFFSET 20"))
+@registered(query(f"SELECT id, path FROM nodes WHERE kind <> 'MODULE' AND {_MATCH.format('er#00000')} ORDER BY path, id LIMIT 20 OFFSET 20"))
 def search_page(spark, sf):
-    return queries.search_page(demo_graph(spark, sf).nodes, " IA ", 20)[0].select("id", "path")
+    return queries.search_page(demo_graph(spark, sf).nodes, " ER#00000 ", 20)[0].select("id", "path")
 
 
-@registered(query(f"SELECT id, name FROM nodes WHERE kind <> 'MODULE' AND {_MATCH.format('ia')} ORDER BY name, id LIMIT 40"))
+@registered(query(f"SELECT id, name FROM nodes WHERE kind <> 'MODULE' AND {_MATCH.format('er#00000')} ORDER BY name, id LIMIT 40"))
 def client_search(spark, sf):
-    return queries.client_search(demo_graph(spark, sf).nodes, "ia").select("id", "name")
+    return queries.client_search(demo_graph(spark, sf).nodes, "er#00000").select("id", "name")
 
 
 @registered(query(f"""
@@ -250,7 +287,7 @@ up AS (SELECT id FROM start UNION SELECT parent FROM up JOIN lparents ON child =
 
 def _loose(spark, sf):
     """Style P with the suppliers' files outside all packages, so that no import is projected."""
-    g = demo_graph(spark, sf, "P")
+    g = held_graph(spark, sf, "P")
     return CodeGraph(g.nodes, g.edges.where("not (kind = 'CONTAINS' and to_id like 'file:s%')"))
 
 
@@ -277,7 +314,7 @@ rel AS (SELECT kind, from_id, to_id FROM edges WHERE kind <> 'CONTAINS' AND (fro
   UNION SELECT source_kind, source_from, source_to FROM support WHERE from_id = '{PACKAGE}' OR to_id = '{PACKAGE}'),
 start AS (SELECT '{PACKAGE}' AS id UNION SELECT file FROM files UNION SELECT from_id FROM rel UNION SELECT to_id FROM rel), {_UP} SELECT id FROM up"""))
 def package_detail_nodes(spark, sf):
-    g = demo_graph(spark, sf)
+    g = held_graph(spark, sf)
     return view.package_detail(g, project_packages(g), PACKAGE).nodes.select("id")
 
 
@@ -376,47 +413,125 @@ def export_use_index(spark, sf):
     return client.export_use_index(demo_graph(spark, sf)).select("importer", "package", text_of(F.col("providers")).alias("providers"))
 
 
-_OPEN = "op AS (SELECT 'package:' || n_nationkey AS id FROM nation WHERE n_nationkey < 5)"
-
-
-def _visible(spark, sf):
-    g = demo_graph(spark, sf)
-    opened = g.nodes.where("kind = 'PACKAGE'").where(F.substring_index("id", ":", -1).cast("int") < 5)
-    return client.visible_graph(g, project_packages(g), opened, g.nodes.where("kind = 'FILE' and id like '%7'"), ("METHOD",))
+# packages 0 to 4 are open, files whose id ends in 7 too, and methods are shown; written from the rules of the map, on tables
+_VISIBLE = """
+op AS (SELECT 'package:' || n_nationkey AS id FROM nation WHERE n_nationkey < 5),
+fs AS (SELECT file AS id, package FROM owner WHERE package IN (SELECT id FROM op)),
+ms AS (SELECT n.id, parent FROM nodes n JOIN parents ON child = n.id JOIN fs ON fs.id = parent WHERE n.kind = 'METHOD' AND parent LIKE '%7'),
+kids AS (SELECT parent, count(*) AS n FROM parents GROUP BY 1),
+vnodes AS (
+  SELECT p.id, CAST(NULL AS VARCHAR) AS parent_id, coalesce((SELECT count(*) FROM owner WHERE package = p.id), 0) AS child_count, p.id IN (SELECT id FROM op) AS expanded FROM nodes p WHERE kind = 'PACKAGE'
+  UNION ALL SELECT fs.id, package, coalesce(n, 0), fs.id LIKE '%7' FROM fs LEFT JOIN kids ON kids.parent = fs.id
+  UNION ALL SELECT id, parent, 0, false FROM ms),
+alone AS (SELECT i.from_id, i.to_id, coalesce(o.package, i.from_id) AS source, coalesce(t.package, i.to_id) AS target FROM imports i LEFT JOIN owner o ON o.file = i.from_id LEFT JOIN owner t ON t.file = i.to_id
+  WHERE (i.from_id, i.to_id) NOT IN (SELECT (source_from, source_to) FROM support)),
+totals AS (SELECT s.from_id, s.to_id, count(*) AS total FROM support s JOIN occ ON occ.from_id = s.source_from AND occ.target = s.source_to GROUP BY 1, 2),
+closed AS (SELECT * FROM support WHERE from_id NOT IN (SELECT id FROM op)),
+opened AS (SELECT s.* FROM support s JOIN fs ON fs.id = s.source_from WHERE from_id IN (SELECT id FROM op)),
+vedges AS (
+  SELECT 'CONTAINS:' || parent_id || '->' || id AS id, 'CONTAINS' AS kind, parent_id AS source, id AS target, CAST(NULL AS VARCHAR) AS projected, CAST(NULL AS BIGINT) AS supporting_count FROM vnodes WHERE parent_id IS NOT NULL
+  UNION ALL SELECT DISTINCT 'IMPORTS:' || c.from_id || '->' || c.to_id, 'IMPORTS', c.from_id, c.to_id, 'IMPORTS:' || c.from_id || '->' || c.to_id, total FROM closed c LEFT JOIN totals t ON t.from_id = c.from_id AND t.to_id = c.to_id
+  UNION ALL SELECT 'IMPORTS:' || source_from || '->' || source_to, 'IMPORTS', source_from, to_id, 'IMPORTS:' || from_id || '->' || to_id, NULL FROM opened
+  UNION ALL SELECT 'IMPORTS:' || from_id || '->' || to_id, 'IMPORTS', CASE WHEN from_id IN (SELECT id FROM vnodes) THEN from_id ELSE source END, target, NULL, NULL FROM alone WHERE source IN (SELECT id FROM vnodes) AND target IN (SELECT id FROM vnodes)),
+facts AS (
+  SELECT 'IMPORTS:' || from_id || '->' || to_id AS edge_id, source_from AS from_id, source_to AS to_id FROM closed
+  UNION SELECT 'IMPORTS:' || source_from || '->' || source_to, source_from, source_to FROM opened
+  UNION SELECT 'IMPORTS:' || from_id || '->' || to_id, from_id, to_id FROM alone)"""
+
+
+def _visible(spark, sf, style="G"):
+    g = held_graph(spark, sf, style)
+    p = project_packages(g)
+    p = Projection(p.graph, cut(p.support))
+    opened = g.nodes.where(F.col("id").isin(*(f"package:{k}" for k in range(5))))
+    totals = view.relationship_totals(p, demo_evidence(spark, sf, style))
+    return g, client.visible_graph(g, p, opened, g.nodes.where("kind = 'FILE' and id like '%7'"), ("METHOD",), totals=totals)
 
 
-@registered(query(f"""{_OPEN}, fs AS (SELECT file AS id FROM owner WHERE package IN (SELECT id FROM op))
-SELECT id, kind FROM nodes WHERE kind = 'PACKAGE' OR id IN (SELECT id FROM fs) UNION SELECT n.id, n.kind FROM nodes n JOIN parents ON child = n.id JOIN fs ON fs.id = parent WHERE n.kind = 'METHOD' AND parent LIKE '%7'"""))
+@registered(query(_VISIBLE + " SELECT id, parent_id, child_count, expanded FROM vnodes"))
 def visible_nodes(spark, sf):
-    return _visible(spark, sf)[0].select("id", "kind")
+    return _visible(spark, sf)[1].nodes.select("id", "parent_id", "child_count", "expanded")
 
 
-@registered(query(f"{_OPEN} SELECT DISTINCT from_id, to_id FROM support WHERE from_id NOT IN (SELECT id FROM op) AND to_id NOT IN (SELECT id FROM op) UNION SELECT source_from, source_to FROM support WHERE from_id IN (SELECT id FROM op) OR to_id IN (SELECT id FROM op)"))
+@registered(query(_VISIBLE + " SELECT * FROM vedges"))
 def visible_edges(spark, sf):
-    return _visible(spark, sf)[1].select("from_id", "to_id")
+    return _visible(spark, sf)[1].edges
+
 
+@registered(query(_VISIBLE + " SELECT edge_id, from_id, to_id FROM facts", style="P"))
+def visible_evidence(spark, sf):
+    """The facts behind the visible edges, in the style whose files import files."""
+    return _visible(spark, sf, "P")[1].evidence.select("edge_id", "from_id", "to_id")
 
-_LINES = "lines AS (SELECT DISTINCT s.from_id, s.to_id, s.source_from AS importer, e.to_id AS provider FROM support s LEFT JOIN (SELECT e.from_id, e.to_id, o.package FROM edges e JOIN owner o ON o.file = e.to_id WHERE e.kind = 'USES_EXPORT') e ON e.from_id = s.source_from AND e.package = s.to_id)"
+
+_LINES = _VISIBLE + """,
+uses AS (SELECT DISTINCT e.from_id AS importer, o.package, e.to_id AS provider FROM edges e JOIN owner o ON o.file = e.to_id WHERE e.kind = 'USES_EXPORT'),
+iedges AS (SELECT v.id AS edge_id, v.target AS dependency, coalesce(n.parent_id, v.source) AS package, coalesce(t.expanded, false) AS supplies, coalesce(c.expanded, false) AS takes
+  FROM vedges v LEFT JOIN vnodes n ON n.id = v.source LEFT JOIN vnodes t ON t.id = v.target LEFT JOIN vnodes c ON c.id = coalesce(n.parent_id, v.source) WHERE v.kind = 'IMPORTS'),
+per AS (SELECT edge_id, count(DISTINCT from_id) AS importers, min(from_id) AS one, bool_or(to_id IN (SELECT file FROM owner)) AS direct FROM facts GROUP BY 1),
+single AS (SELECT * FROM iedges JOIN per USING (edge_id) WHERE NOT supplies AND NOT direct),
+many AS (SELECT i.*, f.from_id AS importer, f.to_id IN (SELECT file FROM owner) AS direct, f.to_id FROM iedges i JOIN per p USING (edge_id) JOIN facts f USING (edge_id) WHERE supplies OR p.direct),
+split AS (
+  SELECT DISTINCT edge_id, dependency, package, supplies, takes, importer, to_id AS provider FROM many WHERE direct
+  UNION SELECT DISTINCT m.edge_id, dependency, m.package, supplies, takes, m.importer, u.provider FROM many m LEFT JOIN uses u ON u.importer = m.importer AND u.package = dependency
+    WHERE NOT direct AND (edge_id, m.importer) NOT IN (SELECT (edge_id, importer) FROM many WHERE direct)),
+lines AS (
+  SELECT edge_id AS id, edge_id, dependency AS source, CAST(NULL AS VARCHAR) AS source_handle, package AS target, CASE WHEN takes AND importers = 1 THEN one END AS target_handle,
+    CASE WHEN importers = 1 THEN one END AS importing_file, CAST(NULL AS VARCHAR) AS supplying_file FROM single
+  UNION ALL SELECT CAST(to_json([edge_id, importer, provider]) AS VARCHAR), edge_id, dependency, CASE WHEN supplies THEN provider END, package, CASE WHEN takes THEN importer END, importer, provider FROM split)"""
+
+
+def _lines(spark, sf, style="G"):
+    g, visible = _visible(spark, sf, style)
+    return visible, client.import_card_lines(visible, g)
 
 
 @registered(query(_LINES + " SELECT * FROM lines"))
 def card_lines(spark, sf):
-    g = demo_graph(spark, sf)
-    return client.import_card_lines(project_packages(g), g)
+    return _lines(spark, sf)[1]
+
 
+@registered(query(_LINES + " SELECT * FROM lines", style="P"))
+def card_lines_python(spark, sf):
+    """Lines where files import files, so that each has its supplier."""
+    return _lines(spark, sf, "P")[1]
 
-@registered(query(_LINES + " SELECT from_id, to_id, importer, provider FROM (SELECT *, row_number() OVER (PARTITION BY from_id, to_id ORDER BY importer DESC, provider DESC) AS r FROM lines) WHERE r > 1"))
+
+@registered(query(_LINES + """ SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY edge_id, source, source_handle, target, target_handle ORDER BY importing_file DESC, supplying_file DESC) AS r FROM lines) WHERE r > 1""", style="P"))
 def occluded_lines(spark, sf):
-    g = demo_graph(spark, sf)
-    return client.occluded(client.import_card_lines(project_packages(g), g), ["from_id", "to_id"], ["importer", "provider"])
+    return client.occluded(_lines(spark, sf, "P")[1]).select("id")
+
+
+# of each open package's files those ending in 1 are above the window, in 3 or 7 inside, in 5 below, and others in no window
+_BUNDLES = _LINES + """,
+win AS (SELECT package AS card, id AS file, CASE WHEN id LIKE '%1' THEN 'window:above' WHEN id LIKE '%5' THEN 'window:below' ELSE id END AS seen FROM fs WHERE right(id, 1) IN ('1', '3', '5', '7')),
+ended AS (SELECT l.*, CASE WHEN source_handle IS NOT NULL THEN coalesce(a.seen, 'window:below') END AS sh, CASE WHEN target_handle IS NOT NULL THEN coalesce(b.seen, 'window:below') END AS th, v.projected, v.supporting_count, v.target AS dep
+  FROM lines l LEFT JOIN win a ON a.card = l.source AND a.file = l.source_handle LEFT JOIN win b ON b.card = l.target AND b.file = l.target_handle JOIN vedges v ON v.id = l.edge_id),
+named AS (SELECT CAST(to_json(['IMPORTS', source, sh, target, th]) AS VARCHAR) AS bundle, * FROM ended),
+bfacts AS (SELECT DISTINCT bundle, f.from_id, f.to_id FROM named n JOIN facts f USING (edge_id) WHERE (importing_file IS NULL OR f.from_id = importing_file) AND (supplying_file IS NULL OR f.to_id IN (supplying_file, dep))),
+loaded AS (SELECT edge_id, count(*) AS n FROM facts GROUP BY 1),
+missing AS (SELECT bundle, sum(rest) AS unloaded FROM (SELECT DISTINCT bundle, projected, supporting_count - n AS rest FROM named JOIN loaded USING (edge_id) WHERE supporting_count > n) GROUP BY 1),
+counted AS (SELECT bundle, count(*) AS facts FROM bfacts GROUP BY 1)"""
+
+
+def _bundles(spark, sf, style):
+    visible, lines = _lines(spark, sf, style)
+    last = F.right("id", F.lit(1))
+    place = F.when(last == "1", "above").when(last == "5", "below").otherwise("visible")
+    shown = visible.nodes.where("kind = 'FILE' and parent_id is not null").where(last.isin("1", "3", "5", "7"))
+    return client.bundle_routes(lines, visible, shown.select(F.col("parent_id").alias("card"), F.col("id").alias("file"), place.alias("place")))
 
 
-@registered(query(_LINES + " SELECT from_id, to_id, string_agg(importer, '|' ORDER BY importer) AS members, string_agg(DISTINCT provider, '|' ORDER BY provider) AS facts, CAST(sum(2 - length(importer) % 2) AS BIGINT) AS unloaded FROM lines GROUP BY 1, 2"))
+@registered(query(_BUNDLES + """
+SELECT bundle AS id, min(source) AS source, min(sh) AS source_handle, min(target) AS target, min(th) AS target_handle, arg_min(edge_id, id) AS edge_id, count(*) AS members, coalesce(max(facts), 0) AS facts, CAST(coalesce(max(unloaded), 0) AS BIGINT) AS unloaded
+FROM named LEFT JOIN counted USING (bundle) LEFT JOIN missing USING (bundle) GROUP BY 1"""))
 def bundle_routes(spark, sf):
-    g = demo_graph(spark, sf)
-    lines = client.import_card_lines(project_packages(g), g).withColumns({"total": F.lit(2), "loaded": F.length("importer") % 2})
-    rows = client.bundle_routes(lines, ["from_id", "to_id"], "importer", "provider", "total", "loaded")
-    return rows.select("from_id", "to_id", text_of(F.col("members")).alias("members"), text_of(F.col("facts")).alias("facts"), "unloaded")
+    return _bundles(spark, sf, "G").routes.drop("kind", "importing_file", "supplying_file")
+
+
+@registered(query(_BUNDLES + " SELECT * FROM bfacts", style="P"))
+def bundle_facts(spark, sf):
+    return _bundles(spark, sf, "P").facts.drop("kind")
 
 
 @registered(query("""
@@ -427,14 +542,7 @@ def flatten_explorer(spark, sf):
     """Packages with those that end in 1 expanded, and their files that do."""
     g = demo_graph(spark, sf)
     rows = client.flatten_explorer(g, g.nodes.where("kind = 'PACKAGE'"), g.nodes.where("id like '%1'"))
-    counted = rows.withColumn("bucket", F.element_at("sort_path", 1))
-    from pyspark.sql import Window
-
-    # places within a root, moved by the sizes of the roots before it: a root's subtree is one window
-    sizes = counted.groupBy("bucket").agg(F.count("*").alias("n"))
-    ahead = sizes.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    inside = F.row_number().over(Window.partitionBy("bucket").orderBy("sort_path"))
-    return counted.join(ahead, "bucket").select("id", "depth", (inside + F.col("ahead")).cast("int").alias("place"))
+    return paths.numbered(rows, [], ["sort_path"]).select("id", "depth", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @registered(query("start AS (SELECT min(id) AS id FROM nodes WHERE kind = 'METHOD'), " + _UP + " SELECT id FROM up WHERE id NOT IN (SELECT id FROM start)"))
@@ -450,10 +558,36 @@ def merge_graph(spark, sf):
     return client.merge_nodes([nodes, nodes.where("id like '%3'").withColumn("name", F.concat(F.lit("new "), "name"))])
 
 
-@registered(query("SELECT id, CASE WHEN kind = 'PACKAGE' THEN 'Python package' WHEN kind = 'FILE' THEN 'python file' ELSE upper(kind[1]) || lower(kind[2:]) END AS label FROM nodes", style="P"))
+_LABELS = """
+named AS (SELECT n.id, n.kind, n.path, n.import_count, CASE WHEN n.kind = 'FILE' THEN n.name || CASE WHEN n.id LIKE '%3' THEN '.py' WHEN n.id LIKE '%4' THEN '.tsx' ELSE '' END ELSE n.name END AS name FROM nodes n),
+labelled AS (SELECT n.*, CASE WHEN n.kind = 'FILE' THEN regexp_replace(n.name, '\\.(py|tsx)$', '') END AS stem, p.name AS up, p.kind AS up_kind FROM named n LEFT JOIN parents ON child = n.id LEFT JOIN nodes p ON p.id = parent)
+SELECT id,"""
+
+
+def _labelled(spark, sf, style):
+    g = demo_graph(spark, sf, style)
+    suffix = F.when(F.col("id").like("%3"), ".py").when(F.col("id").like("%4"), ".tsx").otherwise("")
+    nodes = g.nodes.withColumn("name", F.when(F.col("kind") == "FILE", F.concat("name", suffix)).otherwise(F.col("name")))
+    return client.present(CodeGraph(nodes, g.edges))
+
+
+@registered(query(_LABELS + """
+  CASE WHEN kind = 'FILE' THEN 'module' ELSE lower(kind) END AS display_kind, CASE WHEN kind = 'FILE' THEN up || '.' || stem ELSE name END AS display_name, CASE WHEN kind = 'FILE' THEN stem ELSE name END AS row_name,
+  CASE WHEN kind = 'FILE' THEN up || '.' || stem ELSE name END AS card_name, CASE kind WHEN 'PACKAGE' THEN 'package ' || name WHEN 'FILE' THEN 'module' END AS secondary_label,
+  CASE kind WHEN 'PACKAGE' THEN 'module' WHEN 'FILE' THEN 'declaration' ELSE 'package' END AS child_label, CASE kind WHEN 'PACKAGE' THEN 'Modules' WHEN 'FILE' THEN 'Module' ELSE 'Files' END AS row_group_label,
+  CASE kind WHEN 'PACKAGE' THEN 'container' WHEN 'FILE' THEN 'source' END AS expansion, kind = 'PACKAGE' AS primary_card, CASE WHEN kind = 'PACKAGE' THEN 'packages' END AS explorer_section,
+  CASE kind WHEN 'PACKAGE' THEN NULL WHEN 'FILE' THEN 'M' ELSE '·' END AS row_mark, CASE WHEN kind = 'FILE' THEN CAST(import_count AS BIGINT) END AS imports FROM labelled""", style="P"))
 def presentation_labels(spark, sf):
-    nodes = demo_graph(spark, sf, "P").nodes
-    return nodes.select("id", client.presentation_kind(F.col("language"), F.col("kind"), F.col("name")).alias("label"))
+    """Labels of a Python graph, some of whose files have suffixes."""
+    return _labelled(spark, sf, "P").drop("exports")
+
+
+@registered(query(_LABELS + """
+  lower(kind) AS display_kind, name AS display_name, CASE WHEN kind = 'PACKAGE' THEN path ELSE name END AS row_name, CASE WHEN kind = 'PACKAGE' THEN path ELSE name END AS card_name, CASE kind WHEN 'PACKAGE' THEN 'package ' || name END AS secondary_label,
+  CASE kind WHEN 'PACKAGE' THEN 'file' WHEN 'FILE' THEN 'declaration' ELSE 'package' END AS child_label, CASE kind WHEN 'PACKAGE' THEN 'container' WHEN 'FILE' THEN 'source' END AS expansion, kind = 'PACKAGE' AS primary_card,
+  CASE kind WHEN 'PACKAGE' THEN NULL WHEN 'FILE' THEN 'F' ELSE '·' END AS row_mark FROM labelled"""))
+def presentation_labels_go(spark, sf):
+    return _labelled(spark, sf, "G").drop("row_group_label", "explorer_section", "imports", "exports")
 
 
 # ---------------------------------------------------------------- paths and ladders
@@ -514,24 +648,133 @@ def coverage_counts(spark, sf):
 
 
 @registered("""
-WITH i AS (SELECT 'UNRESOLVED_IMPORT' AS kind, CAST(l_orderkey AS VARCHAR) AS path, CAST(l_partkey AS VARCHAR) AS import_path, l_returnflag AS reason FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey % 10 = 0
+WITH i AS (SELECT 'UNRESOLVED_IMPORT' AS kind, CAST(l_orderkey AS VARCHAR) AS path, CAST(l_partkey AS VARCHAR) AS import_path, l_returnflag AS reason FROM lineitem WHERE l_returnflag = 'A'
   UNION ALL SELECT 'SKIPPED_FILE', CAST(o_orderkey AS VARCHAR), '', o_orderpriority FROM orders WHERE o_orderstatus = 'P')
 SELECT kind, path, import_path, reason, CAST(row_number() OVER (PARTITION BY kind ORDER BY path, import_path, reason) - 1 AS INTEGER) AS ordinal FROM i""")
 def issue_ordinals(spark, sf):
     line, orders = tables(spark, sf, "lineitem", "orders")
-    a = line.where("l_returnflag = 'A' and l_orderkey % 10 = 0").select(F.lit("UNRESOLVED_IMPORT").alias("kind"), F.col("l_orderkey").cast("string").alias("path"), F.col("l_partkey").cast("string").alias("import_path"), F.col("l_returnflag").alias("reason"))
+    a = line.where("l_returnflag = 'A'").select(F.lit("UNRESOLVED_IMPORT").alias("kind"), F.col("l_orderkey").cast("string").alias("path"), F.col("l_partkey").cast("string").alias("import_path"), F.col("l_returnflag").alias("reason"))
     b = orders.where("o_orderstatus = 'P'").select(F.lit("SKIPPED_FILE").alias("kind"), F.col("o_orderkey").cast("string").alias("path"), F.lit("").alias("import_path"), F.col("o_orderpriority").alias("reason"))
     return paths.issue_ordinals([a, b])
 
 
-@registered("SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC) AS INTEGER) AS place FROM orders WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'P' ORDER BY 2 LIMIT 100")
-def snapshot_list(spark, sf):
-    """Orders as snapshots: the hundred latest, newest first, ties by id downwards."""
-    orders = tables(spark, sf, "orders")[0].where("o_orderpriority like '1%' and o_orderstatus = 'P'")
-    from pyspark.sql import Window
+def _snapshots(spark, sf):
+    """A new store with one snapshot for each order status, the last one saved on the one before it: customers with such orders and their packages."""
+    store, last = SnapshotStore(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}"), None
+    g = held_graph(spark, sf)
+    orders = tables(spark, sf, "orders")[0]
+    package = g.nodes.where("kind = 'PACKAGE'")
+    held = g.edges.where("kind = 'CONTAINS' and from_id like 'package:%'")
+    for status in ("F", "O", "P"):
+        own = orders.where(F.col("o_orderstatus") == status).select(F.format_string("file:c%d", "o_custkey").alias("id")).distinct()
+        files = g.nodes.where("kind = 'FILE'").join(own, "id", "left_semi")
+        edges = held.join(own.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+        issues = files.where("import_count > 40").select(F.lit("UNRESOLVED_IMPORT").alias("kind"), "path", F.lit("").alias("import_path"), F.lit(status).alias("reason"))
+        n = files.count()
+        last = store.save(status, CodeGraph(package.unionByName(files), edges), {"issues": paths.issue_ordinals([issues])}, {"files_analyzed": n}, "complete" if status == "F" else "completed_with_gaps", last)
+    return store
+
+
+_SAVED = "saved AS (SELECT DISTINCT o_orderstatus AS root, 'file:c' || o_custkey AS id FROM orders)"
 
-    rows = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").alias("created_ts")).orderBy(F.desc("created_ts"), F.desc("id")).limit(100)
-    return rows.select("id", F.row_number().over(Window.orderBy(F.desc("created_ts"), F.desc("id"))).cast("int").alias("place"))
+
+@registered(query(f"{_SAVED} SELECT root, CAST(row_number() OVER (ORDER BY root DESC) AS INTEGER) AS place, CASE root WHEN 'F' THEN 'complete' ELSE 'completed_with_gaps' END AS status, CAST(count(*) AS INTEGER) AS files_analyzed FROM saved GROUP BY 1"))
+def snapshot_list(spark, sf):
+    """All saved snapshots, newest first."""
+    rows = _snapshots(spark, sf).list().select("root", "status", "files_analyzed", F.negative(F.unix_micros("created_ts")).alias("age"))
+    return paths.numbered(rows, [], ["age"]).select("root", (F.col("place") + 1).cast("int").alias("place"), "status", "files_analyzed")
+
+
+@registered(query(f"""{_SAVED},
+issues AS (SELECT root, path, CAST(row_number() OVER (PARTITION BY root ORDER BY path) - 1 AS INTEGER) AS ordinal FROM saved JOIN nodes USING (id) WHERE import_count > 40)
+SELECT root, 'node' AS part, id, kind AS detail FROM saved JOIN nodes USING (id) UNION ALL SELECT root, 'node', n.id, n.kind FROM nodes n, (SELECT DISTINCT root FROM saved) WHERE n.kind = 'PACKAGE'
+UNION ALL SELECT root, 'edge', child, parent FROM saved JOIN parents ON child = id UNION ALL SELECT root, 'issue', path, CAST(ordinal AS VARCHAR) FROM issues"""))
+def snapshot_load(spark, sf):
+    """What comes back of each saved snapshot: its nodes, containment and issues."""
+    store, out = _snapshots(spark, sf), None
+    for row in store.list().collect():  # three snapshots
+        graph, parts = store.load(row.id)
+        rows = graph.nodes.select(F.lit("node").alias("part"), "id", F.col("kind").alias("detail")).union(graph.edges.select(F.lit("edge"), "to_id", "from_id")).union(parts["issues"].select(F.lit("issue"), "path", F.col("ordinal").cast("string")))
+        rows = rows.select(F.lit(row.root).alias("root"), "*")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+# ---------------------------------------------------------------- imports and where they lead
+
+_LANG = "p AS (SELECT page_id AS i, split_part(ltrim(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/'), '/', 1) AS lang FROM pages)"
+
+
+def _modules(spark, sf):
+    """(i, lang): pages by number and the first element of their path."""
+    return _url_paths(spark, sf).select(F.col("page_id").alias("i"), F.split("path", "/")[0].alias("lang"))
+
+
+def _sources(path, *lines):
+    return path.alias("path"), F.encode(F.concat_ws("\n", *lines, F.lit("")), "UTF-8").alias("content")
+
+
+@registered(f"""
+WITH {_LANG},
+lines AS (
+  SELECT i, lang, '.p' || (i + 1) AS import_path, CASE WHEN lang = 'es' THEN 'unresolved' WHEN EXISTS (SELECT 1 FROM p q WHERE q.i = p.i + 1 AND q.lang = p.lang) THEN 'internal_resolved' ELSE 'unresolved' END AS class, 'file:' || lang || '/p' || (i + 1) || '.py' AS target FROM p
+  UNION ALL SELECT i, lang, 'os', 'standard_library', NULL FROM p
+  UNION ALL SELECT i, lang, 'en.p' || (2 * i), CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.i = 2 * p.i AND q.lang = 'en') THEN 'internal_resolved' ELSE 'unresolved' END, 'file:en/p' || (2 * i) || '.py' FROM p
+  UNION ALL SELECT i, lang, 'requests.x' || (i % 3), 'unclassified', NULL FROM p
+  UNION ALL SELECT i, lang, 'p' || i, CASE WHEN lang = 'es' THEN 'internal_resolved' ELSE 'unclassified' END, 'file:' || lang || '/p' || i || '.py' FROM p)
+SELECT lang || '/p' || i || '.py' AS path, import_path, class, CASE WHEN class = 'internal_resolved' THEN target END AS target FROM lines""")
+def py_resolve(spark, sf):
+    """Pages as Python modules of packages by language (of which `es` has no __init__): parsed, and their imports resolved."""
+    rows = _modules(spark, sf)
+    i = lambda e: F.expr(e).cast("string")
+    text = (F.concat(F.lit("from . import p"), i("i + 1")), F.lit("import os"), F.concat(F.lit("import en.p"), i("2 * i")), F.concat(F.lit("import requests.x"), i("i % 3")), F.concat(F.lit("import p"), i("i")))
+    files = rows.select(*_sources(F.concat("lang", F.lit("/p"), i("i"), F.lit(".py")), *text))
+    init = rows.where("lang <> 'es'").select("lang").distinct().select(*_sources(F.concat("lang", F.lit("/__init__.py"))))
+    facts = cut(python_facts.extract(files.union(init)))
+    return python_facts.resolve(facts, python_facts.package_names(facts, "root")).select("path", "import_path", "class", "target")
+
+
+@registered(f"""
+WITH {_LANG},
+lines AS (
+  SELECT i, lang, './p' || (i + 1) AS spec, CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.i = p.i + 1 AND q.lang = p.lang) THEN 'internal_resolved' ELSE 'unresolved' END AS class, 'file:' || lang || '/p' || (i + 1) || '.ts' AS target FROM p
+  UNION ALL SELECT i, lang, '../en/p' || (2 * i) || '.js', CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.i = 2 * p.i AND q.lang = 'en') THEN 'internal_resolved' ELSE 'unresolved' END, 'file:en/p' || (2 * i) || '.ts' FROM p
+  UNION ALL SELECT i, lang, 'node:fs', 'standard_library', NULL FROM p
+  UNION ALL SELECT i, lang, '@scope/lib/x' || (i % 3), 'external', NULL FROM p
+  UNION ALL SELECT i, lang, 'left-pad' || (i % 3), 'unclassified', NULL FROM p
+  UNION ALL SELECT i, lang, '#own' || (i % 3), 'unresolved', NULL FROM p)
+SELECT lang || '/p' || i || '.ts' AS path, spec, class, CASE WHEN class = 'internal_resolved' THEN target END AS target FROM lines""")
+def ts_resolve(spark, sf):
+    """Pages as TypeScript files: their import statements read, and resolved by candidates, runtime modules and declared packages."""
+    rows = _modules(spark, sf)
+    i = lambda e: F.expr(e).cast("string")
+    specs = (F.concat(F.lit("./p"), i("i + 1")), F.concat(F.lit("../en/p"), i("2 * i"), F.lit(".js")), F.lit("node:fs"), F.concat(F.lit("@scope/lib/x"), i("i % 3")), F.concat(F.lit("left-pad"), i("i % 3")), F.concat(F.lit("#own"), i("i % 3")))
+    forms = ('import { a } from "%s";', "export * from '%s';", 'import "%s";', 'import type { B } from "%s";', 'import * as c from "%s";', 'import d from "%s";')
+    files = rows.select(*_sources(F.concat("lang", F.lit("/p"), i("i"), F.lit(".ts")), *(F.format_string(form, spec) for form, spec in zip(forms, specs))))
+    declared = rows.agg(F.lit("@scope/lib").alias("name"))
+    return tsjs_facts.resolve_tsjs(tsjs_facts.tsjs_imports(files), files.select("path"), declared)
+
+
+@registered(f"""
+WITH {_LANG},
+dirs AS (SELECT DISTINCT lang, i % 7 AS d FROM p),
+lines AS (
+  SELECT i, lang, 'ex.com/' || lang || '/d' || (i % 9) AS import_path, CASE WHEN lang = 'es' THEN 'unclassified' WHEN (lang, i % 9) IN (SELECT (lang, d) FROM dirs) THEN 'internal_resolved' ELSE 'unresolved' END AS class,
+    'package:' || lang || '/d' || (i % 9) || '#d' || (i % 9) AS target FROM p
+  UNION ALL SELECT i, lang, 'net/http', 'standard_library', NULL FROM p
+  UNION ALL SELECT i, lang, 'C', 'cgo', NULL FROM p
+  UNION ALL SELECT i, lang, 'git.org/lib/v' || (i % 2), CASE WHEN lang = 'en' AND i % 2 = 0 THEN 'external' ELSE 'unclassified' END, NULL FROM p)
+SELECT lang || '/d' || (i % 7) || '/f' || i || '.go' AS path, import_path, class, CASE WHEN class = 'internal_resolved' THEN target END AS target FROM lines""")
+def go_resolve(spark, sf):
+    """Pages as Go files of modules by language (`es` has none): their imports read and classed."""
+    rows = _modules(spark, sf)
+    i = lambda e: F.expr(e).cast("string")
+    package = F.concat(F.lit("d"), i("i % 7"))
+    text = (F.concat(F.lit("package "), package), F.lit('import "C"'), F.lit("import ("), F.concat(F.lit('\t"ex.com/'), "lang", F.lit("/d"), i("i % 9"), F.lit('"')), F.lit('\t"net/http"'), F.concat(F.lit('\tlib "git.org/lib/v'), i("i % 2"), F.lit('"')), F.lit(")"))
+    files = rows.select(*_sources(F.concat("lang", F.lit("/"), package, F.lit("/f"), i("i"), F.lit(".go")), *text))
+    modules = rows.where("lang <> 'es'").select("lang").distinct().select(*_sources(F.concat("lang", F.lit("/go.mod")), F.concat(F.lit("module ex.com/"), "lang"), F.lit("go 1.22"), F.when(F.col("lang") == "en", F.lit("require git.org/lib/v0 v0.1.0"))))
+    go = cut(go_facts.go_files(files))
+    return go_facts.resolve_go(go_facts.go_imports(go), go, go_facts.go_modules(modules))
 
 
 # ---------------------------------------------------------------- scanning sources

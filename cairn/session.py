@@ -26,12 +26,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def cut(df):
-    """The same rows from a reliable checkpoint: lineage ends here, and a lost executor costs no more than its tasks.
-
-    The folder is spark.checkpoint.dir; only where that is unset (tests, a laptop) a local one is made.
-    """
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, spark.checkpoint.dir; a local one is made only for a local master without that setting."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df):
+    """The same rows from a reliable checkpoint: lineage ends here, and a lost executor costs no more than its tasks."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)

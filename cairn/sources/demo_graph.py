@@ -17,15 +17,14 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
 
 
-def occurrences(spark: SparkSession, sf_dir: str, sparse: bool = True) -> DataFrame:
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each import occurrence: from_id, supplier, nation and the order line's columns."""
     line, orders, supplier = tables(spark, sf_dir, "lineitem", "orders", "supplier")
-    line = line.where("(l_orderkey * 7 + l_linenumber) % 997 = 0") if sparse else line
     rows = line.join(orders.select("o_orderkey", "o_custkey"), line.l_orderkey == F.col("o_orderkey")).join(supplier.select("s_suppkey", "s_nationkey"), line.l_suppkey == F.col("s_suppkey"))
     return rows.withColumns({"from_id": F.format_string("file:c%d", "o_custkey"), "package": F.format_string("package:%d", "s_nationkey"), "provider": F.format_string("file:s%d", "s_suppkey")})
 
 
-def demo_nodes(spark: SparkSession, sf_dir: str, style: str = "G", sparse: bool = True) -> DataFrame:
+def demo_nodes(spark: SparkSession, sf_dir: str, style: str = "G") -> DataFrame:
     region, nation, customer, supplier, orders = tables(spark, sf_dir, "region", "nation", "customer", "supplier", "orders")
     language = "python" if style == "P" else "go"
     none = F.lit(None).cast("int")
@@ -34,7 +33,7 @@ def demo_nodes(spark: SparkSession, sf_dir: str, style: str = "G", sparse: bool
         kind = F.lit(kind) if isinstance(kind, str) else kind
         return rows.select(node_id.alias("id"), kind.alias("kind"), path.alias("path"), name.alias("name"), F.lit(language).alias("language"), count.alias("import_count"), none.alias("export_count"))
 
-    counts = occurrences(spark, sf_dir, sparse).groupBy("o_custkey").agg(F.count("*").cast("int").alias("n"))
+    counts = occurrences(spark, sf_dir).groupBy("o_custkey").agg(F.count("*").cast("int").alias("n"))
     n = nation.select("n_nationkey", "n_name")
     files = customer.join(n, customer.c_nationkey == n.n_nationkey).join(counts, customer.c_custkey == counts.o_custkey, "left")
     path = F.concat_ws("/", "n_name", "c_name")
@@ -54,9 +53,9 @@ def demo_nodes(spark: SparkSession, sf_dir: str, style: str = "G", sparse: bool
     return out.select(NODE_COLUMNS)
 
 
-def demo_edges(spark: SparkSession, sf_dir: str, style: str = "G", sparse: bool = True) -> DataFrame:
+def demo_edges(spark: SparkSession, sf_dir: str, style: str = "G") -> DataFrame:
     nation, customer, supplier, orders = tables(spark, sf_dir, "nation", "customer", "supplier", "orders")
-    rows = occurrences(spark, sf_dir, sparse)
+    rows = occurrences(spark, sf_dir)
 
     def edge(frame, kind, a, b):
         return frame.select(F.lit(kind).alias("kind"), a.alias("from_id"), b.alias("to_id"))
@@ -71,14 +70,26 @@ def demo_edges(spark: SparkSession, sf_dir: str, style: str = "G", sparse: bool
     return held.union(uses).select(EDGE_COLUMNS)
 
 
-def demo_graph(spark: SparkSession, sf_dir: str, style: str = "G", sparse: bool = True) -> CodeGraph:
-    return CodeGraph(demo_nodes(spark, sf_dir, style, sparse), demo_edges(spark, sf_dir, style, sparse))
+def demo_graph(spark: SparkSession, sf_dir: str, style: str = "G") -> CodeGraph:
+    return CodeGraph(demo_nodes(spark, sf_dir, style), demo_edges(spark, sf_dir, style))
 
 
-def demo_evidence(spark: SparkSession, sf_dir: str, style: str = "G", sparse: bool = True) -> DataFrame:
+def demo_evidence(spark: SparkSession, sf_dir: str, style: str = "G") -> DataFrame:
     """One occurrence for each order line: edge, path, line, column and snippet; all its numbers break ties."""
     nation, customer = tables(spark, sf_dir, "nation", "customer")
     path = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", F.concat_ws("/", "n_name", "c_name").alias("path"))
-    rows = occurrences(spark, sf_dir, sparse).join(path, F.col("o_custkey") == F.col("c_custkey"))
+    rows = occurrences(spark, sf_dir).join(path, F.col("o_custkey") == F.col("c_custkey"))
     edge = F.struct(F.lit("IMPORTS").alias("kind"), "from_id", F.col("package" if style == "G" else "provider").alias("to_id"))
     return rows.select(edge.alias("edge"), "path", F.col("l_linenumber").alias("line"), F.col("l_partkey").cast("int").alias("column"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("snippet"), F.col("l_orderkey").alias("tie"), F.col("l_quantity").alias("tie2"), F.col("l_extendedprice").alias("tie3"))
+
+
+def part_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """Parts as files; a part imports the one on the next line of an order."""
+    line, part = tables(spark, sf_dir, "lineitem", "part")
+    name = F.format_string("file:p%d", "p_partkey")
+    none = F.lit(None).cast("int")
+    nodes = part.select(name.alias("id"), F.lit("FILE").alias("kind"), F.col("p_name").alias("path"), F.col("p_name").alias("name"), F.lit("python").alias("language"), none.alias("import_count"), none.alias("export_count"))
+    own = line.select("l_orderkey", "l_linenumber", F.format_string("file:p%d", "l_partkey").alias("from_id"))
+    after = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.format_string("file:p%d", "l_partkey").alias("to_id"))
+    edges = own.join(after, ["l_orderkey", "l_linenumber"]).select(F.lit("IMPORTS").alias("kind"), "from_id", "to_id").distinct()
+    return CodeGraph(nodes, edges)

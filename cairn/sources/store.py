@@ -24,16 +24,21 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _path(self, name: str):
+        """(file system, path) of a file or folder of the store."""
+        sc = self.spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
     def _read(self, table: str, schema: str) -> DataFrame:
         path = f"{self.root}/{table}"
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        there = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        system, where = self._path(table)
+        there = system.exists(where)
         # columns that older snapshots lack are null
         return self.spark.read.schema(schema).parquet(path) if there else self.spark.createDataFrame([], schema)
 
     def list(self) -> DataFrame:
-        """Snapshots, newest first, ties by id downwards."""
+        """All snapshots, newest first, ties by id downwards."""
         return self._read("snapshots", SNAPSHOTS).orderBy(F.desc("created_ts"), F.desc("id"))
 
     def latest(self) -> str | None:
@@ -44,14 +49,19 @@ class SnapshotStore:
         """Publish a scan and return its id.
 
         parts may hold evidence, issues and exclusions. expected, if given, must be the latest
-        snapshot's id. Refused: other statuses, edges of which an end is no node, conflicting nodes.
+        snapshot's id, and of several savers that expect the same one only the first goes on: it
+        creates the file that claims the place behind it, which the file system lets one of them
+        do. (After a saver that died with its claim, save once without expected.) Refused: other
+        statuses, edges of which an end is no node, conflicting nodes.
         """
         if status not in STATUSES:
             raise GraphError("bad_request", f"status {status} cannot be saved")
-        if expected is not None and self.latest() != expected:
-            raise GraphError("scan_conflict", "another snapshot was saved meanwhile")
         if row := dangling_edges(graph.nodes, graph.edges).first() or node_conflicts(graph.nodes).first():
             raise GraphError("invalid_graph", f"not saved: {row.asDict()}")
+        if expected is not None:
+            system, claim = self._path(f"claims/{expected or 'none'}")
+            if (self.latest() or "") != expected or not system.createNewFile(claim):
+                raise GraphError("scan_conflict", "another snapshot was saved meanwhile")
         scan, now = uuid.uuid4().hex, datetime.now(UTC)
         frames = {"nodes": graph.nodes, "edges": graph.edges, **(parts or {})}
         for name, frame in frames.items():
