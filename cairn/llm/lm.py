@@ -31,12 +31,12 @@ END, OTHER = 0, 1
 #: Counts that are broadcast, two numbers each.
 FREQUENT = 1 << 17
 HIDDEN = 16
-#: Tokens of a shard, about; rounds after which the weights are averaged.
-SHARD, ROUNDS = 1 << 20, 4
+#: Tokens of a shard, about (two bytes each); rounds after which the weights are averaged.
+SHARD, ROUNDS = 1 << 22, 4
 #: Streams side by side, words of a window, learning rate, updates over which a round's rate rises.
-LANES, WINDOW, RATE, RISE = 64, 24, 0.01, 20
-#: Tokens that training reads at least: a smaller corpus is read several times.
-LEAST = 700 * LANES * WINDOW
+LANES, WINDOW, RATE, RISE = 256, 24, 0.015, 20
+#: Updates that training makes at least, in fewer lanes where words are few, and words that it reads at least: a smaller corpus is read several times.
+UPDATES, LEAST = 700, 1 << 20
 #: Weights of a row when they are averaged.
 PART = 4096
 #: Words of a window in scoring, documents side by side.
@@ -175,37 +175,51 @@ def gradients(p, ids: np.ndarray, target: np.ndarray, h: np.ndarray):
         back = down * z + du @ p["u"].T
     g["x"] = emb.reshape(-1, HIDDEN).T @ dgates.reshape(-1, 3 * HIDDEN)
     g["xb"] = dgates.sum((0, 1))
-    np.add.at(g["e"], ids.ravel(), (dgates @ p["x"].T).reshape(-1, HIDDEN))
+    order = np.argsort(ids.ravel(), kind="stable")
+    words, begin = np.unique(ids.ravel()[order], return_index=True)
+    g["e"][words] = np.add.reduceat((dgates @ p["x"].T).reshape(-1, HIDDEN)[order], begin)
     return loss / n, g, h
 
 
-def lanes_of(stream: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, targets) by time and lane: the targets start to stop of a stream that begins with END and is repeated without end.
+def lanes_of(count: int) -> tuple[int, int]:
+    """(lanes, words of each) that hold `count` words; the last lane is filled up with the first words."""
+    lanes = max(1, min(LANES, count // (WINDOW * UPDATES // ROUNDS)))
+    return lanes, -(-count // lanes)
 
-    All of them are there; the last lane is filled up with the first ones.
-    """
-    n, count = len(stream) - 1, stop - start
-    lanes = max(1, min(LANES, count // WINDOW))
-    length = -(-count // lanes)
-    at = np.resize(np.arange(start, stop) % n, lanes * length).reshape(lanes, length).T
-    return stream[at], stream[at + 1]
+
+def windows(stream: np.ndarray, start: int, stop: int):
+    """(inputs, targets) by time and lane, window after window: the targets start to stop of a stream that begins with END and is repeated without end."""
+    n = len(stream) - 1
+    lanes, length = lanes_of(stop - start)
+    begin = np.arange(lanes) * length
+    for t in range(0, length, WINDOW):
+        at = (start + (begin + np.arange(t, min(t + WINDOW, length))[:, None]) % (stop - start)) % n
+        yield stream[at].astype(np.int64), stream[at + 1].astype(np.int64)
 
 
-def fit(p: dict[str, np.ndarray], ids: np.ndarray, goal: np.ndarray, done: float = 0.0, share: float = 1.0) -> dict[str, np.ndarray]:
-    """Weights after all windows of the lanes, by Adam from p; done and share: of the whole training, before and in this call."""
+def fit(p: dict[str, np.ndarray], stream: np.ndarray, start: int, stop: int, done: float = 0.0, share: float = 1.0) -> dict[str, np.ndarray]:
+    """Weights after all windows of the stream's run, by Adam from p; done and share: of the whole training, before and in this call."""
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    p, h = dict(p), np.zeros((ids.shape[1], HIDDEN), np.float32)
-    updates = -(-len(ids) // WINDOW)
-    for update in range(1, updates + 1):
-        at = (update - 1) * WINDOW
-        _, g, h = gradients(p, ids[at : at + WINDOW], goal[at : at + WINDOW], h)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+    lanes, length = lanes_of(stop - start)
+    p, h = {k: v.copy() for k, v in p.items()}, np.zeros((lanes, HIDDEN), np.float32)
+    updates = -(-length // WINDOW)
+    for update, (ids, goal) in enumerate(windows(stream, start, stop), 1):
+        _, g, h = gradients(p, ids, goal, h)
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
         rate = RATE * min(1.0, 2 * (1 - done - share * update / (updates + 1))) * min(1.0, update / RISE)
+        scale = min(1.0, 1.0 / (norm + 1e-9))
+        step, root = np.float32(rate / (1 - 0.9**update)), np.float32(1 / np.sqrt(1 - 0.99**update))
         for k, v in g.items():
-            v = v * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-            first[k] = 0.9 * first[k] + 0.1 * v
-            second[k] = 0.99 * second[k] + 0.01 * v * v
-            p[k] = (p[k] - rate * (first[k] / (1 - 0.9**update)) / (np.sqrt(second[k] / (1 - 0.99**update)) + 1e-8)).astype(np.float32)
+            v *= np.float32(scale)
+            first[k] += np.float32(0.1) * (v - first[k])
+            v *= v
+            second[k] += np.float32(0.01) * (v - second[k])
+            np.sqrt(second[k], out=v)
+            v *= root
+            v += np.float32(1e-8)
+            np.divide(first[k], v, out=v)
+            v *= step
+            p[k] -= v
     return p
 
 
@@ -299,12 +313,12 @@ def _shards(batches):
     for batch in batches:
         for k, ids in zip(batch.column("shard").to_pylist(), batch.column("ids").to_pylist()):
             if k != shard and texts:
-                yield shard, np.concatenate([np.array([END], np.uint16), *texts]).astype(np.int64)
+                yield shard, np.concatenate([np.array([END], np.uint16), *texts])
                 texts = []
             shard = k
             texts.append(np.frombuffer(ids, np.uint16))
     if texts:
-        yield shard, np.concatenate([np.array([END], np.uint16), *texts]).astype(np.int64)
+        yield shard, np.concatenate([np.array([END], np.uint16), *texts])
 
 
 def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -328,7 +342,7 @@ def _fit_task(shared, turn: int, passes: int):
             start, stop = walk * turn // ROUNDS, walk * (turn + 1) // ROUNDS
             if start == stop:
                 continue
-            flat = _flat(fit(shared.value, *lanes_of(stream, start, stop), turn / ROUNDS, 1 / ROUNDS))
+            flat = _flat(fit(shared.value, stream, start, stop, turn / ROUNDS, 1 / ROUNDS))
             parts = [flat[a : a + PART].tobytes() for a in range(0, len(flat), PART)]
             columns = [pa.array(range(len(parts)), pa.int32()), pa.array([shard] * len(parts), pa.int64()), pa.array([stop - start] * len(parts), pa.int64()), pa.array(parts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "shard", "n", "weights"])

@@ -148,7 +148,8 @@ def segments_of(docs: DataFrame, sets: DataFrame, size: int, percent: int, scrat
     first. grams is in that order. Sets with too many unshared n-grams are left out.
     """
     rows = scratch.table(_postings(_of(docs, sets), size, 1))
-    counts = rows.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1")
+    # repeated rows of a text count too, which is as good an order, but make no n-gram a shared one
+    counts = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").drop("a", "b")
     shared = scratch.table(rows.join(counts, "gram"))
     scratch.drop(rows)
     pivots = pivots_of(shared)

@@ -15,23 +15,28 @@ from cairn.llm.substring_dedup import remove_repeats
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
+    """Documents by components of links at a Jaccard similarity of 90 % of 3-word shingles. A null doc_id keeps its row, with component_id null, and links nothing."""
     return ngram_components(read(spark, sf_dir, "documents"), size=3, percent=90)
 
 
 def op2_media_avi_mjpeg(spark, sf_dir):
+    """Every text stored as a motion-JPEG AVI, read back, with what its bytes and frames give. A null doc_id keeps its row."""
     return media.read_texts(media.store_texts(read(spark, sf_dir, "documents")))
 
 
 def op3_best_fit_packing(spark, sf_dir):
+    """All documents' pieces packed into sequences of at most 2048 tokens. A null doc_id keeps its rows; repeated rows are packed each for itself."""
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
 def op4_collision_neighbours(spark, sf_dir):
+    """The 20 nearest found of every vector whose vec_id is divisible by 20. Rows with a null vec_id take no part; repeated rows count once."""
     rows = read(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where("vec_id % 20 = 0"), 20)
 
 
 def op5_quality_factorisation(spark, sf_dir):
+    """Every document's quality score, learnt from labels outside the fold that is held out. A null doc_id has no fold: held_out is null, its row is scored and never learnt from."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     model = train_quality(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
     out = score_quality(docs, model)
@@ -39,25 +44,30 @@ def op5_quality_factorisation(spark, sf_dir):
 
 
 def op6_substring_dedup(spark, sf_dir):
+    """Every document without the words of 50-word windows that also start in a smaller doc_id. A row with a null doc_id is kept whole and removes nothing."""
     kept = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op7_source_mix(spark, sf_dir):
+    """Every document's share of a mix of all sources. Rows alike in doc_id, source and text have the same share each; a null doc_id keeps its row."""
     return mixed_sizes(read(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark, sf_dir):
+    """Every document's language, learnt outside the fold that is held out. A null doc_id has no fold: held_out is null, its row is judged and never learnt from."""
     docs = read(spark, sf_dir, "documents")
     model = langid.learn(docs.where(fold("doc_id", 4) != 2))
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op9_url_filter(spark, sf_dir):
+    """Every page's verdict, by rules and else by its host's scores. A null page_id keeps its row."""
     return url_graph.judge(read(spark, sf_dir, "pages"))
 
 
 def op10_lm_score(spark, sf_dir):
+    """Every document's log10 probability, by counts and by the network, learnt outside the fold that is held out. A null doc_id has no fold: held_out is null, its row is scored and never learnt from."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model, counts = lm.train(docs.where(fold("doc_id", 7) != 2))
     out = lm.score(docs, model, counts)

@@ -1,11 +1,14 @@
 """Removal of long passages repeated across documents, by prefix-partitioned suffix trees.
 
-A suffix starts at a word; its first `window` words (50) decide. Suffixes are split among
-groups by variable-length prefixes: twenty words at first, forty and then fifty wherever a
-prefix has more suffixes than a task should hold. Each group is sorted into a subtree with its longest common
-prefixes; the internal nodes at depth `window` or more are the repeats, and every leaf of a
-node that is not in its first document marks a window to remove. A prefix that is still
-oversized at full depth is one node and needs only the least document of its suffixes.
+A suffix starts at a word; its first `window` words (50) decide, so trees are cut off at that
+depth. Suffixes are split among groups by variable-length prefixes: twenty words at first,
+forty and then fifty wherever a prefix has more suffixes than a task should hold. A group's
+suffixes are sorted by the fingerprints of their steps (20, 20 and 10 words); the longest
+common prefixes of neighbours, in words at the steps' ends, give the subtree's internal nodes.
+A node at depth `window` is a repeat, and every leaf below it that is not in its first document
+marks a window to remove; windows that follow each other make up one maximal passage. A prefix
+that is still oversized at full depth is one node and needs only the least document of its
+suffixes.
 
 Only suffixes that can repeat are made. Every window has an anchor, the least fingerprint of
 its 20-word runs; equal windows have equal anchors, so windows whose anchor is in one document
@@ -86,19 +89,38 @@ def _suffixes(batch):
             )
 
 
+def internal_nodes(lcp: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, first leaves, ends) of a subtree's internal nodes, by depth, from the longest common prefixes of neighbouring leaves.
+
+    A node at a depth is a longest run of leaves whose neighbours share at least so much, if
+    two of them share no more.
+    """
+    out = []
+    for depth in np.unique(lcp[lcp > 0]).tolist():
+        inside = np.concatenate([[False], lcp >= depth, [False]]).astype(np.int8)
+        begin, end = np.flatnonzero(np.diff(inside) == 1), np.flatnonzero(np.diff(inside) == -1) + 1
+        exact = np.concatenate([[0], np.cumsum(lcp == depth)])
+        own = exact[end - 1] > exact[begin]
+        out.append((depth, begin[own], end[own]))
+    return out
+
+
 def _subtrees(group: pa.Table) -> pa.Table:
     """The windows of one group below a deep node whose first document is another one."""
-    depth = len(STEPS)
-    labels = [group.column(f"c{k}").to_numpy() for k in range(depth)]
+    labels = [group.column(f"c{k}").to_numpy() for k in range(len(STEPS))]
     order = np.lexsort(labels[::-1])
-    common = np.ones(max(0, len(order) - 1), bool)  # longest common prefix of neighbours, until it falls short of the full depth
-    for label in labels:
+    lcp, common = np.zeros(max(0, len(order) - 1), np.int64), np.ones(max(0, len(order) - 1), bool)
+    for label, words in zip(labels, STEPS):
         common &= label[order[1:]] == label[order[:-1]]
-    node = np.concatenate([np.zeros(1, np.int64), np.cumsum(~common)])
+        lcp[common] += words
     d = group.column("d").to_numpy()[order]
-    opens = np.flatnonzero(np.concatenate([np.ones(1, bool), ~common]))
-    least = np.minimum.reduceat(d, opens)[node]
-    late = order[d > least]
+    late = [np.zeros(0, np.int64)]
+    for depth, begin, end in internal_nodes(lcp):
+        if depth >= WINDOW:
+            own = np.repeat(begin - np.cumsum(end - begin) + (end - begin), end - begin) + np.arange(int((end - begin).sum()))  # the leaves of all nodes
+            least = np.minimum.reduceat(d[own], np.cumsum(end - begin) - (end - begin)) if len(begin) else np.zeros(0, np.int64)
+            late.append(own[d[own] > np.repeat(least, end - begin)])
+    late = order[np.concatenate(late)]
     return pa.table({"sid": group.column("sid").to_numpy()[late], "s": group.column("s").to_numpy()[late].astype(np.int32)})
 
 

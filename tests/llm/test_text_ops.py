@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm import common, langid, lm, media, mixing, packing, quality, substring_dedup
+from cairn.llm import common, langid, lm, media, mixing, ngram_join, packing, quality, substring_dedup
 from cairn.llm.ngram_join import ngram_components
 from tests.llm.conftest import make_docs, words
 
@@ -82,6 +82,59 @@ def test_remove_repeats(docs, none, monkeypatch, group):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_internal_nodes():
+    """Against the nodes of a trie over random words: a node has two different ways on, or a suffix that ends there."""
+    r = random.Random(7)
+    leaves = sorted(tuple(r.choice("ab") for _ in range(5)) for _ in range(40))
+    lcp = np.array([next((k for k in range(5) if a[k] != b[k]), 5) for a, b in zip(leaves, leaves[1:])])
+    got = {(depth, a, b) for depth, begin, end in substring_dedup.internal_nodes(lcp) for a, b in zip(begin.tolist(), end.tolist())}
+    want = set()
+    for depth in range(1, 6):
+        for prefix in {x[:depth] for x in leaves}:
+            under = [i for i, x in enumerate(leaves) if x[:depth] == prefix]
+            if len(under) > 1 and (depth == 5 or len({leaves[i][depth] for i in under}) > 1):
+                want.add((depth, under[0], under[-1] + 1))
+    assert got == want and len(got) > 20
+
+
+def test_fragments_are_ranges_of_the_order(docs, monkeypatch):
+    """Every n-gram of a fragment stands before those of the next ones in the order by count, and heads count what is before."""
+    scratch = common.Scratch(docs.sparkSession)
+    own = ngram_join._columns(docs).distinct()
+    sets = ngram_join._profiles(own, 3).where("n > 0 and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("d"), F.first("n").alias("n"))
+    rows = ngram_join.segments_of(own, sets, 3, 1, scratch).collect()  # one per cent: hardly any set is left out
+    counts = collections.Counter(g for r in rows for g in r.grams)
+    placed = {}
+    for r in rows:
+        assert list(r.grams) == sorted(r.grams, key=lambda g: (counts[g], g)) and min(counts[g] for g in r.grams) > 1
+        for g in r.grams:
+            assert placed.setdefault(g, r.fragment) == r.fragment
+    ends = [[(counts[g], g) for g, f in placed.items() if f == k] for k in sorted(set(placed.values()))]
+    assert len(ends) > 3 and all(max(a) < min(b) for a, b in zip(ends, ends[1:]))
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.sid] += len(r.grams)
+    for r in rows:
+        assert r.head == r.n - sizes[r.sid] + sum(len(q.grams) for q in rows if q.sid == r.sid and q.fragment < r.fragment)
+
+
+def test_ngram_links(docs):
+    """All links between different sets, not only those that components need."""
+    links, members = ngram_join.ngram_links(docs, 3, 60)
+    sets = {}
+    for x in make_docs():
+        w = words(x[1], lower=True)
+        if w and x[0] is not None:
+            sets[frozenset(tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2)))] = x[0]
+    first = {}
+    for m in members.collect():
+        first.setdefault(m.sid, []).append(m.doc_id)
+    name = {s: min(d for x in make_docs() if x[0] is not None and frozenset(tuple(words(x[1], True)[j : j + 3]) for j in range(max(1, len(words(x[1], True)) - 2))) == s for d in [x[0]]) for s in sets}
+    want = {frozenset((name[a], name[b])) for a in sets for b in sets if a != b and 100 * len(a & b) >= 60 * len(a | b)}
+    got = {frozenset((min(first[r.u]), min(first[r.v]))) for r in links.collect()}
+    assert got == want and len(want) > 3
+
+
 def test_packing(docs, none):
     packed = packing.pack_documents(docs).toPandas()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -269,8 +322,9 @@ def test_training_reads_every_token():
     n = 5 * lm.LANES * lm.WINDOW + 37
     stream = np.arange(n + 1)
     for start, stop in ((0, n), (0, 7), (n - 50, n + 50), (11, 11 + lm.LANES)):
-        ids, goal = lm.lanes_of(stream, start, stop)
-        assert set(goal.ravel()) == {i % n + 1 for i in range(start, stop)} and (goal == ids + 1).all()
+        runs = list(lm.windows(stream, start, stop))
+        assert set(np.concatenate([goal.ravel() for _, goal in runs])) == {i % n + 1 for i in range(start, stop)} and all((goal == ids + 1).all() for ids, goal in runs)
+    assert lm.lanes_of(lm.SHARD // lm.ROUNDS)[0] > 200 and lm.lanes_of(100_000)[0] < 30
     shared = types.SimpleNamespace(value=lm.initial(np.ones(lm.VOCABULARY)))
     rows = pa.RecordBatch.from_pydict({"shard": [0, 0, 1], "ids": [np.full(k, 5, np.uint16).tobytes() for k in (3000, 41, 7)]})
     read = collections.Counter()
