@@ -178,7 +178,8 @@ def numbered(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return out.select(*(f"p.{c}" for c in rows.columns), (F.col("p.at") - F.col("r.first") + F.col("r.ahead")).alias("place"))
 
 
-def issue_ordinals(sources: list[DataFrame]) -> DataFrame:
-    """All issues with their ordinal within the kind, by path, import and reason."""
-    rows = numbered(reduce(DataFrame.unionByName, sources), ["kind"], ["path", "import_path", "reason"])
+def issue_ordinals(sources: list[DataFrame], key: tuple[str, ...] | list[str] = ("kind",)) -> DataFrame:
+    """All issues with their ordinal within the key (without one, over all), by kind, path, import and reason."""
+    order = [c for c in ("kind", "path", "import_path", "reason") if c not in key]
+    rows = numbered(reduce(DataFrame.unionByName, sources), list(key), order)
     return rows.withColumn("ordinal", F.col("place").cast("int")).drop("place")

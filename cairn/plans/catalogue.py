@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions import paths
@@ -13,7 +15,7 @@ from cairn.operators import client, evidence, hierarchy, queries, traverse, view
 from cairn.operators.projection import Projection, project_packages, subset_support
 from cairn.plans.adapter_sql import query
 from cairn.session import cut, folder
-from cairn.sources import go_facts, python_facts, tsjs_facts
+from cairn.sources import analyze, go_facts, python_facts, tsjs_facts
 from cairn.sources.demo_graph import demo_evidence, demo_graph, part_graph, tables
 from cairn.sources.store import SnapshotStore
 
@@ -742,17 +744,22 @@ lines AS (
   UNION ALL SELECT i, lang, 'node:fs', 'standard_library', NULL FROM p
   UNION ALL SELECT i, lang, '@scope/lib/x' || (i % 3), 'external', NULL FROM p
   UNION ALL SELECT i, lang, 'left-pad' || (i % 3), 'unclassified', NULL FROM p
-  UNION ALL SELECT i, lang, '#own' || (i % 3), 'unresolved', NULL FROM p)
+  UNION ALL SELECT i, lang, '#own' || (i % 3), 'unresolved', NULL FROM p
+  UNION ALL SELECT i, lang, '~/p' || (i + 2), CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.i = p.i + 2 AND q.lang = 'en') THEN 'internal_resolved' ELSE 'unresolved' END, 'file:en/p' || (i + 2) || '.ts' FROM p)
 SELECT lang || '/p' || i || '.ts' AS path, spec, class, CASE WHEN class = 'internal_resolved' THEN target END AS target FROM lines""")
 def ts_resolve(spark, sf):
-    """Pages as TypeScript files: their import statements read, and resolved by candidates, runtime modules and declared packages."""
+    """Pages as TypeScript files: their import statements read, and resolved by candidates, an alias, runtime modules and declared packages."""
     rows = _modules(spark, sf)
     i = lambda e: F.expr(e).cast("string")
-    specs = (F.concat(F.lit("./p"), i("i + 1")), F.concat(F.lit("../en/p"), i("2 * i"), F.lit(".js")), F.lit("node:fs"), F.concat(F.lit("@scope/lib/x"), i("i % 3")), F.concat(F.lit("left-pad"), i("i % 3")), F.concat(F.lit("#own"), i("i % 3")))
-    forms = ('import { a } from "%s";', "export * from '%s';", 'import "%s";', 'import type { B } from "%s";', 'import * as c from "%s";', 'import d from "%s";')
+    specs = (F.concat(F.lit("./p"), i("i + 1")), F.concat(F.lit("../en/p"), i("2 * i"), F.lit(".js")), F.lit("node:fs"), F.concat(F.lit("@scope/lib/x"), i("i % 3")), F.concat(F.lit("left-pad"), i("i % 3")), F.concat(F.lit("#own"), i("i % 3")), F.concat(F.lit("~/p"), i("i + 2")))
+    forms = ('import { a } from "%s";', "export * from '%s';", 'import "%s";', 'import type { B } from "%s";', 'import * as c from "%s";', 'import d from "%s";', 'export { e } from "%s";')
     files = rows.select(*_sources(F.concat("lang", F.lit("/p"), i("i"), F.lit(".ts")), *(F.format_string(form, spec) for form, spec in zip(forms, specs))))
-    declared = rows.agg(F.lit("@scope/lib").alias("name"))
-    return tsjs_facts.resolve_tsjs(tsjs_facts.tsjs_imports(files), files.select("path"), declared)
+    one = rows.groupBy().agg(F.count("*").alias("n"))
+    package = one.select(*_sources(F.lit("package.json"), F.lit('{"dependencies": {"@scope/lib": "1"}}')))
+    config = one.select(*_sources(F.lit("tsconfig.json"), F.lit('{"compilerOptions": {"baseUrl": ".", "paths": {"~/*": ["en/*"]}}} // aliases')))
+    facts = cut(tsjs_facts.extract(files))
+    out = tsjs_facts.resolve(tsjs_facts.imports_of(facts), files.select("path"), tsjs_facts.configs_of(config), tsjs_facts.packages_of(package))
+    return out.select("path", "spec", "class", "target")
 
 
 @registered(f"""
@@ -773,8 +780,118 @@ def go_resolve(spark, sf):
     text = (F.concat(F.lit("package "), package), F.lit('import "C"'), F.lit("import ("), F.concat(F.lit('\t"ex.com/'), "lang", F.lit("/d"), i("i % 9"), F.lit('"')), F.lit('\t"net/http"'), F.concat(F.lit('\tlib "git.org/lib/v'), i("i % 2"), F.lit('"')), F.lit(")"))
     files = rows.select(*_sources(F.concat("lang", F.lit("/"), package, F.lit("/f"), i("i"), F.lit(".go")), *text))
     modules = rows.where("lang <> 'es'").select("lang").distinct().select(*_sources(F.concat("lang", F.lit("/go.mod")), F.concat(F.lit("module ex.com/"), "lang"), F.lit("go 1.22"), F.when(F.col("lang") == "en", F.lit("require git.org/lib/v0 v0.1.0"))))
-    go = cut(go_facts.go_files(files))
-    return go_facts.resolve_go(go_facts.go_imports(go), go, go_facts.go_modules(modules))
+    facts = cut(go_facts.extract(files))
+    return go_facts.resolve(facts, go_facts.modules_of(modules), go_facts.workspaces_of(modules)).select("path", "import_path", "class", "target")
+
+
+# ---------------------------------------------------------------- from files to one graph
+
+# each page is a Go file, a Python file and a TypeScript file of a package of its language; written as what a scan must find in them
+_SCANNED = f"""
+WITH {_LANG},
+f AS (SELECT p.i, p.lang, p.lang || '/f' || p.i || '.go' AS go, p.lang || '/m' || p.i || '.py' AS py, p.lang || '/t' || p.i || '.ts' AS ts, q.i IS NOT NULL AS next, q.lang AS next_lang FROM p LEFT JOIN p q ON q.i = p.i + 1)"""
+
+
+def _repository(spark, sf):
+    """(path, content) of a mixed repository that the pages make up: four files for each, one module, packages by language."""
+    rows = _modules(spark, sf)
+    i = lambda e: F.expr(e).cast("string")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    following = rows.select((F.col("i") - 1).alias("i"), F.col("lang").alias("next"))
+    rows = cut(rows.join(following, "i", "left").withColumn("next", F.coalesce("next", F.lit("none"))))
+    lang, after = F.col("lang"), F.col("next")
+    go = rows.select(*_sources(
+        text(lang, "/f", i("i"), ".go"), text("package ", lang), F.lit('import "strings"'), text('import other "ex.com/', after, '"'), F.lit("// import nothing"), text("type T", i("i"), " struct{}"),
+        text("func (t *T", i("i"), ') Get() string { return strings.ToUpper("é") }'), text("func New", i("i"), "() { other.New", i("i + 1"), "() }"),
+    ))
+    broken = F.when(F.col("i") % 50 == 7, F.lit("def ("))
+    py = rows.select(*_sources(text(lang, "/m", i("i"), ".py"), F.lit("import os"), text("from ", after, ".m", i("i + 1"), " import helper"), text("class C", i("i"), ":"), F.lit("    def run(self): pass"), F.lit("def helper(): pass"), broken))
+    ts = rows.select(*_sources(text(lang, "/t", i("i"), ".ts"), text("import { run } from '../", after, "/t", i("i + 1"), "'"), text("export class K", i("i"), " { go(x: number) { return x } }"), F.lit("export const twice = (x: number) => 2 * x, limit = 3"), F.lit("require('x')")))
+    other = rows.select(*_sources(text(lang, "/x", i("i"), ".rs")))
+    one = rows.groupBy().agg(F.count("*").alias("n"))
+    module = one.select(*_sources(F.lit("go.mod"), F.lit("module ex.com"), F.lit("go 1.22")))
+    ignore = one.select(*_sources(F.lit(analyze.CONTROL), F.lit("es/*.ts")))
+    init = rows.select("lang").distinct().select(*_sources(text(lang, "/__init__.py")))
+    return reduce(DataFrame.union, (go, py, ts, other, module, ignore, init))
+
+
+def _scanned(spark, sf):
+    return analyze.analyze(_repository(spark, sf))
+
+
+@registered(_SCANNED + """
+SELECT 'module:.#ex.com' AS id, 'MODULE' AS kind, 'ex.com' AS name, CAST(NULL AS INTEGER) AS imports, CAST(NULL AS INTEGER) AS exports
+UNION ALL SELECT DISTINCT 'package:' || lang || '#' || lang, 'PACKAGE', lang, NULL, NULL FROM f
+UNION ALL SELECT 'file:' || go, 'FILE', 'f' || i || '.go', 2, 3 FROM f
+UNION ALL SELECT 'struct:' || go || '#T' || i, 'STRUCT', 'T' || i, NULL, NULL FROM f
+UNION ALL SELECT 'method:' || go || '#T' || i || '.Get', 'METHOD', 'T' || i || '.Get', NULL, NULL FROM f
+UNION ALL SELECT 'function:' || go || '#New' || i, 'FUNCTION', 'New' || i, NULL, NULL FROM f
+UNION ALL SELECT DISTINCT 'python-package:' || lang, 'PACKAGE', lang, NULL, NULL FROM f
+UNION ALL SELECT DISTINCT 'file:' || lang || '/__init__.py', 'FILE', '__init__.py', 0, NULL FROM f
+UNION ALL SELECT 'file:' || py, 'FILE', 'm' || i || '.py', 2, NULL FROM f WHERE i % 50 <> 7
+UNION ALL SELECT 'class:' || py || '#C' || i, 'CLASS', 'C' || i, NULL, NULL FROM f WHERE i % 50 <> 7
+UNION ALL SELECT 'method:' || py || '#C' || i || '.run', 'METHOD', 'C' || i || '.run', NULL, NULL FROM f WHERE i % 50 <> 7
+UNION ALL SELECT 'function:' || py || '#helper', 'FUNCTION', 'helper', NULL, NULL FROM f WHERE i % 50 <> 7
+UNION ALL SELECT 'file:' || ts, 'FILE', 't' || i || '.ts', 1, NULL FROM f WHERE lang <> 'es'
+UNION ALL SELECT 'tsjs-declaration:' || CAST(to_json([d.kind, ts, d.name || CASE WHEN d.own THEN CAST(i AS VARCHAR) ELSE '' END || d.rest, '0']) AS VARCHAR), d.kind, d.name || CASE WHEN d.own THEN CAST(i AS VARCHAR) ELSE '' END || d.rest, NULL, NULL
+  FROM f, (VALUES ('CLASS', 'K', true, ''), ('METHOD', 'K', true, '.go'), ('FUNCTION', 'twice', false, ''), ('VARIABLE', 'limit', false, '')) d(kind, name, own, rest) WHERE lang <> 'es'""")
+def scanned_nodes(spark, sf):
+    """The nodes of a mixed repository, from file contents to one graph."""
+    return _scanned(spark, sf).graph.nodes.select("id", "kind", "name", F.col("import_count").alias("imports"), F.col("export_count").alias("exports"))
+
+
+_SCANNED_EDGES = _SCANNED + """,
+edges AS (
+  SELECT 'IMPORTS' AS kind, 'file:' || go AS from_id, 'package:' || next_lang || '#' || next_lang AS to_id FROM f WHERE next
+  UNION ALL SELECT 'USES_EXPORT', 'file:' || go, 'file:' || next_lang || '/f' || (i + 1) || '.go' FROM f WHERE next
+  UNION ALL SELECT 'IMPORTS', 'file:' || py, 'file:' || next_lang || '/m' || (i + 1) || '.py' FROM f WHERE next AND i % 50 <> 7 AND (i + 1) % 50 <> 7
+  UNION ALL SELECT 'IMPORTS', 'file:' || ts, 'file:' || next_lang || '/t' || (i + 1) || '.ts' FROM f WHERE next AND lang <> 'es' AND next_lang <> 'es')"""
+
+
+@registered(_SCANNED_EDGES + " SELECT * FROM edges")
+def scanned_edges(spark, sf):
+    """Its imports and export uses."""
+    return _scanned(spark, sf).graph.edges.where("kind <> 'CONTAINS'")
+
+
+@registered(_SCANNED_EDGES + """,
+places AS (
+  SELECT e.*, go AS path, CASE e.kind WHEN 'IMPORTS' THEN 3 ELSE 7 END AS line, CASE e.kind WHEN 'IMPORTS' THEN 8 ELSE length('func New' || i || '() { ') + 1 END AS "column",
+    CASE e.kind WHEN 'IMPORTS' THEN 'other "ex.com/' || next_lang || '"' ELSE 'other.New' || (i + 1) END AS snippet FROM edges e JOIN f ON e.from_id = 'file:' || go
+  UNION ALL SELECT e.*, py, 2, 1, 'from ' || next_lang || '.m' || (i + 1) || ' import helper' FROM edges e JOIN f ON e.from_id = 'file:' || py
+  UNION ALL SELECT e.*, ts, 1, 1, 'import { run } from ' || chr(39) || '../' || next_lang || '/t' || (i + 1) || chr(39) FROM edges e JOIN f ON e.from_id = 'file:' || ts)
+SELECT CAST(row_number() OVER (ORDER BY path, line, "column", kind, to_id, snippet) - 1 AS INTEGER) AS ordinal, kind, from_id, to_id, path, CAST(line AS INTEGER) AS line, CAST("column" AS INTEGER) AS "column", CAST("column" + length(snippet) AS INTEGER) AS end_column, snippet FROM places""")
+def scanned_evidence(spark, sf):
+    """The occurrences behind them, in their saved order, with places and snippets."""
+    return _scanned(spark, sf).evidence.select("ordinal", "edge.*", "path", "line", "column", "end_column", "snippet")
+
+
+@registered(_SCANNED + """,
+issues AS (
+  SELECT 'UNSUPPORTED_FILE' AS kind, lang || '/x' || i || '.rs' AS path, '' AS import_path FROM f
+  UNION ALL SELECT 'FAILED_FILE', py, '' FROM f WHERE i % 50 = 7
+  UNION ALL SELECT 'TSJS_LIMITATION', ts, '' FROM f WHERE lang <> 'es'
+  UNION ALL SELECT 'UNRESOLVED_IMPORT', go, 'ex.com/none' FROM f WHERE NOT next
+  UNION ALL SELECT 'UNRESOLVED_IMPORT', py, next_lang || '.m' || (i + 1) FROM f WHERE next AND i % 50 <> 7 AND (i + 1) % 50 = 7
+  UNION ALL SELECT 'UNCLASSIFIED_IMPORT', py, 'none.m' || (i + 1) FROM f WHERE NOT next AND i % 50 <> 7
+  UNION ALL SELECT 'UNRESOLVED_IMPORT', ts, '../' || coalesce(next_lang, 'none') || '/t' || (i + 1) FROM f WHERE lang <> 'es' AND (NOT next OR next_lang = 'es'))
+SELECT CAST(row_number() OVER (ORDER BY kind, path, import_path) - 1 AS INTEGER) AS ordinal, kind, path, import_path FROM issues""")
+def scanned_issues(spark, sf):
+    """Its issues in order: failed, unsupported and unresolved."""
+    return _scanned(spark, sf).issues.select("ordinal", "kind", "path", "import_path")
+
+
+@registered(_SCANNED_EDGES + """,
+n AS (SELECT count(*) AS pages, count(*) FILTER (lang <> 'es') AS ts, count(*) FILTER (i % 50 = 7) AS broken, count(DISTINCT lang) AS langs, count(*) FILTER (NOT next) AS ends, count(*) FILTER (NOT next AND i % 50 <> 7) AS pyends,
+  count(*) FILTER (next AND i % 50 <> 7 AND (i + 1) % 50 = 7) AS lost, count(*) FILTER (lang <> 'es' AND (NOT next OR next_lang = 'es')) AS tslost FROM f)
+SELECT 'completed_with_gaps' AS status, CAST(3 * pages + ts + 1 + langs AS BIGINT) AS files_discovered, CAST(2 * pages + ts + langs AS BIGINT) AS supported_source_files, CAST(2 * pages + ts + langs - broken AS BIGINT) AS files_analyzed,
+  CAST(pages AS BIGINT) AS files_skipped, CAST(broken AS BIGINT) AS files_failed, CAST(2 * pages + 2 * (pages - broken) + ts AS BIGINT) AS imports_discovered, (SELECT count(*) FROM edges WHERE kind = 'IMPORTS') AS internal_resolved,
+  CAST(2 * pages - broken AS BIGINT) AS standard_library, CAST(ends + lost + tslost AS BIGINT) AS unresolved, CAST(pyends AS BIGINT) AS unclassified FROM n""")
+def scanned_coverage(spark, sf):
+    """One row of its counters and status."""
+    found = _scanned(spark, sf)
+    names = ("files_discovered", "supported_source_files", "files_analyzed", "files_skipped", "files_failed", "imports_discovered", "internal_resolved", "standard_library", "unresolved", "unclassified")
+    return spark.createDataFrame([(found.status, *(found.counters[c] for c in names))], "status string, " + ", ".join(f"{c} long" for c in names))
 
 
 # ---------------------------------------------------------------- scanning sources

@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.graph import EDGE_COLUMNS, NODE_COLUMNS, CodeGraph
+from cairn.session import cut
+from cairn.sources.fragment import Fragment, evidence_of, issues_of
 
-
-FACTS = "path string, fact string, name string, module string, level int, line int, column int, end_line int, end_column int, snippet string"
+FACTS = "path string, fact string, name string, module string, level int, line int, column int, end_line int, end_column int, snippet string, truncated boolean"
+SNIPPET = 8192
 
 
 def _place(lines: list[str], node) -> tuple:
-    """Line and UTF-16 column of both ends, 1-based, the end exclusive, and the source between, 8192 characters at most."""
-    units = lambda row, at: len(lines[row - 1].encode()[:at].decode(errors="ignore").encode("utf-16-le")) // 2 + 1
-    text = ast.get_source_segment("\n".join(lines), node) or ""
-    return node.lineno, units(node.lineno, node.col_offset), node.end_lineno, units(node.end_lineno, node.end_col_offset), text[:8192]
+    """Line and UTF-16 column of both ends, 1-based, the end exclusive, the source between (SNIPPET characters at most) and whether it is cut."""
+    before = lambda row, at: lines[row - 1].encode()[:at].decode(errors="ignore")
+    start, stop = before(node.lineno, node.col_offset), before(node.end_lineno, node.end_col_offset)
+    units = lambda text: len(text.encode("utf-16-le")) // 2 + 1
+    text = "\n".join([*lines[node.lineno - 1 : node.end_lineno - 1], stop])[len(start) :]
+    return node.lineno, units(start), node.end_lineno, units(stop), text[:SNIPPET], len(text) > SNIPPET
 
 
 def facts_of(path: str, content: bytes) -> list[tuple]:
@@ -31,8 +35,8 @@ def facts_of(path: str, content: bytes) -> list[tuple]:
         text = content.decode(encoding)
         tree = ast.parse(text)
     except (SyntaxError, UnicodeError, ValueError) as e:
-        return [(path, "failed", None, str(e), None, getattr(e, "lineno", None), None, None, None, None)]
-    lines, rows = text.split("\n"), [(path, "parsed", None, None, None, None, None, None, None, None)]
+        return [(path, "failed", None, str(e), None, getattr(e, "lineno", None), None, None, None, None, None)]
+    lines, rows = text.split("\n"), [(path, "parsed", None, None, None, None, None, None, None, None, None)]
     functions = (ast.FunctionDef, ast.AsyncFunctionDef)
     for node in tree.body:
         if isinstance(node, functions):
@@ -94,16 +98,16 @@ def resolve(facts: DataFrame, packages: DataFrame) -> DataFrame:
     standard = F.coalesce(F.col("root").isin(*sorted(sys.stdlib_module_names)), F.lit(False))
     n = F.coalesce(F.size("targets"), F.lit(0))
     rows = rows.join(roots, "root", "left")
-    reason = F.when((F.col("level") > 0) & F.col("dotted").isNull(), "relative import without its package").when((n == 1) & standard, "conflicts with the standard library").when(n == 1, None).when(n > 1, "several modules have this name").when(standard, None).when((F.col("level") > 0) | F.col("known"), "no module of this name")
+    reason = F.when((F.col("level") > 0) & F.col("dotted").isNull(), "relative import has no proven classic package context").when((n == 1) & standard, "repository module conflicts with a standard-library name; runtime search order is unknown").when(n == 1, None).when(n > 1, "multiple repository targets have this module identity").when(standard, None).when((F.col("level") > 0) | F.col("known"), "module is absent from the proven package structure")
     kind = F.when((F.col("level") > 0) & F.col("dotted").isNull(), "unresolved").when((n == 1) & standard, "unresolved").when(n == 1, "internal_resolved").when(n > 1, "unresolved").when(standard, "standard_library").when((F.col("level") > 0) | F.col("known"), "unresolved").otherwise("unclassified")
     display = F.concat(F.expr("repeat('.', level)"), F.coalesce("module", F.lit("")), F.coalesce("name", F.lit("")))
-    return rows.select("path", display.alias("import_path"), kind.alias("class"), F.when(kind == "internal_resolved", F.col("targets")[0]).alias("target"), reason.alias("reason"), "line", "column", "end_line", "end_column", "snippet")
+    return rows.select("path", display.alias("import_path"), kind.alias("class"), F.when(kind == "internal_resolved", F.col("targets")[0]).alias("target"), reason.alias("reason"), "line", "column", "end_line", "end_column", "snippet", "truncated")
 
 
 def python_graph(facts: DataFrame, root_name: str) -> tuple[CodeGraph, DataFrame]:
     """(graph, resolved imports): packages, files and declarations with their containment and imports."""
-    packages = package_names(facts, root_name)
-    resolved = resolve(facts, packages)
+    packages = cut(package_names(facts, root_name))
+    resolved = cut(resolve(facts, packages))
     files = facts.where("fact = 'parsed'").select("path")
     counts = facts.where("fact = 'import'").groupBy("path").agg(F.count("*").cast("int").alias("n"))
     none = F.lit(None).cast("int")
@@ -127,3 +131,13 @@ def python_graph(facts: DataFrame, root_name: str) -> tuple[CodeGraph, DataFrame
     return CodeGraph(nodes, held.union(used).distinct().select(EDGE_COLUMNS)), resolved
 
 
+def python_fragment(files: DataFrame, root_name: str, facts: DataFrame | None = None) -> Fragment:
+    """Packages, files and declarations of the .py files of files(path, content), with containment, imports, evidence, issues and import counts."""
+    facts = extract(files.where(F.col("path").endswith(".py"))) if facts is None else facts
+    graph, resolved = python_graph(facts, root_name)
+    failed = facts.where("fact = 'failed'").select("path", F.lit("").alias("import_path"), F.col("module").alias("reason"))
+    issues = issues_of(failed, "FAILED_FILE").union(issues_of(resolved.where("class = 'unresolved'"), "UNRESOLVED_IMPORT"))
+    open_ones = resolved.where("class = 'unclassified'").withColumn("reason", F.lit("no proven repository target or standard-library classification"))
+    issues = issues.union(issues_of(open_ones, "UNCLASSIFIED_IMPORT"))
+    evidence = evidence_of(resolved.where("target is not null"), "IMPORTS", F.col("target"), files)
+    return Fragment(graph, evidence, issues, resolved.select("path", "class"), facts.where("fact in ('parsed', 'failed')").select("path", (F.col("fact") == "failed").alias("failed")))

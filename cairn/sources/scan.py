@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import Rule, ignore_matches, language_of
-from cairn.schema import SKIPPED_DIRECTORIES
+from cairn.schema import SKIPPED_DIRECTORIES, GraphError
 
 
 def repository_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of all files under root, paths relative to it. Symbolic links are not told apart by Spark's reader."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1]
-    return files.select(F.regexp_replace("path", "^.*?" + "\\Q" + base + "\\E/", "").alias("path"), "content")
+    """(path, content) of the files under root, a folder, without those in built-in skipped folders; paths are relative to it.
+
+    The driver lists names and sizes; tasks read the contents. Spark's readers leave out empty
+    files and names that begin with `_` or `.`: the latter (as `__init__.py`) are read one by one.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(where) or not system.getFileStatus(where).isDirectory():
+        raise GraphError("bad_request", f"{root} is no folder")
+    base = system.getFileStatus(where).getPath().toUri().getPath().rstrip("/") + "/"
+    listed, plain, odd = system.listFiles(where, True), [], []
+    while listed.hasNext():
+        status = listed.next()
+        path = status.getPath().toUri().getPath().removeprefix(base)
+        if set(path.split("/")[:-1]) & set(SKIPPED_DIRECTORIES):
+            continue
+        if status.getLen() == 0:
+            odd.append((path, b""))
+        elif path.rpartition("/")[2][0] in "_.":
+            stream = system.open(status.getPath())
+            odd.append((path, bytes(stream.readAllBytes())))
+            stream.close()
+        else:
+            plain.append(re.sub(r"([{}\[\]*?\\])", r"\\\1", status.getPath().toString()))  # names, not patterns
+    out = spark.createDataFrame(odd, "path string, content binary")
+    if plain:
+        files = spark.read.format("binaryFile").load(plain)
+        out = out.union(files.select(F.regexp_replace("path", "^.*?" + "\\Q" + base + "\\E", "").alias("path"), "content"))
+    return out
 
 
 def scan(files: DataFrame, rules: list[Rule], control: str) -> tuple[DataFrame, DataFrame]:

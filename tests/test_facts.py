@@ -1,8 +1,10 @@
-"""Go and TypeScript facts, and the tools of a snapshot."""
+"""Go and TypeScript facts, whole scans, and the tools of a snapshot."""
 
-from cairn.sources.go_facts import go_declarations, go_files, go_imports, go_modules, resolve_go
+from pyspark.sql import functions as F
+
+from cairn.sources import go_facts, go_syntax, tsjs_facts, tsjs_syntax
+from cairn.sources.analyze import analyze, report, scan_to_snapshot
 from cairn.sources.store import SnapshotStore
-from cairn.sources.tsjs_facts import resolve_tsjs, tsjs_imports
 from cairn.surface import Snapshot
 from tests.test_graph import packages
 
@@ -13,31 +15,176 @@ def repo(spark, files):
     return spark.createDataFrame([(p, c.encode()) for p, c in files.items()], FILES)
 
 
+GO = """// Package b: package no
+package b
+
+import (
+	"fmt"
+	al "example.org/app/alpha" // "commented/out"
+	. "example.org/app/dot"
+	`raw`
+)
+
+import "C"
+
+type S struct{ a, b int }
+type (
+	I interface{ Do() }
+	N int
+	G[T any] struct{}
+	A = struct{}
+	L [4]int
+)
+
+var x, Y = 1, func() int { var inner = 2; return inner }()
+
+const (
+	One = iota +
+		1
+	two
+	_
+)
+
+func (s *S) Do(al int) { fmt.Println(al.Not) }
+func (g *G[T]) Get() {}
+func init() {}
+func init() {}
+
+func Run(p int) {
+	s := "al.Text" + `al.Raw`
+	al.First(s)
+	if al := p; al > 0 {
+		al.Shadowed()
+	}
+	for range 3 {
+		al := 1
+		al.Hidden()
+	}
+	al.Second.Third()
+}
+"""
+
+
+def test_go_syntax():
+    rows = go_syntax.facts_of("b/b.go", GO.encode())
+    by = lambda *facts: [r[2] for r in rows if r[1] in facts]
+    assert rows[0][:3] == ("b/b.go", "parsed", "b")
+    assert [(r[2], r[3]) for r in rows if r[1] == "import"] == [(None, '"fmt"'), ("al", '"example.org/app/alpha"'), (".", '"example.org/app/dot"'), (None, "`raw`"), (None, '"C"')]
+    assert by("STRUCT") == ["S", "G"] and by("INTERFACE") == ["I"] and by("TYPE") == ["N", "A", "L"]
+    assert by("VARIABLE") == ["x", "Y"] and by("CONSTANT") == ["One", "two"] and by("METHOD") == ["S.Do", "G.Get"]
+    assert [(r[2], r[3]) for r in rows if r[1] == "FUNCTION"] == [("init", "init@1"), ("init", "init@2"), ("Run", None)]
+    # a shadowed name is none of the import's: parameters, and variables from where they are declared to their block's end
+    assert [(r[2], r[3]) for r in rows if r[1] == "reference" and r[2] == "al"] == [("al", "First")]
+    place = next(r for r in rows if r[1] == "import" and r[2] == "al")
+    assert place[4:9] == (6, 2, 6, 28, 'al "example.org/app/alpha"')
+    for bad in ("package", "package a\nfunc f( {", "package a\nx := 1", "package a\n}"):
+        assert go_syntax.facts_of("x.go", bad.encode())[0][1] == "failed"
+    assert go_syntax.facts_of("x.go", b"package a\nvar s = \"\xff\"")[0][1] == "failed"
+
+
 def test_go(spark):
     files = repo(spark, {
-        "go.mod": "module example.org/app\n\nrequire (\n\tgithub.com/x/y v1.2.3\n)\n",
-        "main.go": 'package main\n\nimport (\n\t"fmt"\n\t// "commented/out"\n\tb "example.org/app/beta"\n\t"github.com/x/y/z"\n\t"example.org/app/none"\n\t"other.org/q"\n)\n\nimport "C"\n\nfunc main() {}\n',
-        "beta/b.go": "package beta\n\ntype S struct{}\n\nfunc (s *S) Do() {}\n\nfunc help() {}\n\nvar (\n\tOne = 1\n\t_ = 2\n)\n\nconst two = 2\n\ntype I interface{}\n\ntype N int\n",
-        "beta/b_test.go": "package beta_test\n",
+        "go.mod": "module example.org/app // here\n\nrequire (\n\tgithub.com/x/y v1.2.3\n\tgithub.com/x/old v1.0.0\n\texample.org/app/taken v1.0.0\n)\nreplace github.com/x/old => ./moved\nexclude github.com/x/y/bad v1.0.0\n",
+        "main.go": 'package main\n\nimport (\n\t"fmt"\n\tb "example.org/app/beta"\n\t"github.com/x/y/z"\n\t"example.org/app/none"\n\t"other.org/q"\n\t"github.com/x/old/deep"\n\t"example.org/app/taken/p"\n\t"example.org/app/two"\n)\n\nimport "C"\n\nfunc main() { b.Make(); b.Lost(); b.Lost() }\n',
+        "beta/b.go": "package beta\n\nfunc Make() {}\n", "beta/b_test.go": "package beta\n\nfunc Lost() {}\n", "beta/x_test.go": "package beta_test\n",
+        "moved/deep/d.go": "package deep\n", "two/a.go": "package a\n", "two/b.go": "package b\n", "odd.go": "package",
     })
-    go = go_files(files)
-    got = {r.import_path: (r["class"], r.target) for r in resolve_go(go_imports(go), go, go_modules(files)).collect()}
+    fragment = go_facts.go_fragment(files)
+    got = {r.import_path: (r["class"], r.target) for r in go_facts.resolve(go_facts.extract(files), go_facts.modules_of(files), go_facts.workspaces_of(files)).collect()}
     assert got == {
-        "fmt": ("standard_library", None), "example.org/app/beta": ("internal_resolved", "package:beta#beta"), "github.com/x/y/z": ("external", None),
-        "example.org/app/none": ("unresolved", None), "other.org/q": ("unclassified", None), "C": ("cgo", None),
+        "fmt": ("standard_library", None), "example.org/app/beta": ("internal_resolved", "package:beta#beta"), "github.com/x/y/z": ("external", None), "example.org/app/none": ("unresolved", None), "other.org/q": ("unclassified", None),
+        "C": ("cgo", None), "github.com/x/old/deep": ("internal_resolved", "package:moved/deep#deep"), "example.org/app/taken/p": ("external", None), "example.org/app/two": ("unresolved", None),
+    }
+    edges = {(r.kind, r.from_id, r.to_id) for r in fragment.graph.edges.where("from_id = 'file:main.go'").collect()}
+    assert edges == {("IMPORTS", "file:main.go", "package:beta#beta"), ("IMPORTS", "file:main.go", "package:moved/deep#deep"), ("USES_EXPORT", "file:main.go", "file:beta/b.go"), ("CONTAINS", "file:main.go", "function:main.go#main")}
+    issues = {(r.kind, r.path, r.import_path) for r in fragment.issues.collect()}
+    assert issues == {
+        ("FAILED_FILE", "odd.go", ""), ("UNRESOLVED_IMPORT", "main.go", "example.org/app/none"), ("UNRESOLVED_IMPORT", "main.go", "example.org/app/two"), ("UNCLASSIFIED_IMPORT", "main.go", "other.org/q"),
+        ("UNRESOLVED_EXPORT_SOURCE", "main.go", "example.org/app/beta"),
     }
-    names = {(r.kind, r.name, r.exported) for r in go_declarations(go.where("path = 'beta/b.go'")).collect()}
-    assert names == {("STRUCT", "S", True), ("METHOD", "S.Do", True), ("FUNCTION", "help", False), ("VARIABLE", "One", True), ("CONSTANT", "two", False), ("INTERFACE", "I", True), ("TYPE", "N", True)}
+    assert {(r.edge.kind, r.snippet) for r in fragment.evidence.collect()} == {("IMPORTS", 'b "example.org/app/beta"'), ("IMPORTS", '"github.com/x/old/deep"'), ("USES_EXPORT", "b.Make")}
+
+
+def test_go_workspace(spark):
+    files = repo(spark, {
+        "go.work": "go 1.22\nuse (\n\t./a\n\t./b\n)\n", "a/go.mod": "module x.org/a\nrequire z.org/z v1.0.0\n", "b/go.mod": "module x.org/b\n", "c/go.mod": "module x.org/c\n",
+        "a/m.go": 'package a\nimport "x.org/b/in"\nimport "z.org/z"\nimport "x.org/c"\n', "b/in/i.go": "package in\n", "c/c.go": 'package c\nimport "x.org/c/d"\n', "c/d/d.go": "package d\n",
+    })
+    rows = go_facts.resolve(go_facts.extract(files), go_facts.modules_of(files), go_facts.workspaces_of(files)).collect()
+    assert {(r.path, r.import_path): (r["class"], r.target) for r in rows} == {
+        ("a/m.go", "x.org/b/in"): ("internal_resolved", "package:b/in#in"), ("a/m.go", "z.org/z"): ("unclassified", None), ("a/m.go", "x.org/c"): ("unclassified", None), ("c/c.go", "x.org/c/d"): ("unresolved", None),
+    }
+
+
+TS = r"""import x from './b' // import y from './c'
+import type { Y } from "../lib/c.js";
+import 'react'
+export * from 'node:fs'
+import eq = require('q')
+export default class Big { constructor(private a: number) {} get size() { return 1 } async run<T>(x: T) { if (x) { call(x) } } 'quoted name'() {} static #own() {} }
+export interface Face { go(): void }
+type Alias = string
+const enum Kind { A }
+export const { a, b: [c], ...rest } = load(), arrow = async (x) => x, plain = 3, fn = function () {}
+let re = /["'{]/g, t = `{ ${x} '`
+function deep() { const inner = 1; return import('./lazy') }
+export function deep2() {}
+function deep() {}
+"""
+
+
+def test_tsjs_syntax():
+    rows = tsjs_syntax.facts_of("src/a.ts", TS.encode())
+    by = lambda fact: [r[2] for r in rows if r[1] == fact]
+    assert by("import") == ["./b", "../lib/c.js", "react", "node:fs"]
+    assert by("CLASS") == ["Big"] and by("METHOD") == ["Big.constructor", "Big.run", "Big.quoted name", "Big.#own"]
+    assert by("INTERFACE") == ["Face"] and by("TYPE") == ["Alias"] and by("ENUM") == ["Kind"]
+    assert by("FUNCTION") == ["arrow", "fn", "deep", "deep2", "deep"] and by("VARIABLE") == ["a", "c", "rest", "plain", "re", "t"]
+    assert [r[3] for r in rows if r[1] == "limitation"] == [tsjs_syntax.IMPORT_EQUALS, tsjs_syntax.DYNAMIC]
+    assert next(r for r in rows if r[2] == "../lib/c.js")[4:9] == (2, 1, 2, 38, 'import type { Y } from "../lib/c.js";')
+    assert tsjs_syntax.facts_of("x.ts", b"function f( {")[0][1] == "failed"
 
 
 def test_tsjs(spark):
-    files = repo(spark, {"src/a.ts": "import x from './b'\nimport type { Y } from \"../lib/c.js\"\nimport 'react'\nexport * from 'node:fs'\nimport z from './none'\nimport q from 'left/x'\nimport r from '../../out'\n", "src/b/index.tsx": "", "lib/c.ts": ""})
-    deps = spark.createDataFrame([("react",)], "name string")
-    got = {r.spec: (r["class"], r.target) for r in resolve_tsjs(tsjs_imports(files), files, deps).collect()}
-    assert got == {
-        "./b": ("internal_resolved", "file:src/b/index.tsx"), "../lib/c.js": ("internal_resolved", "file:lib/c.ts"), "react": ("external", None),
-        "node:fs": ("standard_library", None), "./none": ("unresolved", None), "left/x": ("unclassified", None), "../../out": ("unresolved", None),
+    files = repo(spark, {
+        "src/a.ts": "import x from './b'\nimport type { Y } from \"../lib/c.js\"\nimport 'react'\nexport * from 'node:fs'\nimport z from './none'\nimport q from 'left/x'\nimport r from '../../out'\nimport s from '@/c'\nimport t from 'lib/c'\nimport u from '#in'\nimport v from 'exact'\n",
+        "src/b/index.tsx": "", "lib/c.ts": "", "package.json": '{"devDependencies": {"react": "1"}, "workspaces": []}', "tsconfig.json": '{\n// base\n"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["lib/*"], "exact": ["src/b"],}}}',
+        "odd/tsconfig.json": '{"extends": "../tsconfig.json"}', "odd/o.js": "import './p'\n",
+    })
+    fragment = tsjs_facts.tsjs_fragment(files)
+    facts = tsjs_facts.extract(files)
+    rows = tsjs_facts.resolve(tsjs_facts.imports_of(facts), facts.where("fact = 'parsed'").select("path"), tsjs_facts.configs_of(files), tsjs_facts.packages_of(files))
+    assert {r.spec: (r["class"], r.target) for r in rows.collect()} == {
+        "./b": ("internal_resolved", "file:src/b/index.tsx"), "../lib/c.js": ("internal_resolved", "file:lib/c.ts"), "react": ("external", None), "node:fs": ("standard_library", None), "./none": ("unresolved", None),
+        "left/x": ("unclassified", None), "../../out": ("unresolved", None), "@/c": ("internal_resolved", "file:lib/c.ts"), "lib/c": ("internal_resolved", "file:lib/c.ts"), "#in": ("unresolved", None), "exact": ("internal_resolved", "file:src/b/index.tsx"),
+        "./p": ("unresolved", None),
     }
+    assert fragment.graph.edges.where("kind = 'IMPORTS'").count() == 2 and fragment.evidence.count() == 5
+    limits = {(r.path, r.reason) for r in fragment.issues.where("kind = 'TSJS_LIMITATION'").collect()}
+    assert ("odd/o.js", "configuration extends is unsupported") in limits and ("src/a.ts", "package workspaces are not resolved") in limits
+
+
+def test_scan_to_snapshot(spark, tmp_path):
+    """From a folder to a saved snapshot: three languages, ignored files, evidence in order, issues and counters."""
+    root = tmp_path / "repo"
+    for path, text in {
+        "go.mod": "module m.org\n", "a/a.go": 'package a\nimport "m.org/b"\nfunc Run() { b.Do() }\n', "b/b.go": "package b\nfunc Do() {}\n", "p/__init__.py": "", "p/x.py": "from . import y\nimport none\n", "p/y.py": "", "web/i.ts": "import './j'\n",
+        "web/j.ts": "export const k = 1\n", "old/z.rs": "", "gen/g.py": "", ".cairnignore": "gen/\n", "node_modules/n.js": "",
+    }.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    scan = scan_to_snapshot(spark, str(root), store, "")
+    graph, parts = store.load(scan)
+    used = {(r.kind, r.from_id, r.to_id) for r in graph.edges.where("kind <> 'CONTAINS'").collect()}
+    assert used == {("IMPORTS", "file:a/a.go", "package:b#b"), ("USES_EXPORT", "file:a/a.go", "file:b/b.go"), ("IMPORTS", "file:p/x.py", "file:p/y.py"), ("IMPORTS", "file:web/i.ts", "file:web/j.ts")}
+    assert [(r.ordinal, r.path, r.line) for r in parts["evidence"].orderBy("ordinal").collect()] == [(0, "a/a.go", 2), (1, "a/a.go", 3), (2, "p/x.py", 1), (3, "web/i.ts", 1)]
+    assert [(r.ordinal, r.kind, r.path) for r in parts["issues"].orderBy("ordinal").collect()] == [(0, "UNCLASSIFIED_IMPORT", "p/x.py"), (1, "UNSUPPORTED_FILE", "old/z.rs")]
+    assert [(r.path, r.reason) for r in parts["exclusions"].collect()] == [("gen/", '.cairnignore:1 pattern "gen/"')]
+    row = store.list().first()
+    assert (row.status, row.files_discovered, row.supported_source_files, row.files_analyzed, row.imports_discovered, row.internal_resolved, row.unclassified) == ("completed_with_gaps", 9, 7, 7, 4, 3, 1)
+    lines = report(analyze(repo(spark, {"a.py": "import os\n"}))).collect()
+    assert [tuple(r) for r in lines] == [("node", "FILE file:a.py a.py a.py")]
 
 
 def test_tools(spark, tmp_path):
