@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from cairn.graph import EDGE_COLUMNS, CodeGraph, is_declaration, role_of
 from cairn.operators.hierarchy import ancestors, parents
 from cairn.operators.projection import Projection
+from cairn.operators.queries import Neighborhood
 from cairn.session import cut
 
 
@@ -299,24 +301,94 @@ def bundle_routes(lines: DataFrame, visible: VisibleGraph, windows: DataFrame) -
     return Bundles(routes, rows.select("bundle", F.col("id").alias("line")), facts)
 
 
+def row_windows(rows: DataFrame, first: int, last: int) -> DataFrame:
+    """(card, file, place) of rows(card, file, at): the rows of each card from place first to last, exclusive, are visible, the others above or below."""
+    place = F.when(F.col("at") < first, "above").when(F.col("at") < last, "visible").otherwise("below")
+    return rows.select("card", "file", place.alias("place"))
+
+
+def connected_handles(windows: DataFrame, connected: DataFrame) -> DataFrame:
+    """(card, handle): the visible rows of windows that are in connected(file), and one handle for all those above or below."""
+    handle = F.when(F.col("place") == "above", ABOVE).when(F.col("place") == "below", BELOW).otherwise(F.col("file"))
+    return windows.join(connected.select("file").distinct(), "file", "left_semi").select("card", handle.alias("handle")).distinct()
+
+
 def reveal(graph: CodeGraph, node_id: str) -> DataFrame:
-    """(id): what must be expanded for a node to show: all that contains it."""
-    return ancestors(graph, graph.nodes.where(F.col("id") == node_id).select("id")).where(F.col("id") != node_id)
+    """(id, kind, part): what must be open for a node to show, part of packages or files, and under kinds its own if it is a declaration."""
+    node = graph.nodes.where(F.col("id") == node_id).select("id", "kind")
+    above = ancestors(graph, node.select("id")).where(F.col("id") != node_id)
+    held = graph.nodes.join(above, "id", "left_semi").where("kind in ('PACKAGE', 'FILE')").select("id", "kind", F.when(F.col("kind") == "FILE", "files").otherwise("packages").alias("part"))
+    return held.union(node.where(is_declaration(F.col("kind"))).select("id", "kind", F.lit("kinds")))
+
+
+def explorer_tree(graph: CodeGraph, visible: VisibleGraph) -> DataFrame:
+    """(id, parent, section): each visible node below its parent if that shows, else in the section that its labels name; others are left out."""
+    shown = visible.nodes.select("id")
+    rows = shown.join(parents(graph).withColumnRenamed("child", "id"), "id", "left").join(shown.select(F.col("id").alias("parent"), F.lit(True).alias("inside")), "parent", "left")
+    rows = rows.join(present(graph).select("id", "explorer_section"), "id")
+    under = F.when(F.col("inside"), F.col("parent"))
+    return rows.select("id", under.alias("parent"), F.when(under.isNull(), F.col("explorer_section")).alias("section")).where("parent is not null or section is not null")
+
 
+def explorer_roots(graph: CodeGraph) -> DataFrame:
+    """(id): packages that lie in no package, and files in nothing."""
+    up = graph.nodes.where("kind = 'PACKAGE'").select(F.col("id").alias("parent"), F.lit(True).alias("nested"))
+    rows = graph.nodes.select("id", "kind").join(parents(graph).withColumnRenamed("child", "id"), "id", "left").join(up, "parent", "left")
+    return rows.where("(kind = 'PACKAGE' and nested is null) or (kind = 'FILE' and parent is null)").select("id").distinct()
 
-def flatten_explorer(graph: CodeGraph, roots: DataFrame, expanded: DataFrame) -> DataFrame:
-    """(id, depth, sort_path): the tree below roots(id) in pre-order, descending only into expanded(id); siblings by path and id."""
-    key = graph.nodes.select("id", F.concat_ws("\x01", "path", "id").alias("key"))
+
+def flatten_explorer(graph: CodeGraph, roots: DataFrame, expanded: DataFrame, kinds: tuple[str, ...] | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """(id, depth, sort_path, more): the tree below roots(id) in pre-order, descending only into expanded(id); siblings by path and id.
+
+    kinds are the declarations listed (all by default). pages(id, next, total) tells how many
+    children of a node are loaded: an expanded node with more has a row behind them, of its id
+    and with how many are missing in `more`; other rows have none there.
+    """
+    listed = graph.nodes if kinds is None else graph.nodes.where(~is_declaration(F.col("kind")) | F.col("kind").isin(*kinds))
+    key = listed.select(F.col("id").alias("child"), F.concat_ws("\x01", "path", "id").alias("key"))
     pair = parents(graph)
-    level = cut(roots.select("id").distinct().join(key, "id").select("id", F.lit(0).alias("depth"), F.array("key").alias("sort_path")))
+    opened_ids = expanded.select("id").distinct()
+    level = cut(roots.select(F.col("id").alias("child")).distinct().join(key, "child").select(F.col("child").alias("id"), F.lit(0).alias("depth"), F.array("key").alias("sort_path")))
     out = level
     while True:
-        opened = level.join(expanded.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("parent"), F.col("depth").alias("d"), F.col("sort_path").alias("sp"))
-        level = opened.join(pair, "parent").join(key, F.col("child") == key.id).select(key.id, (F.col("d") + 1).alias("depth"), F.concat("sp", F.array("key")).alias("sort_path"))
+        opened = level.join(opened_ids, "id", "left_semi").select(F.col("id").alias("parent"), F.col("depth").alias("d"), F.col("sort_path").alias("sp"))
+        level = opened.join(pair, "parent").join(key, "child").select(F.col("child").alias("id"), (F.col("d") + 1).alias("depth"), F.concat("sp", F.array("key")).alias("sort_path"))
         level = cut(level)
         if level.isEmpty():
-            return out.orderBy("sort_path")
+            break
         out = out.union(level)
+    none = F.lit(None).cast("long")
+    rows = out.withColumn("more", none)
+    if pages is not None:
+        missing = out.join(opened_ids, "id", "left_semi").join(pages.where("next < total"), "id")
+        behind = F.concat("sort_path", F.array(F.lit("\U0010ffff")))  # sorts behind all children
+        rows = rows.union(missing.select("id", F.col("depth") + 1, behind, (F.col("total") - F.col("next")).cast("long")))
+    return rows.orderBy("sort_path")
+
+
+def neighborhood_graph(near: Neighborhood, projection: Projection, scope: str) -> VisibleGraph:
+    """A neighbourhood as a visible graph: each edge stands for the facts behind it in package scope, else for itself."""
+    none = F.lit(None).cast("string")
+    nodes = near.graph.nodes.select("*", none.alias("parent_id"), F.lit(0).cast("long").alias("child_count"), F.lit(False).alias("expanded"))
+    key = fact_key(F.col("kind"), F.col("from_id"), F.col("to_id"))
+    edges = near.graph.edges.select(key.alias("id"), "kind", F.col("from_id").alias("source"), F.col("to_id").alias("target"), (key if scope == "package" else none).alias("projected"), F.lit(None).cast("long").alias("supporting_count"))
+    own = near.graph.edges.select(key.alias("edge_id"), "kind", "from_id", "to_id")
+    if scope == "package":
+        facts = projection.support.join(near.graph.edges.select("from_id", "to_id"), ["from_id", "to_id"], "left_semi")
+        facts = facts.select(fact_key(F.lit("IMPORTS"), F.col("from_id"), F.col("to_id")).alias("edge_id"), F.col("source_kind").alias("kind"), F.col("source_from").alias("from_id"), F.col("source_to").alias("to_id"))
+        own = facts.union(own.join(facts.select("edge_id").distinct(), "edge_id", "left_anti"))
+    return VisibleGraph(nodes, edges, own)
+
+
+def merge_graphs(batches: list[CodeGraph]) -> CodeGraph:
+    """Nodes of all batches, the last one's where several have them, and the edges of all."""
+    edges = reduce(DataFrame.union, (g.edges.select(EDGE_COLUMNS) for g in batches))
+    return CodeGraph(merge_nodes([g.nodes for g in batches]), edges.distinct())
+
+
+def merge_projections(batches: list[Projection]) -> Projection:
+    """The projections of parts of a graph as one: their edges and all that supports them."""
+    return Projection(merge_graphs([p.graph for p in batches]), reduce(DataFrame.unionByName, (p.support for p in batches)).distinct())
 
 
 def merge_nodes(batches: list[DataFrame]) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cairn.graph import EDGE_COLUMNS, CodeGraph, is_declaration, require_node
 from cairn.operators.hierarchy import children_page, parents, subgraph
-from cairn.operators.projection import Projection
-from cairn.operators.queries import related_page
+from cairn.operators.evidence import supporting_facts
+from cairn.operators.projection import Projection, subset_support
+from cairn.operators.queries import Neighborhood, related_page
 
 
 def unprojected_imports(graph: CodeGraph, projection: Projection) -> DataFrame:
@@ -74,6 +75,40 @@ def inspect_page(graph: CodeGraph, projection: Projection, node_id: str, offset:
     return {"node": graph.nodes.where(F.col("id") == node_id), "parent": parent, "children": children, "children_total": n, "outgoing": outgoing, "outgoing_total": o, "incoming": incoming, "incoming_total": i}
 
 
+def inspect_relations(graph: CodeGraph, node_id: str, listed: DataFrame) -> CodeGraph:
+    """The relations but containment between a node and the listed(id) neighbours, with what contains them."""
+    require_node(graph.nodes, node_id)
+    rest = graph.edges.where("kind <> 'CONTAINS'")
+    out = rest.where(F.col("from_id") == node_id).join(listed.select(F.col("id").alias("to_id")).distinct(), "to_id", "left_semi").select(EDGE_COLUMNS)
+    back = rest.where(F.col("to_id") == node_id).join(listed.select(F.col("id").alias("from_id")).distinct(), "from_id", "left_semi").select(EDGE_COLUMNS)
+    return subgraph(graph, graph.nodes.where(F.col("id") == node_id).select("id"), out.union(back).distinct())
+
+
+def neighborhood_context(graph: CodeGraph, near: Neighborhood) -> CodeGraph:
+    """The nodes of a neighbourhood with all that contains them."""
+    return subgraph(graph, near.graph.nodes.select("id"), graph.edges.where("false"))
+
+
+def relationship_facts(graph: CodeGraph, projection: Projection, edge: tuple[str, str, str], scope: str, offset: int = 0) -> tuple[DataFrame, int, CodeGraph]:
+    """(a page of the facts behind a relationship, their number, the page's facts with what contains their ends)."""
+    facts, total = supporting_facts(graph, projection, edge, scope, offset)
+    return facts, total, subgraph(graph, graph.nodes.where("false").select("id"), facts.select(EDGE_COLUMNS))
+
+
+def detail(graph: CodeGraph, projection: Projection, evidence: DataFrame, part: CodeGraph) -> dict:
+    """A part of a graph with what only the whole can tell: child and file counts of its nodes, the projected edges that its relations support and their whole totals."""
+    own = part.nodes.select("id")
+    support = subset_support(projection, part.edges)
+    kept = support.select("from_id", "to_id").distinct()
+    totals = relationship_totals(Projection(projection.graph, projection.support.join(kept, ["from_id", "to_id"], "left_semi")), evidence)
+    edges = kept.select(F.lit("IMPORTS").alias("kind"), "from_id", "to_id")
+    ends = kept.select(F.col("from_id").alias("id")).union(kept.select("to_id"))
+    return {
+        "graph": part, "child_counts": child_counts(graph).join(own, "id", "left_semi"), "file_counts": file_counts(graph).join(own, "id", "left_semi"),
+        "projection": Projection(CodeGraph(projection.graph.nodes.join(ends, "id", "left_semi"), edges.select(EDGE_COLUMNS)), support), "totals": totals,
+    }
+
+
 def child_counts(graph: CodeGraph) -> DataFrame:
     """(id, children) of every node, zeros included."""
     n = parents(graph).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"))

@@ -547,12 +547,88 @@ def flatten_explorer(spark, sf):
     return paths.numbered(rows, [], ["sort_path"]).select("id", "depth", (F.col("place") + 1).cast("int").alias("place"))
 
 
-@registered(query("start AS (SELECT min(id) AS id FROM nodes WHERE kind = 'METHOD'), " + _UP + " SELECT id FROM up WHERE id NOT IN (SELECT id FROM start)"))
+@registered(query("start AS (SELECT min(id) AS id FROM nodes WHERE kind = 'METHOD'), " + _UP + " SELECT id, kind, CASE kind WHEN 'PACKAGE' THEN 'packages' WHEN 'FILE' THEN 'files' ELSE 'kinds' END AS part FROM up JOIN nodes USING (id) WHERE kind <> 'MODULE'"))
 def reveal_node(spark, sf):
     g = demo_graph(spark, sf)
     return client.reveal(g, g.nodes.where("kind = 'METHOD'").agg(F.min("id")).first()[0])
 
 
+@registered(query(_VISIBLE + " SELECT id, parent_id AS parent, CASE WHEN parent_id IS NULL THEN 'packages' END AS section FROM vnodes"))
+def explorer_tree(spark, sf):
+    g, visible = _visible(spark, sf)
+    return client.explorer_tree(g, visible)
+
+
+@registered(query("""
+tree(id, depth, sp) AS (SELECT id, 0, [path || chr(1) || id] FROM nodes WHERE kind = 'PACKAGE' UNION ALL
+  SELECT n.id, depth + 1, list_append(sp, n.path || chr(1) || n.id) FROM tree JOIN parents ON parent = tree.id JOIN nodes n ON n.id = child WHERE tree.id LIKE '%1' AND n.kind <> 'STRUCT'),
+rows AS (SELECT id, depth, sp, CAST(NULL AS BIGINT) AS more FROM tree UNION ALL
+  SELECT t.id, depth + 1, list_append(sp, chr(1114111)), n - 5 FROM tree t JOIN (SELECT parent, count(*) AS n FROM parents GROUP BY 1) k ON k.parent = t.id WHERE t.id LIKE '%1' AND n > 5)
+SELECT id, depth, more, CAST(row_number() OVER (ORDER BY sp) - 1 AS BIGINT) AS place FROM rows"""))
+def explorer_pages(spark, sf):
+    """The tree with five children of each open node taken as loaded, without structs."""
+    g = held_graph(spark, sf)
+    pages = view.child_counts(g).select("id", F.lit(5).alias("next"), F.col("children").alias("total"))
+    rows = client.flatten_explorer(g, client.explorer_roots(g), g.nodes.where("id like '%1'"), ("FUNCTION", "METHOD"), pages)
+    return paths.numbered(rows, [], ["sort_path"]).select("id", "depth", "more", "place")
+
+
+@registered(query(f"""
+near AS (SELECT to_id AS id FROM pedges WHERE from_id = '{PACKAGE}' UNION SELECT from_id FROM pedges WHERE to_id = '{PACKAGE}')
+SELECT 'IMPORTS:' || p.from_id || '->' || p.to_id AS edge_id, source_from AS from_id, source_to AS to_id FROM support p WHERE p.from_id = '{PACKAGE}' AND p.to_id IN (SELECT to_id FROM pedges JOIN nodes n ON n.id = to_id WHERE from_id = '{PACKAGE}' ORDER BY n.path, n.id LIMIT 20)
+UNION SELECT 'IMPORTS:' || p.from_id || '->' || p.to_id, source_from, source_to FROM support p WHERE p.to_id = '{PACKAGE}' AND p.from_id IN (SELECT from_id FROM pedges JOIN nodes n ON n.id = from_id WHERE to_id = '{PACKAGE}' ORDER BY n.path, n.id LIMIT 20)"""))
+def neighborhood_facts(spark, sf):
+    """A package's listed neighbours as a visible graph: the facts behind its edges."""
+    g = held_graph(spark, sf)
+    p = project_packages(g)
+    return client.neighborhood_graph(queries.neighborhood(g, p, PACKAGE, "package"), p, "package").evidence.select("edge_id", "from_id", "to_id")
+
+
+@registered(query(f"""
+start AS (SELECT '{PACKAGE}' AS id UNION SELECT id FROM (SELECT n.id FROM nodes n JOIN imports e ON e.from_id = n.id WHERE e.to_id = '{PACKAGE}' ORDER BY n.path, n.id LIMIT 20)), {_UP} SELECT id FROM up"""))
+def neighborhood_context(spark, sf):
+    """A package's listed importers with what contains them."""
+    g = held_graph(spark, sf)
+    return view.neighborhood_context(g, queries.neighborhood(g, project_packages(g), PACKAGE)).nodes.select("id")
+
+
+@registered(query(f"""{_BUSIEST},
+page AS (SELECT source_from, source_to FROM support JOIN best ON from_id = a AND to_id = b ORDER BY 1, 2 LIMIT 20), start AS (SELECT source_from AS id FROM page UNION SELECT source_to FROM page), {_UP}
+SELECT 'IMPORTS' AS kind, source_from AS from_id, source_to AS to_id FROM page UNION SELECT kind, from_id, to_id FROM edges WHERE kind = 'CONTAINS' AND from_id IN (SELECT id FROM up) AND to_id IN (SELECT id FROM up)"""))
+def relationship_facts(spark, sf):
+    """The first facts behind the busiest relationship, with what contains their ends."""
+    g = held_graph(spark, sf)
+    p = project_packages(g)
+    return view.relationship_facts(g, p, _busiest(p), "package")[2].edges
+
+
+@registered(query(f"""
+part AS (SELECT * FROM support WHERE source_from IN (SELECT file FROM owner WHERE package = '{PACKAGE}')),
+totals AS (SELECT s.from_id, s.to_id, count(*) AS total FROM support s JOIN occ ON occ.from_id = s.source_from AND occ.target = s.source_to GROUP BY 1, 2)
+SELECT 'total' AS part, 'IMPORTS:' || t.from_id || '->' || t.to_id AS id, total AS n FROM totals t WHERE (t.from_id, t.to_id) IN (SELECT (from_id, to_id) FROM part)
+UNION ALL SELECT 'support', from_id || '>' || to_id, count(*) FROM part GROUP BY 2
+UNION ALL SELECT 'children', f.file, (SELECT count(*) FROM parents WHERE parent = f.file) FROM owner f WHERE package = '{PACKAGE}'"""))
+def detail_assembly(spark, sf):
+    """What a package's own files lack when loaded alone: their child counts, and the support and whole totals of their projected edges."""
+    g = held_graph(spark, sf)
+    p = project_packages(g)
+    p = Projection(p.graph, cut(p.support))
+    own = hierarchy.parents(g).where(F.col("parent") == PACKAGE).select(F.col("child").alias("id"))
+    part = CodeGraph(g.nodes.join(own, "id", "left_semi").where("kind = 'FILE'"), g.imports().join(own.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select("kind", "from_id", "to_id"))
+    out = view.detail(g, p, demo_evidence(spark, sf), part)
+    rows = out["totals"].select(F.lit("total").alias("part"), F.col("relation").alias("id"), F.col("total").alias("n"))
+    support = out["projection"].support.groupBy("from_id", "to_id").agg(F.count("*").alias("n")).select(F.lit("support"), F.concat("from_id", F.lit(">"), "to_id"), "n")
+    return rows.union(support).union(out["child_counts"].select(F.lit("children"), "id", "children"))
+
+
+@registered(query("SELECT kind, from_id, to_id FROM edges WHERE kind = 'IMPORTS'"))
+def merge_edges(spark, sf):
+    """Imports loaded in two batches that overlap, as one graph."""
+    g = demo_graph(spark, sf)
+    some = CodeGraph(g.nodes, g.imports().where("from_id not like '%1'"))
+    return client.merge_graphs([some, CodeGraph(g.nodes, g.imports().where("from_id like '%1' or from_id like '%2'"))]).edges
+
+
 @registered(query("SELECT id, CASE WHEN id LIKE '%3' THEN 'new ' || name ELSE name END AS name FROM nodes"))
 def merge_graph(spark, sf):
     """All nodes, and a later batch that renames some."""

@@ -21,8 +21,13 @@ SCHEMAS = {"nodes": NODES, "edges": EDGES, "evidence": "ordinal int, " + EVIDENC
 class SnapshotStore:
     """Snapshots under a folder that Spark can read and write."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
+        """A store that is only read must be there, and refuses to save."""
+        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
+        if read_only:
+            system, where = self._path("snapshots")
+            if not system.exists(where):
+                raise GraphError("not_found", f"no store in {root}")
 
     def _path(self, name: str):
         """(file system, path) of a file or folder of the store."""
@@ -54,6 +59,8 @@ class SnapshotStore:
         do. (After a saver that died with its claim, save once without expected.) Refused: other
         statuses, edges of which an end is no node, conflicting nodes.
         """
+        if self.read_only:
+            raise GraphError("bad_request", "the store is read only")
         if status not in STATUSES:
             raise GraphError("bad_request", f"status {status} cannot be saved")
         if row := dangling_edges(graph.nodes, graph.edges).first() or node_conflicts(graph.nodes).first():

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.graph import CodeGraph
 from cairn.operators import evidence, queries, traverse, view
+from cairn.operators.hierarchy import page
 from cairn.operators.projection import project_packages
 from cairn.schema import GraphError
 from cairn.session import cut
@@ -16,14 +17,17 @@ class Snapshot:
     """One published scan; every tool reads it alone, whatever is saved later."""
 
     def __init__(self, store: SnapshotStore, scan: str):
+        self.scan = scan
         graph, self.parts = store.load(scan)
         self.graph = CodeGraph(cut(graph.nodes), cut(graph.edges))
         projection = project_packages(self.graph)
         self.projection = type(projection)(CodeGraph(cut(projection.graph.nodes), cut(projection.graph.edges)), cut(projection.support))
 
-    def call(self, tool: str, arguments: dict) -> dict:
-        """A tool's result, or {"error": {"code", "message"}}; unknown and mistyped arguments are refused."""
+    def call(self, tool: str, arguments: dict, pinned: str | None = None) -> dict:
+        """A tool's result, or {"error": {"code", "message"}}; unknown and mistyped arguments, and callers pinned to another snapshot, are refused."""
         try:
+            if pinned is not None and pinned != self.scan:
+                raise GraphError("snapshot_changed", f"this is snapshot {self.scan}")
             if tool not in TOOLS:
                 raise GraphError("route_not_found", f"no tool {tool}")
             run, types = TOOLS[tool]
@@ -60,17 +64,26 @@ def _path(s, from_id, to_id, scope="package"):
     return {"path": traverse.path(s.scoped(scope), from_id, to_id)}
 
 
-def _impact(s, package_id):
+def _paged(name, rows, order, offset):
+    """A page of rows with their number, so that no result is larger than a page."""
+    listed, total = page(rows, order, offset)
+    return {name: _dicts(listed), "total": total, "offset": offset}
+
+
+def _impact(s, package_id, offset=0):
     affected, graph = traverse.impact(s.projection.graph, package_id)
-    return {"affected": _dicts(affected), "edges": _dicts(graph.edges.orderBy("from_id", "to_id"))}
+    rows = _paged("affected", affected, ["distance", "id"], offset)
+    near = [package_id, *(r["id"] for r in rows["affected"])]
+    edges = graph.edges.where(F.col("from_id").isin(near) & F.col("to_id").isin(near))
+    return rows | {"edges": _dicts(edges.orderBy("from_id", "to_id"))}
 
 
 def _related(incoming):
-    return lambda s, package_id: {"packages": _dicts(view.package_related(s.graph, s.projection, package_id, incoming))}
+    return lambda s, package_id, offset=0: _paged("packages", view.package_related(s.graph, s.projection, package_id, incoming), ["id"], offset)
 
 
-def _symbols(s, file_id):
-    return {"symbols": _dicts(view.file_symbols(s.graph, file_id))}
+def _symbols(s, file_id, offset=0):
+    return _paged("symbols", view.file_symbols(s.graph, file_id), ["id"], offset)
 
 
 def _evidence(s, kind, from_id, to_id, scope="canonical", offset=0):
@@ -89,10 +102,10 @@ TOOLS = {
     "scan_info": (_info, {}),
     "search_nodes": (_search, {"text": TEXT, "kinds": (list, False), "limit": NUMBER}),
     "inspect_node": (_inspect, {"node_id": NEEDED}),
-    "package_dependencies": (_related(False), {"package_id": NEEDED}),
-    "package_dependents": (_related(True), {"package_id": NEEDED}),
+    "package_dependencies": (_related(False), {"package_id": NEEDED, "offset": NUMBER}),
+    "package_dependents": (_related(True), {"package_id": NEEDED, "offset": NUMBER}),
     "dependency_path": (_path, {"from_id": NEEDED, "to_id": NEEDED, "scope": TEXT}),
-    "file_symbols": (_symbols, {"file_id": NEEDED}),
-    "package_impact": (_impact, {"package_id": NEEDED}),
+    "file_symbols": (_symbols, {"file_id": NEEDED, "offset": NUMBER}),
+    "package_impact": (_impact, {"package_id": NEEDED, "offset": NUMBER}),
     "source_evidence": (_evidence, {"kind": NEEDED, "from_id": NEEDED, "to_id": NEEDED, "scope": TEXT, "offset": NUMBER}),
 }

@@ -194,6 +194,8 @@ def test_tools(spark, tmp_path):
     assert s.call("dependency_path", {"from_id": "A", "to_id": "B"}) == {"path": ["A", "B"]}
     assert [p["id"] for p in s.call("package_dependencies", {"package_id": "A"})["packages"]] == ["B"]
     assert s.call("package_impact", {"package_id": "B"})["affected"] == [{"id": "A", "distance": 1}]
+    assert s.call("package_impact", {"package_id": "B", "offset": 1})["affected"] == [] and s.call("file_symbols", {"file_id": "f"})["total"] == 0
+    assert s.call("scan_info", {}, pinned="other")["error"]["code"] == "snapshot_changed" and "error" not in s.call("scan_info", {}, pinned=s.scan)
     assert s.call("scan_info", {})["packages"] == 2
     assert s.call("source_evidence", {"kind": "IMPORTS", "from_id": "A", "to_id": "B", "scope": "package"})["recorded"] is False
     for tool, arguments, code in (("none", {}, "route_not_found"), ("inspect_node", {}, "invalid_argument"), ("inspect_node", {"node_id": 3}, "invalid_argument"), ("inspect_node", {"node_id": "x"}, "node_not_found"), ("file_symbols", {"file_id": "A"}, "wrong_node_kind"), ("search_nodes", {"limit": 0}, "invalid_argument"), ("search_nodes", {"odd": 1}, "invalid_argument")):
