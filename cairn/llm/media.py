@@ -2,8 +2,11 @@
 
 Frames are 8 by 8 pixels of three 8-bit samples, 192 bytes of payload each, coded as lossless
 JPEG (SOF3, predictor 1), so the samples are the payload's bytes. The reader walks the RIFF
-chunks, takes the frames from the file's index, decodes each by itself and finds shots where the
-difference of neighbouring frames' histograms stands out from those around it.
+chunks, takes the frames from the file's index (`idx1`, or the `indx` tree of large files),
+decodes each by itself, these lossless frames and ordinary baseline ones (jpeg_dct), and finds
+shots where the difference of neighbouring frames' histograms stands out from those around it.
+
+A stored text is one cell, which holds 2 GB at most: of texts beyond some 1.3 GB the task fails.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import jpeg_dct
+
 SIDE, CHANNELS, FPS = 8, 3, 25
 FRAME = SIDE * SIDE * CHANNELS
 #: Payload bytes coded or decoded at a time.
@@ -175,12 +180,30 @@ def _decode(frames: list[bytes], head: _Header) -> np.ndarray:
     return (np.cumsum(d, axis=2) & 255).astype(np.uint8)
 
 
-def decode_frames(frames: list[bytes]) -> list[np.ndarray | str]:
-    """Each frame's samples (row, column, part), or why it cannot be decoded."""
+def _baseline(frame: bytes) -> bool:
+    """Whether a frame's header tells of Huffman-coded DCT blocks."""
+    at = 2
+    while at + 4 <= len(frame) and frame[at] == 0xFF:
+        if frame[at + 1] in (0xC0, 0xC1):
+            return True
+        if frame[at + 1] in (0xC3, 0xDA):
+            return False
+        at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big") if frame[at + 1] != 0xFF else 1
+    return False
+
+
+def decode_frames(frames: list[bytes], take=lambda samples: samples) -> list:
+    """What `take` makes of each frame's samples (row, column, part), or why it cannot be decoded."""
     out: list = [None] * len(frames)
     groups: dict[bytes, list[int]] = {}
     heads: dict[bytes, _Header] = {}
     for i, f in enumerate(frames):
+        if _baseline(f):
+            try:
+                out[i] = take(jpeg_dct.decode(f))
+            except jpeg_dct.Unreadable as e:
+                out[i] = str(e)
+            continue
         key = next((k for k in heads if f.startswith(k) and k), None)
         if key is None:
             head = _Header(f)
@@ -192,7 +215,7 @@ def decode_frames(frames: list[bytes]) -> list[np.ndarray | str]:
             groups.setdefault(key, []).append(i)
     for key, own in groups.items():
         for i, samples in zip(own, _decode([frames[i] for i in own], heads[key])):
-            out[i] = samples
+            out[i] = take(samples)
     return out
 
 
@@ -217,25 +240,51 @@ def write_avi(frames: list[bytes], width: int = SIDE, height: int = SIDE, fps: i
     return b"RIFF" + struct.pack("<I", len(body) + 4) + b"AVI " + body
 
 
+def _entries(data: bytes, at: int) -> list[tuple[int, int]]:
+    """(place, size) of the frames that an index chunk of a large file names: by further chunks, or by offsets."""
+    width, _, kind, used, _, base = struct.unpack("<HBBI4sQ", data[at + 8 : at + 28])
+    if kind == 0:
+        out = []
+        for k in range(used):
+            out += _entries(data, int.from_bytes(data[at + 32 + 16 * k : at + 40 + 16 * k], "little"))
+        return out
+    rows = np.frombuffer(data[at + 32 : at + 32 + 4 * width * used], "<u4").reshape(used, width).astype(np.int64)
+    return list(zip((rows[:, 0] + base).tolist(), (rows[:, 1] & 0x7FFFFFFF).tolist()))
+
+
 def read_avi(data: bytes | None) -> tuple[list[bytes], float, str | None]:
     """(frames of the first video stream by the file's index, frames a second, error)."""
     if not data or data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         return [], 0.0, "no AVI"
-    movi, index, fps, at = None, None, 0.0, 12
+    movi, index, tree, fps, at = None, None, None, 0.0, 12
     while at + 8 <= len(data):
         kind, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
-        if kind == b"LIST" and data[at + 8 : at + 12] == b"movi":
+        if kind == b"LIST" and data[at + 8 : at + 12] == b"movi" and movi is None:
             movi = at + 8
         elif kind == b"LIST" and data[at + 8 : at + 12] == b"hdrl":
             k = data.find(b"avih", at, at + 8 + size)
             step = int.from_bytes(data[k + 8 : k + 12], "little") if k > 0 else 0
             fps = 1_000_000 / step if step else 0.0
+            video = data.find(b"strh", at, at + 8 + size)
+            while video > 0 and data[video + 8 : video + 12] != b"vids":
+                video = data.find(b"strh", video + 4, at + 8 + size)
+            tree = data.find(b"indx", video, at + 8 + size) if video > 0 else -1
         elif kind == b"idx1":
             body = data[at + 8 : at + 8 + size]
             if len(body) < size or size % 16:
                 return [], fps, "broken index"
             index = np.frombuffer(body, "<u4").reshape(-1, 4)
+        elif kind == b"RIFF":  # a large file goes on in further parts
+            size = 4
         at += 8 + size + (size & 1)
+    if tree is not None and tree > 0:
+        try:
+            places = _entries(data, tree)
+        except (struct.error, ValueError, RecursionError):
+            return [], fps, "broken index"
+        if any(b + n > len(data) for b, n in places):
+            return [], fps, "index beyond the file"
+        return [data[b : b + n] for b, n in places], fps, None
     if movi is None or index is None:
         return [], fps, "no index"
     video = index[(index[:, 0] >> 16 == 0x6364) | (index[:, 0] >> 16 == 0x6264)].astype(np.int64)  # dc or db
@@ -263,6 +312,11 @@ def shots(histograms: np.ndarray) -> list[int]:
     return [0, *(np.flatnonzero(peaks) + 1).tolist()]
 
 
+def look(samples: np.ndarray) -> tuple[np.ndarray, float]:
+    """(a frame's shares of samples in CELLS equal ranges, its mean sample)."""
+    return np.bincount(samples.ravel() // (256 // CELLS), minlength=CELLS) / samples.size, float(samples.mean())
+
+
 def histograms(frames: list[np.ndarray]) -> np.ndarray:
     """Each frame's shares of samples in CELLS equal ranges."""
     if not frames:
@@ -310,15 +364,15 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def _decoded(media: list[bytes | None]):
-    """(frames' samples or errors, frames a second, error) of each file, decoding about PART bytes of samples at a time."""
+def _decoded(media: list[bytes | None], take=lambda samples: samples):
+    """(what is taken of each frame's samples, or an error; frames a second; error) of each file, decoding about PART bytes of small frames, or one large frame, at a time."""
     files = [read_avi(m) for m in media]
     flat = [f for frames, _, _ in files for f in frames]
     k = 0
     samples: list = []
     while k < len(flat):
         step = PART // FRAME
-        samples += decode_frames(flat[k : k + step])
+        samples += decode_frames(flat[k : k + step], take)
         k += step
     k = 0
     for frames, fps, error in files:
@@ -362,9 +416,10 @@ def read_texts(stored: DataFrame) -> DataFrame:
 def clips(videos: DataFrame) -> DataFrame:
     """(id, clip, first_frame, frames, begin_s, end_s, brightness, error): the shots of every row of videos(id, media).
 
-    A file that cannot be read, or whose frames this decoder does not know (it decodes 8-bit
-    lossless JPEG), gives one row with clip null and the reason in error; a null media is no AVI; a
-    file without frames gives no rows.
+    A file that cannot be read, or with a frame that cannot (neither baseline nor 8-bit lossless
+    JPEG, or a broken one), gives one row with clip null and the reason in error; a null media is
+    no AVI; a file without frames gives no rows. Repeated and null ids keep their rows. Of each
+    frame only a histogram and a mean are kept.
     """
 
     def run(batches):
@@ -372,15 +427,15 @@ def clips(videos: DataFrame) -> DataFrame:
             ids, media = batch.column("id").to_pylist(), batch.column("media").to_pylist()
             rows = []
             for a, b in _some(media):
-                for d, (frames, fps, error) in zip(ids[a:b], _decoded(media[a:b])):
+                for d, (frames, fps, error) in zip(ids[a:b], _decoded(media[a:b], look)):
                     bad = error or next((f for f in frames if isinstance(f, str)), None)
                     if bad:
                         rows.append((d, None, None, None, None, None, None, bad))
                         continue
-                    begins = shots(histograms(frames))
+                    begins = shots(np.array([h for h, _ in frames]).reshape(len(frames), CELLS))
                     for k, (s, e) in enumerate(zip(begins, [*begins[1:], len(frames)])):
                         rate = fps or FPS
-                        rows.append((d, k, s, e - s, s / rate, e / rate, float(np.mean([f.mean() for f in frames[s:e]])), None))
+                        rows.append((d, k, s, e - s, s / rate, e / rate, float(np.mean([m for _, m in frames[s:e]])), None))
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string())
             names = ["id", "clip", "first_frame", "frames", "begin_s", "end_s", "brightness", "error"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names=names)
