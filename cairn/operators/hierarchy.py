@@ -62,9 +62,8 @@ def children_page(graph: CodeGraph, node_id: str, offset: int) -> tuple[DataFram
 
 def ancestors(graph: CodeGraph, ids: DataFrame) -> DataFrame:
     """(id): the ids and all that contain them; as many rounds as containment is deep."""
-    pair = parents(graph)
-    found = ids.select("id").distinct()
-    front = found
+    pair = cut(parents(graph))  # read at every level
+    found = front = cut(ids.select("id").distinct())
     while True:
         front = front.join(pair, front.id == pair.child).select(F.col("parent").alias("id")).distinct().join(found, "id", "left_anti")
         front = cut(front)
