@@ -120,7 +120,11 @@ def test_views_and_counts(spark):
     assert {r.id: r.imports for r in client.package_source_counts(g).collect()} == {"p": None, "q": 3, "e": 0}
     o = view.overview(g, p)
     assert set(ids(o.nodes)) == {"p", "q", "e", "loose", "h"} and set(ids(o.edges, "from_id")) == {"loose", "q"}
-    assert {(r.importer, r.provider) for r in client.import_card_lines(p, g).collect()} == {("f", "h")}
+    none, opened = g.nodes.where("false"), g.nodes.where("id = 'q'")
+    lines = lambda packages: {(r.source, r.source_handle, r.target, r.target_handle, r.importing_file, r.supplying_file) for r in client.import_card_lines(client.visible_graph(g, p, packages, none), g).where("target = 'p'").collect()}
+    assert lines(none) == {("q", None, "p", None, "f", None)}  # into a closed card: one line
+    assert lines(opened) == {("q", "h", "p", None, "f", "h")}  # into an open one: from the file whose export is used
+    assert lines(g.nodes.where("id in ('p', 'q')")) == {("q", "h", "p", "f", "f", "h")}
     assert {(r.id, r.role) for r in client.file_roles(g).collect()} == {("loose", "importing"), ("f", "importing"), ("h", "supplying")}
     assert set(ids(client.reveal(g, "f"))) == {"p"}
     assert view.child_counts(g).where("id = 'e'").first().children == 0
