@@ -117,9 +117,12 @@ def resolve(imports: DataFrame, files: DataFrame, configs: DataFrame, packages:
     Modules of the runtime come first. Relative specifiers lead to the file's folder, others by an
     exact alias, the longest wildcard prefix or the base folder; two wildcards of one length are
     ambiguous. One file found is the target. What leads nowhere local may be a declared package.
+
+    Only a file's folder and the specifier decide, so each pair of them is resolved once.
     """
-    rows = nearest_above(imports.withColumn("dir", directory("path")), configs, "config")
-    rows = nearest_above(rows, packages, "package").withColumn("row", F.monotonically_increasing_id())
+    asking = imports.withColumns({"_dir": directory("path"), "_spec": F.col("spec")})
+    rows = asking.select(F.col("_dir").alias("dir"), "spec").distinct()
+    rows = nearest_above(nearest_above(rows, configs, "config"), packages, "package")
     spec, c = F.col("spec"), F.col("config")
     relative = spec.rlike(r"\A\.\.?/")
     head, tail = lambda k: F.split(k, r"\*", 2)[0], lambda k: F.split(k, r"\*", 2)[1]
@@ -135,13 +138,13 @@ def resolve(imports: DataFrame, files: DataFrame, configs: DataFrame, packages:
     aliased = F.transform(best["targets"], lambda t: F.concat_ws("/", root, F.replace(t, F.lit("*"), star)))
     bases = F.when(relative, F.array(F.concat_ws("/", "dir", spec))).when(best.isNotNull(), aliased).when(c["base"] != "", F.array(F.concat_ws("/", root, spec))).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumns({"alias": best.isNotNull(), "tied": tied, "bases": F.array_distinct(F.transform(bases, clean))})
-    asked = rows.select("row", F.explode("bases").alias("base")).where("base is not null")
+    asked = rows.select("dir", "spec", F.explode("bases").alias("base")).where("base is not null")
     choice = asked.select("base").distinct().select("base", F.explode(candidates(F.col("base"))).alias("c")).select("base", "c.*")
     found = choice.join(files.select(F.col("path").alias("candidate")).distinct(), "candidate")
     first = found.groupBy("base").agg(F.min("rank").alias("rank"))
     found = found.join(first, ["base", "rank"]).groupBy("base").agg(F.collect_set("candidate").alias("hits"))
-    targets = asked.join(found, "base").select("row", F.explode("hits").alias("hit")).groupBy("row").agg(F.sort_array(F.collect_set("hit")).alias("targets"))
-    rows = rows.join(targets, "row", "left").withColumn("n", F.coalesce(F.size("targets"), F.lit(0)))
+    targets = asked.join(found, "base").select("dir", "spec", F.explode("hits").alias("hit")).groupBy("dir", "spec").agg(F.sort_array(F.collect_set("hit")).alias("targets"))
+    rows = rows.join(targets, ["dir", "spec"], "left").withColumn("n", F.coalesce(F.size("targets"), F.lit(0)))
     declared = F.coalesce(F.array_contains("package.names", package_name(spec)), F.lit(False))
     builtin = F.regexp_replace(spec, "^node:", "")
     local = F.col("relative") | F.col("alias")
@@ -158,8 +161,10 @@ def resolve(imports: DataFrame, files: DataFrame, configs: DataFrame, packages:
     ]
     kind = ladder([(k, F.coalesce(h, F.lit(False))) for k, h, _ in rungs], "unclassified")
     reason = ladder([(r, F.coalesce(h, F.lit(False))) for _, h, r in rungs], "no proven local target, builtin or declared package")
-    rows = rows.withColumns({"class": kind, "reason": reason})
-    return rows.select(*imports.columns, "class", F.when(F.col("class") == "internal_resolved", F.concat(F.lit("file:"), F.col("targets")[0])).alias("target"), "reason")
+    target = F.when(kind == "internal_resolved", F.concat(F.lit("file:"), F.col("targets")[0]))
+    rows = rows.select(F.col("dir").alias("_d"), F.col("spec").alias("_s"), kind.alias("class"), target.alias("target"), reason.alias("reason"))
+    decided = asking.join(rows, F.col("_dir").eqNullSafe(F.col("_d")) & F.col("_spec").eqNullSafe(F.col("_s")))
+    return decided.select(*imports.columns, "class", "target", "reason")
 
 
 def imports_of(facts: DataFrame) -> DataFrame:
