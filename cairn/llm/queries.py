@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from cairn.llm import langid, lm, media, url_graph
 from cairn.llm.ann import nearest
+from cairn.llm.centroids import cluster
 from cairn.llm.common import read
+from cairn.llm.hard_negatives import mine
+from cairn.llm.impact_search import top_k
 from cairn.llm.mixing import mixed_sizes
 from cairn.llm.ngram_join import ngram_components
 from cairn.llm.packing import pack_documents
@@ -74,14 +77,67 @@ def op10_lm_score(spark, sf_dir):
     return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_centroid_clusters(spark, sf_dir):
+    """Every vector of 64 components in one of 40 clusters after five rounds. A null vec_id keeps its row; every row of a repeated vec_id is a vector."""
+    return cluster(read(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, salt="2:")
+
+
+def op12_hard_negatives(spark, sf_dir):
+    """The hard negatives of every vector whose vec_id is divisible by 50, with the stated noise in the labels. Rows with a null vec_id take no part; repeated rows count once."""
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", noisy)
+    return mine(rows, rows.where("vec_id % 50 = 0"), positives=5, negatives=3, low=50, high=95)
+
+
+def op13_exact_top_k(spark, sf_dir):
+    """The five largest integer inner products of every vector whose vec_id is divisible by 50. Rows with a null vec_id take no part; repeated rows count once."""
+    rows = read(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_media_avi_mjpeg, op3_best_fit_packing, op4_collision_neighbours, op5_quality_factorisation,
     op6_substring_dedup, op7_source_mix, op8_language_id, op9_url_filter, op10_lm_score,
+    op11_centroid_clusters, op12_hard_negatives, op13_exact_top_k,
 )}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
 
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0"
+_INTEGERS = "list_transform(embedding, lambda v: floor(256 * CAST(v AS DOUBLE)))"  # as doubles, exact
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """Each round as two statements: the nearest centroid of every vector, and the floors of the means."""
+    steps = [f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, {_INTEGERS} AS x FROM embeddings WHERE {_WHOLE} AND len(embedding) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS INTEGER) AS cluster, x FROM v QUALIFY cluster < {k})"""]
+    for i in range(rounds + 1):
+        square = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+        steps.append(f"d{i} AS (SELECT v.r, c.cluster, {square} AS d FROM v, c{i} c), a{i} AS MATERIALIZED (SELECT r, min(d) AS d, arg_min(cluster, (d, cluster)) AS cluster FROM d{i} GROUP BY r)")
+        if i < rounds:
+            steps.append(f"""s{i} AS (SELECT a.cluster, j, floor(sum(v.x[j]) / count(*)) AS m FROM a{i} a JOIN v USING (r), range(1, 65) t(j) GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT cluster, list(m ORDER BY j) AS x FROM s{i} GROUP BY 1) n USING (cluster))""")
+    return ",\n".join(steps) + f"""
+SELECT v.vec_id, a.cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.x, lambda m: CAST(m AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.cluster = a.cluster"""
+
+
 ORACLE_SQL = {
+    "op11_centroid_clusters": _clusters_sql(40, 5),
+    "op12_hard_negatives": f"""
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_INTEGERS} AS x FROM embeddings WHERE label IS NOT NULL AND vec_id IS NOT NULL AND {_WHOLE}),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3
+""",
+    "op13_exact_top_k": f"""
+WITH v AS MATERIALIZED (SELECT vec_id, {_INTEGERS} AS x FROM embeddings WHERE vec_id IS NOT NULL AND {_WHOLE})
+SELECT q.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.x, c.x) DESC, c.vec_id) AS INTEGER) AS rank, c.vec_id, CAST(list_dot_product(q.x, c.x) AS BIGINT) AS score
+FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x) QUALIFY rank <= 5
+""",
     "op1_ngram_jaccard_join": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS ws FROM documents),

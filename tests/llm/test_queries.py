@@ -23,6 +23,9 @@ COLUMNS = {
     "op8": ["doc_id", "held_out", "lang_pred", "score"],
     "op9": ["page_id", "host", "path", "rule", "verdict"],
     "op10": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op11": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
+    "op12": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "op13": ["query_id", "rank", "vec_id", "score"],
 }
 
 
