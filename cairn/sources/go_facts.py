@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.paths import ladder
@@ -161,11 +161,31 @@ def resolve(facts: DataFrame, modules: DataFrame, workspaces: DataFrame) -> Data
     return rows.select("path", F.coalesce("import_path", "detail").alias("import_path"), "class", target_id.alias("target"), "reason", "alias", *place)
 
 
+def unbound(facts: DataFrame) -> DataFrame:
+    """The references whose name no local binding takes.
+
+    A sweep over the places of a file and name: each binding's interval counts one up where it
+    begins and one down where it ends, so a reference is free where the sum is zero. Every row is
+    sorted once, however many bindings and references of a name a file has.
+    """
+    place = ["line", "column", "end_line", "end_column", "snippet", "truncated"]
+    used = facts.where("fact = 'reference'").select("path", "name", "detail", *place, F.lit(0).alias("step"))
+    held = facts.where("fact = 'binding'").join(used.select("path", "name").distinct(), ["path", "name"], "left_semi")
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(["detail", *place[2:]], ("string", "int", "int", "string", "boolean"))]
+    at = lambda line, column, step: held.select("path", "name", none[0], F.col(line).alias("line"), F.col(column).alias("column"), *none[1:], F.lit(step).alias("step"))
+    # an interval holds from its begin to before its end
+    order = Window.partitionBy("path", "name").orderBy("line", "column", F.col("step") == 0).rowsBetween(Window.unboundedPreceding, 0)
+    rows = used.union(at("line", "column", 1)).union(at("end_line", "end_column", -1)).withColumn("open", F.sum("step").over(order))
+    return rows.where("step = 0 and open = 0").select("path", "name", "detail", *place)
+
+
 def export_uses(facts: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(uses: path, provider and place of each reference to one analyzed export; issues of those without a single provider).
 
-    A reference's name is an import's alias, or the name of the package that it leads to. Names
-    that two imports of a file have are left out, and exports of test files and methods.
+    A reference's name is an import's alias, or the name of the package that it leads to, and is
+    not bound locally. Imports are a file's, and hold before names of the package. Names that two
+    imports of a file have are left out, and exports of test files and methods. Dot and blank
+    imports bind no name.
     """
     place = ["line", "column", "end_line", "end_column", "snippet", "truncated"]
     package = facts.where("fact = 'parsed'").select("path", F.concat(F.lit("package:"), directory("path"), F.lit("#"), "name").alias("package"))
@@ -174,7 +194,7 @@ def export_uses(facts: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataF
     name = F.coalesce("alias", F.regexp_extract("target", "#(.*)$", 1))
     bound = resolved.where("target is not null").select("path", name.alias("alias"), "import_path", "target").where("alias not in ('.', '_')")
     single = bound.groupBy("path", "alias").agg(F.count("*").alias("k"), F.first("import_path").alias("import_path"), F.first("target").alias("package")).where("k = 1").drop("k")
-    used = facts.where("fact = 'reference'").select("path", F.col("name").alias("alias"), F.col("detail").alias("export"), *place)
+    used = unbound(facts).select("path", F.col("name").alias("alias"), F.col("detail").alias("export"), *place)
     used = used.join(single, ["path", "alias"]).join(providers, ["package", "export"], "left")
     one = F.coalesce(F.size("providers") == 1, F.lit(False))
     lost = used.where(~one).select("path", "import_path", F.format_string("qualified reference %s.%s has no unique exported declaration in analyzed files", "alias", "export").alias("reason")).distinct()

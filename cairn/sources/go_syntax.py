@@ -1,8 +1,8 @@
 """What one Go file declares, imports and refers to, by a small scanner of its tokens.
 
 The scanner knows comments, literals, brackets and automatic semicolons. It reads declarations
-at the top level, and references `name.Exported` whose name nothing local is bound to: a
-parameter of the function around it, or a variable declared before it in a block around it.
+at the top level, references `name.Exported`, and where local names hold (go_scopes); which
+references a local name takes is decided by a join.
 """
 
 from __future__ import annotations
@@ -10,15 +10,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
+from cairn.sources.go_scopes import Scopes
+
 FACTS = "path string, fact string, name string, detail string, line int, column int, end_line int, end_column int, snippet string, truncated boolean"
 SNIPPET = 8192
 
 _QUIET = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|`[^`]*`|\'(?:\\.|[^\'\\\n])+\'', re.S)
-_TOKEN = re.compile(r"[(){}\[\]\n;]|[^\W\d]\w*|[^\s\w]")
 _PACKAGE = re.compile(r"\s*package\s+([^\W\d]\w*)\s*(?:[;\n]|\Z)")
 _SPEC = re.compile(r'(?:([^\W\d]\w*|\.)\s*)?("(?:\\.|[^"\\\n])*"|`[^`]*`)')
-_REFERENCE = re.compile(r"(?<![\w.\])])([^\W\d]\w*)\s*\.\s*([^\W\d]\w*)")
-_BOUND = re.compile(r"((?:[^\W\d]\w*\s*,\s*)*[^\W\d]\w*)\s*:=|\b(?:var|const)\s+((?:[^\W\d]\w*\s*,\s*)*[^\W\d]\w*)")
+_REFERENCE = re.compile(r"(?<!\w)([^\W\d]\w*)\s*\.\s*([^\W\d]\w*)")
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 #: Characters after which a new line does not end a statement.
 _GOES_ON = set(",+-*/%&|^<>=!(:.{[")
@@ -70,6 +70,15 @@ class _File:
         raw = self.text[begin:end].encode()
         return (self.path, fact, name, detail, *self.where(begin), *self.where(end), raw[:SNIPPET].decode(errors="ignore"), len(raw) > SNIPPET)
 
+    def selected(self, at: int) -> bool:
+        """Whether the name at a place is selected from something before it; three dots select nothing."""
+        before = self.bare[max(0, at - 256) : at].rstrip()
+        return before.endswith(".") and not before.endswith("...")
+
+    def interval(self, name, kind, begin, end) -> tuple:
+        """A row without a snippet: where a local name holds."""
+        return (self.path, "binding", name, kind, *self.where(begin), *self.where(end), None, None)
+
     def statements(self, begin: int, end: int):
         """(begin, end) of the statements between two places, by semicolons and by lines that do not go on."""
         at, start = begin, None
@@ -131,29 +140,8 @@ def _declaration(f: _File, begin: int, end: int):
                 yield "VARIABLE" if word == "var" else "CONSTANT", name, None
 
 
-def _bindings(f: _File, begin: int, end: int) -> list[tuple[str, int, int]]:
-    """(name, from, to) of the places in a top-level declaration where a local name is bound."""
-    out = []
-    blocks = sorted((a, b) for a, b in f.pairs.items() if f.bare[a] == "{" and begin <= a < end)
-    for m in _BOUND.finditer(f.bare, begin, end):
-        around = [b for a, b in blocks if a < m.start() < b]
-        if around:
-            # a loop or branch header's names hold in the block behind it too, which lies in the same block
-            out += [(n, m.end(), min(around)) for n in _names(m[1] or m[2])]
-    for m in re.compile(r"\bfunc\b\s*").finditer(f.bare, begin, end):
-        at, lists = m.end(), []
-        while at < end and f.bare[at] != "{" and f.bare[at] not in "\n;":
-            if f.bare[at] == "(" and at in f.pairs:
-                lists.append(f.bare[at + 1 : f.pairs[at]])
-            at = f.pairs.get(at, at) + 1
-        if at < end and f.bare[at] == "{":
-            for names in lists:
-                out += [(n[1], at, f.pairs[at]) for n in re.finditer(r"(?:^|,)\s*([^\W\d]\w*)(?=\s*[^\s,.)]|\s*,)", names)]
-    return out
-
-
 def facts_of(path: str, content: bytes) -> list[tuple]:
-    """Rows of FACTS of one file: `parsed` with the package's name, declarations, imports, references; or one `failed` row."""
+    """Rows of FACTS of one file: `parsed` with the package's name, declarations, imports, references, bindings of the names that references have; or one `failed` row."""
     try:
         f = _File(path, content)
         clause = _PACKAGE.match(f.bare)
@@ -161,7 +149,7 @@ def facts_of(path: str, content: bytes) -> list[tuple]:
             raise Broken(f"{path}: expected package clause")
     except Broken as e:
         return [(path, "failed", None, str(e), None, None, None, None, None, None)]
-    rows, starts = [f.row("parsed", clause[1])], 0
+    rows, starts, scopes = [f.row("parsed", clause[1])], 0, None
     for begin, end in f.statements(clause.end(), len(f.text)):
         word = re.match(r"\w*", f.bare[begin:end])[0]
         if f.code.startswith("import", begin) and word == "import":
@@ -175,10 +163,11 @@ def facts_of(path: str, content: bytes) -> list[tuple]:
                     detail = f"init@{starts}"
                 if name.split(".")[-1] != "_":
                     rows.append(f.row(kind, name, detail))
-            bound = _bindings(f, begin, end)
-            for m in _REFERENCE.finditer(f.bare, begin, end):
-                if m[2][0].isupper() and not any(n == m[1] and a <= m.start() < b for n, a, b in bound):
-                    rows.append(f.row("reference", m[1], m[2], m.start(), m.end()))
+            used = [m for m in _REFERENCE.finditer(f.bare, begin, end) if m[2][0].isupper() and not f.selected(m.start())]
+            rows += [f.row("reference", m[1], m[2], m.start(), m.end()) for m in used]
+            names = {m[1] for m in used}
+            scopes = scopes or (Scopes(f.text) if names else None)
+            rows += [f.interval(name, kind, a, b) for name, kind, a, b in (scopes.bindings(begin, end) if names else ()) if name in names]
         else:
             return [(path, "failed", None, f"{path}:{f.where(begin)[0]}: expected declaration", None, None, None, None, None, None)]
     return rows

@@ -1,5 +1,7 @@
 """Go and TypeScript facts, whole scans, and the tools of a snapshot."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from cairn.sources import go_facts, go_syntax, tsjs_facts, tsjs_syntax
@@ -73,8 +75,8 @@ def test_go_syntax():
     assert by("STRUCT") == ["S", "G"] and by("INTERFACE") == ["I"] and by("TYPE") == ["N", "A", "L"]
     assert by("VARIABLE") == ["x", "Y"] and by("CONSTANT") == ["One", "two"] and by("METHOD") == ["S.Do", "G.Get"]
     assert [(r[2], r[3]) for r in rows if r[1] == "FUNCTION"] == [("init", "init@1"), ("init", "init@2"), ("Run", None)]
-    # a shadowed name is none of the import's: parameters, and variables from where they are declared to their block's end
-    assert [(r[2], r[3]) for r in rows if r[1] == "reference" and r[2] == "al"] == [("al", "First")]
+    assert [r[3] for r in rows if r[1] == "reference" and r[2] == "al"] == ["Not", "First", "Shadowed", "Hidden", "Second"]
+    assert [(r[3], r[4]) for r in rows if r[1] == "binding"] == [("parameter", 31), ("variable", 39), ("variable", 43)]
     place = next(r for r in rows if r[1] == "import" and r[2] == "al")
     assert place[4:9] == (6, 2, 6, 28, 'al "example.org/app/alpha"')
     for bad in ("package", "package a\nfunc f( {", "package a\nx := 1", "package a\n}"):
@@ -82,6 +84,75 @@ def test_go_syntax():
     assert go_syntax.facts_of("x.go", b"package a\nvar s = \"\xff\"")[0][1] == "failed"
 
 
+# each reference of dep is named after what it takes: In a local name, Out the import
+SCOPES = """package p
+import dep "x.org/m/dep"
+func a(dep dep.OutA) (r dep.OutB) { _ = dep.InA; return }
+func b() (dep int) { dep.InB(); return }
+func (dep *dep.OutC) m() { dep.InC() }
+func c[dep any](x dep) { var y dep.InD }
+func d() {
+	dep.OutD()
+	if dep := dep.OutE(); dep.InE() { dep.InF() } else if x := dep.InG(); x { dep.InH() } else { dep.InI() }
+	for i, dep := range dep.OutF() { dep.InJ(i) }
+	for dep := dep.OutG(); dep.InK(); dep.InL() { dep.InM() }
+	switch dep := dep.OutH().(type) { case dep.InN: dep.InO()
+	default: dep.InP() }
+	switch x := 1; x { case 1: dep := dep.OutI; dep.InQ()
+	case dep.OutJ: dep.OutK() }
+	select { case dep := <-dep.OutL(): dep.InR()
+	case <-dep.OutM: }
+	f := func(dep int) dep.OutN { return dep.InS }
+	var dep, z = dep.OutO, 1
+	{ type dep struct{ x dep.InT }; dep.InU() }
+	g := func() { dep.InV() }
+	const k = dep.InW
+}
+func e() { dep, err := dep.OutP(); _ = err; dep.InX()
+	x.dep.Skip() }
+func h() { const dep = dep.OutQ; dep.InY() }
+func i(f func(dep int) dep.OutR, m map[string]dep.OutS) map[string]struct{} { return dep.OutT }
+var v = func(dep int) { dep.InZ() }
+type G[dep any] struct{ x dep.InAa }
+type L [dep.OutU]int
+func j() {
+	x := []dep.OutV{{a: dep.OutW}}
+	for _, dep := range []struct{ n dep.OutX }{{dep.OutY}} { dep.InAb() }
+	if f := func() bool { dep := 1; return dep.InAc }; f() { dep.OutZ() }
+	go func(dep int) { dep.InAd() }(dep.OutAa)
+	_ = dep.OutAb
+	take(dep.OutAc)
+	x.
+		dep.Skip()
+}
+func k(more ...dep.OutAd) chan<- dep.OutAe { return nil }
+"""
+
+
+def test_go_scopes(spark):
+    """Shadowing in every kind of scope: what is left are exactly the import's references."""
+    files = repo(spark, {"p.go": SCOPES})
+    facts = go_facts.extract(files)
+    named = {r.detail for r in facts.where("fact = 'reference' and name = 'dep'").collect()}
+    free = {r.detail for r in go_facts.unbound(facts).where("name = 'dep'").collect()}
+    assert named == set(re.findall(r"\bdep\.((?:In|Out)\w+)", SCOPES)) and free == {n for n in named if n.startswith("Out")}
+
+
+def test_go_export_uses(spark):
+    """USES_EXPORT rows of a file with a package-level name, dot and blank imports, a method value, and one alias of two imports."""
+    files = repo(spark, {
+        "go.mod": "module x.org/m\n", "dep/a.go": "package dep\n\nfunc One() {}\nfunc (t T) Two() {}\ntype T struct{}\n", "dep/b.go": "package dep\n\nvar Three = 1\n", "dep/c_test.go": "package dep\n\nvar Four = 1\n",
+        "dot/d.go": "package dot\n\nvar Five = 1\n",
+        "use.go": 'package use\n\nimport (\n\t"x.org/m/dep"\n\t. "x.org/m/dot"\n\t_ "x.org/m/dot"\n)\n\ntype dot struct{}\n\nfunc f() {\n\tg := dep.One\n\t_, _ = dep.Three, dep.T.Two\n\t_ = dot.Five\n\t{ dep := g; dep.One() }\n\tdep.Four()\n\tdep.Two()\n}\n',
+        "twice.go": 'package use\n\nimport dep "x.org/m/dep"\nimport dep "x.org/m/dot"\n\nvar v = dep.One\n',
+    })
+    fragment = go_facts.go_fragment(files)
+    uses = {(r.from_id, r.to_id) for r in fragment.graph.edges.where("kind = 'USES_EXPORT'").collect()}
+    assert uses == {("file:use.go", "file:dep/a.go"), ("file:use.go", "file:dep/b.go")}
+    assert {r.snippet for r in fragment.evidence.where("edge.kind = 'USES_EXPORT'").collect()} == {"dep.One", "dep.Three", "dep.T"}
+    assert {r.reason.split(" ")[2] for r in fragment.issues.where("kind = 'UNRESOLVED_EXPORT_SOURCE'").collect()} == {"dep.Four", "dep.Two"}
+
+
 def test_go(spark):
     files = repo(spark, {
         "go.mod": "module example.org/app // here\n\nrequire (\n\tgithub.com/x/y v1.2.3\n\tgithub.com/x/old v1.0.0\n\texample.org/app/taken v1.0.0\n)\nreplace github.com/x/old => ./moved\nexclude github.com/x/y/bad v1.0.0\n",
@@ -145,6 +216,50 @@ def test_tsjs_syntax():
     assert tsjs_syntax.facts_of("x.ts", b"function f( {")[0][1] == "failed"
 
 
+def names(path, text):
+    rows = tsjs_syntax.facts_of(path, text.encode())
+    return [(r[1], r[2]) for r in rows[1:]] if rows[0][1] == "parsed" else rows[0][3]
+
+
+def test_tsjs_lexer():
+    """Slashes, templates and elements that hold brackets and quotes."""
+    assert names("a.ts", "function a(x) { return /[{]/.test(x) }\nexport const b = 1") == [("FUNCTION", "a"), ("VARIABLE", "b")]
+    assert names("a.ts", 'const x = `x ${b ? `{` : ""}`; export function z() {}') == [("VARIABLE", "x"), ("FUNCTION", "z")]
+    assert names("a.js", "if (x) /}/.exec(y)\nlet c = (a) / 2 / d, e = x++ / 1, f = [1] / g['}'] / h\nclass K {}") == [("VARIABLE", "c"), ("VARIABLE", "e"), ("VARIABLE", "f"), ("CLASS", "K")]
+    assert names("a.js", "x = {} / 1; while (y) /'/g.test(z); const o = typeof /`/, p = q.return / 2 // it's\n/* ` */ var r = a.if(b) / 2") == [("VARIABLE", "o"), ("VARIABLE", "p"), ("VARIABLE", "r")]
+    tsx = "const A = <T,>(x: T) => <div a={{b: 1}} c='}'>it's {x ? <b>{`${'}'}`}</b> : null} / {/* } */}</div>\ntype F = <T>(x: T) => T\ninterface I { <T>(x: T): T; a?: <U extends T>(u: U) => U }\nexport function B() { return <><A<T> x=\"}\"/><a.b-c:d {...e} f=<i/>>'</a.b-c:d></> }\nconst z = a < b, y = c > d"
+    assert names("a.tsx", tsx) == [("FUNCTION", "A"), ("TYPE", "F"), ("INTERFACE", "I"), ("FUNCTION", "B"), ("VARIABLE", "z"), ("VARIABLE", "y")]
+    assert names("a.ts", "const c = <T>(x: T) => x, d = <any>e\nlet f = a < b") == [("FUNCTION", "c"), ("VARIABLE", "d"), ("VARIABLE", "f")]
+    for bad in ("`${a", "'x\n'", "a = /x\n/", "f(]", "}", "/* open", "`a\\"):
+        assert isinstance(names("a.ts", bad), str), bad
+    assert isinstance(names("a.tsx", "const a = <div>{b}</span>; }"), str)
+
+
+def test_tsjs_statements():
+    """Members behind accessors, patterns, generics, statements without semicolons, and what only looks like a declaration."""
+    klass = "class Q extends M<{a: 1}> { get w() { return 1 } ['w']() {} static #p() {} foo<T>(a: T): {a: number} { return {a: 1} } async *gen() {} x = () => {}; readonly y: string\n bar(): void\n bar(z?: number): void {} static { f() } static() {} get() {} constructor(private a = {}) {} abstract q(): Map<string, number>; @Dec({b: 1}) deco() {} 'quoted'() {} 3() {} [k]() {} set v(x) {} }"
+    methods = ["w", "#p", "foo", "gen", "bar", "bar", "static", "get", "constructor", "q", "deco", "quoted", "3"]
+    assert names("a.ts", klass) == [("CLASS", "Q"), *(("METHOD", f"Q.{m}") for m in methods)]
+    variables = "export const {a, b: {c}, ...d} = f<A, B>(1), [e,, g = 2] = h, i = async (x: number): Promise<Map<string, void>> => 1, j = function () {}, k = function(){}(), l: (a: b) => c = z\nlet o = 1 < 2, p = x as M<A, B>, q = a < b, r = 3\n  .toFixed(), s"
+    assert names("a.ts", variables) == [*(("VARIABLE", n) for n in "acdeg"), ("FUNCTION", "i"), ("FUNCTION", "j"), *(("VARIABLE", n) for n in "klopqrs")]
+    imports = "import a, {b} from 'x'\nimport type {C} from \"y\";import * as z from 'z' with {type: 'json'};\nexport * as ns from './n\\u0073'\nexport {a}\nlet t: typeof import('u')\nimport 'side'; type A = import('v').B\ndeclare module 'm' { import 'inner' }\ntype = 3\nexport type F<T> = T\nexport declare const enum En {A}\nconst g =\n  function named() {}\nimport from from 'f'"
+    assert names("a.ts", imports) == [("import", "x"), ("import", "y"), ("import", "z"), ("import", "./ns"), ("VARIABLE", "t"), ("import", "side"), ("TYPE", "A"), ("TYPE", "F"), ("ENUM", "En"), ("FUNCTION", "g"), ("import", "f")]
+    for text, reasons in {"import('a')": 1, "x.require('a')": 0, "require('a'); import b = require('c')": 2, "class A { require() {} }": 0, "export import a = b.c": 1, "`${require('x')}`": 1, "'import(1)' // import(2)": 0}.items():
+        assert sum(kind == "limitation" for kind, _ in names("a.ts", text)) == reasons, text
+
+
+def test_tsjs_resolution_is_stable(spark):
+    """The same targets however the rows are dealt, for many files that ask for the same and for other modules."""
+    files = repo(spark, {**{f"d{i % 3}/f{i}.ts": f"import './f{(i + 3) % 60}'\nimport '../d{(i + 1) % 3}/f{i + 1}.js'\nimport 'x'\n" for i in range(60)}})
+    facts = tsjs_facts.extract(files)
+    parsed = facts.where("fact = 'parsed'").select("path")
+    run = lambda n: sorted(tuple(r) for r in tsjs_facts.resolve(tsjs_facts.imports_of(facts).repartition(n), parsed.repartition(n), tsjs_facts.configs_of(files), tsjs_facts.packages_of(files)).select("path", "spec", "class", "target").collect())
+    rows = run(1)
+    assert rows == run(7) and len(rows) == 180
+    want = {(f"d{i % 3}/f{i}.ts", f"./f{(i + 3) % 60}", "internal_resolved", f"file:d{i % 3}/f{(i + 3) % 60}.ts") for i in range(60)}
+    assert want <= set(rows) and sum(r[2] == "internal_resolved" for r in rows) == 60 + 59
+
+
 def test_tsjs(spark):
     files = repo(spark, {
         "src/a.ts": "import x from './b'\nimport type { Y } from \"../lib/c.js\"\nimport 'react'\nexport * from 'node:fs'\nimport z from './none'\nimport q from 'left/x'\nimport r from '../../out'\nimport s from '@/c'\nimport t from 'lib/c'\nimport u from '#in'\nimport v from 'exact'\n",
