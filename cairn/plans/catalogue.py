@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import paths
 from cairn.graph import CodeGraph, build, dangling_edges, is_declaration, node_conflicts, role_of, source_hash
-from cairn.operators import client, evidence, hierarchy, queries, traverse, view
+from cairn.operators import client, evidence, hierarchy, layers, queries, traverse, view
 from cairn.operators.projection import Projection, project_packages, subset_support
 from cairn.plans.adapter_sql import query
 from cairn.session import cut, folder
@@ -191,6 +191,45 @@ def impact_all(spark, sf):
     return traverse.impact_distances(CodeGraph(graph.nodes, cut(graph.edges)), graph.nodes.select("id"))
 
 
+_PAIRED = """
+WITH RECURSIVE e AS (SELECT DISTINCT 'file:p' || a.l_partkey AS f, 'file:p' || b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+r(src, id, d) AS (SELECT 'file:p' || p_partkey, 'file:p' || p_partkey, 0 FROM part WHERE p_partkey <= 12 UNION SELECT r.src, t, r.d + 1 FROM r JOIN e ON f = r.id WHERE r.d < 9),
+dist AS (SELECT src, id, min(d) AS d FROM r GROUP BY 1, 2),
+p(src, id, d, path) AS (SELECT src, id, 0, [id] FROM dist WHERE d = 0 UNION ALL
+  SELECT p.src, t, p.d + 1, list_append(p.path, t) FROM p JOIN e ON f = p.id JOIN dist ON dist.src = p.src AND dist.id = t AND dist.d = p.d + 1)
+SELECT p_partkey AS pair, array_to_string(min(path), '>') AS path FROM part JOIN p ON p_partkey <= 12 AND p.src = 'file:p' || p_partkey AND p.id = 'file:p' || (7 * p_partkey + 100) GROUP BY 1"""
+
+
+@registered(_PAIRED)
+def least_paths_between(spark, sf):
+    """The least shortest paths of twelve pairs of parts, each searched from both ends."""
+    g = part_graph(spark, sf)
+    own = F.col("p_partkey")
+    pairs = tables(spark, sf, "part")[0].where(own <= 12).select(own.alias("pair"), F.format_string("file:p%d", own).alias("from_id"), F.format_string("file:p%d", 7 * own + 100).alias("to_id"))
+    return traverse.least_paths(g.edges, pairs).select("pair", text_of(F.col("path"), ">").alias("path"))
+
+
+@registered("""
+WITH RECURSIVE line AS (SELECT l_orderkey, l_linenumber, p_brand AS brand FROM lineitem JOIN part ON p_partkey = l_partkey),
+n AS (SELECT a.brand AS a, b.brand AS b, count(*) AS n FROM line a JOIN line b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 GROUP BY 1, 2),
+e AS (SELECT x.a, x.b FROM n x LEFT JOIN n y ON y.a = x.b AND y.b = x.a WHERE 4 * x.n > 5 * coalesce(y.n, 0)),
+brand AS (SELECT DISTINCT p_brand AS id FROM part),
+r AS (SELECT id AS a, id AS b FROM brand UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1),
+ce AS (SELECT DISTINCT x.component AS a, y.component AS b FROM e JOIN c x ON x.id = e.a JOIN c y ON y.id = e.b WHERE x.component <> y.component),
+l(component, d) AS (SELECT DISTINCT component, 0 FROM c UNION SELECT ce.b, l.d + 1 FROM l JOIN ce ON ce.a = l.component)
+SELECT id, component, max(d) AS layer FROM c JOIN l USING (component) GROUP BY 1, 2""")
+def brand_layers(spark, sf):
+    """Layers of the brands, where one imports another that follows it on order lines more than 5/4 times as often as the other way round."""
+    line, part = tables(spark, sf, "lineitem", "part")
+    rows = line.join(part, line.l_partkey == part.p_partkey).select("l_orderkey", "l_linenumber", F.col("p_brand").alias("from_id"))
+    after = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("from_id").alias("to_id"))
+    n = cut(rows.join(after, ["l_orderkey", "l_linenumber"]).groupBy("from_id", "to_id").agg(F.count("*").alias("n")))
+    back = n.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.col("n").alias("m"))
+    edges = n.join(back, ["from_id", "to_id"], "left").where("4 * n > 5 * coalesce(m, 0)")
+    return layers.layers(part.select(F.col("p_brand").alias("id")).distinct(), edges)
+
+
 _PARTS = """
 WITH RECURSIVE e AS (SELECT DISTINCT 'file:p' || a.l_partkey AS f, 'file:p' || b.l_partkey AS t FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
 r(src, id, d) AS (SELECT 'file:p' || p_partkey, 'file:p' || p_partkey, 0 FROM part WHERE p_partkey IN (1, 2, 3) UNION SELECT r.src, {1}, r.d + 1 FROM r JOIN e ON {0} = r.id WHERE r.d < 9),

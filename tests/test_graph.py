@@ -1,10 +1,12 @@
 """Graph operators on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from cairn.graph import CodeGraph, build
-from cairn.operators import client, evidence, hierarchy, queries, traverse, view
+from cairn.operators import client, evidence, hierarchy, layers, queries, traverse, view
 from cairn.operators.projection import project_packages
 from cairn.schema import EDGES, EVIDENCE, NODES, GraphError
 
@@ -128,3 +130,35 @@ def test_views_and_counts(spark):
     assert {(r.id, r.role) for r in client.file_roles(g).collect()} == {("loose", "importing"), ("f", "importing"), ("h", "supplying")}
     assert set(ids(client.reveal(g, "f"))) == {"p"}
     assert view.child_counts(g).where("id = 'e'").first().children == 0
+
+
+def test_least_paths(spark):
+    """Searches from both ends give what a search from one end gives, for 100 pairs at once, connected or not."""
+    r = random.Random(4)
+    names = [f"n{i:02d}" for i in range(40)]
+    links = sorted({(a, b) for a, b in ((r.choice(names), r.choice(names)) for _ in range(75)) if a != b})
+    edges = spark.createDataFrame(links, "from_id string, to_id string")
+    pairs = [(i, r.choice(names), r.choice(names)) for i in range(99)] + [(99, "n00", "n00")]
+    got = {p.pair: p.path for p in traverse.least_paths(edges, spark.createDataFrame(pairs, "pair int, from_id string, to_id string")).collect()}
+    one = {(p.source, p.id): p.path for p in traverse.shortest_paths(edges, spark.createDataFrame([(n,) for n in names], "id string")).collect()}
+    assert got == {i: one[a, b] for i, a, b in pairs if (a, b) in one} and 20 < len(got) < 100
+    none = spark.createDataFrame([(0, "n00", "nowhere")], "pair int, from_id string, to_id string")
+    assert traverse.least_paths(edges, none).count() == traverse.least_paths(edges, none.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_layers(spark, seed):
+    """Components and longest paths of random digraphs against reachability by brute force."""
+    r = random.Random(seed)
+    names = [f"n{i:02d}" for i in range(30)]
+    links = {(r.choice(names), r.choice(names)) for _ in range(28 + 8 * seed)}
+    reach = {n: {n} for n in names}
+    for _ in names:
+        for a, b in links:
+            reach[a] |= reach[b]
+    component = {n: min(m for m in names if m in reach[n] and n in reach[m]) for n in names}
+    above = lambda c: {component[a] for a, b in links if component[b] == c and component[a] != c}
+    layer = lambda c: max((layer(p) + 1 for p in above(c)), default=0)
+    rows = layers.layers(spark.createDataFrame([(n,) for n in names], "id string"), spark.createDataFrame(sorted(links), "from_id string, to_id string")).collect()
+    assert {(x.id, x.component, x.layer) for x in rows} == {(n, component[n], layer(component[n])) for n in names}
+    assert len(set(component.values())) < len(names)
