@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.graph import EDGE_COLUMNS, CodeGraph
+from cairn.graph import EDGE_COLUMNS, CodeGraph, require_node
 from cairn.schema import LEGAL_CONTAINMENT, PAGE, GraphError
 from cairn.session import cut
 
@@ -55,7 +55,8 @@ def page(rows: DataFrame, order: list, offset: int) -> tuple[DataFrame, int]:
 
 
 def children_page(graph: CodeGraph, node_id: str, offset: int) -> tuple[DataFrame, int]:
-    """A page of the node's children as nodes, by path and id."""
+    """A page of the node's children as nodes, by path and id; unknown ids are refused."""
+    require_node(graph.nodes, node_id)
     own = parents(graph).where(F.col("parent") == node_id).select(F.col("child").alias("id"))
     return page(graph.nodes.join(own, "id", "left_semi"), ["path", "id"], offset)
 

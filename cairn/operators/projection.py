@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.graph import EDGE_COLUMNS, CodeGraph
-from cairn.operators.hierarchy import parents
+from cairn.operators.hierarchy import parents, validate
 
 
 @dataclass(frozen=True)
@@ -24,12 +24,17 @@ class Projection:
         return self.support.groupBy("from_id", "to_id").agg(F.sort_array(F.collect_set(source)).alias("sources"))
 
 
-def project_packages(graph: CodeGraph) -> Projection:
+def project_packages(graph: CodeGraph, check: bool = False) -> Projection:
     """Imports of files whose parent is a package, lifted to packages.
 
+    With check, a graph that breaks containment is refused first, at the cost of a pass for each
+    level (a saved snapshot has been checked).
+
     A package target stays; a file target counts only in Python and stands for its package. Other
     imports derive nothing. Edges of a package to itself stay.
     """
+    if check:
+        validate(graph)
     kind = graph.nodes.select("id", "kind", "language")
     package = kind.where("kind = 'PACKAGE'").select("id")
     owner = parents(graph).join(package, F.col("parent") == package.id, "left_semi")

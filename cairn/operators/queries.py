@@ -53,7 +53,8 @@ def client_search(nodes: DataFrame, term: str) -> DataFrame:
 
 
 def related_page(graph: CodeGraph, projection: Projection, node_id: str, incoming: bool, offset: int) -> tuple[DataFrame, int]:
-    """A page of a node's neighbours, by path and id: a package's in the projection, others' by every relation but containment."""
+    """A page of a node's neighbours, by path and id: a package's in the projection, others' by every relation but containment. Unknown ids are refused."""
+    require_node(graph.nodes, node_id)
     kind = graph.nodes.where(F.col("id") == node_id).select("kind").first()
     edges = projection.graph.edges if kind and kind.kind == "PACKAGE" else graph.edges.where("kind <> 'CONTAINS'")
     own, other = ("to_id", "from_id") if incoming else ("from_id", "to_id")

@@ -1,11 +1,18 @@
 """Immutable snapshots as Parquet: one partition by scan in every table, published by its row in `snapshots`.
 
-A snapshot's tables are written first and its `snapshots` row last; readers see only scans that
-have one, so a save that fails or loses executors leaves nothing visible.
+A snapshot's tables and view index are written first and its `snapshots` row last; readers see
+only scans that have one, so a save that fails or loses executors leaves nothing visible.
+
+A manifest names the store's format and the folder of its view indexes. Format 1 had neither: such a
+store is migrated when it is opened for writing. The indexes of all its snapshots go to a new
+folder, and the manifest that names it is put in place by one rename, so a migration that fails
+leaves the old store as it was.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from datetime import UTC, datetime
 
@@ -14,20 +21,64 @@ from pyspark.sql import functions as F
 
 from cairn.graph import CodeGraph, dangling_edges, node_conflicts
 from cairn.schema import COUNTERS, EDGES, EVIDENCE, EXCLUSIONS, ISSUES, NODES, SNAPSHOTS, STATUSES, GraphError
+from cairn.sources.view_index import ViewIndex, write_index
 
 SCHEMAS = {"nodes": NODES, "edges": EDGES, "evidence": "ordinal int, " + EVIDENCE, "issues": "ordinal int, " + ISSUES, "exclusions": EXCLUSIONS}
 
 
+FORMAT = 2
+#: Seconds after which a saver's claim may be taken over.
+LEASE = 3600.0
+
+
 class SnapshotStore:
     """Snapshots under a folder that Spark can read and write."""
 
-    def __init__(self, spark: SparkSession, root: str, read_only: bool = False):
-        """A store that is only read must be there, and refuses to save."""
-        self.spark, self.root, self.read_only = spark, root.rstrip("/"), read_only
-        if read_only:
-            system, where = self._path("snapshots")
-            if not system.exists(where):
-                raise GraphError("not_found", f"no store in {root}")
+    def __init__(self, spark: SparkSession, root: str, read_only: bool = False, lease: float = LEASE):
+        """A store that is only read must be there and of this format, and refuses to save. One of a newer format is refused."""
+        self.spark, self.root, self.read_only, self.lease = spark, root.rstrip("/"), read_only, lease
+        there = self._exists("snapshots") or self._exists("manifest.json")
+        if read_only and not there:
+            raise GraphError("not_found", f"no store in {root}")
+        manifest = json.loads(self._text("manifest.json")) if self._exists("manifest.json") else {"format": 1 if there else None}
+        if manifest["format"] not in (None, 1, FORMAT) or (read_only and manifest["format"] != FORMAT):
+            raise GraphError("unsupported_version", f"the store has format {manifest['format']}, not {FORMAT}")
+        if manifest["format"] != FORMAT:
+            manifest = self._migrate()
+        self.views = manifest["views"]
+
+    def _exists(self, name: str) -> bool:
+        system, where = self._path(name)
+        return system.exists(where)
+
+    def _text(self, name: str) -> str:
+        system, where = self._path(name)
+        stream = system.open(where)
+        text = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        return text
+
+    def _write(self, name: str, text: str) -> bool:
+        """Create a file that is not there, whole; False where it is."""
+        system, where = self._path(name)
+        _, draft = self._path(f"{name}.{uuid.uuid4().hex}")
+        stream = system.create(draft)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        done = not system.exists(where) and system.rename(draft, where)
+        if not done:
+            system.delete(draft, False)
+        return done
+
+    def _migrate(self) -> dict:
+        """From format 1 (or an empty folder) to this one: view indexes of all snapshots in a new folder, then the manifest."""
+        manifest = {"format": FORMAT, "views": f"views-{uuid.uuid4().hex}"}
+        for row in self._read("snapshots", SNAPSHOTS).select("id").toLocalIterator():
+            graph, _ = self.load(row.id)
+            write_index(graph, f"{self.root}/{manifest['views']}/scan_id={row.id}")
+        if not self._write("manifest.json", json.dumps(manifest)):
+            return json.loads(self._text("manifest.json"))  # another writer was first
+        return manifest
 
     def _path(self, name: str):
         """(file system, path) of a file or folder of the store."""
@@ -54,10 +105,9 @@ class SnapshotStore:
         """Publish a scan and return its id.
 
         parts may hold evidence, issues and exclusions. expected, if given, must be the latest
-        snapshot's id, and of several savers that expect the same one only the first goes on: it
-        creates the file that claims the place behind it, which the file system lets one of them
-        do. (After a saver that died with its claim, save once without expected.) Refused: other
-        statuses, edges of which an end is no node, conflicting nodes.
+        snapshot's id, and of several savers that expect the same one only the first goes on (see
+        _claim). Refused: other statuses, edges of which an end is no node, conflicting nodes, and
+        graphs that break containment.
         """
         if self.read_only:
             raise GraphError("bad_request", "the store is read only")
@@ -66,21 +116,70 @@ class SnapshotStore:
         if row := dangling_edges(graph.nodes, graph.edges).first() or node_conflicts(graph.nodes).first():
             raise GraphError("invalid_graph", f"not saved: {row.asDict()}")
         if expected is not None:
-            system, claim = self._path(f"claims/{expected or 'none'}")
-            if (self.latest() or "") != expected or not system.createNewFile(claim):
+            if (self.latest() or "") != expected:
                 raise GraphError("scan_conflict", "another snapshot was saved meanwhile")
+            fence = self._claim(expected or "none")
         scan, now = uuid.uuid4().hex, datetime.now(UTC)
         frames = {"nodes": graph.nodes, "edges": graph.edges, **(parts or {})}
         for name, frame in frames.items():
             columns = self.spark.createDataFrame([], SCHEMAS[name]).columns
             frame.select(columns).withColumn("scan_id", F.lit(scan)).write.mode("append").partitionBy("scan_id").parquet(f"{self.root}/{name}")
+        write_index(self._graph(scan)[0], f"{self.root}/{self.views}/scan_id={scan}")
+        if expected is not None and (self._last_claim(expected or "none") != fence or (self.latest() or "") != expected):
+            raise GraphError("scan_conflict", "the claim was taken over")
         row = (scan, source, now.isoformat(timespec="microseconds").replace("+00:00", "Z"), now, status, *((counters or {}).get(c, 0) for c in COUNTERS))
         self.spark.createDataFrame([row], SNAPSHOTS).coalesce(1).write.mode("append").parquet(f"{self.root}/snapshots")
         return scan
 
-    def load(self, scan: str) -> tuple[CodeGraph, dict[str, DataFrame]]:
-        """(graph, evidence, issues and exclusions) of a published snapshot; only its partitions are read."""
+    def _claims(self, name: str) -> list[int]:
+        system, where = self._path("claims")
+        names = [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+        return sorted(int(n.rpartition("-")[2]) for n in names if n.startswith(f"{name}-") and n.rpartition("-")[2].isdigit())
+
+    def _last_claim(self, name: str) -> int | None:
+        return max(self._claims(name), default=None)
+
+    def _expires(self, name: str) -> float:
+        """When a claim's lease ends; one that is being written counts from its file's time."""
+        system, where = self._path(name)
+        return float(self._text(name) or system.getFileStatus(where).getModificationTime() / 1000 + self.lease)
+
+    def _claim(self, name: str) -> int:
+        """The fencing number of this saver's claim on the place behind a snapshot.
+
+        A claim is a file that holds when it expires; the file system lets one saver create it. An
+        expired one is taken over by creating the next number, which one later saver can do as well. Before it
+        publishes, a saver whose number is no longer the last gives up.
+        """
+        last = self._last_claim(name)
+        if last is not None and self._expires(f"claims/{name}-{last}") > time.time():
+            raise GraphError("scan_conflict", "another snapshot is being saved")
+        fence = 0 if last is None else last + 1
+        system, where = self._path(f"claims/{name}-{fence}")
+        try:
+            stream = system.create(where, False)  # fails where another saver has created it
+        except Exception as e:
+            if not system.exists(where):
+                raise
+            raise GraphError("scan_conflict", "another snapshot is being saved") from e
+        stream.write(bytearray(str(time.time() + self.lease).encode()))
+        stream.close()
+        return fence
+
+    def view(self, scan: str) -> ViewIndex:
+        """The stored view index of a published snapshot."""
+        self._published(scan)
+        return ViewIndex(self.spark, f"{self.root}/{self.views}/scan_id={scan}")
+
+    def _published(self, scan: str) -> None:
         if self._read("snapshots", SNAPSHOTS).where(F.col("id") == scan).isEmpty():
             raise GraphError("not_found", f"snapshot {scan} not found")
+
+    def load(self, scan: str) -> tuple[CodeGraph, dict[str, DataFrame]]:
+        """(graph, evidence, issues and exclusions) of a published snapshot; only its partitions are read."""
+        self._published(scan)
+        return self._graph(scan)
+
+    def _graph(self, scan: str) -> tuple[CodeGraph, dict[str, DataFrame]]:
         own = {n: self._read(n, s + ", scan_id string").where(F.col("scan_id") == scan).drop("scan_id") for n, s in SCHEMAS.items()}
         return CodeGraph(own.pop("nodes"), own.pop("edges")), own

@@ -10,6 +10,7 @@ from cairn.operators.hierarchy import page
 from cairn.operators.projection import project_packages
 from cairn.schema import GraphError
 from cairn.session import cut
+from cairn.sources.repository import current_files
 from cairn.sources.store import SnapshotStore
 
 
@@ -17,7 +18,7 @@ class Snapshot:
     """One published scan; every tool reads it alone, whatever is saved later."""
 
     def __init__(self, store: SnapshotStore, scan: str):
-        self.scan = scan
+        self.scan, self.index, self.store = scan, store.view(scan), store
         graph, self.parts = store.load(scan)
         self.graph = CodeGraph(cut(graph.nodes), cut(graph.edges))
         projection = project_packages(self.graph)
@@ -32,7 +33,7 @@ class Snapshot:
                 raise GraphError("route_not_found", f"no tool {tool}")
             run, types = TOOLS[tool]
             for name, value in arguments.items():
-                if name not in types or not isinstance(value, types[name][0]) or isinstance(value, bool):
+                if name not in types or not isinstance(value, types[name][0]) or isinstance(value, bool) is not (types[name][0] is bool):
                     raise GraphError("invalid_argument", f"argument {name}")
             if missing := [n for n, (_, needed) in types.items() if needed and not arguments.get(n)]:
                 raise GraphError("invalid_argument", f"missing {missing}")
@@ -51,6 +52,63 @@ def _dicts(df) -> list[dict]:
     return [r.asDict(True) for r in df.collect()]
 
 
+def _page(s, name, node_id, page, offset):
+    """A page of a node's relation from the stored index."""
+    rows, total = page(node_id, offset=offset)
+    return {name: _dicts(rows), "total": total, "offset": offset}
+
+
+def _children(s, node_id, offset=0):
+    return _page(s, "children", node_id, s.index.children_page, offset)
+
+
+def _neighbours(s, node_id, incoming=False, offset=0):
+    return _page(s, "nodes", node_id, lambda i, offset: s.index.related_page(i, incoming, offset), offset)
+
+
+def _graph(g):
+    """A part of the graph: nodes without the counts that are not known, and edges, each in order."""
+    nodes = [{k: v for k, v in n.items() if v is not None} for n in _dicts(g.nodes.orderBy("id"))]
+    return {"nodes": nodes, "edges": _dicts(g.edges.orderBy("kind", "from_id", "to_id"))}
+
+
+def _overview(s):
+    return _graph(view.overview(s.graph, s.projection))
+
+
+def _package(s, package_id):
+    return _graph(view.package_detail(s.graph, s.projection, package_id))
+
+
+def _file(s, file_id):
+    return _graph(view.file_detail(s.graph, file_id))
+
+
+def _neighborhood(s, node_id, scope="canonical", dependency_offset=0, dependent_offset=0):
+    near = queries.neighborhood(s.graph, s.projection, node_id, scope, dependency_offset, dependent_offset)
+    return _graph(near.graph) | {"dependencies": _dicts(near.dependencies), "dependents": _dicts(near.dependents), "dependencies_total": near.dependencies_total, "dependents_total": near.dependents_total}
+
+
+def _facts(s, kind, from_id, to_id, scope="canonical", offset=0):
+    facts, total, graph = view.relationship_facts(s.graph, s.projection, (kind, from_id, to_id), scope, offset)
+    return {"facts": _dicts(facts), "total": total, "offset": offset, "graph": _graph(graph)}
+
+
+def _page_of_search(s, term="", offset=0):
+    rows, total = queries.search_page(s.graph.nodes, term, offset)
+    return {"nodes": _dicts(rows), "total": total, "offset": offset}
+
+
+def _sources(s, root, offset=0):
+    """Saved sources against a folder as it is now, by path."""
+    status = evidence.source_status(s.parts["evidence"], current_files(s.graph.nodes.sparkSession, root), s.parts["evidence"].select("path"))
+    return _paged("sources", status, ["path"], offset)
+
+
+def _snapshots(s):
+    return {"snapshots": _dicts(s.store.list().limit(100).select("id", "root", "created_at", "status"))}
+
+
 def _search(s, text="", kinds=(), limit=20):
     return {"nodes": _dicts(queries.search(s.graph.nodes, text, tuple(kinds), limit))}
 
@@ -96,10 +154,20 @@ def _info(s):
     return counts | {"issues": s.parts["issues"].count(), "relations": {r["kind"]: r["count"] for r in s.graph.edges.groupBy("kind").count().orderBy(F.col("kind")).collect()}}
 
 
-TEXT, NUMBER = (str, False), (int, False)
+TEXT, NUMBER, FLAG = (str, False), (int, False), (bool, False)
 NEEDED = (str, True)
 TOOLS = {
     "scan_info": (_info, {}),
+    "snapshots": (_snapshots, {}),
+    "overview": (_overview, {}),
+    "node_children": (_children, {"node_id": NEEDED, "offset": NUMBER}),
+    "related_nodes": (_neighbours, {"node_id": NEEDED, "incoming": FLAG, "offset": NUMBER}),
+    "package_detail": (_package, {"package_id": NEEDED}),
+    "file_detail": (_file, {"file_id": NEEDED}),
+    "neighborhood": (_neighborhood, {"node_id": NEEDED, "scope": TEXT, "dependency_offset": NUMBER, "dependent_offset": NUMBER}),
+    "relationship_facts": (_facts, {"kind": NEEDED, "from_id": NEEDED, "to_id": NEEDED, "scope": TEXT, "offset": NUMBER}),
+    "search_page": (_page_of_search, {"term": TEXT, "offset": NUMBER}),
+    "source_status": (_sources, {"root": NEEDED, "offset": NUMBER}),
     "search_nodes": (_search, {"text": TEXT, "kinds": (list, False), "limit": NUMBER}),
     "inspect_node": (_inspect, {"node_id": NEEDED}),
     "package_dependencies": (_related(False), {"package_id": NEEDED, "offset": NUMBER}),

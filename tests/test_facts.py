@@ -312,6 +312,16 @@ def test_tools(spark, tmp_path):
     assert s.call("package_impact", {"package_id": "B", "offset": 1})["affected"] == [] and s.call("file_symbols", {"file_id": "f"})["total"] == 0
     assert s.call("scan_info", {}, pinned="other")["error"]["code"] == "snapshot_changed" and "error" not in s.call("scan_info", {}, pinned=s.scan)
     assert s.call("scan_info", {})["packages"] == 2
+    assert s.call("node_children", {"node_id": "A"}) == {"children": [{"id": "f", "kind": "FILE", "path": "f", "name": "f", "language": "go", "import_count": None, "export_count": None}], "total": 1, "offset": 0}
+    assert [n["id"] for n in s.call("related_nodes", {"node_id": "B", "incoming": True})["nodes"]] == ["A"] and s.call("related_nodes", {"node_id": "f"})["total"] == 1
+    whole = s.call("package_detail", {"package_id": "A"})
+    assert [n["id"] for n in whole["nodes"]] == ["A", "B", "f"] and "import_count" not in whole["nodes"][0] and len(whole["edges"]) == 2
+    assert [n["id"] for n in s.call("file_detail", {"file_id": "f"})["nodes"]] == ["A", "f"] and s.call("overview", {})["nodes"][0]["id"] == "A"
+    assert s.call("neighborhood", {"node_id": "A", "scope": "package"})["dependencies_total"] == 1 and s.call("search_page", {"term": "F"})["total"] == 1
+    assert s.call("relationship_facts", {"kind": "IMPORTS", "from_id": "A", "to_id": "B", "scope": "package"})["total"] == 1
+    assert s.call("source_status", {"root": str(tmp_path)})["sources"] == [] and len(s.call("snapshots", {})["snapshots"]) == 1
+    for tool, arguments in (("node_children", {"node_id": "x"}), ("related_nodes", {"node_id": "x"}), ("related_nodes", {"node_id": "f", "incoming": 1}), ("node_children", {"node_id": "A", "offset": -1}), ("node_children", {"node_id": "A", "offset": True}), ("source_status", {"root": "/none"})):
+        assert "error" in s.call(tool, arguments), tool
     assert s.call("source_evidence", {"kind": "IMPORTS", "from_id": "A", "to_id": "B", "scope": "package"})["recorded"] is False
     for tool, arguments, code in (("none", {}, "route_not_found"), ("inspect_node", {}, "invalid_argument"), ("inspect_node", {"node_id": 3}, "invalid_argument"), ("inspect_node", {"node_id": "x"}, "node_not_found"), ("file_symbols", {"file_id": "A"}, "wrong_node_kind"), ("search_nodes", {"limit": 0}, "invalid_argument"), ("search_nodes", {"odd": 1}, "invalid_argument")):
         assert s.call(tool, arguments)["error"]["code"] == code

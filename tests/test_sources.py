@@ -1,13 +1,23 @@
 """Ignore rules, scans, Python facts and the snapshot store."""
 
+import json
 import re
+import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo
 
 from cairn.functions.paths import glob_pattern, language_of, package_name, parse_ignore
-from cairn.schema import EDGES, GraphError
+from cairn.graph import CodeGraph
+from cairn.operators.hierarchy import children_page
+from cairn.operators.projection import project_packages
+from cairn.operators.queries import related_page
+from cairn.schema import EDGES, NODES, GraphError
+from cairn.sources.analyze import answered
 from cairn.sources.python_facts import extract, python_graph
+from cairn.sources.repository import RepositoryReader, counters, repository
 from cairn.sources.scan import scan
 from cairn.sources.store import SnapshotStore
 from tests.test_graph import packages
@@ -82,3 +92,115 @@ def test_store(spark, tmp_path):
     assert [r.id for r in store.list().collect()] == [second, first]
     with pytest.raises(GraphError):
         store.load("none")
+
+
+def test_store_format(spark, tmp_path, monkeypatch):
+    """Older stores are migrated when opened for writing, refused when only read, and unharmed when a migration fails; newer ones are refused."""
+    root = tmp_path / "store"
+    g = packages(spark, "ABC", ["AB", "AC"])
+    old = SnapshotStore(spark, str(root))
+    scan = old.save("root", g)
+    manifest = json.loads((root / "manifest.json").read_text())
+    shutil.rmtree(root / manifest["views"])
+    (root / "manifest.json").unlink()  # as the first format left it
+    with pytest.raises(GraphError) as e:
+        SnapshotStore(spark, str(root), read_only=True)
+    assert e.value.code == "unsupported_version"
+    with monkeypatch.context() as m:
+        m.setattr("cairn.sources.store.write_index", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            SnapshotStore(spark, str(root))
+    assert not (root / "manifest.json").exists()
+    store = SnapshotStore(spark, str(root))
+    assert store.load(scan)[0].nodes.count() == 3 and store.view(scan).node("A")["counts"]["out"] == 2
+    assert SnapshotStore(spark, str(root), read_only=True).latest() == scan
+    (root / ".manifest.json.crc").unlink()
+    (root / "manifest.json").write_text('{"format": 9}')
+    for read_only in (True, False):
+        with pytest.raises(GraphError):
+            SnapshotStore(spark, str(root), read_only=read_only)
+
+
+def test_leases(spark, tmp_path):
+    """A live claim keeps others out; a dead saver's frees itself and goes to one of two; who lost it cannot publish."""
+    root = str(tmp_path / "store")
+    g = packages(spark, "AB", ["AB"])
+    first = SnapshotStore(spark, root).save("root", g)
+    dead = SnapshotStore(spark, root, lease=0.2)
+    assert dead._claim(first) == 0  # and dies
+    time.sleep(0.3)
+    slow, fast = SnapshotStore(spark, root), SnapshotStore(spark, root)
+    assert slow._claim(first) == 1
+    for other in (fast, dead):
+        with pytest.raises(GraphError) as e:
+            other.save("root", g, expected=first)
+        assert e.value.code == "scan_conflict"
+    (tmp_path / "store" / "claims" / f"{first}-1").write_text("0")  # its lease has ended
+    for f in (tmp_path / "store" / "claims").glob(".*.crc"):
+        f.unlink()
+    real = SnapshotStore._claim
+    second = fast.save("root", g, expected=first)
+    assert fast.latest() == second
+    # a saver that is overtaken while it writes
+    late = SnapshotStore(spark, root)
+    late._claim = lambda name: (real(late, name), open(tmp_path / "store" / "claims" / f"{name}-1", "w").close())[0]
+    with pytest.raises(GraphError):
+        late.save("root", g, expected=second)
+    assert fast.latest() == second
+
+
+def test_view_index(spark, tmp_path):
+    """Pages and counts of the stored index equal the operators'; a page's plan reads one folder and has no exchange."""
+    names = [f"f{i:02d}" for i in range(45)]
+    nodes = [("M", "MODULE", "M", "M", "go", None, None), ("p", "PACKAGE", "p", "p", "go", None, None), ("q", "PACKAGE", "q", "q", "go", None, None)] + [(n, "FILE", f"p/{n[::-1]}", n, "go", 1, 0) for n in names]
+    edges = [("CONTAINS", "M", "p"), ("CONTAINS", "M", "q")] + [(k, *e) for n in names for k, e in (("CONTAINS", ("p", n)), ("IMPORTS", (n, "q")), ("USES_EXPORT", (n, "f00")))]
+    g = CodeGraph(spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES))
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    index, projection = store.view(store.save("root", g)), project_packages(g)
+    for offset in (0, 20, 40, 60):
+        got, total = index.children_page("p", offset)
+        want, n = children_page(g, "p", offset)
+        assert got.collect() == want.select(got.columns).collect() and total == n == 45
+    for node, incoming in (("p", False), ("q", True), ("q", False), ("f00", True), ("f07", False), ("M", False)):
+        got, total = index.related_page(node, incoming)
+        want, n = related_page(g, projection, node, incoming, 0)
+        assert got.collect() == want.select(got.columns).collect() and total == n
+    plan = index.children_page("p", 20)[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "TakeOrderedAndProject" in plan and "PartitionFilters: [isnotnull(folder" in plan
+    assert index.parent("f01") == "p" and index.parent("M") is None and index.node("p")["counts"] == {"children": 45, "files": 45, "out": 0, "in": 0, "to": 1, "from": 0}
+    with pytest.raises(GraphError):
+        index.children_page("none")
+    broken = CodeGraph(g.nodes, g.edges.union(spark.createDataFrame([("CONTAINS", "q", "f01")], EDGES)))
+    with pytest.raises(GraphError):
+        store.save("root", broken)
+    assert store.list().count() == 1
+
+
+def test_repository(spark, tmp_path):
+    """Rows for plain, empty and hidden files, links and unreadable names; pushed suffixes leave other files unread."""
+    for path in ("a.go", "b/empty.py", "b/.hidden.py", "b/__init__.py", "c/d/e/deep.ts", "node_modules/x.js", "noext"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("" if "empty" in path else path)
+    (tmp_path / "to_file.py").symlink_to(tmp_path / "a.go")
+    (tmp_path / "to_folder").symlink_to(tmp_path / "b")
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nothing")
+    rows = {r.path: (r.status, r.content and bytes(r.content).decode()) for r in repository(spark, str(tmp_path)).collect()}
+    plain = {p: ("read", p) for p in ("a.go", "b/.hidden.py", "b/__init__.py", "c/d/e/deep.ts", "noext")}
+    assert {k: v for k, v in rows.items() if v[1]} == plain and rows["b/empty.py"][0] == "read"
+    assert {k for k, v in rows.items() if v[0] == "link"} == {"to_file.py", "to_folder", "gone.py"} and len(rows) == 9
+    assert counters(repository(spark, str(tmp_path)), "noext") == {"discovered": 8, "skipped": 3}
+    some = repository(spark, str(tmp_path)).where("suffix in ('.go', '.ts')")
+    assert {r.path for r in some.collect()} == {"a.go", "c/d/e/deep.ts"}
+    reader = RepositoryReader(str(tmp_path))
+    assert list(reader.pushFilters([EqualTo(("suffix",), ".go"), EqualTo(("path",), "x")])) == [EqualTo(("path",), "x")]
+    assert [r["path"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()] == ["a.go"]
+    with pytest.raises(GraphError):
+        repository(spark, str(tmp_path / "none"))
+
+
+def test_answered(spark):
+    asked = spark.createDataFrame([("a",), ("b",)], "path string")
+    answered(asked, asked)
+    for got in ([("a",)], [("a",), ("b",), ("b",)], [("a",), ("b",), ("c",)]):
+        with pytest.raises(GraphError):
+            answered(asked, spark.createDataFrame(got, "path string"))
