@@ -74,7 +74,7 @@ def glob_pattern(glob: str, anchored: bool, where: str = "pattern") -> str:
             end = start + (glob[start : start + 1] == "]")
             while end < len(glob) and glob[end] != "]":
                 end = glob.find(":]", end) + 2 if glob.startswith("[:", end) and ":]" in glob[end:] else end + 1 + (glob[end] == "\\")
-            if end >= len(glob):
+            if end >= len(glob) or "/" in glob[i:end]:  # elements are split before classes are read
                 raise GraphError("invalid_pattern", f"{where}: unclosed class")
             out, i = out + _class(glob[i + 1 : end], where), end
         elif c == "\\":

@@ -399,3 +399,15 @@ def merge_nodes(batches: list[DataFrame]) -> DataFrame:
         rows = part if rows is None else rows.unionByName(part)
     columns = [c for c in rows.columns if c not in ("batch", "id")]
     return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "batch").alias("n")).select("id", "n.*")
+
+
+#: A row's height, rows shown before the first visible one, and rows of a window.
+ROW_HEIGHT, ROWS_BEFORE, WINDOW_ROWS = 30, 2, 24
+
+
+def explorer_window(rows: DataFrame, height: int = ROW_HEIGHT) -> DataFrame:
+    """rows(row_count, scroll_top, ..) with first and last of the rows to draw, and the space before and after them."""
+    n = F.col("row_count")
+    first = F.least(F.greatest(n - 1, F.lit(0)), F.greatest(F.floor(F.col("scroll_top") / height) - ROWS_BEFORE, F.lit(0)))
+    out = rows.withColumn("first", first).withColumn("last", F.least(n, F.col("first") + WINDOW_ROWS))
+    return out.withColumns({"before": F.col("first") * height, "after": F.greatest(n - F.col("last"), F.lit(0)) * height})

@@ -18,6 +18,7 @@ from cairn.session import cut, folder
 from cairn.sources import analyze, go_facts, python_facts, tsjs_facts
 from cairn.sources.demo_graph import demo_evidence, demo_graph, part_graph, tables
 from cairn.sources.store import SnapshotStore
+from cairn.streaming import pagination
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -795,6 +796,24 @@ def _snapshots(spark, sf):
 _SAVED = "saved AS (SELECT DISTINCT o_orderstatus AS root, 'file:c' || o_custkey AS id FROM orders)"
 
 
+@registered(query(f"SELECT id, path FROM nodes JOIN parents ON child = id WHERE parent = '{PACKAGE}' ORDER BY path, id LIMIT 20 OFFSET 20"))
+def stored_children_page(spark, sf):
+    """A page of a package's children from the view index that was stored with the snapshot."""
+    store = SnapshotStore(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}")
+    return store.view(store.save("demo", held_graph(spark, sf))).children_page(PACKAGE, 20)[0].select("id", "path")
+
+
+@registered(query("""
+held AS (SELECT id, count(child) AS children FROM nodes LEFT JOIN parents ON parent = id GROUP BY id),
+outs AS (SELECT from_id AS id, count(*) AS n FROM (SELECT DISTINCT kind, from_id, to_id FROM edges WHERE kind <> 'CONTAINS') GROUP BY 1),
+projected AS (SELECT from_id AS id, count(*) AS n FROM pedges GROUP BY 1)
+SELECT id, children, coalesce(outs.n, 0) AS out, coalesce(projected.n, 0) AS "to" FROM held LEFT JOIN outs USING (id) LEFT JOIN projected USING (id)"""))
+def stored_counts(spark, sf):
+    """Children, outgoing relations and projected dependencies of every node, from the stored view index."""
+    store = SnapshotStore(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}")
+    return store.view(store.save("demo", held_graph(spark, sf))).counts().select("id", "children", "out", "to")
+
+
 @registered(query(f"{_SAVED} SELECT root, CAST(row_number() OVER (ORDER BY root DESC) AS INTEGER) AS place, CASE root WHEN 'F' THEN 'complete' ELSE 'completed_with_gaps' END AS status, CAST(count(*) AS INTEGER) AS files_analyzed FROM saved GROUP BY 1"))
 def snapshot_list(spark, sf):
     """All saved snapshots, newest first."""
@@ -899,6 +918,19 @@ def go_resolve(spark, sf):
     return go_facts.resolve(facts, go_facts.modules_of(modules), go_facts.workspaces_of(modules)).select("path", "import_path", "class", "target")
 
 
+@registered("""
+SELECT 'p' || page_id || '.go' AS path, detail, CAST(line AS INTEGER) AS line FROM pages, (VALUES ('OutA', 4), ('OutB', 4), ('OutC', 5)) v(detail, line) WHERE page_id IS NOT NULL
+UNION ALL SELECT 'p' || page_id || '.go', 'In' || (page_id % 3), 6 FROM pages WHERE page_id % 2 = 0""")
+def go_free_references(spark, sf):
+    """Pages as Go files that shadow an import in an if, a parameter and, every other one, a block: the references that the import keeps."""
+    i = F.col("page_id")
+    name = F.concat(F.lit("In"), (i % 3).cast("string"))
+    block = F.when(i % 2 == 0, F.concat(F.lit("func h() { { dep := 1; _ = dep }; dep."), name, F.lit("() }"))).otherwise(F.concat(F.lit("func h() { dep := 1; { dep."), name, F.lit("() } }")))
+    lines = (F.lit("package p"), F.lit('import dep "x.org/dep"'), F.lit("// dep.None"), F.lit("func f(n int) { if dep := dep.OutA(); n > 0 { dep.InA() } else { dep.InB() }; dep.OutB() }"), F.lit("func g(dep int) dep.OutC { return dep.InC }"), block)
+    files = tables(spark, sf, "pages")[0].where("page_id is not null").select(*_sources(F.format_string("p%d.go", i), *lines))
+    return go_facts.unbound(go_facts.extract(files)).select("path", "detail", "line")
+
+
 # ---------------------------------------------------------------- from files to one graph
 
 # each page is a Go file, a Python file and a TypeScript file of a package of its language; written as what a scan must find in them
@@ -1025,6 +1057,32 @@ def scan_kept(spark, sf):
     return kept.select("page_id", "path")
 
 
+_ACTION = "CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'settled' WHEN 'purchase' THEN 'loaded' WHEN 'signup' THEN 'expand' ELSE 'collapse' END"
+
+
+@registered(f"""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, {_ACTION} AS action, event_id AS k, CAST(event_id % 100 AS BIGINT) AS next, CAST(user_id % 1000 AS BIGINT) AS total FROM events),
+p AS (SELECT id, arg_max(action IN ('start'), k) AS pending FROM e WHERE action <> 'expand' GROUP BY 1),
+x AS (SELECT id, arg_max(action <> 'collapse', k) AS expanded FROM e WHERE action IN ('collapse', 'expand', 'loaded') GROUP BY 1),
+l AS (SELECT id, arg_max(next, k) AS next, arg_max(total, k) AS total FROM e WHERE action = 'loaded' GROUP BY 1)
+SELECT id, next, total, coalesce(pending, false) AS pending, coalesce(expanded, false) AS expanded FROM (SELECT DISTINCT id FROM e) LEFT JOIN p USING (id) LEFT JOIN x USING (id) LEFT JOIN l USING (id)""")
+def explorer_pagination(spark, sf):
+    """Every user's paged list after all its events."""
+    user = F.col("user_id")
+    events = tables(spark, sf, "events")[0].select(user.cast("string").alias("id"), F.expr(_ACTION).alias("action"), F.col("event_id").alias("at"), (F.col("event_id") % 100).alias("next"), (user % 1000).alias("total"))
+    return pagination.paged(events)
+
+
+@registered("""
+WITH w AS (SELECT user_id, CAST(count(*) AS BIGINT) AS row_count, CAST(max(event_id) % 20000 AS BIGINT) AS scroll_top FROM events GROUP BY 1),
+f AS (SELECT *, least(greatest(row_count - 1, 0), greatest(CAST(floor(scroll_top / 30) AS BIGINT) - 2, 0)) AS first FROM w)
+SELECT user_id, first, least(row_count, first + 24) AS last, first * 30 AS before, greatest(row_count - least(row_count, first + 24), 0) * 30 AS after FROM f""")
+def explorer_window(spark, sf):
+    """The rows to draw of each user's list of events."""
+    rows = tables(spark, sf, "events")[0].groupBy("user_id").agg(F.count("*").alias("row_count"), (F.max("event_id") % 20000).alias("scroll_top"))
+    return client.explorer_window(rows).select("user_id", "first", "last", "before", "after")
+
+
 @registered("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_activity(spark, sf):
     from cairn.streaming.ingest import import_activity

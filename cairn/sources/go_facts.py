@@ -74,6 +74,12 @@ def within(path, prefix):
     return (path == prefix) | path.startswith(F.concat(prefix, F.lit("/")))
 
 
+def prefixes(path):
+    """All that a path is or is below, at element boundaries, from short to long."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+
+
 def nearest_above(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
     """rows(dir, ...) with `name`: the row of places(dir, ...) of the nearest folder at or above, as a struct; null without one."""
     parts = F.split("dir", "/")
@@ -94,12 +100,14 @@ def _below(base, rest):
     return F.when(rest == "", base).when(base == ".", rest).otherwise(F.concat(base, F.lit("/"), rest))
 
 
-def resolve(facts: DataFrame, modules: DataFrame, workspaces: DataFrame) -> DataFrame:
+def resolve(facts: DataFrame, modules: DataFrame, workspaces: DataFrame, standard: DataFrame | None = None) -> DataFrame:
     """Imports with class, target (a package id), reason, alias and place; the first rung that holds decides.
 
     An import leads to a folder of its own module, of a module that a replacement in its module
     names, or of one that the workspace uses; a longer requirement or replacement shadows the own
-    module's folders. One analyzed package there that is no test package is the target.
+    module's folders. One analyzed package there that is no test package is the target. The
+    standard library is standard(path), the packages of a toolchain's list; without one, all that
+    begins with one of its first path elements.
     """
     known = modules.where("path is not null")
     package = facts.where("fact = 'parsed'").select("path", directory("path").alias("dir"), F.col("name").alias("package"))
@@ -125,7 +133,8 @@ def resolve(facts: DataFrame, modules: DataFrame, workspaces: DataFrame) -> Data
     # a workspace's other modules, by the longest of their paths
     used = workspaces.select(F.col("dir").alias("work_dir"), F.explode("uses").alias("dir")).join(known.select("dir", F.col("path").alias("module")), "dir").select("work_dir", F.col("dir").alias("used_dir"), "module")
     asked = rows.where("active and included and lookup is null and import_path is not null").select(F.col("work.dir").alias("work_dir"), "import_path").distinct()
-    found = asked.join(used, (asked.work_dir == used.work_dir) & within(asked.import_path, used.module)).groupBy(asked.work_dir, "import_path").agg(F.max_by(F.struct("used_dir", "module"), F.length("module")).alias("u"))
+    asked = asked.withColumn("module", F.explode(prefixes(F.col("import_path"))))
+    found = asked.join(used, ["work_dir", "module"]).groupBy("work_dir", "import_path").agg(F.max_by(F.struct("used_dir", "module"), F.length("module")).alias("u"))
     rows = rows.withColumn("work_dir", F.col("work.dir")).join(found, ["work_dir", "import_path"], "left")
     rows = rows.withColumn("lookup", F.coalesce("lookup", F.when(F.col("u").isNotNull(), _below(F.col("u.used_dir"), rest(F.col("import_path"), F.col("u.module"))))))
     # a folder of another module below is not the own module's
@@ -136,12 +145,18 @@ def resolve(facts: DataFrame, modules: DataFrame, workspaces: DataFrame) -> Data
     longest = _longest(F.col("own.requires"), F.col("import_path"))
     external = longest.isNotNull() & ~F.coalesce(F.array_contains("own.replaced", longest) | F.array_contains("own.excluded", longest), F.lit(False))
     scanned = known.select(F.col("path").alias("module")).distinct()
-    match = rows.select("import_path").distinct().join(scanned, within(F.col("import_path"), F.col("module"))).select("import_path", F.lit(True).alias("matches")).distinct()
+    above = rows.select("import_path").distinct().withColumn("module", F.explode(prefixes(F.col("import_path"))))
+    match = above.join(scanned, "module").select("import_path", F.lit(True).alias("matches")).distinct()
     rows = rows.join(match, "import_path", "left")
+    if standard is None:
+        known_standard = F.split("import_path", "/")[0].isin(*STANDARD)
+    else:
+        listed = standard.select(F.col("path").alias("import_path"), F.lit(True).alias("listed")).distinct()
+        rows, known_standard = rows.join(listed, "import_path", "left"), F.coalesce("listed", F.lit(False))
     rungs = [
         ("unresolved", F.col("import_path").isNull(), "invalid import path literal"),
         ("cgo", F.col("import_path") == "C", None),
-        ("standard_library", F.split("import_path", "/")[0].isin(*STANDARD), None),
+        ("standard_library", known_standard, None),
         ("unclassified", F.col("own").isNull(), "repository module path unavailable"),
         ("internal_resolved", n == 1, None),
         ("unresolved", n > 1, "multiple local packages match"),

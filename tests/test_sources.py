@@ -1,6 +1,7 @@
 """Ignore rules, scans, Python facts and the snapshot store."""
 
 import json
+import random
 import re
 import shutil
 import time
@@ -11,15 +12,17 @@ from pyspark.sql.datasource import EqualTo
 
 from cairn.functions.paths import glob_pattern, language_of, package_name, parse_ignore
 from cairn.graph import CodeGraph
-from cairn.operators.hierarchy import children_page
+from cairn.operators.hierarchy import children_page, parents
 from cairn.operators.projection import project_packages
 from cairn.operators.queries import related_page
+from cairn.probe import Probe
 from cairn.schema import EDGES, NODES, GraphError
 from cairn.sources.analyze import answered
 from cairn.sources.python_facts import extract, python_graph
 from cairn.sources.repository import RepositoryReader, counters, repository
 from cairn.sources.scan import scan
 from cairn.sources.store import SnapshotStore
+from cairn.streaming import pagination
 from tests.test_graph import packages
 
 
@@ -204,3 +207,48 @@ def test_answered(spark):
     for got in ([("a",)], [("a",), ("b",), ("b",)], [("a",), ("b",), ("c",)]):
         with pytest.raises(GraphError):
             answered(asked, spark.createDataFrame(got, "path string"))
+
+
+def test_pagination(spark, tmp_path):
+    """The stream's last state of every id, over several batches, is the fold of all events."""
+    r = random.Random(3)
+    events = [(f"n{r.randrange(7)}", r.choice([*pagination.EFFECTS, "other"]), i, 100 + i, i) for i in range(120)]
+    schema = "id string, action string, next long, total long, at long"
+    for k in range(0, 120, 40):
+        spark.createDataFrame(events[k : k + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    seen = {}
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sink = lambda df, _: seen.update({x.id: tuple(x) for x in df.collect()})
+    pagination.paged_stream(stream).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start().awaitTermination(120)
+    fold = {x.id: tuple(x) for x in pagination.paged(spark.createDataFrame(events, schema)).collect()}
+    assert {k: v for k, v in seen.items() if k in fold} == fold and len(fold) == 7
+    state = (None, None, False, False)
+    for i, action, cursor, total, _ in events:
+        if i == "n0" and action in pagination.EFFECTS:
+            waits, opens = pagination.EFFECTS[action]
+            state = (cursor, total) * (action == "loaded") or state[:2], waits if waits is not None else state[2], opens if opens is not None else state[3]
+            state = (*state[0], *state[1:])
+    assert fold["n0"] == ("n0", *state)
+
+
+def test_probe(spark):
+    """Calls, times and rows of three operators, without a job of its own; a probe that is off changes nothing."""
+    probe, g = Probe(), packages(spark, "ABC", ["AB", "AC"])
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    frames = [probe.rows(name, f) for name, f in (("projection", project_packages(g).graph.nodes), ("parents", parents(g)), ("imports", g.imports()))]
+    before = jobs()
+    for name, f in zip(("projection", "parents", "imports"), frames):
+        for _ in range(2 if name == "imports" else 1):
+            probe.call(name, f.count)
+    plain = jobs() - before
+    with pytest.raises(GraphError):
+        probe.call("refused", children_page, g, "none", 0)
+    got = {x.name: (x.calls, x.rows) for x in probe.report(spark).collect()}
+    assert got == {"projection": (1, 3), "parents": (1, 0), "imports": (2, 2), "refused": (1, None)}
+    before = jobs()
+    for f in (project_packages(g).graph.nodes, parents(g), g.imports(), g.imports()):
+        f.count()
+    assert jobs() - before == plain
+    off = Probe(False)
+    assert off.rows("x", g.nodes) is g.nodes and off.call("x", lambda: 1) == 1 and off.report(spark).count() == 0
