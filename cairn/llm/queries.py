@@ -95,10 +95,17 @@ def op13_exact_top_k(spark, sf_dir):
     return top_k(rows, rows.where("vec_id % 50 = 0"), 5)
 
 
+def media_clips(spark, sf_dir):
+    """The timed clips of every text stored as a motion-JPEG AVI. A null doc_id keeps its rows."""
+    stored = media.store_texts(read(spark, sf_dir, "documents"))
+    return media.clips(stored.select(F.col("doc_id").alias("id"), "media"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_media_avi_mjpeg, op3_best_fit_packing, op4_collision_neighbours, op5_quality_factorisation,
     op6_substring_dedup, op7_source_mix, op8_language_id, op9_url_filter, op10_lm_score,
     op11_centroid_clusters, op12_hard_negatives, op13_exact_top_k,
+    media_clips,
 )}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"

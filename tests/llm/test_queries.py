@@ -25,6 +25,7 @@ COLUMNS = {
     "op10": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op11": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
     "op12": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
+    "media": ["id", "clip", "first_frame", "frames", "begin_s", "end_s", "brightness", "error"],
     "op13": ["query_id", "rank", "vec_id", "score"],
 }
 
@@ -66,3 +67,19 @@ def test_pipeline(spark):
     tokens = packed.groupBy("sequence_id").sum("length").collect()
     assert max(r[1] for r in tokens) <= 2048
     assert packed.where("piece = 0").count() == mixed.count()
+
+
+def test_media_clips(spark):
+    """Every stored text has clips that cover its frames without a gap, each as long as its frames."""
+    frames = {r.doc_id: r.payload_bytes // 192 for r in QUERIES["op2_media_avi_mjpeg"](spark, DATA).collect()}
+    clips = {}
+    for r in QUERIES["media_clips"](spark, DATA).collect():
+        assert r.error is None and r.frames > 0 and r.end_s > r.begin_s
+        clips.setdefault(r.id, {})[r.clip] = (r.first_frame, r.frames)
+    assert set(clips) == set(frames)
+    for i, own in clips.items():
+        at = 0
+        for k in range(len(own)):
+            assert own[k][0] == at
+            at += own[k][1]
+        assert at == frames[i]
