@@ -245,5 +245,5 @@ def _predict_joined(docs: DataFrame, model: dict, wrong: np.ndarray) -> DataFram
     least = int(base.argmax())
     floor = total.select("h", F.lit(round(float(base[least]), 9)).alias("share"), F.lit(-least).alias("number"), F.lit(names[least]).alias("name"))
     best = shares.union(floor).groupBy("h").agg(F.max(F.struct("share", "number", "name")).alias("best"))
-    out = docs.join(best, "h", "left").withColumns({"lang_pred": F.coalesce("best.name", F.lit("und")), "score": F.coalesce(F.greatest(F.least("best.share", F.lit(1.0)), F.lit(0.0)), F.lit(0.0))}).drop("h", "best")
+    out = docs.join(best, "h", "left").withColumns({"lang_pred": F.coalesce("best.name", F.lit("und")), "score": F.when(F.col("best").isNull(), 0.0).otherwise(F.greatest(F.least("best.share", F.lit(1.0)), F.lit(0.0)))}).drop("h", "best")
     return out.withColumnRenamed("_own_h", "h") if "_own_h" in out.columns else out

@@ -40,6 +40,8 @@ FRAGMENTS = 8
 BROADCAST_ROWS = 500_000
 #: Partners of a set that one task compares with its segments; a set with more has copies of its segments.
 PARTNERS = 256
+#: Rows of a key that are never too many, and rows of one side that meet a posting list in one part.
+HOT_ROWS, LIST = 1024, 1024
 SIGNATURE = ("p0", "p1", "p2", "p3")
 
 
@@ -150,8 +152,9 @@ def segments_of(docs: DataFrame, sets: DataFrame, size: int, percent: int, scrat
     rows = scratch.table(_postings(_of(docs, sets), size, 1))
     # repeated rows of a text count too, which is as good an order, but make no n-gram a shared one
     counts = rows.groupBy("gram").agg(F.count("*").alias("k"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").drop("a", "b")
-    shared = scratch.table(rows.join(counts, "gram"))
-    scratch.drop(rows)
+    counts = scratch.table(counts)
+    shared = scratch.table(hot_join(rows, counts, ["gram"], "k", rows.count()))
+    scratch.drop(rows, counts)
     pivots = pivots_of(shared)
     place = _place(F.col("gram"), F.col("k"))
     fragment = sum(((place > p).cast("int") for p in pivots), F.lit(0))
@@ -167,6 +170,23 @@ def segments_of(docs: DataFrame, sets: DataFrame, size: int, percent: int, scrat
     return out
 
 
+def hot_join(rows: DataFrame, counted: DataFrame, key: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with counted (one row a key, with the number of its rows), no key of which fills a task.
+
+    A key with over a quarter of a task's even share of all rows is hot. There are at most four of
+    them for each task, so they are broadcast, and their rows are never dealt by key. counted is a
+    stored table; total is the number of all rows.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.col(count) > max(HOT_ROWS, total // (4 * tasks))
+    heavy = counted.where(hot)
+    if heavy.isEmpty():
+        return rows.join(counted, key)
+    few = rows.join(F.broadcast(heavy), key)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(counted.where(~hot), key)
+    return few.unionByName(rest)
+
+
 def _differing(x: str, y: str) -> Column:
     """Differing bits of two parity signatures."""
     return sum((F.bit_count(F.col(f"{x}.{p}").bitwiseXOR(F.col(f"{y}.{p}"))) for p in SIGNATURE), F.lit(0))
@@ -184,8 +204,8 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     )
 
 
-def _lists(segments: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Posting lists (gram, step) of the prefixes, with each member's place `at`, size n and signature.
+def _lists(segments: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Posting lists (gram, step) of the prefixes, with each member's place `at`, size n and signature, and the list's number of members.
 
     Sets whose sizes the threshold allows together are at most one step apart; each set is in the
     lists of its own step and of the one below.
@@ -194,9 +214,11 @@ def _lists(segments: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = segments.where(F.col("head") < keep).withColumn("grams", F.slice("grams", F.lit(1), (keep - F.col("head")).cast("int")))
     rows = rows.select("sid", "head", F.posexplode("grams").alias("i", "gram")).select("sid", "gram", (F.col("head") + F.col("i")).alias("at"))
     step = F.floor(F.log("n") / (math.log(100 / percent) + 1e-6))
-    rows = rows.join(sets.select("sid", "n", *SIGNATURE), "sid").withColumn("step", F.explode(F.array(step, step - 1)))
-    shared = rows.groupBy("gram", "step").agg(F.count("*").alias("members")).where("members > 1").drop("members")
-    return rows.join(shared, ["gram", "step"])
+    rows = scratch.table(rows.join(sets.select("sid", "n", *SIGNATURE), "sid").withColumn("step", F.explode(F.array(step, step - 1))))
+    shared = scratch.table(rows.groupBy("gram", "step").agg(F.count("*").alias("members")).where("members > 1"))
+    out = scratch.table(hot_join(rows, shared, ["gram", "step"], "members", rows.count()))
+    scratch.drop(rows, shared)
+    return out
 
 
 def _links(pairs: DataFrame, segments: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -223,7 +245,7 @@ def _prepared(docs: DataFrame, size: int, percent: int, scratch: Scratch):
     nodes = scratch.table(alike.agg(F.min("doc_id").alias("d"), *(F.first(c).alias(c) for c in ("n", *SIGNATURE))))
     sets = scratch.table(linkable_sets(docs, nodes, size, percent))
     segments = segments_of(docs, sets, size, percent, scratch)
-    lists = scratch.table(_lists(segments, sets, percent))
+    lists = _lists(segments, sets, percent, scratch)
     return profiles, nodes, segments, lists
 
 
@@ -232,9 +254,11 @@ def _columns(df: DataFrame) -> DataFrame:
 
 
 def _pairs(lists: DataFrame, percent: int, apart: Column | None = None) -> DataFrame:
-    """The distinct candidate pairs (u, v), u < v, of all posting lists."""
-    x, y = lists.alias("x"), lists.alias("y")
-    meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.sid") < F.col("y.sid")) & _may_link("x", "y", percent)
+    """The distinct candidate pairs (u, v), u < v, of all posting lists; a long list's pairs are made in parts of about LIST rows of one side."""
+    parts = F.ceil(F.col("members") / LIST).cast("int")
+    x = lists.withColumn("part", F.pmod(F.hash("sid"), parts)).alias("x")
+    y = lists.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).alias("y")
+    meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.step") == F.col("y.step")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.sid") < F.col("y.sid")) & _may_link("x", "y", percent)
     meet = meet & apart if apart is not None else meet
     return x.join(y, meet).select(F.col("x.sid").alias("u"), F.col("y.sid").alias("v")).distinct()
 
@@ -266,8 +290,9 @@ def ngram_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     profiles, nodes, segments, lists = _prepared(docs, size, percent, scratch)
 
     # first the likeliest hub of every set, then the other hubs of sets still apart, then all pairs still apart
-    heads = lists.groupBy("gram", "step").agg(F.min(F.struct("at", "n", "sid", *SIGNATURE)).alias("y"))
-    hubs = lists.select("gram", "step", F.struct("sid", "n", "at", *SIGNATURE).alias("x")).join(heads, ["gram", "step"])
+    heads = scratch.table(lists.groupBy("gram", "step").agg(F.min(F.struct("at", "n", "sid", *SIGNATURE)).alias("y"), F.first("members").alias("members")))
+    total = lists.count()
+    hubs = hot_join(lists.select("gram", "step", F.struct("sid", "n", "at", *SIGNATURE).alias("x")), heads, ["gram", "step"], "members", total)
     hubs = hubs.where((F.col("x.sid") != F.col("y.sid")) & _may_link("x", "y", percent))
     hubs = scratch.table(hubs.select(F.col("x.sid").alias("u"), F.col("y.sid").alias("v"), _differing("x", "y").alias("differ")).distinct())
     likely = hubs.groupBy("u").agg(F.min(F.struct("differ", "v")).alias("h")).select("u", "h.v")
@@ -280,11 +305,12 @@ def ngram_components(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     known = connected_components(links, scratch)
     member = lists.join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    apart = member.groupBy("gram", "step").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").drop("a", "b")
-    member = scratch.table(member.join(apart, ["gram", "step"]))
+    apart = member.groupBy("gram", "step").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.first("members").alias("of")).where("a < b").drop("a", "b")
+    apart = scratch.table(apart)
+    member = scratch.table(hot_join(member, apart, ["gram", "step"], "of", total))
     rest = _pairs(member, percent, F.col("x.component") != F.col("y.component"))
     rest = scratch.table(rest.join(hubs.select("u", "v").union(hubs.select("v", "u")), ["u", "v"], "left_anti"))
-    scratch.drop(member, hubs, lists)
+    scratch.drop(member, hubs, lists, heads, apart)
     if not rest.isEmpty():
         known = connected_components(links.union(_links(rest, segments, percent, scratch)), scratch)
     named = nodes.select("sid", "d").join(known.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))

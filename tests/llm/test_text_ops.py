@@ -118,6 +118,21 @@ def test_fragments_are_ranges_of_the_order(docs, monkeypatch):
         assert r.head == r.n - sizes[r.sid] + sum(len(q.grams) for q in rows if q.sid == r.sid and q.fragment < r.fragment)
 
 
+def test_hot_ngrams(spark, monkeypatch):
+    """An n-gram of nearly all sets, and posting lists in many parts: the same components and links as with none."""
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, f"{base} x{i // 3} y{i // 6}" if i % 5 else f"a{i} b{i} w0 w1 w2 c{i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, ngram_join.ngram_components(docs, 3, 90).collect()))
+    links = {tuple(r) for r in ngram_join.ngram_links(docs, 3, 90)[0].collect()}
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "LIST", 3)
+    old, seen = ngram_join.hot_join, []
+    monkeypatch.setattr(ngram_join, "hot_join", lambda rows, counted, key, count, total: (seen.append(counted.where(F.col(count) > 2).count()), old(rows, counted, key, count, 0))[1])
+    assert sorted(map(tuple, ngram_join.ngram_components(docs, 3, 90).collect())) == plain
+    assert {tuple(r) for r in ngram_join.ngram_links(docs, 3, 90)[0].collect()} == links and len(links) > 50 and min(seen[:2]) > 0
+
+
 def test_ngram_links(docs):
     """All links between different sets, not only those that components need."""
     links, members = ngram_join.ngram_links(docs, 3, 60)
