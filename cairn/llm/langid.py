@@ -229,8 +229,8 @@ def _predict_joined(docs: DataFrame, model: dict, wrong: np.ndarray) -> DataFram
             rows, bits = np.nonzero(value)
             yield pa.RecordBatch.from_arrays([h.take(pa.array(rows)), pa.array((word[rows].astype(np.int64) * WORD_BITS + bits).astype(np.int32)), pa.array(value[rows, bits] * n[rows])], names=["h", "number", "value"])
 
-    docs = docs.withColumn("h", F.sha2("text", 256)) if "h" not in docs.columns else docs.withColumnRenamed("h", "_own_h").withColumn("h", F.sha2("text", 256))
-    texts = docs.where("text is not null").groupBy("h").agg(F.first("text").alias("text"))
+    docs = docs.withColumn("_text_key", F.sha2("text", 256))
+    texts = docs.where("text is not null").groupBy(F.col("_text_key").alias("h")).agg(F.first("text").alias("text"))
     grams = table(map_text(texts, count, "h string, key long, n long"))
     asked = grams.select("key").distinct().mapInArrow(place, "key long, k int, cell long")
     # a trigram is in the languages that all its cells name
@@ -244,6 +244,7 @@ def _predict_joined(docs: DataFrame, model: dict, wrong: np.ndarray) -> DataFram
     shares = values.join(F.broadcast(numbered), "number").join(total, "h").select("h", F.round(F.col("value") / F.col("total") + F.col("base"), 9).alias("share"), F.negative("number").alias("number"), "name")
     least = int(base.argmax())
     floor = total.select("h", F.lit(round(float(base[least]), 9)).alias("share"), F.lit(-least).alias("number"), F.lit(names[least]).alias("name"))
-    best = shares.union(floor).groupBy("h").agg(F.max(F.struct("share", "number", "name")).alias("best"))
-    out = docs.join(best, "h", "left").withColumns({"lang_pred": F.coalesce("best.name", F.lit("und")), "score": F.when(F.col("best").isNull(), 0.0).otherwise(F.greatest(F.least("best.share", F.lit(1.0)), F.lit(0.0)))}).drop("h", "best")
-    return out.withColumnRenamed("_own_h", "h") if "_own_h" in out.columns else out
+    best = shares.union(floor).groupBy(F.col("h").alias("_text_key")).agg(F.max(F.struct("share", "number", "name")).alias("_found"))
+    found = docs.join(best, "_text_key", "left")
+    score = F.when(F.col("_found").isNull(), 0.0).otherwise(F.greatest(F.least("_found.share", F.lit(1.0)), F.lit(0.0)))
+    return found.withColumns({"lang_pred": F.coalesce("_found.name", F.lit("und")), "score": score}).drop("_text_key", "_found")

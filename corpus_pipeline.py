@@ -21,7 +21,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark, docs, sf_dir):
-    """Rows that the quality classifier accepts (score 0.5 or more); it is fitted on the labelled rows of docs."""
+    """Rows that the quality classifier accepts (score 0.5 or more); it is fitted on the labelled rows of docs.
+
+    Null and empty texts are scored as empty ones, rows with a null doc_id like others, repeated
+    rows each; without labels all are kept. An empty table stays empty, and columns beyond those
+    of documents are left out (as in every stage).
+    """
     docs = docs.select(COLUMNS)
     model = train_quality(docs, common.read(spark, sf_dir, "labels"))
     return score_quality(docs, model).where("score >= 0.5").select(COLUMNS)
@@ -49,7 +54,8 @@ def near_duplicates(spark, docs, sf_dir):
 def repeated_passages(spark, docs, sf_dir):
     """Rows without the passages of 50 words or more that documents with a smaller doc_id have; texts that lose all words go.
 
-    Texts that lose nothing stay as they are.
+    Texts that lose nothing stay as they are; a null text becomes an empty one and stays. A row with
+    a null doc_id is kept whole and removes nothing; repeated rows do not remove each other.
     """
     out = remove_repeats(docs.select(COLUMNS), as_is=True).where("n_removed = 0 or n_removed < n_words")
     out = out.withColumnRenamed("kept_text", "text")
@@ -57,12 +63,20 @@ def repeated_passages(spark, docs, sf_dir):
 
 
 def source_mix(spark, docs, sf_dir):
-    """Rows mixed to the sources' targets: each as often as the mix takes it."""
+    """Rows mixed to the sources' targets: each as often as the mix takes it.
+
+    Null sources are one source, the last. A text without words, null or empty, has size 0 and adds
+    nothing to a target. Repeated rows and rows with a null doc_id are rows of their own.
+    """
     return mixed_documents(docs.select(COLUMNS))
 
 
 def best_fit_packing(spark, docs, sf_dir):
-    """Pieces of all rows packed into sequences of at most 2048 tokens."""
+    """Pieces of all rows packed into sequences of at most 2048 tokens.
+
+    A null or empty text is its closing token alone. Rows with a null doc_id and repeated rows are
+    packed each for itself; only texts of over 2048 tokens are cut.
+    """
     return pack_documents(docs)
 
 

@@ -141,7 +141,7 @@ def test_language_filter_as_a_table(docs, none):
     train = docs.where("lang is not null")
     small, large = langid.learn(train), langid.learn(train, most_masks=0)
     assert "table" in large and "cells" in small and np.allclose(small["fill"], large["fill"]) and small["size"] == large["size"]
-    asked = docs.withColumns({"h": F.lit("own"), "word": F.lit(1), "key": F.lit(2)})
+    asked = docs.withColumns({"h": F.lit("own"), "word": F.lit(1), "key": F.lit(2), "best": F.lit("b")})
     rows = lambda model: sorted(((r.doc_id is None, r.doc_id or 0, r.h, r.word, r.key, r.lang_pred, round(r.score, 9)) for r in langid.predict(asked, model).collect()))
     assert rows(small) == rows(large) and {r[5] for r in rows(large)} >= {"und", "en", "de"}
-    assert langid.predict(none, large).count() == 0
+    assert langid.predict(none, large).count() == 0 and langid.predict(asked, large).columns == langid.predict(asked, small).columns
