@@ -796,11 +796,17 @@ def _snapshots(spark, sf):
 _SAVED = "saved AS (SELECT DISTINCT o_orderstatus AS root, 'file:c' || o_custkey AS id FROM orders)"
 
 
+def _saved(spark, sf):
+    """(store, scan) of the graph, just saved."""
+    store = SnapshotStore(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}")
+    return store, store.save("demo", held_graph(spark, sf))
+
+
 @registered(query(f"SELECT id, path FROM nodes JOIN parents ON child = id WHERE parent = '{PACKAGE}' ORDER BY path, id LIMIT 20 OFFSET 20"))
 def stored_children_page(spark, sf):
     """A page of a package's children from the view index that was stored with the snapshot."""
-    store = SnapshotStore(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}")
-    return store.view(store.save("demo", held_graph(spark, sf))).children_page(PACKAGE, 20)[0].select("id", "path")
+    store, scan = _saved(spark, sf)
+    return store.view(scan).children_page(PACKAGE, 20)[0].select("id", "path")
 
 
 @registered(query("""
@@ -810,8 +816,22 @@ projected AS (SELECT from_id AS id, count(*) AS n FROM pedges GROUP BY 1)
 SELECT id, children, coalesce(outs.n, 0) AS out, coalesce(projected.n, 0) AS "to" FROM held LEFT JOIN outs USING (id) LEFT JOIN projected USING (id)"""))
 def stored_counts(spark, sf):
     """Children, outgoing relations and projected dependencies of every node, from the stored view index."""
-    store = SnapshotStore(spark, f"{folder(spark)}/store-{uuid.uuid4().hex}")
-    return store.view(store.save("demo", held_graph(spark, sf))).counts().select("id", "children", "out", "to")
+    store, scan = _saved(spark, sf)
+    return store.view(scan).counts().select("id", "children", "out", "to")
+
+
+@registered(query(f"SELECT id, name FROM nodes WHERE kind IN ('FILE', 'METHOD') AND {_MATCH.format('r#000000012')} ORDER BY name, id LIMIT 100"))
+def stored_search(spark, sf):
+    """A bounded search of two kinds from the search index that was stored with the snapshot."""
+    store, scan = _saved(spark, sf)
+    return queries.search(store.search(scan).candidates("R#000000012"), "R#000000012", ("FILE", "METHOD"), 100).select("id", "name")
+
+
+@registered(query(f"SELECT id, path FROM nodes WHERE kind <> 'MODULE' AND {_MATCH.format('nation_16/cust')} ORDER BY path, id LIMIT 20 OFFSET 20"))
+def stored_search_page(spark, sf):
+    """A page of what holds a path's piece, from the stored search index."""
+    store, scan = _saved(spark, sf)
+    return queries.search_page(store.search(scan).candidates("Nation_16/Cust"), " Nation_16/Cust ", 20)[0].select("id", "path")
 
 
 @registered(query(f"{_SAVED} SELECT root, CAST(row_number() OVER (ORDER BY root DESC) AS INTEGER) AS place, CASE root WHEN 'F' THEN 'complete' ELSE 'completed_with_gaps' END AS status, CAST(count(*) AS INTEGER) AS files_analyzed FROM saved GROUP BY 1"))

@@ -2,7 +2,7 @@
 
 Regions are modules, nations packages, customers and suppliers files, orders declarations.
 A customer's file imports the packages (style "G") or the files (style "P") of the suppliers
-of its order lines; each line is one occurrence. The sparse form takes a fixed share of the lines.
+of its order lines; each line is one occurrence.
 """
 
 from __future__ import annotations

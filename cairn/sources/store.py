@@ -3,15 +3,17 @@
 A snapshot's tables and view index are written first and its `snapshots` row last; readers see
 only scans that have one, so a save that fails or loses executors leaves nothing visible.
 
-A manifest names the store's format and the folder of its view indexes. Format 1 had neither: such a
-store is migrated when it is opened for writing. The indexes of all its snapshots go to a new
-folder, and the manifest that names it is put in place by one rename, so a migration that fails
-leaves the old store as it was.
+A manifest names the store's format and the folder of its indexes: views for pages, and searches
+(see view_index and search_index). Format 1 had neither, format 2 no searches: such a store is
+migrated when it is opened for writing. The indexes of all its snapshots go to a new folder, and
+the manifest that names it, a file of its own for each format, is put in place by one rename, so
+a migration that fails leaves the old store as it was.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from datetime import UTC, datetime
@@ -21,12 +23,14 @@ from pyspark.sql import functions as F
 
 from cairn.graph import CodeGraph, dangling_edges, node_conflicts
 from cairn.schema import COUNTERS, EDGES, EVIDENCE, EXCLUSIONS, ISSUES, NODES, SNAPSHOTS, STATUSES, GraphError
+from cairn.sources.search_index import SearchIndex, write_search_index
 from cairn.sources.view_index import ViewIndex, write_index
 
 SCHEMAS = {"nodes": NODES, "edges": EDGES, "evidence": "ordinal int, " + EVIDENCE, "issues": "ordinal int, " + ISSUES, "exclusions": EXCLUSIONS}
 
 
-FORMAT = 2
+FORMAT = 3
+MANIFEST = f"manifest-{FORMAT}.json"
 #: Seconds after which a saver's claim may be taken over.
 LEASE = 3600.0
 
@@ -37,19 +41,23 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str, read_only: bool = False, lease: float = LEASE):
         """A store that is only read must be there and of this format, and refuses to save. One of a newer format is refused."""
         self.spark, self.root, self.read_only, self.lease = spark, root.rstrip("/"), read_only, lease
-        there = self._exists("snapshots") or self._exists("manifest.json")
-        if read_only and not there:
+        manifest = self._manifest()
+        if read_only and manifest["format"] is None:
             raise GraphError("not_found", f"no store in {root}")
-        manifest = json.loads(self._text("manifest.json")) if self._exists("manifest.json") else {"format": 1 if there else None}
-        if manifest["format"] not in (None, 1, FORMAT) or (read_only and manifest["format"] != FORMAT):
+        if manifest["format"] not in (None, *range(1, FORMAT + 1)) or (read_only and manifest["format"] != FORMAT):
             raise GraphError("unsupported_version", f"the store has format {manifest['format']}, not {FORMAT}")
         if manifest["format"] != FORMAT:
             manifest = self._migrate()
         self.views = manifest["views"]
 
-    def _exists(self, name: str) -> bool:
-        system, where = self._path(name)
-        return system.exists(where)
+    def _manifest(self) -> dict:
+        """The manifest of the newest format that is there; without one, format 1 where snapshots are, else none."""
+        system, where = self._path("")
+        names = [s.getPath().getName() for s in system.listStatus(where)] if system.exists(where) else []
+        formats = {int(m[1] or 2): n for n in names if (m := re.fullmatch(r"manifest(?:-(\d+))?\.json", n))}
+        if formats:
+            return json.loads(self._text(formats[max(formats)]))
+        return {"format": 1 if "snapshots" in names else None}
 
     def _text(self, name: str) -> str:
         system, where = self._path(name)
@@ -71,15 +79,19 @@ class SnapshotStore:
         return done
 
     def _migrate(self) -> dict:
-        """From format 1 (or an empty folder) to this one: view indexes of all snapshots in a new folder, then the manifest."""
+        """From an older format (or an empty folder) to this one: indexes of all snapshots in a new folder, then the manifest."""
         manifest = {"format": FORMAT, "views": f"views-{uuid.uuid4().hex}"}
         for row in self._read("snapshots", SNAPSHOTS).select("id").toLocalIterator():
-            graph, _ = self.load(row.id)
-            write_index(graph, f"{self.root}/{manifest['views']}/scan_id={row.id}")
-        if not self._write("manifest.json", json.dumps(manifest)):
-            return json.loads(self._text("manifest.json"))  # another writer was first
+            self._write_indexes(row.id, manifest["views"])
+        if not self._write(MANIFEST, json.dumps(manifest)):
+            return json.loads(self._text(MANIFEST))  # another writer was first
         return manifest
 
+    def _write_indexes(self, scan: str, views: str) -> None:
+        graph, _ = self._graph(scan)
+        write_index(graph, f"{self.root}/{views}/scan_id={scan}")
+        write_search_index(graph.nodes, f"{self.root}/{views}/search_of={scan}")
+
     def _path(self, name: str):
         """(file system, path) of a file or folder of the store."""
         sc = self.spark.sparkContext
@@ -124,7 +136,7 @@ class SnapshotStore:
         for name, frame in frames.items():
             columns = self.spark.createDataFrame([], SCHEMAS[name]).columns
             frame.select(columns).withColumn("scan_id", F.lit(scan)).write.mode("append").partitionBy("scan_id").parquet(f"{self.root}/{name}")
-        write_index(self._graph(scan)[0], f"{self.root}/{self.views}/scan_id={scan}")
+        self._write_indexes(scan, self.views)
         if expected is not None and (self._last_claim(expected or "none") != fence or (self.latest() or "") != expected):
             raise GraphError("scan_conflict", "the claim was taken over")
         row = (scan, source, now.isoformat(timespec="microseconds").replace("+00:00", "Z"), now, status, *((counters or {}).get(c, 0) for c in COUNTERS))
@@ -171,6 +183,11 @@ class SnapshotStore:
         self._published(scan)
         return ViewIndex(self.spark, f"{self.root}/{self.views}/scan_id={scan}")
 
+    def search(self, scan: str) -> SearchIndex:
+        """The stored search index of a published snapshot."""
+        self._published(scan)
+        return SearchIndex(self.spark, f"{self.root}/{self.views}/search_of={scan}")
+
     def _published(self, scan: str) -> None:
         if self._read("snapshots", SNAPSHOTS).where(F.col("id") == scan).isEmpty():
             raise GraphError("not_found", f"snapshot {scan} not found")

@@ -18,7 +18,7 @@ class Snapshot:
     """One published scan; every tool reads it alone, whatever is saved later."""
 
     def __init__(self, store: SnapshotStore, scan: str):
-        self.scan, self.index, self.store = scan, store.view(scan), store
+        self.scan, self.index, self.texts, self.store = scan, store.view(scan), store.search(scan), store
         graph, self.parts = store.load(scan)
         self.graph = CodeGraph(cut(graph.nodes), cut(graph.edges))
         projection = project_packages(self.graph)
@@ -95,7 +95,7 @@ def _facts(s, kind, from_id, to_id, scope="canonical", offset=0):
 
 
 def _page_of_search(s, term="", offset=0):
-    rows, total = queries.search_page(s.graph.nodes, term, offset)
+    rows, total = queries.search_page(s.texts.candidates(term.strip()), term, offset)
     return {"nodes": _dicts(rows), "total": total, "offset": offset}
 
 
@@ -110,7 +110,7 @@ def _snapshots(s):
 
 
 def _search(s, text="", kinds=(), limit=20):
-    return {"nodes": _dicts(queries.search(s.graph.nodes, text, tuple(kinds), limit))}
+    return {"nodes": _dicts(queries.search(s.texts.candidates(text), text, tuple(kinds), limit))}
 
 
 def _inspect(s, node_id):

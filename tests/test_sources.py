@@ -12,6 +12,7 @@ from pyspark.sql.datasource import EqualTo
 
 from cairn.functions.paths import glob_pattern, language_of, package_name, parse_ignore
 from cairn.graph import CodeGraph
+from cairn.operators import queries
 from cairn.operators.hierarchy import children_page, parents
 from cairn.operators.projection import project_packages
 from cairn.operators.queries import related_page
@@ -21,7 +22,8 @@ from cairn.sources.analyze import answered
 from cairn.sources.python_facts import extract, python_graph
 from cairn.sources.repository import RepositoryReader, counters, repository
 from cairn.sources.scan import scan
-from cairn.sources.store import SnapshotStore
+from cairn.sources.search_index import SearchIndex, write_search_index
+from cairn.sources.store import MANIFEST, SnapshotStore
 from cairn.streaming import pagination
 from tests.test_graph import packages
 
@@ -97,28 +99,31 @@ def test_store(spark, tmp_path):
         store.load("none")
 
 
-def test_store_format(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("older", [1, 2])
+def test_store_format(spark, tmp_path, monkeypatch, older):
     """Older stores are migrated when opened for writing, refused when only read, and unharmed when a migration fails; newer ones are refused."""
-    root = tmp_path / "store"
+    root, manifest = tmp_path / "store", tmp_path / "store" / MANIFEST
     g = packages(spark, "ABC", ["AB", "AC"])
-    old = SnapshotStore(spark, str(root))
-    scan = old.save("root", g)
-    manifest = json.loads((root / "manifest.json").read_text())
-    shutil.rmtree(root / manifest["views"])
-    (root / "manifest.json").unlink()  # as the first format left it
+    scan = SnapshotStore(spark, str(root)).save("root", g)
+    views = root / json.loads(manifest.read_text())["views"]
+    manifest.unlink()
+    if older == 1:  # as the first format left it
+        shutil.rmtree(views)
+    else:
+        shutil.rmtree(views / f"search_of={scan}")
+        (root / "manifest.json").write_text(json.dumps({"format": 2, "views": views.name}))
     with pytest.raises(GraphError) as e:
         SnapshotStore(spark, str(root), read_only=True)
     assert e.value.code == "unsupported_version"
     with monkeypatch.context() as m:
-        m.setattr("cairn.sources.store.write_index", lambda *a: 1 / 0)
+        m.setattr("cairn.sources.store.write_search_index", lambda *a: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             SnapshotStore(spark, str(root))
-    assert not (root / "manifest.json").exists()
+    assert not manifest.exists()
     store = SnapshotStore(spark, str(root))
-    assert store.load(scan)[0].nodes.count() == 3 and store.view(scan).node("A")["counts"]["out"] == 2
-    assert SnapshotStore(spark, str(root), read_only=True).latest() == scan
-    (root / ".manifest.json.crc").unlink()
-    (root / "manifest.json").write_text('{"format": 9}')
+    assert store.load(scan)[0].nodes.count() == 3 and store.view(scan).node("A")["counts"]["out"] == 2 and store.search(scan).candidates("a").count() == 3
+    assert store.views != views.name and SnapshotStore(spark, str(root), read_only=True).latest() == scan
+    (root / "manifest-9.json").write_text('{"format": 9}')
     for read_only in (True, False):
         with pytest.raises(GraphError):
             SnapshotStore(spark, str(root), read_only=read_only)
@@ -179,6 +184,38 @@ def test_view_index(spark, tmp_path):
     assert store.list().count() == 1
 
 
+def test_search_index(spark, tmp_path, monkeypatch):
+    """Searches over the index's candidates equal those over all nodes; a rare text reads fewer files, a common or short one all."""
+    monkeypatch.setattr("cairn.sources.search_index.BLOCK", 40)
+    monkeypatch.setattr("cairn.sources.search_index.POSTINGS", 500)
+    nodes = [("M", "MODULE", "", "Root", "go", None, None), ("long", "FILE", "x" * 5000 + "/end.go", None, "go", 1, 0), ("none", "FILE", None, "none", "go", 1, 0)]
+    nodes += [(f"id{d}.{i}", "FILE", f"src/Folder{d}/Ärger{i % 7}/f{i}.go", f"ΣΑΣ{i}", "go", 1, 0) for d in range(12) for i in range(20)]
+    nodes += [("function:q'1", "FUNCTION", "src/%_x.go", "Get%_", "go", None, None)]
+    rows = spark.createDataFrame(nodes, NODES)
+    path = str(tmp_path / "index")
+    write_search_index(rows.repartition(3), path)
+    index = SearchIndex(spark, path)
+    assert index.folders > 2 and index.blocks > 2
+    shown = lambda df: [tuple(r) for r in df.collect()]
+    for text in ("FOLDER1", "ärGER3/F1", "σας1", "q'1", "t%_", "x" * 3000, "zzz", "f1", "", " folder3 ", "src/", "none"):
+        found = index.candidates(text)
+        assert shown(queries.search(found, text, (), 100)) == shown(queries.search(rows, text, (), 100)), text
+        if text == text.strip():
+            assert shown(queries.search_page(found, text, 20)[0]) == shown(queries.search_page(rows, text, 20)[0]), text
+    assert shown(queries.search(index.candidates("r7/"), "r7/", ("MODULE", "FUNCTION"), 9)) == [] and shown(queries.client_search(index.candidates("f19"), "f19")) == shown(queries.client_search(rows, "f19"))
+    every = len(index.nodes.inputFiles())
+    assert len(index.rarest("folder7")) == 3 and index.rarest("src/") is None and index.rarest("zzz") == []
+    plan = index.candidates("folder7")._jdf.queryExecution().executedPlan().toString()
+    blocks = plan[plan.index("block#") :].split("PartitionFilters: [", 1)[1].split("]")[0]
+    read = {r.f for r in index.candidates("folder7").select(F.input_file_name().alias("f")).distinct().collect()}
+    assert "block" in blocks and 0 < len(read) < every / 2
+    assert "PushedFilters: [In(gram" in index.postings.where(F.col("gram").isin("abc", "bcd"))._jdf.queryExecution().executedPlan().toString()
+    write_search_index(rows.where("false"), path + "0")
+    assert SearchIndex(spark, path + "0").candidates("abc").count() == SearchIndex(spark, path + "0").candidates("a").count() == 0
+    with pytest.raises(GraphError):
+        SearchIndex(spark, path + "1")
+
+
 def test_repository(spark, tmp_path):
     """Rows for plain, empty and hidden files, links and unreadable names; pushed suffixes leave other files unread."""
     for path in ("a.go", "b/empty.py", "b/.hidden.py", "b/__init__.py", "c/d/e/deep.ts", "node_modules/x.js", "noext"):
