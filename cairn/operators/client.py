@@ -12,7 +12,7 @@ from cairn.graph import EDGE_COLUMNS, CodeGraph, is_declaration, role_of
 from cairn.operators.hierarchy import ancestors, parents
 from cairn.operators.projection import Projection
 from cairn.operators.queries import Neighborhood
-from cairn.session import cut
+from cairn.session import cut, few
 
 
 def fact_key(kind, from_id, to_id):
@@ -174,14 +174,16 @@ def visible_graph(
     count = F.when(F.col("role") == "CONTAINER", F.coalesce("told_files", "own_files")).otherwise(F.coalesce("told_children", "all_children"))
     view = cut(rows.select(*graph.nodes.columns, "parent_id", F.coalesce(count, F.lit(0)).alias("child_count"), F.coalesce("open", F.lit(False)).alias("expanded")))
 
-    ids = view.select("id")
+    ids = few(view.select("id"), "id")
     none, no_count = F.lit(None).cast("string"), F.lit(None).cast("long")
     held = view.where("parent_id is not null").select(fact_key(F.lit("CONTAINS"), F.col("parent_id"), F.col("id")).alias("id"), F.lit("CONTAINS").alias("kind"), F.col("parent_id").alias("source"), F.col("id").alias("target"), none.alias("projected"), no_count.alias("supporting_count"))
     seen = lambda rows, column: rows.join(ids.withColumnRenamed("id", column), column, "left_semi")
-    support = seen(seen(projection.support, "from_id"), "to_id").join(open_packages.withColumnRenamed("id", "from_id"), "from_id", "left")
-    support = support.withColumn("projected", fact_key(F.lit("IMPORTS"), F.col("from_id"), F.col("to_id")))
+    # what shows and what is open is decided for each package edge, before its support is joined
+    pairs = seen(seen(projection.support.select("from_id", "to_id").distinct(), "from_id"), "to_id").join(few(open_packages, "id").withColumnRenamed("id", "from_id"), "from_id", "left")
+    pairs = cut(pairs.withColumn("projected", fact_key(F.lit("IMPORTS"), F.col("from_id"), F.col("to_id"))))
+    support = projection.support.join(few(pairs, "from_id", "to_id", "projected"), ["from_id", "to_id"])
     folded = support.where("open is null")
-    lifted = folded.select("projected", F.col("from_id").alias("source"), F.col("to_id").alias("target")).distinct()
+    lifted = pairs.where("open is null").select("projected", F.col("from_id").alias("source"), F.col("to_id").alias("target"))
     lifted = lifted.join(totals.select(F.col("relation").alias("projected"), F.col("total").alias("supporting_count")), "projected", "left") if totals is not None else lifted.withColumn("supporting_count", no_count)
     lifted = lifted.select(F.col("projected").alias("id"), F.lit("IMPORTS").alias("kind"), "source", "target", "projected", "supporting_count")
     imports = graph.imports().select(F.col("from_id").alias("source_from"), F.col("to_id").alias("source_to"))

@@ -481,18 +481,18 @@ facts AS (
   UNION SELECT 'IMPORTS:' || from_id || '->' || to_id, from_id, to_id FROM alone)"""
 
 
-def _visible(spark, sf, style="G"):
+def _visible(spark, sf, style="G", counted=True):
     g = held_graph(spark, sf, style)
     p = project_packages(g)
     p = Projection(p.graph, cut(p.support))
     opened = g.nodes.where(F.col("id").isin(*(f"package:{k}" for k in range(5))))
-    totals = view.relationship_totals(p, demo_evidence(spark, sf, style))
+    totals = view.relationship_totals(p, demo_evidence(spark, sf, style)) if counted else None
     return g, client.visible_graph(g, p, opened, g.nodes.where("kind = 'FILE' and id like '%7'"), ("METHOD",), totals=totals)
 
 
 @registered(query(_VISIBLE + " SELECT id, parent_id, child_count, expanded FROM vnodes"))
 def visible_nodes(spark, sf):
-    return _visible(spark, sf)[1].nodes.select("id", "parent_id", "child_count", "expanded")
+    return _visible(spark, sf, counted=False)[1].nodes.select("id", "parent_id", "child_count", "expanded")
 
 
 @registered(query(_VISIBLE + " SELECT * FROM vedges"))
@@ -503,7 +503,7 @@ def visible_edges(spark, sf):
 @registered(query(_VISIBLE + " SELECT edge_id, from_id, to_id FROM facts", style="P"))
 def visible_evidence(spark, sf):
     """The facts behind the visible edges, in the style whose files import files."""
-    return _visible(spark, sf, "P")[1].evidence.select("edge_id", "from_id", "to_id")
+    return _visible(spark, sf, "P", counted=False)[1].evidence.select("edge_id", "from_id", "to_id")
 
 
 _LINES = _VISIBLE + """,
@@ -523,8 +523,9 @@ lines AS (
   UNION ALL SELECT CAST(to_json([edge_id, importer, provider]) AS VARCHAR), edge_id, dependency, CASE WHEN supplies THEN provider END, package, CASE WHEN takes THEN importer END, importer, provider FROM split)"""
 
 
-def _lines(spark, sf, style="G"):
-    g, visible = _visible(spark, sf, style)
+def _lines(spark, sf, style="G", counted=False):
+    """What shows and its lines, which carry no counts; edges have them if counted."""
+    g, visible = _visible(spark, sf, style, counted)
     return visible, client.import_card_lines(visible, g)
 
 
@@ -557,7 +558,7 @@ counted AS (SELECT bundle, count(*) AS facts FROM bfacts GROUP BY 1)"""
 
 
 def _bundles(spark, sf, style):
-    visible, lines = _lines(spark, sf, style)
+    visible, lines = _lines(spark, sf, style, counted=True)
     last = F.right("id", F.lit(1))
     place = F.when(last == "1", "above").when(last == "5", "below").otherwise("visible")
     shown = visible.nodes.where("kind = 'FILE' and parent_id is not null").where(last.isin("1", "3", "5", "7"))

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -41,3 +42,14 @@ def cut(df):
     """The same rows from a reliable checkpoint: lineage ends here, and a lost executor costs no more than its tasks."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes of text and rows that a broadcast side may hold.
+BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1 << 18
+
+
+def few(df, *texts):
+    """The rows, to be broadcast if they and their texts are few; df should be cheap to read, as it is counted."""
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
+    found = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found.rows <= BROADCAST_ROWS and found.bytes <= BROADCAST_BYTES else df
