@@ -9,6 +9,7 @@ from cairn.graph import CodeGraph, build
 from cairn.operators import client, evidence, hierarchy, layers, queries, traverse, view
 from cairn.operators.projection import project_packages
 from cairn.schema import EDGES, EVIDENCE, NODES, GraphError
+from cairn.session import few
 
 
 def graph(spark, nodes, edges, language="go"):
@@ -132,6 +133,22 @@ def test_views_and_counts(spark):
     assert view.child_counts(g).where("id = 'e'").first().children == 0
 
 
+def test_sides_beyond_the_bound(spark, monkeypatch):
+    """What shows is the same whether its sides are broadcast or too large for it, by rows or by bytes."""
+    g = packages(spark, "ABC", [], [(n, "FILE", n) for n in ("a1", "a2", "b1")], [("CONTAINS", "A", "a1"), ("CONTAINS", "A", "a2"), ("CONTAINS", "B", "b1"), ("IMPORTS", "a1", "B"), ("IMPORTS", "a2", "B"), ("IMPORTS", "b1", "C"), ("IMPORTS", "a2", "A")])
+    opened = spark.createDataFrame([("A",)], "id string")
+    seen = []
+    for name, bound in ((None, 0), ("BROADCAST_ROWS", 0), ("BROADCAST_BYTES", 1)):
+        with monkeypatch.context() as m:
+            if name:
+                m.setattr(f"cairn.session.{name}", bound)
+            v = client.visible_graph(g, project_packages(g), opened, opened.where("false"))
+            hinted = "broadcast" in few(g.nodes, "id")._jdf.queryExecution().logical().toString()
+            seen.append((hinted, sorted((r.kind, r.source, r.target) for r in v.edges.collect()), sorted(tuple(r) for r in v.evidence.collect())))
+    assert [s[0] for s in seen] == [True, False, False] and seen[0][1:] == seen[1][1:] == seen[2][1:]
+    assert [e for e in seen[0][1] if e[0] == "IMPORTS"] == [("IMPORTS", "B", "C"), ("IMPORTS", "a1", "B"), ("IMPORTS", "a2", "A"), ("IMPORTS", "a2", "B")]
+
+
 def test_least_paths(spark):
     """Searches from both ends give what a search from one end gives, for 100 pairs at once, connected or not."""
     r = random.Random(4)
