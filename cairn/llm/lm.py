@@ -30,6 +30,8 @@ VOCABULARY = CLASSES * PER_CLASS
 END, OTHER = 0, 1
 #: Counts that are broadcast, two numbers each.
 FREQUENT = 1 << 17
+#: Leading bits of a fingerprint, by which broadcast words are looked up.
+LEADING = 20
 HIDDEN = 16
 #: Tokens of a shard, about (two bytes each); rounds after which the weights are averaged.
 SHARD, ROUNDS = 1 << 22, 4
@@ -39,8 +41,12 @@ LANES, WINDOW, RATE, RISE = 256, 24, 0.015, 20
 UPDATES, LEAST = 700, 1 << 20
 #: Weights of a row when they are averaged.
 PART = 4096
-#: Words of a window in scoring, documents side by side.
+#: In scoring, documents side by side and how many of their words, at least, are judged at once.
 STRIDE, TOGETHER = 24, 4096
+#: Bytes of a block that, once freed, has the C library keep up to twice as many for the next arrays.
+KEPT = 31 << 20
+#: Rows of a softmax at a time, logits whose exponentials (and sums of them) fit single precision.
+BLOCK, REACH = 1024, 40
 END_KEY = 0
 
 
@@ -75,50 +81,97 @@ def word_counts(docs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- network
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _keep_memory() -> None:
+    """Lets a task's arrays reuse freed memory; to ask the system for it each time costs a page fault for every 4 KB."""
+    np.empty(KEPT, np.uint8)
 
 
-def _step(p, gates, h):
-    """One step of the gated unit: (new state, what the backward pass needs)."""
-    u = h @ p["u"]
-    z = _sigmoid(gates[:, :HIDDEN] + u[:, :HIDDEN])
-    r = _sigmoid(gates[:, HIDDEN : 2 * HIDDEN] + u[:, HIDDEN : 2 * HIDDEN])
-    m = np.tanh(gates[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-    return m + z * (h - m), (z, r, m, u[:, 2 * HIDDEN :])
+def _thirds(w: np.ndarray) -> np.ndarray:
+    """The columns of update gate, reset gate and candidate as three matrices, so that each one's values lie together."""
+    return np.ascontiguousarray(w.reshape(-1, 3, HIDDEN).swapaxes(0, 1))
 
 
-def _log_softmax(x):
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _sigmoid(x):
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _step(u, gates, h):
+    """One step of the gated unit, by thirds: (new state, what the backward pass needs)."""
+    inner = np.matmul(h, u)
+    z, r = _sigmoid(gates[:2] + inner[:2])
+    m = r * inner[2]
+    m += gates[2]
+    np.tanh(m, out=m)
+    out = h - m
+    out *= z
+    out += m
+    return out, (z, r, m, inner[2])
+
+
+def _within_reach(x):
+    """x, in place: its rows less their largest values, if an exponential might leave single precision otherwise."""
+    if x.size and not -REACH < x.min() <= x.max() < REACH:
+        x -= x.max(1, keepdims=True)
+    return x
+
+
+def _one_beside(x):
+    """x with a column of ones, which a bias below the weights is multiplied by."""
+    out = np.ones((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1] = x
+    return out
+
+
+def _heads(p):
+    """Weights of the classes and of each class's words, biases below them."""
+    return np.concatenate([p["c"], p["cb"][None]]), np.concatenate([p["w"], p["wb"][:, None]], axis=1)
+
+
+def _chosen(h, w, stops, goal) -> np.ndarray:
+    """Log softmax at the goals, a block of rows at a time: rows stops[k] to stops[k + 1] are multiplied by w[k]."""
+    out, width = np.empty(len(goal), h.dtype), w.shape[-1]
+    room, ones, starts = np.empty((BLOCK, width), h.dtype), np.ones(width, h.dtype), np.arange(BLOCK) * width
+    for a in range(0, len(goal), BLOCK):
+        b = min(a + BLOCK, len(goal))
+        for k in range(np.searchsorted(stops, a, "right") - 1, np.searchsorted(stops, b)):
+            i, j = max(a, stops[k]), min(b, stops[k + 1])
+            np.matmul(h[i:j], w[k], out=room[i - a : j - a])
+        x = _within_reach(room[: b - a])
+        found = room.reshape(-1)[goal[a:b] + starts[: b - a]]
+        np.exp(x, out=x)
+        out[a:b] = found - np.log(x @ ones)
+    return out
 
 
 def _toward(x, goal):
     """Summed loss of softmax(x) at the goals and the gradient of the mean loss, in place of x."""
-    at = (np.arange(len(goal)), goal)
-    x -= x.max(1, keepdims=True)
-    chosen = x[at]
+    _within_reach(x)
+    at = goal + np.arange(len(x)) * x.shape[1]
+    flat = x.reshape(-1)
+    chosen = flat[at]
     np.exp(x, out=x)
-    total = x.sum(1)
-    x /= (total * len(goal))[:, None]
-    x[at] -= 1 / len(goal)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    x *= (1 / (total * len(goal)))[:, None]
+    flat[at] -= 1 / len(goal)
     return (np.log(total) - chosen).sum(), x
 
 
 def _class_runs(target):
-    order = np.argsort(target // PER_CLASS, kind="stable")
-    stops = np.searchsorted(target[order] // PER_CLASS, np.arange(CLASSES + 1))
-    return order, stops
+    kind = (target // PER_CLASS).astype(np.uint8)  # sorted in linear time
+    order = np.argsort(kind, kind="stable")
+    return order, np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(kind, minlength=CLASSES))])
 
 
 def log_likelihood(p, h, target) -> np.ndarray:
     """Natural log probability of each target after its state: class, then word in the class."""
-    kind = target // PER_CLASS
-    out = _log_softmax(h @ p["c"] + p["cb"])[np.arange(len(target)), kind]
+    (c, w), h = _heads(p), _one_beside(h)
+    out = _chosen(h, c[None], [0, len(h)], target // PER_CLASS)
     order, stops = _class_runs(target)
-    for k in np.flatnonzero(np.diff(stops)):
-        rows = order[stops[k] : stops[k + 1]]
-        out[rows] += _log_softmax(h[rows] @ p["w"][k] + p["wb"][k])[np.arange(len(rows)), target[rows] % PER_CLASS]
+    out[order] += _chosen(h.take(order, axis=0), w, stops.tolist(), (target % PER_CLASS)[order])
     return out
 
 
@@ -138,47 +191,62 @@ def initial(frequency: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
 def gradients(p, ids: np.ndarray, target: np.ndarray, h: np.ndarray):
     """Mean loss, its gradients over one window (time, lane) and the state to carry on."""
     steps, lanes = ids.shape
-    emb = p["e"][ids]
-    gates = emb @ p["x"] + p["xb"]
-    states, kept = [h], []
+    x, u, places = _thirds(p["x"]), _thirds(p["u"]), ids.ravel()
+    emb = p["e"].take(places, axis=0)
+    gates = np.matmul(emb, x)
+    gates += _thirds(p["xb"])
+    states, kept = np.empty((steps + 1, lanes, HIDDEN), h.dtype), []
+    states[0] = h
     for t in range(steps):
-        h, keep = _step(p, gates[t], h)
-        states.append(h)
+        states[t + 1], keep = _step(u, gates[:, t * lanes : (t + 1) * lanes], states[t])
         kept.append(keep)
-    flat, goal = np.concatenate(states[1:]), target.ravel()
-    n = len(goal)
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    loss, d = _toward(flat @ p["c"] + p["cb"], goal // PER_CLASS)
-    g["c"], g["cb"] = flat.T @ d, d.sum(0)
+    flat, goal, (c, w) = _one_beside(states[1:].reshape(-1, HIDDEN)), target.ravel(), _heads(p)
+    n, g = len(goal), {}
+    loss, d = _toward(flat @ c, goal // PER_CLASS)
+    both = flat.T @ d
+    g["c"], g["cb"] = both[:-1], both[-1]
     dh = d @ p["c"].T
     order, stops = _class_runs(goal)
-    near, d = flat[order], np.empty((n, PER_CLASS), flat.dtype)
+    near, back, both = flat.take(order, axis=0), np.empty_like(dh), np.zeros_like(w)
     runs = [(k, slice(stops[k], stops[k + 1])) for k in np.flatnonzero(np.diff(stops))]
     for k, run in runs:
-        d[run] = near[run] @ p["w"][k] + p["wb"][k]
+        np.matmul(near[run], w[k], out=d[run])
     more, d = _toward(d, goal[order] % PER_CLASS)
-    loss += more
     for k, run in runs:
-        g["w"][k], g["wb"][k] = near[run].T @ d[run], d[run].sum(0)
-        dh[order[run]] += d[run] @ p["w"][k].T
-    dh = dh.reshape(steps, lanes, HIDDEN)
-    back, dgates = np.zeros_like(h), np.empty_like(gates)
+        np.matmul(near[run].T, d[run], out=both[k])
+        np.matmul(d[run], p["w"][k].T, out=back[run])
+    g["w"], g["wb"] = both[:, :-1], both[:, -1]
+    dh[order] += back
+    # By step: gradients at the update gate, the reset gate, the candidate and the candidate's share of the state.
+    inward = np.empty((4, n, HIDDEN), h.dtype)
+    back, ut = np.zeros_like(h), np.ascontiguousarray(u.swapaxes(1, 2))
     for t in range(steps - 1, -1, -1):
-        z, r, m, um = kept[t]
-        down = dh[t] + back
-        dm = down * (1 - z) * (1 - m * m)
-        dz = down * (states[t] - m) * z * (1 - z)
-        dr = dm * um * r * (1 - r)
-        du = np.concatenate([dz, dr, dm * r], axis=1)
-        dgates[t] = np.concatenate([dz, dr, dm], axis=1)
-        g["u"] += states[t].T @ du
-        back = down * z + du @ p["u"].T
-    g["x"] = emb.reshape(-1, HIDDEN).T @ dgates.reshape(-1, 3 * HIDDEN)
-    g["xb"] = dgates.sum((0, 1))
-    order = np.argsort(ids.ravel(), kind="stable")
-    words, begin = np.unique(ids.ravel()[order], return_index=True)
-    g["e"][words] = np.add.reduceat((dgates @ p["x"].T).reshape(-1, HIDDEN)[order], begin)
-    return loss / n, g, h
+        (z, r, m, um), rows = kept[t], slice(t * lanes, (t + 1) * lanes)
+        dz, dr, dm, du = inward[:, rows]
+        down = dh[rows] + back
+        np.multiply(down, 1 - z, out=dm)
+        dm *= 1 - m * m
+        np.multiply(dm, r, out=du)
+        np.multiply(du, um, out=dr)
+        dr *= 1 - r
+        down *= z
+        np.subtract(states[t], m, out=dz)
+        dz *= down
+        dz *= 1 - z
+        back = down
+        for share, third in zip((dz, dr, du), ut):
+            back += share @ third
+    past = states[:-1].reshape(-1, HIDDEN)
+    g["u"] = np.concatenate([past.T @ inward[k] for k in (0, 1, 3)], axis=1)
+    g["x"] = np.concatenate([emb.T @ inward[k] for k in range(3)], axis=1)
+    g["xb"] = (np.ones(n, h.dtype) @ inward[:3]).ravel()
+    demb = np.matmul(inward[:3], x.swapaxes(1, 2)).sum(0)
+    order = np.argsort(places.astype(np.uint16), kind="stable")  # in linear time
+    ranked = places[order]
+    begin = np.flatnonzero(np.diff(ranked, prepend=-1))
+    g["e"] = np.zeros_like(p["e"])
+    g["e"][ranked[begin]] = np.add.reduceat(demb.take(order, axis=0), begin)
+    return (loss + more) / n, g, states[-1]
 
 
 def lanes_of(count: int) -> tuple[int, int]:
@@ -199,27 +267,26 @@ def windows(stream: np.ndarray, start: int, stop: int):
 
 def fit(p: dict[str, np.ndarray], stream: np.ndarray, start: int, stop: int, done: float = 0.0, share: float = 1.0) -> dict[str, np.ndarray]:
     """Weights after all windows of the stream's run, by Adam from p; done and share: of the whole training, before and in this call."""
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    flat = _flat(p)
+    p, first, second = _shaped(flat, p), np.zeros_like(flat), np.zeros_like(flat)  # p: views of flat
     lanes, length = lanes_of(stop - start)
-    p, h = {k: v.copy() for k, v in p.items()}, np.zeros((lanes, HIDDEN), np.float32)
+    h = np.zeros((lanes, HIDDEN), np.float32)
     updates = -(-length // WINDOW)
     for update, (ids, goal) in enumerate(windows(stream, start, stop), 1):
         _, g, h = gradients(p, ids, goal, h)
-        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
+        v = _flat(g)
         rate = RATE * min(1.0, 2 * (1 - done - share * update / (updates + 1))) * min(1.0, update / RISE)
-        scale = min(1.0, 1.0 / (norm + 1e-9))
+        v *= np.float32(min(1.0, 1.0 / (np.sqrt(float(np.vdot(v, v))) + 1e-9)))
         step, root = np.float32(rate / (1 - 0.9**update)), np.float32(1 / np.sqrt(1 - 0.99**update))
-        for k, v in g.items():
-            v *= np.float32(scale)
-            first[k] += np.float32(0.1) * (v - first[k])
-            v *= v
-            second[k] += np.float32(0.01) * (v - second[k])
-            np.sqrt(second[k], out=v)
-            v *= root
-            v += np.float32(1e-8)
-            np.divide(first[k], v, out=v)
-            v *= step
-            p[k] -= v
+        first += np.float32(0.1) * (v - first)
+        v *= v
+        second += np.float32(0.01) * (v - second)
+        np.sqrt(second, out=v)
+        v *= root
+        v += np.float32(1e-8)
+        np.divide(first, v, out=v)
+        v *= step
+        flat -= v
     return p
 
 
@@ -228,28 +295,31 @@ def document_log_likelihoods(p, ids: np.ndarray, ends: np.ndarray) -> np.ndarray
 
     Documents run side by side, longest first, so that those still running are the first ones.
     """
-    table = (p["e"] @ p["x"] + p["xb"]).astype(np.float32)
+    u, table = _thirds(p["u"]), np.matmul(p["e"], _thirds(p["x"])) + _thirds(p["xb"])
     begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
     out = np.zeros(len(ends))
     order = np.argsort(-(ends - begins), kind="stable")
     for a in range(0, len(order), TOGETHER):
         rows = order[a : a + TOGETHER]
         length, begin = (ends - begins)[rows], begins[rows]
-        last = np.full(len(rows), END)
+        last, sums = np.full(len(rows), END), np.zeros(len(rows))
         h = np.zeros((len(rows), HIDDEN), np.float32)
-        for t0 in range(0, int(length[0]), STRIDE):
-            states, goals, owners = [], [], []
-            for t in range(t0, min(t0 + STRIDE, int(length[0]))):
-                live = int(np.searchsorted(-length, -t))  # documents longer than t
-                h, last = h[:live], last[:live]
-                h, _ = _step(p, table[last], h)
-                last = ids[begin[:live] + t]
-                states.append(h)
-                goals.append(last)
-                owners.append(live)
-            found = log_likelihood(p, np.concatenate(states), np.concatenate(goals)).astype(np.float64)
-            own = np.concatenate([np.arange(n) for n in owners])
-            out[rows[: owners[0]]] += np.bincount(own, found, owners[0])
+        states, goals, held, shorter = [], [], 0, -length
+        for t in range(int(length[0])):
+            live = int(np.searchsorted(shorter, -t))  # documents longer than t
+            h, _ = _step(u, table.take(last[:live], axis=1), h[:live])
+            last = ids[begin[:live] + t]
+            states.append(h)
+            goals.append(last)
+            held += live
+            if held < STRIDE * TOGETHER and t + 1 < length[0]:
+                continue
+            found, at = log_likelihood(p, np.concatenate(states), np.concatenate(goals)), 0
+            for goal in goals:
+                sums[: len(goal)] += found[at : at + len(goal)]
+                at += len(goal)
+            states, goals, held = [], [], 0
+        out[rows] = sums
     return out
 
 
@@ -262,6 +332,7 @@ class Model:
     def __init__(self, words, counts, tokens, total, distinct, end):
         self.words, self.counts, self.tokens = words, counts, tokens  # sorted by fingerprint
         self.total, self.distinct, self.end, self.weights = total, distinct, end, None
+        self.starts = None  # made by each worker
         inside = tokens > OTHER
         self.rest = total - int(counts[inside].sum()) - self.end + distinct - int(inside.sum()) - (self.end > 0) + 1
 
@@ -269,11 +340,21 @@ class Model:
         """(place among the frequent words, whether it is one)."""
         if not len(self.words):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return at, self.words[at] == keys
-
-    def ids(self, keys):
-        at, known = self.find(keys)
+        if self.starts is None:
+            edges = np.arange(-(1 << LEADING - 1), 1 << LEADING - 1) << 64 - LEADING
+            self.starts = np.append(np.searchsorted(self.words, edges), len(self.words)).astype(np.int32)
+        leading = (keys >> 64 - LEADING) + (1 << LEADING - 1)
+        at, stop = np.minimum(self.starts[leading], len(self.words) - 1), self.starts[leading + 1]
+        known = self.words[at] == keys
+        left = np.flatnonzero(~known & (at + 1 < stop))
+        while len(left):  # the next words with the same leading bits
+            at[left] += 1
+            known[left] = self.words[at[left]] == keys[left]
+            left = left[~known[left] & (at[left] + 1 < stop[left])]
+        return at, known
+
+    def ids(self, at, known):
+        """Token ids of what find gives."""
         return np.where(known, self.tokens[at] if len(self.words) else OTHER, OTHER)
 
 
@@ -300,7 +381,7 @@ def _encode(shared):
             place, col = batch.column("place"), batch.column("text")
             for a, b in slices(col):
                 words, first = _words(col.slice(a, b - a))
-                ids, ends = _with_ends(shared.value.ids(words).astype(np.uint16), first, END)
+                ids, ends = _with_ends(shared.value.ids(*shared.value.find(words)).astype(np.uint16), first, END)
                 rows = pa.array([x.tobytes() for x in np.split(ids, ends[:-1])], pa.binary())
                 yield pa.RecordBatch.from_arrays([place.slice(a, b - a), rows], names=["place", "ids"])
 
@@ -328,7 +409,7 @@ def _flat(p: dict[str, np.ndarray]) -> np.ndarray:
 def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32, copy=False)
         at += like[k].size
     return out
 
@@ -337,6 +418,7 @@ def _fit_task(shared, turn: int, passes: int):
     """Rows (part, shard, n, weights): a round's weights of each shard in parts, and the tokens read for them."""
 
     def run(batches):
+        _keep_memory()
         for shard, stream in _shards(batches):
             walk = (len(stream) - 1) * passes
             start, stop = walk * turn // ROUNDS, walk * (turn + 1) // ROUNDS
@@ -424,7 +506,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         words, first = _words(col)
         at, known = m.find(words)
         logs = np.where(known, np.log10((m.counts[at] if len(m.words) else 0) + 1.0), 0.0)
-        ids = m.ids(words)
+        ids = m.ids(at, known)
         by_text = lambda v: np.diff(np.concatenate([np.zeros(1, v.dtype), np.cumsum(v)])[first])
         table = np.column_stack([np.diff(first) + 1, by_text(known.astype(np.int64)), by_text(logs), by_text(np.where(ids == OTHER, logs, 0.0)), by_text((ids == OTHER).astype(np.int64))])
         rare = [words[a:b][~known[a:b]] for a, b in zip(first[:-1], first[1:])]
@@ -432,6 +514,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         return table, tokens, ends, rare
 
     def run(batches):
+        _keep_memory()
         m = shared.value
         for batch in batches:
             col = batch.column("text")
