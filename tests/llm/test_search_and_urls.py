@@ -1,6 +1,7 @@
 """Neighbours by their recall and exact scores; URL rules and trust over links."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import ann, url_graph
@@ -33,6 +34,39 @@ def test_neighbours(spark, monkeypatch):
     assert [r.vec_id for r in few if r.query_id == 0 and r.vec_id != 0] and len(few) == 2
 
 
+def searched(x, queries, want):
+    """(entries read a query and row, mean recall of the 20 nearest among the verified) of one block."""
+    project = ann._projections(x.shape[1])
+    block, places, level, hit = ann.Block(ann._lifted(x), project), ann._directions(x[queries]) @ project, ann.FIRST, 0
+    for i, place in zip(queries, places):
+        found, level = block.candidates(place, want, level)
+        assert len(found) >= want
+        hit += len(np.intersect1d(found, np.argsort(-(x @ x[i]))[:20]))
+    return block.read / len(queries) / len(x), hit / len(queries) / 20
+
+
+@pytest.mark.parametrize("moved", [0.0, 3.0])
+def test_windows_hold_few_rows(moved):
+    """A query reads a few entries a row (192 a level before), fewer the more rows there are, also of vectors that share a direction."""
+    x = np.random.default_rng(6).normal(size=(16000, 64)) + moved
+    (small, a), (large, b) = (searched(x[:n], np.arange(0, n, n // 50), 21 + int(7 * n**0.5)) for n in (2000, 16000))
+    assert large < 16 and large < 0.9 * small and min(a, b) > 0.95
+
+
+def test_level_follows_no_guess():
+    """The narrowest level with enough rows is found from any start; where all are asked for, the last holds them."""
+    x = np.random.default_rng(7).normal(size=(300, 5)).round(1)
+    x[100:200] = x[7]
+    project = ann._projections(5)
+    block, place = ann.Block(ann._lifted(x), project), (ann._directions(x[7:8]) @ project)[0]
+    for want in (1, 50, 150, 300):
+        answers = [block.candidates(place, want, guess) for guess in (0, 20, 45, len(ann.LEVELS) - 1)]
+        rows, level = answers[0]
+        assert all(level == other and (rows == found).all() for found, other in answers) and len(rows) >= want
+        assert level == 0 or len(block.candidates(place, len(rows) + 1, 0)[0]) > len(rows) or len(rows) == 300
+    assert len(rows) == 300
+
+
 PAGES = [
     (1, "http://a.com/x?q#f", '<a href="http://GOOD.org/">'), (2, "https://Bad.NET/z", None), (3, "http://x.example.net/en/1", ""), (4, "http://x.example.net/en2", ""), (5, "http://example.com/de/", ""), (6, "http://de.example.com/de", ""),
     (7, "http://q.org/fr/x", "<a href='//a.com/y'>"), (8, "no host", ""), (9, None, None), (10, "http://net", ""), (11, "http://b.com/", '<A HREF = "http://bad.net/">bad</a><a href="/own">'), (11, "http://b.com/", ""), (None, "ftp://c.com", "<a href=http://b.com/>"),
