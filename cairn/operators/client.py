@@ -12,7 +12,7 @@ from cairn.graph import EDGE_COLUMNS, CodeGraph, is_declaration, role_of
 from cairn.operators.hierarchy import ancestors, parents
 from cairn.operators.projection import Projection
 from cairn.operators.queries import Neighborhood
-from cairn.session import cut, few
+from cairn.session import cut, few, stored
 
 
 def fact_key(kind, from_id, to_id):
@@ -137,6 +137,10 @@ class VisibleGraph:
     edges: DataFrame
     evidence: DataFrame
 
+    def held(self) -> VisibleGraph:
+        """The same with its edges and evidence in tables, for those that read them several times."""
+        return VisibleGraph(self.nodes, stored(self.edges), stored(self.evidence))
+
 
 def visible_graph(
     graph: CodeGraph, projection: Projection, expanded_packages: DataFrame, expanded_files: DataFrame, kinds: tuple[str, ...] = (),
@@ -152,7 +156,7 @@ def visible_graph(
     both ends in view are kept. child_counts(id, children), file_counts(id, files) and
     totals(relation, total) replace what a partly loaded graph cannot count.
     """
-    pair = cut(parents(graph))
+    pair = stored(parents(graph))
     role = _role(F.col("language"), F.col("kind"))
     nodes = graph.nodes.join(pair.select(F.col("child").alias("id"), F.col("parent").alias("parent_id")), "id", "left").withColumn("role", role)
     open_packages = expanded_packages.select("id").distinct().withColumn("open", F.lit(True))
@@ -172,7 +176,7 @@ def visible_graph(
         extra = told(counts, name)
         rows = rows.join(extra, "id", "left") if extra is not None else rows.withColumn(f"told_{name}", F.lit(None).cast("long"))
     count = F.when(F.col("role") == "CONTAINER", F.coalesce("told_files", "own_files")).otherwise(F.coalesce("told_children", "all_children"))
-    view = cut(rows.select(*graph.nodes.columns, "parent_id", F.coalesce(count, F.lit(0)).alias("child_count"), F.coalesce("open", F.lit(False)).alias("expanded")))
+    view = stored(rows.select(*graph.nodes.columns, "parent_id", F.coalesce(count, F.lit(0)).alias("child_count"), F.coalesce("open", F.lit(False)).alias("expanded")))
 
     ids = few(view.select("id"), "id")
     none, no_count = F.lit(None).cast("string"), F.lit(None).cast("long")
@@ -186,13 +190,14 @@ def visible_graph(
     lifted = pairs.where("open is null").select("projected", F.col("from_id").alias("source"), F.col("to_id").alias("target"))
     lifted = lifted.join(totals.select(F.col("relation").alias("projected"), F.col("total").alias("supporting_count")), "projected", "left") if totals is not None else lifted.withColumn("supporting_count", no_count)
     lifted = lifted.select(F.col("projected").alias("id"), F.lit("IMPORTS").alias("kind"), "source", "target", "projected", "supporting_count")
-    imports = graph.imports().select(F.col("from_id").alias("source_from"), F.col("to_id").alias("source_to"))
-    facts = seen(support.where("open and source_kind = 'IMPORTS'"), "source_from").join(imports, ["source_from", "source_to"], "left_semi")
+    facts = seen(support.where("open and source_kind = 'IMPORTS'"), "source_from")
+    if projection.of is not graph:
+        imports = graph.imports().select(F.col("from_id").alias("source_from"), F.col("to_id").alias("source_to"))
+        facts = facts.join(imports, ["source_from", "source_to"], "left_semi")
     facts = facts.withColumn("edge_id", fact_key(F.col("source_kind"), F.col("source_from"), F.col("source_to")))
     apart = facts.select(F.col("edge_id").alias("id"), F.lit("IMPORTS").alias("kind"), F.col("source_from").alias("source"), F.col("to_id").alias("target"), "projected", no_count.alias("supporting_count"))
 
-    used = projection.support.select(F.col("source_kind").alias("kind"), F.col("source_from").alias("from_id"), F.col("source_to").alias("to_id"))
-    other = graph.imports().select(EDGE_COLUMNS).distinct().join(used, EDGE_COLUMNS, "left_anti")
+    other = projection.unused(graph)
     up = lambda c: pair.select(F.col("child").alias(c), F.col("parent").alias(f"{c}_parent"))
     kind = graph.nodes.select(F.col("id").alias("to_id"), F.col("kind").alias("to_kind"))
     other = other.join(up("from_id"), "from_id", "left").join(up("to_id"), "to_id", "left").join(kind, "to_id", "left")
@@ -202,7 +207,8 @@ def visible_graph(
     stray = other.select(F.col("edge_id").alias("id"), "kind", F.when(F.col("shows"), F.col("from_id")).otherwise(F.col("above")).alias("source"), "target", none.alias("projected"), no_count.alias("supporting_count"))
 
     fact = lambda key: (key.alias("edge_id"), F.col("source_kind").alias("kind"), F.col("source_from").alias("from_id"), F.col("source_to").alias("to_id"))
-    evidence = folded.select(*fact(F.col("projected"))).union(facts.select(*fact(F.col("edge_id")))).union(other.select("edge_id", "kind", "from_id", "to_id")).distinct()
+    # the support of a closed package's edges has no row twice
+    evidence = folded.select(*fact(F.col("projected"))).union(facts.select(*fact(F.col("edge_id"))).union(other.select("edge_id", "kind", "from_id", "to_id")).distinct())
     return VisibleGraph(view, held.union(lifted).union(apart).union(stray).distinct(), evidence)
 
 
@@ -215,7 +221,8 @@ def import_card_lines(visible: VisibleGraph, graph: CodeGraph) -> DataFrame:
 
     An edge into a closed card whose facts name no file is one line. Else it has a line for each
     importer and each file that the importer imports directly, or whose exports it uses of that
-    package, or one line without a supplier. Handles name the rows of open cards.
+    package, or one line without a supplier. Handles name the rows of open cards. The evidence is
+    read several times (see VisibleGraph.held).
     """
     card = visible.nodes.select("id", "kind", "parent_id", "expanded")
     named = lambda prefix: card.select(*(F.col(c).alias(f"{prefix}_{c}") for c in card.columns))
@@ -224,12 +231,12 @@ def import_card_lines(visible: VisibleGraph, graph: CodeGraph) -> DataFrame:
     edges = edges.withColumn("package", F.when(F.col("s_kind") == "FILE", F.coalesce("s_parent_id", "from")).otherwise(F.col("from")))
     edges = edges.join(named("t"), F.col("dependency") == F.col("t_id"), "left").join(named("p"), F.col("package") == F.col("p_id"), "left")
     is_open = lambda c: F.coalesce(F.col(c), F.lit(False))
-    edges = cut(edges.select("edge_id", "from", "dependency", "package", is_open("t_expanded").alias("supplies"), is_open("p_expanded").alias("takes")))
-    files = graph.nodes.where("kind = 'FILE'").select(F.col("id").alias("to_id"), F.lit(True).alias("direct"))
+    edges = edges.select("edge_id", "from", "dependency", "package", is_open("t_expanded").alias("supplies"), is_open("p_expanded").alias("takes"))
+    reached = visible.evidence.select("to_id").distinct()
+    files = few(graph.nodes.where("kind = 'FILE'").select(F.col("id").alias("to_id")).join(reached, "to_id", "left_semi"), "to_id").withColumn("direct", F.lit(True))
     facts = visible.evidence.join(files, "to_id", "left").select("edge_id", F.col("from_id").alias("importer"), F.when(F.col("direct"), F.col("to_id")).alias("provider"))
-    facts = cut(facts.distinct())
     known = facts.groupBy("edge_id").agg(F.min("importer").alias("one"), (F.min("importer") != F.max("importer")).alias("several"), F.count("provider").alias("named"))
-    edges = edges.join(known, "edge_id", "left")
+    edges = stored(edges.join(known, "edge_id", "left"))
     whole = ~F.col("supplies") & (F.coalesce("named", F.lit(0)) == 0)
     only = F.when(~F.coalesce("several", F.lit(False)), F.coalesce("one", "from"))
     none = F.lit(None).cast("string")
@@ -237,12 +244,13 @@ def import_card_lines(visible: VisibleGraph, graph: CodeGraph) -> DataFrame:
         F.col("edge_id").alias("id"), "edge_id", F.col("dependency").alias("source"), none.alias("source_handle"), F.col("package").alias("target"),
         F.when(F.col("takes"), only).alias("target_handle"), F.when(F.col("one").isNotNull(), only).alias("importing_file"), none.alias("supplying_file"),
     )
-    split = edges.where(~whole).drop("named", "several", "one")
-    importers = split.join(facts.select("edge_id", "importer").distinct(), "edge_id", "left").withColumn("importer", F.coalesce("importer", "from"))
-    importers = importers.join(facts.where("provider is not null"), ["edge_id", "importer"], "left")
-    used = export_uses(graph).select("importer", F.col("package").alias("dependency"), F.col("provider").alias("used"))
-    by_use = importers.where("provider is null").join(used, ["importer", "dependency"], "left").withColumn("provider", F.col("used")).drop("used")
-    lines = importers.where("provider is not null").unionByName(by_use)
+    split = edges.where(~whole).withColumn("unknown", F.col("one").isNull()).drop("named", "several", "one")
+    named = facts.where("provider is not null").distinct()
+    unnamed = facts.where("provider is null").select("edge_id", "importer").distinct().join(named, ["edge_id", "importer"], "left_anti")
+    alone = split.where("unknown").withColumn("importer", F.col("from"))  # no fact is known
+    used = export_uses(graph).select("importer", F.col("package").alias("dependency"), "provider")
+    by_use = split.join(unnamed, "edge_id").unionByName(alone).join(used, ["importer", "dependency"], "left")
+    lines = split.join(named, "edge_id").unionByName(by_use)
     return single.union(
         lines.select(
             F.to_json(F.array("edge_id", "importer", "provider")).alias("id"), "edge_id", F.col("dependency").alias("source"), F.when(F.col("supplies"), F.col("provider")).alias("source_handle"),
@@ -270,6 +278,23 @@ class Bundles:
     facts: DataFrame
 
 
+def _facts_of(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows of (bundle, *held): the facts that each line stands for, namely its edge's from its importing file, if it has one, to its supplying file, if it has one, or to its edge's target.
+
+    Joins are by all that a line names, since an edge may have as many lines as facts.
+    """
+    file, supplier = F.col("importing_file").isNotNull(), F.col("supplying_file").isNotNull()
+    to_files = held.join(few(rows.select(F.col("supplying_file").alias("to_id")).where("to_id is not null").distinct(), "to_id"), "to_id", "left_semi")
+    to_targets = held.join(few(rows.where(supplier).select(F.col("edge_target").alias("to_id")).distinct(), "to_id"), "to_id", "left_semi")
+    out = []
+    for which, own in ((file, [F.col("importing_file").alias("from_id")]), (~file, [])):
+        for has, far, side in ((~supplier, [], held), (supplier, [F.col("supplying_file").alias("to_id")], to_files), (supplier, [F.col("edge_target").alias("to_id")], to_targets)):
+            lines = rows.where(which & has).select("bundle", "edge_id", *own, *far)
+            lines = lines if own else few(lines.distinct(), "bundle", "edge_id")
+            out.append(few(side, "edge_id", "fact_kind", "from_id", "to_id").join(lines, [c for c in lines.columns if c != "bundle"]))
+    return reduce(DataFrame.unionByName, out)
+
+
 def bundle_routes(lines: DataFrame, visible: VisibleGraph, windows: DataFrame) -> Bundles:
     """Lines with the same ends in view as one route, for windows(card, file, place: above, visible or below).
 
@@ -287,10 +312,9 @@ def bundle_routes(lines: DataFrame, visible: VisibleGraph, windows: DataFrame) -
     edges = visible.edges.select(F.col("id").alias("edge_id"), "kind", F.col("target").alias("edge_target"), "projected", "supporting_count")
     rows = lines.join(from_window, ["source", "source_handle"], "left").join(to_window, ["target", "target_handle"], "left")
     rows = rows.withColumns({"source_handle": from_end, "target_handle": to_end}).join(edges, "edge_id")
-    rows = cut(rows.withColumn("bundle", F.to_json(F.array("kind", "source", "source_handle", "target", "target_handle"))))
+    rows = stored(rows.withColumn("bundle", F.to_json(F.array("kind", "source", "source_handle", "target", "target_handle"))))
     held = visible.evidence.withColumnRenamed("kind", "fact_kind")
-    facts = rows.join(held, "edge_id").where("(importing_file is null or from_id = importing_file) and (supplying_file is null or to_id = supplying_file or to_id = edge_target)")
-    facts = cut(facts.select("bundle", F.col("fact_kind").alias("kind"), "from_id", "to_id").distinct())
+    facts = stored(_facts_of(rows, held).select("bundle", F.col("fact_kind").alias("kind"), "from_id", "to_id").distinct())
     loaded = held.groupBy("edge_id").agg(F.count("*").alias("n"))
     missing = rows.select("bundle", "projected", "supporting_count", "edge_id").distinct().join(loaded, "edge_id", "left")
     missing = missing.withColumn("rest", F.col("supporting_count") - F.coalesce("n", F.lit(0))).where("projected is not null and rest > 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.graph import EDGE_COLUMNS, CodeGraph, require_node
 from cairn.schema import LEGAL_CONTAINMENT, PAGE, GraphError
-from cairn.session import cut
+from cairn.session import cut, stored
 
 
 def parents(graph: CodeGraph) -> DataFrame:
@@ -63,11 +63,11 @@ def children_page(graph: CodeGraph, node_id: str, offset: int) -> tuple[DataFram
 
 def ancestors(graph: CodeGraph, ids: DataFrame) -> DataFrame:
     """(id): the ids and all that contain them; as many rounds as containment is deep."""
-    pair = cut(parents(graph))  # read at every level
-    found = front = cut(ids.select("id").distinct())
+    pair = stored(parents(graph))  # read at every level
+    found = front = stored(ids.select("id").distinct())
     while True:
         front = front.join(pair, front.id == pair.child).select(F.col("parent").alias("id")).distinct().join(found, "id", "left_anti")
-        front = cut(front)
+        front = stored(front)
         if front.isEmpty():
             return found
         found = found.union(front)
@@ -75,7 +75,8 @@ def ancestors(graph: CodeGraph, ids: DataFrame) -> DataFrame:
 
 def subgraph(graph: CodeGraph, ids: DataFrame, relations: DataFrame) -> CodeGraph:
     """The ids, the relations' ends and all ancestors, with the relations and the containment among them."""
-    ends = relations.select(F.col("from_id").alias("id")).union(relations.select("to_id"))
-    inside = cut(ancestors(graph, ids.select("id").union(ends)))
+    relations = stored(relations.select(EDGE_COLUMNS))
+    ends = relations.select(F.explode(F.array("from_id", "to_id")).alias("id"))
+    inside = stored(ancestors(graph, ids.select("id").union(ends)))
     held = graph.contains().join(inside, graph.edges.from_id == inside.id, "left_semi").join(inside, F.col("to_id") == inside.id, "left_semi")
-    return CodeGraph(graph.nodes.join(inside, "id", "left_semi"), relations.select(EDGE_COLUMNS).union(held.select(EDGE_COLUMNS)).distinct())
+    return CodeGraph(graph.nodes.join(inside, "id", "left_semi"), relations.union(held.select(EDGE_COLUMNS)).distinct())

@@ -14,8 +14,7 @@ from cairn.operators.queries import Neighborhood, related_page
 
 def unprojected_imports(graph: CodeGraph, projection: Projection) -> DataFrame:
     """Imports that support no edge of the projection."""
-    used = projection.support.select(F.col("source_kind").alias("kind"), F.col("source_from").alias("from_id"), F.col("source_to").alias("to_id"))
-    return graph.imports().join(used, EDGE_COLUMNS, "left_anti").select(EDGE_COLUMNS)
+    return projection.unused(graph)
 
 
 def overview(graph: CodeGraph, projection: Projection) -> CodeGraph:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from cairn.functions import paths
 from cairn.graph import CodeGraph, build, dangling_edges, is_declaration, node_conflicts, role_of, source_hash
 from cairn.operators import client, evidence, hierarchy, layers, queries, traverse, view
-from cairn.operators.projection import Projection, project_packages, subset_support
+from cairn.operators.projection import project_packages, subset_support
 from cairn.plans.adapter_sql import query
-from cairn.session import cut, folder
+from cairn.session import cut, folder, stored
 from cairn.sources import analyze, go_facts, python_facts, tsjs_facts
 from cairn.sources.demo_graph import demo_evidence, demo_graph, part_graph, tables
 from cairn.sources.store import SnapshotStore
@@ -43,7 +43,7 @@ def text_of(column, sep="|"):
 def held_graph(spark, sf, style="G"):
     """The graph, computed once, for operators that read it several times."""
     g = demo_graph(spark, sf, style)
-    return CodeGraph(cut(g.nodes), cut(g.edges))
+    return CodeGraph(stored(g.nodes), stored(g.edges))
 
 
 # ---------------------------------------------------------------- building and validation
@@ -483,8 +483,7 @@ facts AS (
 
 def _visible(spark, sf, style="G", counted=True):
     g = held_graph(spark, sf, style)
-    p = project_packages(g)
-    p = Projection(p.graph, cut(p.support))
+    p = project_packages(g).held()
     opened = g.nodes.where(F.col("id").isin(*(f"package:{k}" for k in range(5))))
     totals = view.relationship_totals(p, demo_evidence(spark, sf, style)) if counted else None
     return g, client.visible_graph(g, p, opened, g.nodes.where("kind = 'FILE' and id like '%7'"), ("METHOD",), totals=totals)
@@ -526,6 +525,7 @@ lines AS (
 def _lines(spark, sf, style="G", counted=False):
     """What shows and its lines, which carry no counts; edges have them if counted."""
     g, visible = _visible(spark, sf, style, counted)
+    visible = visible.held()
     return visible, client.import_card_lines(visible, g)
 
 
@@ -557,8 +557,8 @@ missing AS (SELECT bundle, sum(rest) AS unloaded FROM (SELECT DISTINCT bundle, p
 counted AS (SELECT bundle, count(*) AS facts FROM bfacts GROUP BY 1)"""
 
 
-def _bundles(spark, sf, style):
-    visible, lines = _lines(spark, sf, style, counted=True)
+def _bundles(spark, sf, style, counted=True):
+    visible, lines = _lines(spark, sf, style, counted)
     last = F.right("id", F.lit(1))
     place = F.when(last == "1", "above").when(last == "5", "below").otherwise("visible")
     shown = visible.nodes.where("kind = 'FILE' and parent_id is not null").where(last.isin("1", "3", "5", "7"))
@@ -574,7 +574,7 @@ def bundle_routes(spark, sf):
 
 @registered(query(_BUNDLES + " SELECT * FROM bfacts", style="P"))
 def bundle_facts(spark, sf):
-    return _bundles(spark, sf, "P").facts.drop("kind")
+    return _bundles(spark, sf, "P", counted=False).facts.drop("kind")  # no fact depends on counts
 
 
 @registered(query("""
@@ -652,8 +652,7 @@ UNION ALL SELECT 'children', f.file, (SELECT count(*) FROM parents WHERE parent
 def detail_assembly(spark, sf):
     """What a package's own files lack when loaded alone: their child counts, and the support and whole totals of their projected edges."""
     g = held_graph(spark, sf)
-    p = project_packages(g)
-    p = Projection(p.graph, cut(p.support))
+    p = project_packages(g).held()
     own = hierarchy.parents(g).where(F.col("parent") == PACKAGE).select(F.col("child").alias("id"))
     part = CodeGraph(g.nodes.join(own, "id", "left_semi").where("kind = 'FILE'"), g.imports().join(own.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select("kind", "from_id", "to_id"))
     out = view.detail(g, p, demo_evidence(spark, sf), part)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -44,6 +45,39 @@ def cut(df):
     return df.checkpoint(eager=True)
 
 
+#: Stored tables: (application, weak reference to what every plan that reads one holds, path).
+_stored: list[tuple] = []
+
+
+def stored(df):
+    """The same rows from a compressed table in the shared folder, for many rows: lineage ends here too, and the table goes when no plan reads it any more."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/tables-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    # all plans on the table share its list of files
+    files = out._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+    sweep(spark)
+    _stored.append((spark.sparkContext.applicationId, spark._jvm.java.lang.ref.WeakReference(files), path))
+    return out
+
+
+def sweep(spark) -> None:
+    """Delete the stored tables that no plan reads any more, and have the driver let go of consumed shuffles."""
+    spark._jvm.System.gc()  # else both stay until the driver happens to collect its garbage
+    app = spark.sparkContext.applicationId
+    for entry in [e for e in _stored if e[0] != app or e[1].get() is None]:
+        _stored.remove(entry)
+        if entry[0] == app:
+            delete(spark, entry[2])
+
+
+def delete(spark, path: str) -> None:
+    """Remove a folder of any file system that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Bytes of text and rows that a broadcast side may hold.
 BROADCAST_BYTES, BROADCAST_ROWS = 16 << 20, 1 << 18
 

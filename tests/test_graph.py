@@ -1,6 +1,10 @@
 """Graph operators on small fixtures."""
 
+import gc
+import json
+import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from cairn.graph import CodeGraph, build
 from cairn.operators import client, evidence, hierarchy, layers, queries, traverse, view
 from cairn.operators.projection import project_packages
 from cairn.schema import EDGES, EVIDENCE, NODES, GraphError
-from cairn.session import few
+from cairn.session import few, folder, stored, sweep
 
 
 def graph(spark, nodes, edges, language="go"):
@@ -149,6 +153,60 @@ def test_sides_beyond_the_bound(spark, monkeypatch):
     assert [e for e in seen[0][1] if e[0] == "IMPORTS"] == [("IMPORTS", "B", "C"), ("IMPORTS", "a1", "B"), ("IMPORTS", "a2", "A"), ("IMPORTS", "a2", "B")]
 
 
+def test_bundle_facts(spark):
+    """The facts of a route equal those of each line on its own, and are joined by all that a line names, not by its edge with a condition on the rest."""
+    edges = spark.createDataFrame([("e", "IMPORTS", "A", "B", None, 9), ("x", "IMPORTS", "a1", "B", None, None)], "id string, kind string, source string, target string, projected string, supporting_count long")
+    held = [("e", "IMPORTS", f"a{i}", to) for i in range(4) for to in ("b1", "b2", "B")] + [("x", "IMPORTS", "a1", "b1"), ("x", "IMPORTS", "a1", "B")]
+    evidence = spark.createDataFrame(held, "edge_id string, kind string, from_id string, to_id string")
+    ends = [(None, None), ("a1", None), ("a2", "b1"), (None, "b2"), ("a3", "B"), ("a0", "none"), ("none", "b1")]
+    lines = [(f"{e}{i}", e, "B", f"h{i}", "A", None, *end) for e in "ex" for i, end in enumerate(ends)] + [("again", "e", "B", "h1", "A", None, "a1", None)]
+    lines = spark.createDataFrame(lines, "id string, edge_id string, source string, source_handle string, target string, target_handle string, importing_file string, supplying_file string")
+    windows = spark.createDataFrame([("B", f"h{i}", "visible") for i in range(7)], "card string, file string, place string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    bundles = client.bundle_routes(lines, client.VisibleGraph(edges, edges, evidence), windows)
+    got = {(json.loads(r.bundle)[2], r.from_id, r.to_id) for r in bundles.facts.collect()}
+    want = {(f"h{i}", a, b) for i, (file, supplier) in enumerate(ends) for edge, _, a, b in held if file in (None, a) and supplier in (None, b) or file in (None, a) and b == "B"}
+    assert got == want and bundles.facts.count() == len(want)
+    assert {r.source_handle: (r.members, r.facts) for r in bundles.routes.collect()} == {f"h{i}": (3 if i == 1 else 2, len([w for w in want if w[0] == f"h{i}"])) for i in range(7)}
+    plans = [store.executionsList().apply(k).physicalPlanDescription() for k in range(before, store.executionsCount())]
+    joins = [line for plan in plans for line in plan.splitlines() if line.startswith("Join condition")]
+    assert joins and all(line.endswith(": None") for line in joins), joins
+
+
+def test_stored_tables_go(spark):
+    """A stored table stays while a plan reads it, also one that was made from it, and goes with the last."""
+    root = folder(spark).removeprefix("file:")
+    tables = lambda: {n for n in os.listdir(root) if n.startswith("tables-")}
+    sweep(spark)
+    before = tables()
+    first = stored(spark.range(1000).withColumn("k", F.col("id") % 7))
+    own = tables() - before
+    second = first.groupBy("k").count()
+    del first
+    sweep(spark)
+    assert own <= tables() and second.count() == 7
+    del second
+    for _ in range(20):
+        gc.collect()
+        sweep(spark)
+        if not own & tables():
+            break
+        time.sleep(0.2)
+    assert not own & tables()
+
+
+def test_unused_imports(spark):
+    """What supports nothing is the same whether the projection's own graph or another one is asked, and each import counts once."""
+    nodes = [("p", "PACKAGE", "p"), ("q", "PACKAGE", "q"), ("f", "FILE", "f"), ("g", "FILE", "g"), ("loose", "FILE", "loose")]
+    g = graph(spark, nodes, [("CONTAINS", "p", "f"), ("CONTAINS", "q", "g"), ("IMPORTS", "f", "q"), ("IMPORTS", "f", "loose"), ("IMPORTS", "loose", "q"), ("IMPORTS", "loose", "q"), ("IMPORTS", "loose", "loose")])
+    want = [("f", "loose"), ("loose", "loose"), ("loose", "q")]
+    for p in (project_packages(g), project_packages(g).held()):
+        for asked in (g, type(g)(g.nodes, g.edges)):
+            assert sorted((r.from_id, r.to_id) for r in p.unused(asked).collect()) == want
+        assert [(r.from_id, r.to_id, r.source_from) for r in p.support.collect()] == [("p", "q", "f")]
+
+
 def test_least_paths(spark):
     """Searches from both ends give what a search from one end gives, for 100 pairs at once, connected or not."""
     r = random.Random(4)
