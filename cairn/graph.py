@@ -30,7 +30,13 @@ class CodeGraph:
 
 def node_conflicts(nodes: DataFrame) -> DataFrame:
     """(id, variants): ids whose rows differ in any attribute."""
-    return nodes.select("id", F.struct(*NODE_COLUMNS[1:]).alias("v")).distinct().groupBy("id").agg(F.count("*").alias("variants")).where("variants > 1")
+    rows = nodes.select("id", F.struct(*NODE_COLUMNS[1:]).alias("v")).repartition("id")  # serves both groupings
+    return rows.distinct().groupBy("id").agg(F.count("*").alias("variants")).where("variants > 1")
+
+
+def lost_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id): ends of edges that are no node."""
+    return edges.select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
 
 
 def dangling_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

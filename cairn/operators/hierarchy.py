@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.graph import EDGE_COLUMNS, CodeGraph, require_node
 from cairn.schema import LEGAL_CONTAINMENT, PAGE, GraphError
-from cairn.session import cut, stored
+from cairn.session import stored
 
 
 def parents(graph: CodeGraph) -> DataFrame:
@@ -17,7 +17,7 @@ def parents(graph: CodeGraph) -> DataFrame:
 
 def violations(graph: CodeGraph) -> DataFrame:
     """(rule, id): nodes that break containment; every rule is one set-wise test."""
-    pair = parents(graph)
+    pair = stored(parents(graph))
     kind = graph.nodes.select("id", "kind")
     typed = pair.join(kind.select(F.col("id").alias("parent"), F.col("kind").alias("pk")), "parent", "left").join(kind.select(F.col("id").alias("child"), F.col("kind").alias("ck")), "child", "left")
     legal = F.concat_ws(">", "pk", "ck").isin(*(f"{p}>{c}" for p, c in LEGAL_CONTAINMENT))
@@ -29,9 +29,9 @@ def violations(graph: CodeGraph) -> DataFrame:
 
 def cycles(pair: DataFrame) -> DataFrame:
     """(id): nodes on or above a cycle, left when children without children of their own are peeled off."""
-    rest = cut(pair)
+    rest = pair
     while True:
-        kept = cut(rest.join(rest.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"))
+        kept = stored(rest.join(rest.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"))
         if kept.count() == rest.count():
             return kept.select(F.col("child").alias("id")).distinct()
         rest = kept

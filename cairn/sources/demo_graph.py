@@ -65,8 +65,13 @@ def demo_edges(spark: SparkSession, sf_dir: str, style: str = "G") -> DataFrame:
     held = held.union(edge(customer, "CONTAINS", fmt("package:%d", "c_nationkey"), fmt("file:c%d", "c_custkey")))
     held = held.union(edge(supplier, "CONTAINS", fmt("package:%d", "s_nationkey"), fmt("file:s%d", "s_suppkey")))
     held = held.union(edge(orders, "CONTAINS", fmt("file:c%d", "o_custkey"), fmt("function:o%d", "o_orderkey")))
-    target = F.col("package" if style == "G" else "provider")
-    uses = edge(rows, "IMPORTS", F.col("from_id"), target).union(edge(rows, "USES_EXPORT", F.col("from_id"), F.col("provider"))).distinct()
+    # distinct by numbers, before they are written out
+    file, supplier = fmt("file:c%d", "o_custkey"), rows.select("o_custkey", "s_suppkey").distinct()
+    uses = edge(supplier, "USES_EXPORT", file, fmt("file:s%d", "s_suppkey"))
+    if style == "G":
+        uses = uses.union(edge(rows.select("o_custkey", "s_nationkey").distinct(), "IMPORTS", file, fmt("package:%d", "s_nationkey")))
+    else:
+        uses = uses.union(edge(supplier, "IMPORTS", file, fmt("file:s%d", "s_suppkey")))
     return held.union(uses).select(EDGE_COLUMNS)
 
 

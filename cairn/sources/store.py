@@ -4,8 +4,8 @@ A snapshot's tables and view index are written first and its `snapshots` row las
 only scans that have one, so a save that fails or loses executors leaves nothing visible.
 
 A manifest names the store's format and the folder of its indexes: views for pages, and searches
-(see view_index and search_index). Format 1 had neither, format 2 no searches: such a store is
-migrated when it is opened for writing. The indexes of all its snapshots go to a new folder, and
+(see view_index and search_index). Format 1 had neither, format 2 no searches, format 3 a posting
+for each row: such a store is migrated when it is opened for writing. The indexes of all its snapshots go to a new folder, and
 the manifest that names it, a file of its own for each format, is put in place by one rename, so
 a migration that fails leaves the old store as it was.
 """
@@ -21,7 +21,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.graph import CodeGraph, dangling_edges, node_conflicts
+from cairn.graph import CodeGraph, lost_ends, node_conflicts
 from cairn.schema import COUNTERS, EDGES, EVIDENCE, EXCLUSIONS, ISSUES, NODES, SNAPSHOTS, STATUSES, GraphError
 from cairn.sources.search_index import SearchIndex, write_search_index
 from cairn.sources.view_index import ViewIndex, write_index
@@ -29,7 +29,7 @@ from cairn.sources.view_index import ViewIndex, write_index
 SCHEMAS = {"nodes": NODES, "edges": EDGES, "evidence": "ordinal int, " + EVIDENCE, "issues": "ordinal int, " + ISSUES, "exclusions": EXCLUSIONS}
 
 
-FORMAT = 3
+FORMAT = 4
 MANIFEST = f"manifest-{FORMAT}.json"
 #: Seconds after which a saver's claim may be taken over.
 LEASE = 3600.0
@@ -125,7 +125,7 @@ class SnapshotStore:
             raise GraphError("bad_request", "the store is read only")
         if status not in STATUSES:
             raise GraphError("bad_request", f"status {status} cannot be saved")
-        if row := dangling_edges(graph.nodes, graph.edges).first() or node_conflicts(graph.nodes).first():
+        if row := lost_ends(graph.nodes, graph.edges).first() or node_conflicts(graph.nodes).first():
             raise GraphError("invalid_graph", f"not saved: {row.asDict()}")
         if expected is not None:
             if (self.latest() or "") != expected:
@@ -135,7 +135,7 @@ class SnapshotStore:
         frames = {"nodes": graph.nodes, "edges": graph.edges, **(parts or {})}
         for name, frame in frames.items():
             columns = self.spark.createDataFrame([], SCHEMAS[name]).columns
-            frame.select(columns).withColumn("scan_id", F.lit(scan)).write.mode("append").partitionBy("scan_id").parquet(f"{self.root}/{name}")
+            frame.select(columns).withColumn("scan_id", F.lit(scan)).write.mode("append").option("compression", "zstd").partitionBy("scan_id").parquet(f"{self.root}/{name}")
         self._write_indexes(scan, self.views)
         if expected is not None and (self._last_claim(expected or "none") != fence or (self.latest() or "") != expected):
             raise GraphError("scan_conflict", "the claim was taken over")

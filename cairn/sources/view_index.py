@@ -9,6 +9,8 @@ dealt by ranges of the sort key, so that a node with very many relations spans s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from cairn.graph import NODE_COLUMNS, CodeGraph
 from cairn.operators.hierarchy import parents, validate
 from cairn.operators.projection import project_packages
 from cairn.schema import PAGE, GraphError
+from cairn.session import few, stored, sweep
 
 COUNTS = ("children", "files", "out", "in", "to", "from")
 ROW = "id string, relation string, path string, other string, node struct<id:string,kind:string,path:string,name:string,language:string,import_count:int,export_count:int>, counts struct<" + ",".join(f"`{c}`:bigint" for c in COUNTS) + ">"
@@ -27,35 +30,47 @@ def folder_of(node_id: Column, folders: int) -> Column:
     return F.pmod(F.xxhash64(node_id), F.lit(folders)).cast("int")
 
 
-def index_rows(graph: CodeGraph) -> DataFrame:
-    """The rows of ROW of a graph; one that breaks containment is refused."""
+def relations_of(graph: CodeGraph) -> Iterator[tuple[str, DataFrame]]:
+    """(relation, its distinct pairs of id and other); a graph that breaks containment is refused."""
     validate(graph)
-    projected = project_packages(graph).graph.edges
-    rest = graph.edges.where("kind <> 'CONTAINS'")
-    held = parents(graph)
-    pair = lambda rows, name, a, b: rows.select(F.col(a).alias("id"), F.lit(name).alias("relation"), F.col(b).alias("other"))
-    relations = [pair(held, "child", "parent", "child"), pair(held, "parent", "child", "parent"), pair(rest, "out", "from_id", "to_id"), pair(rest, "in", "to_id", "from_id"), pair(projected, "to", "from_id", "to_id"), pair(projected, "from", "to_id", "from_id")]
-    rows = relations[0]
-    for r in relations[1:]:
-        rows = rows.union(r)
-    rows = rows.distinct()
-    node = graph.nodes.select(F.col("id").alias("other"), F.struct(*NODE_COLUMNS).alias("node"))
-    rows = rows.join(node, "other").select("id", "relation", F.col("node.path").alias("path"), "other", "node")
-    of = lambda name: F.count_if(F.col("relation") == name)
-    counted = rows.groupBy("id").agg(F.struct(of("child").alias("children"), F.count_if((F.col("relation") == "child") & (F.col("node.kind") == "FILE")).alias("files"), *(of(c).alias(c) for c in COUNTS[2:])).alias("counts"))
-    zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in COUNTS))
-    own = graph.nodes.select("id", F.lit("self").alias("relation"), "path", F.col("id").alias("other"), F.struct(*NODE_COLUMNS).alias("node")).join(counted, "id", "left")
-    return rows.withColumn("counts", F.lit(None).cast(own.schema["counts"].dataType)).union(own.withColumn("counts", F.coalesce("counts", zero)))
+    held = stored(parents(graph).select(F.col("parent").alias("a"), F.col("child").alias("b")))
+    yield from _both("child", "parent", held)
+    del held
+    rest = graph.edges.where("kind <> 'CONTAINS'").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    yield from _both("out", "in", stored(rest.distinct()))
+    yield from _both("to", "from", stored(project_packages(graph).graph.edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))))
+
+
+def _both(name: str, back: str, pairs: DataFrame) -> Iterator[tuple[str, DataFrame]]:
+    yield name, pairs.select(F.col("a").alias("id"), F.col("b").alias("other"))
+    yield back, pairs.select(F.col("b").alias("id"), F.col("a").alias("other"))
 
 
 def write_index(graph: CodeGraph, path: str) -> None:
-    """Write a graph's index under path/folders=N/folder=K."""
-    rows = index_rows(graph)
+    """Write a graph's index under path/folders=N/folder=K, a relation at a time, and then the counts of what was written."""
     n = graph.edges.count() * 2 + graph.nodes.count()
     folders = min(FOLDERS, -(-n // ROWS) or 1)
-    rows = rows.withColumn("folder", folder_of(F.col("id"), folders))
-    order = ["folder", "id", "relation", "path", "other"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("folder").parquet(f"{path}/folders={folders}")
+    home = f"{path}/folders={folders}"
+    node = graph.nodes.select(F.col("id").alias("other"), F.struct(*NODE_COLUMNS).alias("node"))
+    counts = F.lit(None).cast("struct<" + ",".join(f"`{c}`:bigint" for c in COUNTS) + ">")
+
+    def write(rows, relation, counts):
+        """rows(id, node); what follows from the node is not shuffled."""
+        order = ["folder", "id", "node.path", "node.id"]
+        rows = rows.withColumn("folder", folder_of(F.col("id"), folders)).repartitionByRange(*order).sortWithinPartitions(*order)
+        rows = rows.select("id", F.lit(relation).alias("relation"), F.col("node.path").alias("path"), F.col("node.id").alias("other"), "node", counts.alias("counts"), "folder")
+        rows.write.mode("append").option("compression", "zstd").partitionBy("folder").parquet(home)
+        sweep(graph.nodes.sparkSession)
+
+    for relation, pairs in relations_of(graph):
+        ends = few(node.join(pairs.select("other").distinct(), "other", "left_semi"), "other", "node.path", "node.name")
+        write(pairs.join(ends, "other").select("id", "node"), relation, counts)
+    of = lambda name: F.count_if(F.col("relation") == name)
+    found = graph.nodes.sparkSession.read.schema(ROW + ", folder int").option("basePath", home).parquet(home).select("id", "relation", "node.kind")
+    counted = found.groupBy("id").agg(F.struct(of("child").alias("children"), F.count_if((F.col("relation") == "child") & (F.col("kind") == "FILE")).alias("files"), *(of(c).alias(c) for c in COUNTS[2:])).alias("counts"))
+    zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in COUNTS))
+    own = graph.nodes.select("id", F.struct(*NODE_COLUMNS).alias("node")).join(stored(counted), "id", "left")
+    write(own, "self", F.coalesce("counts", zero))
 
 
 class ViewIndex:

@@ -6,6 +6,7 @@ import re
 import shutil
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo
@@ -22,7 +23,7 @@ from cairn.sources.analyze import answered
 from cairn.sources.python_facts import extract, python_graph
 from cairn.sources.repository import RepositoryReader, counters, repository
 from cairn.sources.scan import scan
-from cairn.sources.search_index import SearchIndex, write_search_index
+from cairn.sources.search_index import SearchIndex, _postings, write_search_index
 from cairn.sources.store import MANIFEST, SnapshotStore
 from cairn.streaming import pagination
 from tests.test_graph import packages
@@ -216,6 +217,34 @@ def test_search_index(spark, tmp_path, monkeypatch):
         SearchIndex(spark, path + "1")
 
 
+def test_postings_are_packed(spark, tmp_path, monkeypatch):
+    """Postings lie many to a row, and are those of each text on its own: wide characters, null, short and broken texts, slices and several bases too."""
+    monkeypatch.setattr("cairn.sources.search_index.BLOCK", 400)
+    nodes = [(f"file:{i}", "FILE", f"src/d{i % 3}/f{i}.go", None if i % 5 == 0 else f"N\U0001f600{i % 7}\u00df\u0130", "go", 1, 0) for i in range(1500)] + [("\u03a3", "FILE", "", "ab", "go", 1, 0)]
+    rows = spark.createDataFrame(nodes, NODES)
+    broken = rows.limit(1).withColumn("id", F.concat(F.lit("broken"), F.unhex(F.lit("FF")).cast("string"), F.lit("tail")))
+    rows = rows.union(broken).repartition(3)
+    write_search_index(rows, str(tmp_path / "index"))
+    index = SearchIndex(spark, str(tmp_path / "index"))
+    count = {}
+    for own in rows.where("id not like 'broken%'").select(F.array(*(F.lower(c) for c in ("name", "path", "id"))).alias("t")).collect():
+        for gram in {t[k : k + 3] for t in own.t if t for k in range(len(t) - 2)}:
+            count[gram] = count.get(gram, 0) + 1
+    places = index.postings.select("gram", F.explode("rows"))
+    got = {r.gram: r.n for r in index.lists.where("gram <> ''").collect()}
+    added = {g: got[g] - count.get(g, 0) for g in got if got[g] != count.get(g, 0)}
+    assert set(count) <= set(got) and set(added.values()) == {1} and {"bro", "rok", "oke", "ken", "tai", "ail"} <= set(added)
+    assert {r.gram: r["count"] for r in places.groupBy("gram").count().collect()} == got
+    assert index.postings.count() * 5 < places.count()
+    for text in ("\U0001f6003\u00df", "f1499", "oken", "tail", "d2/f11"):
+        assert sorted(r.id for r in queries.search(index.candidates(text), text, (), 9).collect()) == sorted(r.id for r in queries.search(rows, text, (), 9).collect()), text
+    batch = pa.RecordBatch.from_pydict({"block": pa.array([1, 1, 2, 1], pa.int32()), "place": pa.array([7, 3 << 33, 8, 1 << 32]), "name": ["abc", "abcabc", "xabc", None], "path": ["", "", "", "abcd"], "id": ["", "", "", "bcd"]})
+    for size in (1 << 20, 3):
+        monkeypatch.setattr("cairn.sources.search_index.SLICE", size)
+        found = [(r["gram"], r["node_block"], r["base"] + k) for out in _postings([batch]) for r in out.to_pylist() for k in r["rows"]]
+        assert sorted(found) == sorted([("abc", 1, 7), ("abc", 1, 3 << 33), ("bca", 1, 3 << 33), ("cab", 1, 3 << 33), ("xab", 2, 8), ("abc", 2, 8), ("abc", 1, 1 << 32), ("bcd", 1, 1 << 32)])
+
+
 def test_repository(spark, tmp_path):
     """Rows for plain, empty and hidden files, links and unreadable names; pushed suffixes leave other files unread."""
     for path in ("a.go", "b/empty.py", "b/.hidden.py", "b/__init__.py", "c/d/e/deep.ts", "node_modules/x.js", "noext"):
